@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import pages, simhash
+from loomline.llm import pages, shared, simhash, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,17 @@ def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokens.write(table(spark, sf_dir, "documents"), shared.new_path(spark, "token-ids"), word_vocabulary())
+    return tokens.read(spark, path)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -23,6 +34,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_main_text": op1_main_text,
+    "op2_token_ids": op2_token_ids,
     "op5_simhash": op5_simhash,
 }
 ORACLES: dict[str, str] = {}
