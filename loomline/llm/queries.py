@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import pages, shared, simhash, tokens, warc
+from loomline.llm import mixing, pages, sharding, shared, simhash, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,10 +37,21 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), shards=16)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), entropy_share=0.98, most_passes=2.0)
+    return mixed.select("doc_id", "source", "pass", mixing.words().alias("n_tokens"), "mix_block", "mix_order", "weight")
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_token_ids": op2_token_ids,
     "op3_warc": op3_warc,
     "op5_simhash": op5_simhash,
+    "op6_sharding": op6_sharding,
+    "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {}
