@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import mixing, pages, sharding, shared, simhash, tokens, vectors, warc
+from loomline.llm import lines, mixing, pages, sharding, shared, simhash, tokens, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), entropy_share=0.98, most_passes=2.0)
     return mixed.select("doc_id", "source", "pass", mixing.words().alias("n_tokens"), "mix_block", "mix_order", "weight")
@@ -57,6 +61,7 @@ QUERIES = {
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
     "op7_vectors": op7_vectors,
+    "op8_line_dedup": op8_line_dedup,
     "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {}
