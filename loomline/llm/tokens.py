@@ -54,11 +54,20 @@ def encode(texts: list[str], vocabulary: str) -> list[bytes]:
     fresh = [w for w in set().union(*split) if w not in known] if split else []
     for at in range(0, len(fresh), 4096):
         part = fresh[at : at + 4096]
-        for word, found in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, dtype="<u4").tobytes()
+        known.update(zip(part, _apart(part, tokenizer), strict=True))
     return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
+def _apart(words: list[str], tokenizer) -> list[bytes]:
+    """The ids of each word, from one call over all of them joined by spaces: a token belongs to the word it starts in."""
+    found = tokenizer.encode(" ".join(words), add_special_tokens=False)
+    starts = np.cumsum([0, *[len(w) + 1 for w in words]])
+    at = np.array([a for a, _ in found.offsets], dtype=np.int64)
+    raw = np.array(found.ids, dtype="<u4").tobytes()
+    cuts = (np.searchsorted(at, starts) * 4).tolist()
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def _in_batches(texts: list[str], most_chars: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of bounded total length, or single longer texts."""
     start = total = 0
