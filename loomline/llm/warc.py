@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomline.llm.shared import written
+
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -43,7 +45,8 @@ def with_records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html)
     own = own.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": base32_sha1(F.col("html").cast("binary"))})
     chosen = own.where(F.col("payload_bytes") >= min_revisit_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    repeated = chosen.where("n > 1").select("payload_digest", "payload_bytes", "first")
+    # As a table its size is known: while it is small, the pages themselves need no shuffle.
+    repeated = written(chosen.where("n > 1").select("payload_digest", "payload_bytes", "first"), "warc-repeated")
     return own.join(repeated, ["payload_digest", "payload_bytes"], "left").withColumn(
         "refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
     ).drop("first")
@@ -54,11 +57,12 @@ def clean(value: Column) -> Column:
     return F.regexp_replace(F.coalesce(value, F.lit("")), r"[\x00-\x1f\x7f]+", " ")
 
 
-def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> str:
+def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, compression: str = "gzip") -> str:
     """Writes one record for each row of pages (page_id, url, html) under path and returns path.
 
     A response holds the html in UTF-8. A revisit has no payload: it names the page that has, and the full payload's
-    digest and length. Other columns are ignored; an empty table gives a folder without records.
+    digest and length. Files are compressed whole, or plain with compression "none", and then Spark reads large ones in
+    splits. Other columns are ignored; an empty table gives a folder without records.
     """
     rows = with_records(pages, min_revisit_bytes)
     revisit = F.col("refers_to").isNotNull()
@@ -78,35 +82,63 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, records_per_f
         F.lit("\r\n"),
         F.when(revisit, "").otherwise(F.col("html")),
     )
-    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).text(path, compression=compression)
     return path
 
 
+def header(chunk: Column, name: str) -> Column:
+    """The value of a header field of the record that begins with the chunk, null where it has none."""
+    head = F.substring_index(chunk, END, 1)
+    found = F.regexp_extract(F.concat(F.lit("\r\n"), head, F.lit("\r\n")), rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)\r\n", 1)
+    return F.when(found != "", found)
+
+
+def payload(text: Column) -> Column:
+    """What stands between a record's header and its end."""
+    start = F.instr(text, END) + len(END)
+    return F.when(F.instr(text, END) > 0, F.substring(text, start, F.greatest(F.length(text) - start - len(END) + 1, F.lit(0)))).otherwise("")
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """(file, at, size, chunk): every record magic in the files under path, with its offset and what follows it.
+    """Every record magic in the files under path: its file and offset (at), what follows it up to the next (chunk), the
+    header's fields, next (where the record would end), and the size and digest of its payload if that ends in the chunk.
 
-    Spark's reader splits files anywhere and cuts at the magic, so a chunk runs from one magic to the next; chunks lie
-    back to back, so a chunk's offset is the sum of those before it: within its split, and by splits within its file.
+    Spark's reader splits files anywhere and cuts at the magic, so chunks lie back to back, and a chunk's offset is the
+    sum of the sizes before it: within its split, and by splits within its file. Fields are taken in the scan, so that
+    chunks move only where a query needs payloads.
     """
+    chunk = F.col("value")
+    page = lambda field: F.expr("try_cast(nullif(" + field + ", '') AS bigint)")
     read = spark.read.option("lineSep", MAGIC).text(path)
-    chunks = read.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("chunk"), F.monotonically_increasing_id().alias("nth")
-    ).withColumn("size", (F.octet_length("chunk") + len(MAGIC)).cast("long"))
+    scan = read.select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("nth"),
+        (F.octet_length(chunk) + len(MAGIC)).cast("long").alias("size"),
+        F.when(F.instr(chunk, END) > 0, F.octet_length(F.substring_index(chunk, END, 1)) + len(END)).alias("start"),
+        header(chunk, "Content-Length").alias("length"),
+        F.regexp_extract(header(chunk, "WARC-Record-ID"), r"<urn:page:(-?\d+)>", 1).alias("own"),
+        F.regexp_extract(header(chunk, "WARC-Refers-To"), r"<urn:page:(-?\d+)>", 1).alias("other"),
+        header(chunk, "WARC-Target-URI").alias("url"),
+        header(chunk, "WARC-Type").alias("record_type"),
+        F.substring_index(header(chunk, "WARC-Payload-Digest"), ":", -1).alias("full_digest"),
+        header(chunk, "X-Payload-Length").alias("full_bytes"),
+        F.octet_length(payload(chunk)).cast("long").alias("own_bytes"),
+        base32_sha1(payload(chunk).cast("binary")).alias("own_digest"),
+        chunk.alias("chunk"),
+    )
     within = Window.partitionBy("file", "split").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    splits = chunks.groupBy("file", "split").agg(F.sum("size").alias("total"))
+    splits = scan.groupBy("file", "split").agg(F.sum("size").alias("total"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.select("file", "split", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("split_start"))
-    placed = chunks.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["file", "split"])
+    placed = scan.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["file", "split"])
     # The first chunk of a file stands before its first magic; the others begin right after one.
-    at = F.col("split_start") + F.col("inside") - len(MAGIC)
-    return placed.select("file", at.alias("at"), "size", "chunk").where("at >= 0")
-
-
-def header(chunk: Column, name: str) -> Column:
-    """The value of a header field of the record that begins with the chunk, null where it has none."""
-    head = F.substring_index(chunk, END, 1)
-    found = F.regexp_extract(F.concat(F.lit("\r\n"), head, F.lit("\r\n")), rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)\r\n", 1)
-    return F.when(found != "", found)
+    found = placed.withColumn("at", F.col("split_start") + F.col("inside") - len(MAGIC)).where("at >= 0")
+    end = F.col("at") + len(MAGIC) + F.col("start") + F.expr("try_cast(length AS bigint)") + len(END)
+    return found.select(
+        "file", "at", end.alias("next"), page("own").alias("page_id"), page("other").alias("refers_to"), "url", "record_type",
+        "full_digest", F.expr("try_cast(full_bytes AS bigint)").alias("full_bytes"), "own_bytes", "own_digest", "chunk",
+    )
 
 
 def reachable(edges: DataFrame) -> DataFrame:
@@ -142,41 +174,28 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     payload is the record's own bytes as text: the whole html of a response, nothing of a revisit. Bytes and digest of a
     response are those of the payload as read; a revisit's are those that its header gives for the full payload.
     """
-    from loomline.llm.shared import written
-
-    chunks = written(candidates(spark, path), "warc-candidates")
-    body = F.instr("chunk", END)
-    start = F.octet_length(F.substring_index("chunk", END, 1)) + len(END)
-    length = F.expr("try_cast(length AS bigint)")
-    edges = chunks.select("file", "at", F.when(body > 0, start).alias("start"), header(F.col("chunk"), "Content-Length").alias("length"))
-    edges = edges.select("file", "at", (F.col("at") + len(MAGIC) + F.col("start") + length + len(END)).alias("next")).where("next IS NOT NULL")
-    kept = reachable(edges).withColumn("record", F.lit(True))
+    found = candidates(spark, path)
+    kept = written(reachable(found.select("file", "at", "next").where("next IS NOT NULL")).withColumn("record", F.lit(True)), "warc-records")
     # A chunk that the chain doesn't reach belongs to the payload of the last record before it.
-    marked = chunks.join(kept, ["file", "at"], "left")
-    back = Window.partitionBy("file").orderBy("at")
-    owner = marked.select("file", "at", F.last(F.when(F.col("record"), F.col("at")), ignorenulls=True).over(back).alias("owner"))
-    parts = owner.where("owner != at").join(chunks, ["file", "at"]).groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("at", "chunk"))).alias("rest"))
-    whole = marked.where("record").join(parts.withColumnRenamed("owner", "at"), ["file", "at"], "left").select(
-        F.concat(F.col("chunk"), F.coalesce(F.array_join(F.transform("rest", lambda x: F.concat(F.lit(MAGIC), x["chunk"])), ""), F.lit(""))).alias("text")
-    )
-    text = F.col("text")
-    page = lambda field: F.expr("try_cast(" + field + " AS bigint)")
-    found = whole.select(
-        F.regexp_extract(header(text, "WARC-Record-ID"), r"<urn:page:(-?\d+)>", 1).alias("own"),
-        F.regexp_extract(header(text, "WARC-Refers-To"), r"<urn:page:(-?\d+)>", 1).alias("other"),
-        header(text, "WARC-Target-URI").alias("url"),
-        header(text, "WARC-Type").alias("record_type"),
-        header(text, "WARC-Payload-Digest").alias("digest"),
-        header(text, "X-Payload-Length").cast("long").alias("full"),
-        F.expr(f"substring(text, instr(text, '\\r\\n\\r\\n') + {len(END)}, greatest(length(text) - instr(text, '\\r\\n\\r\\n') - {2 * len(END) - 1}, 0))").alias("payload"),
-    )
-    revisit = F.col("record_type") == "revisit"
-    return found.select(
-        page("own").alias("page_id"),
+    upto = Window.partitionBy("file").orderBy("at")
+    owned = found.select("file", "at").join(kept, ["file", "at"], "left")
+    owned = owned.select("file", "at", F.last(F.when(F.col("record"), F.col("at")), ignorenulls=True).over(upto).alias("owner"))
+    strays = written(owned.where("owner != at"), "warc-strays")
+    records = found.join(kept, ["file", "at"])
+    if strays.isEmpty():
+        records = records.withColumn("rest", F.lit(None).cast("string"))
+    else:
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "chunk"))), lambda x: F.concat(F.lit(MAGIC), x["chunk"])), "")
+        rest = strays.join(found.select("file", "at", "chunk"), ["file", "at"]).groupBy("file", "owner").agg(joined.alias("rest"))
+        records = records.join(rest.withColumnRenamed("owner", "at"), ["file", "at"], "left")
+    whole = payload(F.when(F.col("rest").isNull(), F.col("chunk")).otherwise(F.concat("chunk", "rest")))
+    joint, revisit = F.col("rest").isNotNull(), F.col("record_type") == "revisit"
+    return records.select(
+        "page_id",
         "url",
-        "payload",
-        F.when(revisit, F.col("full")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
-        F.when(revisit, F.substring_index("digest", ":", -1)).otherwise(base32_sha1(F.col("payload").cast("binary"))).alias("payload_digest"),
+        whole.alias("payload"),
+        F.when(revisit, F.col("full_bytes")).when(joint, F.octet_length(payload(F.concat("chunk", "rest"))).cast("long")).otherwise(F.col("own_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("full_digest")).when(joint, base32_sha1(payload(F.concat("chunk", "rest")).cast("binary"))).otherwise(F.col("own_digest")).alias("payload_digest"),
         "record_type",
-        page("other").alias("refers_to"),
+        "refers_to",
     )

@@ -36,10 +36,10 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize(("split", "per_file", "least"), [("128m", 20_000, 0), ("997", 3, 0), ("4k", 50, 4)])
-def test_magic_in_payloads_and_any_split(spark, split, per_file, least):
+@pytest.mark.parametrize(("split", "per_file", "least", "compression"), [("128m", 20_000, 0, "gzip"), ("997", 3, 0, "none"), ("4k", 50, 4, "none")])
+def test_magic_in_payloads_and_any_split(spark, split, per_file, least, compression):
     pages = spark.createDataFrame([(i, f"http://a/{i}\r\nX: 1", h, 0) for i, h in ROWS], "page_id long, url string, html string, at int")
-    path = warc.write(pages.repartition(2), shared.new_path(spark, "warc"), least, per_file)
+    path = warc.write(pages.repartition(2), shared.new_path(spark, "warc"), least, per_file, compression)
     was = spark.conf.get("spark.sql.files.maxPartitionBytes")
     cost = spark.conf.get("spark.sql.files.openCostInBytes")
     try:
