@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import lines, mixing, pages, sharding, shared, simhash, tokens, vectors, warc
+from loomline.llm import leaks, lines, mixing, pages, sharding, shared, simhash, tokens, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), entropy_share=0.98, most_passes=2.0)
     return mixed.select("doc_id", "source", "pass", mixing.words().alias("n_tokens"), "mix_block", "mix_order", "weight")
@@ -62,6 +66,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_vectors": op7_vectors,
     "op8_line_dedup": op8_line_dedup,
+    "op9_leaks": op9_leaks,
     "op10_mixing": op10_mixing,
 }
 ORACLES: dict[str, str] = {}
