@@ -27,25 +27,36 @@ def moved(array: Column, by: int, empty: Column) -> Column:
     return F.concat(fill, F.slice(array, 1, rest)) if by > 0 else F.concat(F.slice(array, 1 - by, rest), fill)
 
 
-def chunks(lines: Column, window: int = WINDOW, divisor: int = DIVISOR, long_line: int = LONG_LINE) -> Column:
-    """The chunks of an array of lines: structs of first (from 1), n and body.
+def count(text: Column, sign: str) -> Column:
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(sign), F.lit("")))
 
-    lines is a plain column; nothing that is computed from it enters a lambda, where it would be computed anew for each
-    element.
+
+def with_chunks(rows: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, long_line: int = LONG_LINE) -> DataFrame:
+    """rows with chunks for their array of lines: structs of first (from 1), n, full (lines that aren't blank) and body.
+
+    Each step is a column of its own that the next refers to more than once, so that nothing is computed anew for each
+    element or use.
     """
-    hashes = F.transform(lines, lambda x: F.pmod(F.xxhash64(x), F.lit(2147483647)))
+    mark = lambda x: F.struct(F.pmod(F.xxhash64(x), F.lit(2147483647)).alias("h"), (count(x, " ") >= long_line - 1).alias("long"))
+    marked = rows.withColumn("marks", F.transform("lines", mark))
+    hashes = F.transform("marks", lambda m: m["h"])
     rolled = hashes
     for k in range(1, window):
         scaled = F.transform(moved(hashes, k, F.lit(0).cast("long")), lambda h: h * F.lit(31**k))  # noqa: B023
         rolled = F.zip_with(rolled, scaled, lambda total, h: total + h)
-    ends_here = F.transform(rolled, lambda x: F.pmod(F.xxhash64(x), F.lit(divisor)) == 0)
-    long = F.transform(lines, lambda x: F.regexp_count(x, F.lit(r"\S+")) >= long_line)
-    ends_here = F.zip_with(ends_here, F.zip_with(long, moved(long, -1, F.lit(True)), lambda own, after: own | after), lambda x, y: x | y)
+    long = F.transform("marks", lambda m: m["long"])
+    by_length = F.zip_with(long, moved(long, -1, F.lit(True)), lambda own, after: own | after)
+    ends_here = F.zip_with(rolled, by_length, lambda x, y: (F.pmod(F.xxhash64(x), F.lit(divisor)) == 0) | y)
     places = F.transform(ends_here, lambda x, i: F.when(x, i + 1))  # the last line always ends one
-    ends = F.filter(places, lambda i: i.isNotNull())
-    starts = F.concat(F.array(F.lit(1)), F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda e: e + 1))
-    body = lambda first, n: F.array_join(F.slice(lines, first, n), "\n")
-    return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("first"), (e - s + 1).alias("n"), body(s, e - s + 1).alias("body")))
+    ended = marked.withColumn("ends", F.filter(places, lambda i: i.isNotNull()))
+    starts = F.concat(F.array(F.lit(1)), F.transform(F.slice("ends", 1, F.size("ends") - 1), lambda e: e + 1))
+
+    def chunk(s: Column, e: Column) -> Column:
+        own = F.slice("lines", s, e - s + 1)
+        full = F.size(F.filter(own, lambda x: F.trim(x) != ""))
+        return F.struct(s.alias("first"), (e - s + 1).alias("n"), full.alias("full"), F.array_join(own, "\n").alias("body"))
+
+    return ended.withColumn("chunks", F.zip_with(starts, "ends", chunk)).drop("marks", "ends")
 
 
 def split(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -54,24 +65,22 @@ def split(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def occurrences(docs: DataFrame, min_lines: int, min_words: int, long_line: int = LONG_LINE, **cut: int) -> DataFrame:
-    """(doc_id, text_hash, first, n, hash, body) of each chunk long enough to be removed."""
-    cuts = split(docs).where("lines IS NOT NULL").select("doc_id", "text_hash", F.explode(chunks(F.col("lines"), long_line=long_line, **cut)).alias("c"))
-    each = cuts.select("doc_id", "text_hash", "c.first", "c.n", "c.body")
-    words = F.regexp_count("body", F.lit(r"\S+"))
-    full = F.regexp_count("body", F.lit(r"(?m)^.*\S.*$"))
-    each = each.where((words >= long_line) | ((full >= min_lines) & (words >= min_words)))
+    """(doc_id, text_hash, first, n, hash, body) of each chunk long enough to be removed; words are told by spaces."""
+    cuts = with_chunks(split(docs).where("lines IS NOT NULL"), long_line=long_line, **cut).select("doc_id", "text_hash", F.explode("chunks").alias("c"))
+    each = cuts.select("doc_id", "text_hash", "c.first", "c.n", "c.full", "c.body")
+    words = count(F.col("body"), " ") + F.col("n")
+    each = each.where((words >= long_line) | ((F.col("full") >= min_lines) & (words >= min_words)))
     return each.select("doc_id", "text_hash", "first", "n", F.xxhash64("body").alias("hash"), "body")
 
 
 def repeats(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, **cut: int) -> DataFrame:
     """(doc_id, text_hash, first, n) of the chunks that repeat an earlier one: all but the occurrence with the least
     (doc_id, text_hash, first), whose bytes they equal."""
-    found = occurrences(docs, min_lines, min_words, **cut)
+    found = written(occurrences(docs, min_lines, min_words, **cut), "chunks")
     place = F.struct("doc_id", "text_hash", "first")
     # Counted by hash first, before any text moves; only chunks whose hash repeats are shuffled with their bytes.
     hot = written(found.select("hash", place.alias("place")).groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min("place").alias("origin")).where("times > 1").select("hash", "origin"), "repeated-chunks")
     rows = found.join(hot, "hash").select("doc_id", "text_hash", "first", "n", "hash", "body", "origin", place.eqNullSafe(F.col("origin")).alias("is_origin"))
-    rows = written(rows, "chunk-rows")
     origins = rows.where("is_origin").groupBy("hash").agg(F.min("body").alias("origin_body"))
     return rows.where(~F.col("is_origin")).join(origins, "hash").where(F.col("body") == F.col("origin_body")).select("doc_id", "text_hash", "first", "n").distinct()
 
@@ -86,17 +95,18 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORD
     """
     removed = repeats(docs, min_lines, min_words, **cut).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("gone"))
     removed = removed.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "id_hash")
-    rows = split(docs)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     both = rows.join(removed, rows["doc_id"].eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("id_hash")), "left")
+    both = both.withColumn("lines", F.split(F.when(F.col("gone").isNotNull(), F.col("text")), "\n"))
     # What stays lies between the removed chunks: from behind each to the next, the first from line 1.
     froms = F.concat(F.array(F.lit(1)), F.transform("gone", lambda g: g["first"] + g["n"]))
     untils = F.concat(F.transform("gone", lambda g: g["first"] - 1), F.array(F.size("lines")))
     kept = F.flatten(F.zip_with(froms, untils, lambda a, b: F.slice("lines", a, b - a + 1)))
-    none = F.lit(0).cast("long")
+    none, same = F.lit(0).cast("long"), F.col("gone").isNull()
     return both.select(
         "doc_id",
-        F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(kept), "\n").alias("text"),
-        F.when(F.col("lines").isNull(), none).otherwise(F.size("lines").cast("long")).alias("n_lines"),
-        F.when(F.col("gone").isNull(), none).otherwise(F.aggregate("gone", none, lambda s, g: s + g["n"])).alias("n_removed_lines"),
-        F.when(F.col("gone").isNull(), none).otherwise(F.size("gone").cast("long")).alias("n_removed_chunks"),
+        F.when(same, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.when(F.col("text").isNull(), none).otherwise((count(F.col("text"), "\n") + 1).cast("long")).alias("n_lines"),
+        F.when(same, none).otherwise(F.aggregate("gone", none, lambda s, g: s + g["n"])).alias("n_removed_lines"),
+        F.when(same, none).otherwise(F.size("gone").cast("long")).alias("n_removed_chunks"),
     )

@@ -6,7 +6,7 @@ from loomline.llm import lines
 
 
 def words(t):
-    return len(t.split())
+    return t.count(" ") + t.count("\n") + 1
 
 
 def slow(rows, cuts, min_lines=2, min_words=10, long_line=50):
@@ -32,8 +32,8 @@ def test_query_equals_brute_force(spark, sf_dir):
     from loomline.llm.queries import op8_line_dedup
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    cut = lines.split(docs).join(docs.select("doc_id", "text"), "doc_id").where("text IS NOT NULL").withColumn("c", lines.chunks(lines.F.col("lines"))).collect()
-    cuts = {(r.doc_id, r.text): [(c["first"], c["n"]) for c in r.c] for r in cut}
+    cut = lines.with_chunks(lines.split(docs).join(docs.select("doc_id", "text"), "doc_id").where("text IS NOT NULL")).collect()
+    cuts = {(r.doc_id, r.text): [(c["first"], c["n"]) for c in r.chunks] for r in cut}
     for (_, text), found in cuts.items():
         assert [f for f, _ in found] == [1 + sum(n for _, n in found[:k]) for k in range(len(found))]
         assert sum(n for _, n in found) == len((text or "").split("\n"))
