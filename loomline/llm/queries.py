@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import leaks, lines, mixing, pages, sharding, shared, simhash, tokens, vectors, warc
+from loomline.llm import leaks, lines, mixing, pages, quality, sharding, shared, simhash, tokens, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=2)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -62,6 +66,7 @@ QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_token_ids": op2_token_ids,
     "op3_warc": op3_warc,
+    "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
     "op6_sharding": op6_sharding,
     "op7_vectors": op7_vectors,
