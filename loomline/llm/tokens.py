@@ -8,6 +8,9 @@ document is read by its block's offset index, without decompressing its neighbou
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,7 +29,7 @@ LEVEL = 3
 BLOCK_DOCS, BLOCK_BYTES = 256, 4 << 20
 #: The dictionary's size and the documents it is trained on: those with the least hash of their id.
 DICTIONARY_BYTES, SAMPLE_DOCS = 64 << 10, 1024
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 BLOCKS = (
     "shard int, block int, n_docs int, n_tokens long, dictionary long, width int, "
     "doc_ids array<long>, counts array<long>, offsets array<long>, frames binary"
@@ -48,12 +51,13 @@ def encode(texts: list[str], vocabulary: str) -> list[bytes]:
     a row; each distinct word goes to the library once while it stays cached.
     """
     tokenizer, _, known = _encoder(vocabulary)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
+    # The vocabulary lower-cases; doing so first where it can't differ leaves fewer words.
+    split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
     if len(known) > CACHED_WORDS:
         known.clear()
     fresh = [w for w in set().union(*split) if w not in known] if split else []
-    for at in range(0, len(fresh), 4096):
-        part = fresh[at : at + 4096]
+    for at in range(0, len(fresh), 64):
+        part = fresh[at : at + 64]
         known.update(zip(part, _apart(part, tokenizer), strict=True))
     return [b"".join(map(known.__getitem__, words)) for words in split]
 
@@ -61,11 +65,11 @@ def encode(texts: list[str], vocabulary: str) -> list[bytes]:
 def _apart(words: list[str], tokenizer) -> list[bytes]:
     """The ids of each word, from one call over all of them joined by spaces: a token belongs to the word it starts in."""
     found = tokenizer.encode(" ".join(words), add_special_tokens=False)
-    starts = np.cumsum([0, *[len(w) + 1 for w in words]])
-    at = np.array([a for a, _ in found.offsets], dtype=np.int64)
-    raw = np.array(found.ids, dtype="<u4").tobytes()
-    cuts = (np.searchsorted(at, starts) * 4).tolist()
-    return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    at = [a for a, _ in found.offsets]
+    raw = struct.pack(f"<{len(at)}I", *found.ids)
+    ends = itertools.accumulate(len(w) + 1 for w in words)
+    cuts = [0, *[4 * bisect.bisect_left(at, e) for e in ends]]
+    return [raw[a:b] for a, b in itertools.pairwise(cuts)]
 
 
 def _in_batches(texts: list[str], most_chars: int = 4 << 20) -> Iterator[tuple[int, int]]:
