@@ -119,6 +119,6 @@ def centrality_band(betweenness: Column, degree: Column) -> Column:
 def week_label(ts: Column) -> Column:
     """Year and week: weeks from January 4th, with its day of the week (Sunday 0) as offset, rounded up."""
     fourth = F.make_date(F.year(ts), F.lit(1), F.lit(4))
-    days = F.expr("timestampdiff(MICROSECOND, cast(make_date(year(ts), 1, 4) as timestamp_ntz), ts)") / F.lit(86400000000.0)
+    days = F.timestamp_diff("MICROSECOND", fourth.cast("timestamp_ntz"), ts) / F.lit(86400000000.0)
     week = F.ceil((days + F.dayofweek(fourth)) / 7).cast("int")
     return F.concat(F.year(ts).cast("string"), F.lit("-W"), F.lpad(week.cast("string"), 2, "0"))

@@ -1,4 +1,6 @@
 """Every query of the library by name, with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from loomline.plans import overview
+
+QUERIES: dict = {**overview.QUERIES}
+ORACLES: dict = {**overview.ORACLES}
