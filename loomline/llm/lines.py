@@ -32,31 +32,40 @@ def count(text: Column, sign: str) -> Column:
 
 
 def with_chunks(rows: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, long_line: int = LONG_LINE) -> DataFrame:
-    """rows with chunks for their array of lines: structs of first (from 1), n, full (lines that aren't blank) and body.
+    """rows with chunks for their array of lines: structs of first (from 1), n, full (lines that aren't blank),
+    words and hash.
 
     Each step is a column of its own that the next refers to more than once, so that nothing is computed anew for each
     element or use.
     """
-    mark = lambda x: F.struct(F.pmod(F.xxhash64(x), F.lit(2147483647)).alias("h"), (count(x, " ") >= long_line - 1).alias("long"))
-    marked = rows.withColumn("marks", F.transform("lines", mark))
-    hashes = F.transform("marks", lambda m: m["h"])
+    marked = rows.withColumns(
+        {
+            "hashes": F.transform("lines", lambda x: F.pmod(F.xxhash64(x), F.lit(2147483647))),
+            "spaces": F.transform("lines", lambda x: count(x, " ")),
+            "blank": F.transform("lines", lambda x: F.trim(x) == ""),
+        }
+    )
+    hashes = F.col("hashes")
     rolled = hashes
     for k in range(1, window):
         scaled = F.transform(moved(hashes, k, F.lit(0).cast("long")), lambda h: h * F.lit(31**k))  # noqa: B023
         rolled = F.zip_with(rolled, scaled, lambda total, h: total + h)
-    long = F.transform("marks", lambda m: m["long"])
+    long = F.transform("spaces", lambda n: n >= long_line - 1)
     by_length = F.zip_with(long, moved(long, -1, F.lit(True)), lambda own, after: own | after)
     ends_here = F.zip_with(rolled, by_length, lambda x, y: (F.pmod(F.xxhash64(x), F.lit(divisor)) == 0) | y)
     places = F.transform(ends_here, lambda x, i: F.when(x, i + 1))  # the last line always ends one
     ended = marked.withColumn("ends", F.filter(places, lambda i: i.isNotNull()))
     starts = F.concat(F.array(F.lit(1)), F.transform(F.slice("ends", 1, F.size("ends") - 1), lambda e: e + 1))
 
+    ended = ended.withColumn("starts", starts)
+
     def chunk(s: Column, e: Column) -> Column:
         own = F.slice("lines", s, e - s + 1)
-        full = F.size(F.filter(own, lambda x: F.trim(x) != ""))
-        return F.struct(s.alias("first"), (e - s + 1).alias("n"), full.alias("full"), F.array_join(own, "\n").alias("body"))
+        full = F.size(F.filter(F.slice("blank", s, e - s + 1), lambda x: ~x))
+        words = F.aggregate(F.slice("spaces", s, e - s + 1), F.lit(0), lambda total, x: total + x + 1)
+        return F.struct(s.alias("first"), (e - s + 1).alias("n"), full.alias("full"), words.alias("words"), F.xxhash64(F.array_join(own, "\n")).alias("hash"))
 
-    return ended.withColumn("chunks", F.zip_with(starts, "ends", chunk)).drop("marks", "ends")
+    return ended.withColumn("chunks", F.zip_with("starts", "ends", chunk)).drop("hashes", "spaces", "blank", "ends", "starts")
 
 
 def split(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -65,24 +74,37 @@ def split(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def occurrences(docs: DataFrame, min_lines: int, min_words: int, long_line: int = LONG_LINE, **cut: int) -> DataFrame:
-    """(doc_id, text_hash, first, n, hash, body) of each chunk long enough to be removed; words are told by spaces."""
-    cuts = with_chunks(split(docs).where("lines IS NOT NULL"), long_line=long_line, **cut).select("doc_id", "text_hash", F.explode("chunks").alias("c"))
-    each = cuts.select("doc_id", "text_hash", "c.first", "c.n", "c.full", "c.body")
-    words = count(F.col("body"), " ") + F.col("n")
-    each = each.where((words >= long_line) | ((F.col("full") >= min_lines) & (words >= min_words)))
-    return each.select("doc_id", "text_hash", "first", "n", F.xxhash64("body").alias("hash"), "body")
-
-
-def repeats(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, **cut: int) -> DataFrame:
-    """(doc_id, text_hash, first, n) of the chunks that repeat an earlier one: all but the occurrence with the least
-    (doc_id, text_hash, first), whose bytes they equal."""
-    found = written(occurrences(docs, min_lines, min_words, **cut), "chunks")
+    """(doc_id, text_hash, first, n, hash) of each chunk long enough to be removed; words are told by spaces."""
+    cuts = with_chunks(split(docs.where("text IS NOT NULL")), long_line=long_line, **cut)
+    # An outer explode: no filter on the chunks is then derived and computed below, a second and third time.
+    each = cuts.select("doc_id", "text_hash", F.explode_outer("chunks").alias("c")).select("doc_id", "text_hash", "c.*")
+    each = each.where((F.col("words") >= long_line) | ((F.col("full") >= min_lines) & (F.col("words") >= min_words)))
+    return each.select("doc_id", "text_hash", "first", "n", "hash")
+
+
+def on_document(rows: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+    """rows joined with arrays of marks by document: id, which may be null, and text hash."""
+    m = marks.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "id_hash")
+    return rows.join(m, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("id_hash")), how).drop("id", "id_hash")
+
+
+def repeats(rows: DataFrame, docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, **cut: int) -> DataFrame:
+    """(doc_id, text_hash, gone): the chunks (first, n) of each document that repeat an earlier one: all but the occurrence
+    with the least (doc_id, text_hash, first), whose bytes they equal. rows are the documents' lines."""
+    found = written(occurrences(docs, min_lines, min_words, **cut).distinct(), "chunks")
     place = F.struct("doc_id", "text_hash", "first")
-    # Counted by hash first, before any text moves; only chunks whose hash repeats are shuffled with their bytes.
-    hot = written(found.select("hash", place.alias("place")).groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min("place").alias("origin")).where("times > 1").select("hash", "origin"), "repeated-chunks")
-    rows = found.join(hot, "hash").select("doc_id", "text_hash", "first", "n", "hash", "body", "origin", place.eqNullSafe(F.col("origin")).alias("is_origin"))
-    origins = rows.where("is_origin").groupBy("hash").agg(F.min("body").alias("origin_body"))
-    return rows.where(~F.col("is_origin")).join(origins, "hash").where(F.col("body") == F.col("origin_body")).select("doc_id", "text_hash", "first", "n").distinct()
+    hot = found.select("hash", place.alias("place")).groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min("place").alias("origin")).where("times > 1")
+    marked = found.join(written(hot.select("hash", "origin"), "repeated-chunks"), "hash").withColumn("is_origin", place.eqNullSafe(F.col("origin")))
+    marked = written(marked.select("doc_id", "text_hash", "first", "n", "hash", "is_origin"), "marked-chunks")
+    # Only now do bytes move, and only those of chunks whose hash repeats.
+    listed = marked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "n", "hash", "is_origin")).alias("marks"))
+    body = lambda m: F.struct(m["first"].alias("first"), m["hash"].alias("hash"), m["is_origin"].alias("is_origin"), F.array_join(F.slice("lines", m["first"], m["n"]), "\n").alias("body"))
+    bodies = on_document(rows, listed, "inner").select("doc_id", "text_hash", F.explode_outer(F.transform("marks", body)).alias("m")).select("doc_id", "text_hash", "m.*")
+    origins = bodies.where("is_origin").groupBy("hash").agg(F.min("body").alias("origin_body"))
+    unlike = bodies.where(~F.col("is_origin")).join(origins, "hash").where(F.col("body") != F.col("origin_body")).select("doc_id", "text_hash", "first")
+    copies = marked.where(~F.col("is_origin")).select("doc_id", "text_hash", "first", "n")
+    same = copies.join(unlike.toDF("id", "id_hash", "at"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("id_hash")) & (F.col("first") == F.col("at")), "left_anti")
+    return same.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("gone"))
 
 
 def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, **cut: int) -> DataFrame:
@@ -93,11 +115,8 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORD
     document and don't repeat each other, but a chunk that a document repeats within itself goes like any other. A document
     all of whose lines go has the empty text. An empty table gives an empty result; other columns are ignored.
     """
-    removed = repeats(docs, min_lines, min_words, **cut).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("gone"))
-    removed = removed.withColumnRenamed("doc_id", "id").withColumnRenamed("text_hash", "id_hash")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    both = rows.join(removed, rows["doc_id"].eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("id_hash")), "left")
-    both = both.withColumn("lines", F.split(F.when(F.col("gone").isNotNull(), F.col("text")), "\n"))
+    rows = split(docs)
+    both = on_document(rows, repeats(rows, docs, min_lines, min_words, **cut), "left")
     # What stays lies between the removed chunks: from behind each to the next, the first from line 1.
     froms = F.concat(F.array(F.lit(1)), F.transform("gone", lambda g: g["first"] + g["n"]))
     untils = F.concat(F.transform("gone", lambda g: g["first"] - 1), F.array(F.size("lines")))
@@ -105,8 +124,8 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORD
     none, same = F.lit(0).cast("long"), F.col("gone").isNull()
     return both.select(
         "doc_id",
-        F.when(same, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.when(F.col("text").isNull(), none).otherwise((count(F.col("text"), "\n") + 1).cast("long")).alias("n_lines"),
+        F.array_join(F.when(same, F.col("lines")).otherwise(kept), "\n").alias("text"),
+        F.when(F.col("lines").isNull(), none).otherwise(F.size("lines").cast("long")).alias("n_lines"),
         F.when(same, none).otherwise(F.aggregate("gone", none, lambda s, g: s + g["n"])).alias("n_removed_lines"),
         F.when(same, none).otherwise(F.size("gone").cast("long")).alias("n_removed_chunks"),
     )
