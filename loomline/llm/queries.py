@@ -74,4 +74,10 @@ QUERIES = {
     "op9_leaks": op9_leaks,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # Base32 of the SHA-1's hexadecimal digits: five of them are four letters.
+    "op3_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, h, sha1(h) AS x FROM p),
+    e AS (SELECT page_id, h, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((list_sum(list_transform(range(5), lambda k: (strpos('0123456789abcdef', substr(x, CAST(5 * (i // 4) + k + 1 AS BIGINT), 1)) - 1) * CAST(16 ** (4 - k) AS BIGINT)))::BIGINT >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT), 1)), '') AS payload_digest FROM d),
+    f AS (SELECT h, max(page_id) AS first FROM e GROUP BY h)
+    SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM e JOIN f USING (h)""",
+}
