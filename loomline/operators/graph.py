@@ -67,8 +67,8 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
     """(node, community) by moves that raise modularity: each round one half of the nodes, by hash, joins the neighbouring
-    community of greatest gain, the least of equals; a round that doesn't raise modularity is undone and the other half
-    tried. Communities are named by their least node, so equal inputs give equal labels; Q never falls."""
+    community of greatest gain, the least of equals; a round that doesn't raise modularity is undone and another half
+    tried, six in a row at most. Communities are named by their least node, so equal inputs give equal labels; Q never falls."""
     if edges.isEmpty():
         return nodes.select("node", F.col("node").alias("community"))
     both = settled(mirrored(edges, "strength"))
@@ -85,7 +85,7 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFra
         gain = F.round(F.col("weight") - rest * F.col("k") / m2, 12)
         nth = Window.partitionBy("node").orderBy(F.desc("gain"), "to")
         move = to.withColumn("gain", gain).where(F.col("gain") > 0).withColumn("nth", F.row_number().over(nth)).where("nth = 1").select("node", "to")
-        half = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
+        half = F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0
         moved = labels.join(move, "node", "left").select("node", F.when(half & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("community")).alias("community"))
         least = moved.groupBy("community").agg(F.min("node").alias("name"))
         moved = settled(moved.join(least, "community").select("node", F.col("name").alias("community")))
@@ -94,7 +94,7 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFra
             labels, best, idle = moved, q, 0
         else:
             idle += 1
-            if idle == 2:
+            if idle == 6:
                 break
     return labels
 

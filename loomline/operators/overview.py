@@ -100,7 +100,7 @@ def upper_median(rows: DataFrame, value: str, by: list[str] | None = None) -> Da
     counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     counted = counts.withColumn("upto", F.sum("n").over(own.orderBy(value))).withColumn("total", F.sum("n").over(own))
-    return counted.where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy(*by).agg(F.min(value).alias("median"))
+    return counted.where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy(*by).agg(F.min(value).alias("median")).where("median IS NOT NULL")
 
 
 def long_sessions(sessions: DataFrame) -> DataFrame:

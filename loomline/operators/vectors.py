@@ -143,6 +143,7 @@ def merge_narrow(labels: DataFrame, pairs: DataFrame, categories: DataFrame, siz
     rooted = near.join(names.select(F.col("node").alias("p"), "root"), "p").select("root", "a", "b", "dist")
 
     def greedy(members: pd.DataFrame, dists: pd.DataFrame) -> pd.DataFrame:
+        dists = dists.set_axis(["root", "a", "b", "dist"], axis=1)
         far = {(min(a, b), max(a, b)): d for a, b, d in zip(dists["a"], dists["b"], dists["dist"], strict=True)}
         groups = [(set(g["id"]), {c for cats in g["cats"] if cats is not None for c in cats}) for _, g in sorted(members.groupby("cluster"))]
         i = 0
@@ -161,7 +162,7 @@ def merge_narrow(labels: DataFrame, pairs: DataFrame, categories: DataFrame, siz
         return pd.DataFrame([(x, min(m)) for m, _ in groups for x in m], columns=["id", "merged"])
 
     kind = dict(labels.dtypes)["id"]
-    merged = member.select("root", "id", "cluster", "cats").groupBy("root").cogroup(rooted.groupBy("root")).applyInPandas(greedy, f"id {kind}, merged {kind}")
+    merged = member.select("root", "id", "cluster", "cats").groupBy("root").cogroup(rooted.toDF("of", "x", "y", "d").groupBy("of")).applyInPandas(greedy, f"id {kind}, merged {kind}")
     return labels.join(merged, "id", "left").select("id", F.coalesce("merged", "cluster").alias("cluster"))
 
 
