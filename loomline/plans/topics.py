@@ -11,7 +11,7 @@ from loomline.plans.overview import BREAKDOWN, COVERED, EDITED, GRAMS, ORDER, do
 from loomline.plans.views import SQL
 
 AS_OF = "2024-12-31 00:00:00"
-NEAR = 0.9
+NEAR = 0.4
 MEMBERS = "members AS (SELECT project AS topic_id, session_id FROM sess)"
 CENTRES = "tok AS (" + tokens_sql("doc_id", "text", "documents") + """), counts AS (SELECT doc_id, term, count(*) AS n FROM tok GROUP BY ALL), nd AS (SELECT count(DISTINCT doc_id) AS docs FROM counts), vocab AS (SELECT term, count(*) AS df FROM counts GROUP BY term), kept AS (SELECT term, df, ln(docs / CAST(df AS DOUBLE)) AS idf FROM vocab, nd WHERE df >= 2 AND df <= greatest(2, floor(docs * 0.8))),
 w AS (SELECT doc_id, term, ln(1 + n) * idf AS w FROM counts JOIN kept USING (term)), u AS (SELECT doc_id, term, CASE WHEN l > 0 THEN w / l ELSE 0 END AS weight FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS l FROM w)),
@@ -240,7 +240,7 @@ def betweenness(spark, sf):
 
 
 def distances(spark, sf):
-    return vectors.pairs(unit_embeddings(spark, sf)).where("cosine > 0.5").select("a", "b", (1 - F.col("cosine")).alias("dist"))
+    return vectors.pairs(unit_embeddings(spark, sf)).where("cosine > 0.4").select("a", "b", (1 - F.col("cosine")).alias("dist"))
 
 
 @query()
@@ -295,3 +295,71 @@ def skill_documents(spark, sf):
     described = report.descriptions(meta, topics.suggested_prompt(actions, words, signature), signature, topics.dominant_role(members, sessions, breakdown))
     examples = topics.first_by(said.withColumn("prompt", T.cut(F.col("user_prompt"), 150, "...")), ["topic_id"], F.col("session_id"), F.col("turn_index"), most=3)
     return report.skill_documents(meta, words, described, signature, examples.select("topic_id", "place", "prompt"), branch_links(spark, sf))
+
+
+@query(SQL + "SELECT session_id, project, created_at, n_calls FROM sess")
+def session_index(spark, sf):
+    return overview.session_index(parts(spark, sf)[1]).select("session_id", "project", "created_at", "n_calls")
+
+
+@query(SQL + "SELECT session_id, string_agg(tool_name, ' ' ORDER BY ts, event_id) AS tools FROM calls GROUP BY 1")
+def session_details(spark, sf):
+    calls, sessions, _ = parts(spark, sf)
+    nested = overview.session_details(sessions, calls)
+    return nested.select("session_id", F.array_join(F.transform("calls", lambda c: c["tool_name"]), " ").alias("tools"))
+
+
+@query(f"WITH {VECTORS}, {SIMILAR} SELECT vec_id AS node FROM embeddings WHERE vec_id NOT IN (SELECT a FROM sim UNION SELECT b FROM sim)")
+def knowledge_silos(spark, sf):
+    return graph.degree(*embedding_graph(spark, sf)).where("degree = 0").select("node")
+
+
+@query(SQL + f", {META} SELECT topic_id, n_projects FROM meta WHERE n_projects > 1")
+def cross_project_topics(spark, sf):
+    return branch_meta(spark, sf).where("n_projects > 1").select("topic_id", "n_projects")
+
+
+@query(EDGES + ", m AS (SELECT src AS node, dst AS other, strength FROM edges UNION ALL SELECT dst, src, strength FROM edges) SELECT node, other, strength, 'topic ' || other AS label FROM m")
+def edge_neighbourhood(spark, sf):
+    edges = project_edges(spark, sf).withColumn("type", F.lit("edge"))
+    labels = parts(spark, sf)[2].select("topic_id").distinct().withColumn("label", F.concat(F.lit("topic "), "topic_id"))
+    return graph.neighbourhood(edges, labels).select("node", "other", "strength", "label")
+
+
+@query(f"WITH {CENTRES}, k AS (SELECT topic_id, term, row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 9) DESC, term) AS place FROM centres WHERE weight > 0) SELECT topic_id, string_agg(term, ', ' ORDER BY place) || ' (' || topic_id || ')' AS label FROM k WHERE place <= 3 GROUP BY topic_id")
+def topic_label(spark, sf):
+    meta = source_members(spark, sf).select("topic_id").distinct().select("topic_id", F.col("topic_id").alias("project"), F.lit(1).alias("n_projects"))
+    return topics.topic_label(source_keywords(spark, sf), meta)
+
+
+@query()
+def topic_prompts(spark, sf):
+    prompts = views.prompts(spark, sf)
+    weights = features.tfidf(features.term_counts(prompts.withColumnRenamed("user_prompt", "text"), "session_id"), "session_id")
+    members = prompts.select((F.col("session_id") % 10).alias("topic_id"), "session_id").distinct()
+    return topics.topic_prompts(members, weights, prompts)
+
+
+@query()
+def prompt_set(spark, sf):
+    """What a batch job over a language model gets: the drafted documents with their neighbours in the branch graph."""
+    documents = skill_documents(spark, sf)
+    near = session_overlap(spark, sf).select("src", "dst", F.col("overlap").alias("strength"))
+    return report.prompt_set(documents, graph.context(near), documents.select("topic_id", F.col("skill_name").alias("label")))
+
+
+@query()
+def elbow(spark, sf):
+    """The cluster tree's merges and whether the elbow keeps them."""
+    ids = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
+    merges = vectors.settled(vectors.dendrogram(vectors.settled(distances(spark, sf)), ids))
+    return merges.withColumn("kept", F.col("height") <= vectors.elbow(merges))
+
+
+@query()
+def merged_clusters(spark, sf):
+    """Clusters after the split of large ones and the merge of narrow ones that share a label."""
+    rows = views.table(spark, sf, "embeddings")
+    near = vectors.settled(distances(spark, sf))
+    split = vectors.split_oversized(clusters(spark, sf), near, rows.select(F.col("vec_id").alias("id")))
+    return vectors.merge_narrow(vectors.settled(split), near, rows.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("category")))
