@@ -231,12 +231,15 @@ def graph_context(spark, sf):
 
 @query()
 def communities(spark, sf):
-    return graph.communities(*embedding_graph(spark, sf))
+    nodes, edges = embedding_graph(spark, sf)
+    return graph.communities(nodes, vectors.settled(edges))
 
 
 @query()
 def betweenness(spark, sf):
-    return graph.betweenness(*embedding_graph(spark, sf))
+    _, edges = embedding_graph(spark, sf)
+    edges = vectors.settled(edges)
+    return graph.betweenness(graph.mirrored(edges).select("node").distinct(), edges)
 
 
 def distances(spark, sf):
