@@ -29,7 +29,7 @@ LEVEL = 3
 BLOCK_DOCS, BLOCK_BYTES = 256, 4 << 20
 #: The dictionary's size and the documents it is trained on: those with the least hash of their id.
 DICTIONARY_BYTES, SAMPLE_DOCS = 64 << 10, 1024
-CACHED_WORDS = 600_000
+CACHED_WORDS = 250_000
 BLOCKS = (
     "shard int, block int, n_docs int, n_tokens long, dictionary long, width int, "
     "doc_ids array<long>, counts array<long>, offsets array<long>, frames binary"
