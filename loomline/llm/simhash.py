@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.shared import components, written
@@ -132,12 +132,33 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, doc_id: st
 
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """docs without all but one document of each group: the one with the smallest doc_id.
+    """docs without all but one document of each group: the one with the smallest (doc_id, key), null ids last.
 
-    Of rows that repeat that id, the one with the least text hash stays; documents without an id stay only where their
-    group has no other.
+    A row's key is the hash of its id and text, so rows that share an id, or have none, are documents of their own;
+    only rows equal in both are the same document, of which one stays.
     """
-    marked = near_duplicates(docs, words, radius)
-    stay = marked.where("doc_id <=> component_id").select("doc_id").distinct()
-    once = docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
-    return once.dropDuplicates(["doc_id"])
+    return chosen(docs, grouped(keyed(docs), words, radius))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the row's key in place of the id."""
+    return docs.select(row_key().alias("doc_id"), "text")
+
+
+def row_key() -> Column:
+    """Nulls are told apart from all values, which the hash alone would pass over."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text", F.col("text").isNull())
+
+
+def grouped(rows: DataFrame, words: int, radius: int) -> DataFrame:
+    """(key, group) of rows (doc_id, text) whose id is a key."""
+    return near_duplicates(rows, words, radius).select(F.col("doc_id").alias("key"), F.col("component_id").alias("group"))
+
+
+def chosen(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The first row of docs in each group (key, group)."""
+    ids = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("id")).distinct().join(groups.distinct(), "key")
+    first = ids.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("row"))
+    stay = written(first.select(F.col("row.key").alias("stay_key")), "stay")
+    once = docs.withColumn("stay_key", row_key()).join(stay, "stay_key", "left_semi")
+    return once.dropDuplicates(["stay_key"]).select(*docs.columns)

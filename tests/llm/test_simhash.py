@@ -75,3 +75,11 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 6, 7]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_rows_without_or_with_repeated_ids_are_documents_of_their_own(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(60)) for w in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (1, texts[2]), (1, texts[3]), (1, texts[3]), (None, texts[3]), (2, texts[0])]
+    kept = simhash.keep_one(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, stay int"))
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(None, texts[1]), (1, texts[2]), (1, texts[3]), (2, texts[0])], key=str)
