@@ -39,6 +39,14 @@ def test_votes(text, junk):
         assert 1 not in votes
 
 
+def test_stop_words_count_to_the_end_of_a_long_text():
+    names, prose = [f"Name{i}" for i in range(21_000)], ["the", "cat", "sat", "on", "a", "mat"] * 8_000
+    at = quality.JUNK.index("stop_words")
+    assert quality.votes_on_junk(" ".join(names + prose), names + prose)[at] == -1
+    few = prose[:21_000] + [f"word{i}" for i in range(1_000_000)]
+    assert quality.votes_on_junk(" ".join(few), few)[at] == 1
+
+
 def test_held_out_labels(spark):
     """Of the labelled documents a fifth is kept from training; the others' labels and all texts are used.
 
