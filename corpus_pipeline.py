@@ -17,7 +17,7 @@ def without_rejected(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, words=5, least=0.8)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

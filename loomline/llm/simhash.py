@@ -6,10 +6,15 @@ that segment is asked for each value, and complete distances are verified. Segme
 fingerprints under one value (large groups of near copies) leave that join: two fingerprints lie within 2r bits
 exactly if their balls of radius r meet, so there each fingerprint emits the points of its ball and the
 fingerprints that share a point are tied together, which is linear in their number.
+
+Where similarity of shingle sets is what counts, fingerprints only find the nearest candidates: at 0.8 on five words
+they differ by up to a dozen bits. The others are found by shared shingles (prefix filter), which misses none, and all
+are verified.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -18,6 +23,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomline.llm.shared import components, written
 
@@ -25,25 +31,34 @@ SEED = 42
 BITS = 64
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The SimHash of a text as a signed 64-bit integer; zero for a text without words."""
+def hashed(text: str | None, words: int) -> np.ndarray:
+    """A hash of each of the text's word shingles; a shorter text is one shingle, a text without words none."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, "<u8")
     joined, n = b" ".join(parts), len(parts)
     k = min(words, n)
     lengths = np.fromiter(map(len, parts), dtype=np.int64, count=n)
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: n - k + 1].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)]
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)), "<u8", n - k + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that most hashes have, as a signed 64-bit integer; zero without hashes."""
     ones, total = np.zeros(BITS, np.int64), len(hashes)
     for at in range(0, total, 65536):
-        block = np.array(hashes[at : at + 65536], dtype="<u8").view(np.uint8).reshape(-1, 8)
+        block = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The SimHash of a text as a signed 64-bit integer; zero for a text without words."""
+    return majority(hashed(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp): one row per document."""
 
@@ -131,18 +146,107 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, doc_id: st
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """docs without all but one document of each group: the one with the smallest (doc_id, key), null ids last.
+def common_shingles(rows: DataFrame, words: int, sample: int = 20_000, least_docs: int = 4, most: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles, ascending, that many documents have, and how many of a sample do. What is missing costs time only."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [np.unique(hashed(t, words)).view("<i8") for t in batch["text"]]
+            yield pd.DataFrame({"h": np.concatenate([np.zeros(0, "<i8"), *found])})
+
+    share = min(1.0, sample / max(rows.count(), 1))
+    picked = rows.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
+    counts = picked.mapInPandas(each, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs)
+    found = sorted((r.h, r.n) for r in counts.orderBy(F.desc("n"), "h").limit(most).collect())
+    return np.array([h for h, _ in found], np.int64), np.array([n for _, n in found], np.int64)
 
-    A row's key is the hash of its id and text, so rows that share an id, or have none, are documents of their own;
-    only rows equal in both are the same document, of which one stays.
-    """
-    return chosen(docs, grouped(keyed(docs), words, radius))
 
+def shingle_rows(rows: DataFrame, words: int, least: float) -> DataFrame:
+    """(key, sig, fp, n, prefix) of rows (key, text): sig names the set of n distinct shingles, prefix has so many of its
+    first ones, rare before common, that two sets with a similarity of `least` share one of them."""
+    common = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, words))  # of bounded size
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with the row's key in place of the id."""
-    return docs.select(row_key().alias("doc_id"), "text")
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, times = common.value
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                hashes = hashed(text, words)
+                own = np.unique(hashes).view("<i8")
+                n = len(own)
+                rank = np.zeros(n, np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, times[at], 0)
+                length = n - math.ceil(least * n - 1e-9) + 1 if n else 0
+                sig = xxhash.xxh64_intdigest(own.tobytes(), SEED) if n else 0
+                out.append((sig - (1 << 64) if sig >> 63 else sig, majority(hashes), n, own[np.lexsort((own, rank))[:length]]))
+            sigs, prints, sizes, prefixes = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pd.DataFrame({"key": batch["key"], "sig": list(sigs), "fp": list(prints), "n": list(sizes), "prefix": list(prefixes)})
+
+    return rows.select("key", "text").mapInPandas(each, "key long, sig long, fp long, n int, prefix array<long>")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) of sigs whose whole texts have a Jaccard similarity of at least `least`."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"sig": batch["sig"], "own": [np.unique(hashed(t, words)).view("<i8") for t in batch["text"]]})
+
+    pairs = written(pairs, "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(nodes.select("sig", "key"), "sig")
+    texts = rows.join(ends, "key").select("sig", "text").dropDuplicates(["sig"])
+    sets = written(texts.mapInPandas(each, "sig long, own array<long>"), "shingle-sets")
+    side = lambda c: sets.select(F.col("sig").alias(c), F.col("own").alias(f"of_{c}"))
+    both = F.size(F.array_intersect("of_a", "of_b"))
+    alike = both * (1 + least) >= (F.size("of_a") + F.size("of_b")) * least - 1e-9
+    return written(pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"), "alike")
+
+
+def similar_groups(rows: DataFrame, words: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
+    """(key, group) of rows (key, text): what links of shingle similarity `least` or more connect, all of them.
+
+    Candidates are what SimHash finds within radius bits, then each holder of a prefix shingle with that shingle's first
+    holder, which is linear in the rows. Where holders of a shingle are not yet in one group, all pairs of them across
+    groups follow, so that no pair whose groups differ goes unseen. Every link is verified on whole texts.
+    """
+    prints = written(shingle_rows(rows, words, least), "shingles")
+    nodes = written(prints.groupBy("sig").agg(F.min("key").alias("key"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).where("n > 0"), "nodes")
+    near_size = lambda m, n: F.least(m, n) >= F.greatest(m, n) * least - 1e-9
+    same = Window.partitionBy("h")
+    held = nodes.select("sig", "n", F.posexplode("prefix").alias("at", "h"))
+    held = held.withColumn("first", F.min(F.struct("sig", "n")).over(same)).withColumn("last", F.max("sig").over(same))
+    held = written(held.where("first.sig < last").select("h", "sig", "n", "at", "first"), "shared-shingles")
+
+    by_print = nodes.groupBy("fp").agg(F.min("sig").alias("rep"))
+    found = links(by_print, radius).unionByName(nodes.join(by_print, "fp").where("sig <> rep").select(F.col("rep").alias("a"), F.col("sig").alias("b")))
+    stars = held.where((F.col("sig") != F.col("first.sig")) & near_size(F.col("n"), F.col("first.n"))).select(F.col("first.sig").alias("a"), F.col("sig").alias("b"))
+    tested = written(found.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first-pairs")
+    alike = verified(tested, nodes, rows, words, least)
+
+    grouped = components(alike)
+    named = held.join(grouped, F.col("sig") == F.col("node"), "left").select("h", "sig", "n", "at", F.coalesce("component", "sig").alias("group"))
+    mixed = named.groupBy("h").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("h")
+    named = written(named.join(mixed, "h"), "open-shingles")
+    side = lambda c: named.select("h", F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("at").alias(f"at_{c}"), F.col("group").alias(f"group_{c}"))
+    met = side("a").join(side("b"), "h").where((F.col("a") < F.col("b")) & (F.col("group_a") != F.col("group_b")) & near_size(F.col("n_a"), F.col("n_b")))
+    met = met.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("both"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+    # What two sets share is what their prefixes do up to the last such shingle, and at most all that follows it.
+    most = F.col("both") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
+    rest = met.where(most * (1 + least) >= (F.col("n_a") + F.col("n_b")) * least - 1e-9).select("a", "b").join(tested, ["a", "b"], "left_anti")
+    whole = components(alike.unionByName(verified(rest, nodes, rows, words, least)))
+    return prints.join(whole, F.col("sig") == F.col("node"), "left").select("key", F.coalesce("component", "sig").alias("group"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """docs without all but one document of each group of similar ones: the one with the smallest (doc_id, key), null ids
+    last.
+
+    A row's key is the hash of its id and text, so rows that share an id, or have none, are documents of their own;
+    only rows equal in both are the same document, of which one stays. Texts without words are one group.
+    """
+    return chosen(docs, similar_groups(docs.select(row_key().alias("key"), "text"), words, least))
 
 
 def row_key() -> Column:
@@ -150,11 +254,6 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text", F.col("text").isNull())
 
 
-def grouped(rows: DataFrame, words: int, radius: int) -> DataFrame:
-    """(key, group) of rows (doc_id, text) whose id is a key."""
-    return near_duplicates(rows, words, radius).select(F.col("doc_id").alias("key"), F.col("component_id").alias("group"))
-
-
 def chosen(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """The first row of docs in each group (key, group)."""
     ids = docs.select(row_key().alias("key"), F.col("doc_id").cast("long").alias("id")).distinct().join(groups.distinct(), "key")

@@ -83,3 +83,37 @@ def test_rows_without_or_with_repeated_ids_are_documents_of_their_own(spark):
     kept = simhash.keep_one(spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, stay int"))
     got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
     assert got == sorted([(None, texts[1]), (1, texts[2]), (1, texts[3]), (2, texts[0])], key=str)
+
+
+def jaccard_groups(texts, least=0.8):
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if (not a and not b) or (a and min(len(a), len(b)) >= least * max(len(a), len(b)) and len(a & b) >= least * len(a | b)):
+                root = [root[j] if r == root[i] else r for r in root]
+    return root
+
+
+def test_similar_groups_equal_brute_force(spark, sf_dir):
+    rng = random.Random(5)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    base = [[f"w{rng.randrange(3000)}" for _ in range(rng.choice([30, 120, 400]))] for _ in range(8)]
+    notice = [f"notice{i}" for i in range(40)]
+    for b in base:
+        for _ in range(12):
+            w = list(b)
+            for _ in range(rng.randint(0, max(1, len(w) // 30))):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+            texts.append(" ".join(notice + [f"y{rng.randrange(10**6)}" for _ in range(20)]))
+    want = jaccard_groups(texts)
+    got = {r.key: r.group for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "key long, text string")).collect()}
+    of = lambda labels: {frozenset(i for i in labels if labels[i] == g) for g in set(labels.values())}
+    assert of(got) == of(dict(enumerate(want)))
+    kept = simhash.keep_one(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(min(g) for g in of(got))
