@@ -237,9 +237,8 @@ def communities(spark, sf):
 
 @query()
 def betweenness(spark, sf):
-    _, edges = embedding_graph(spark, sf)
-    edges = vectors.settled(edges)
-    return graph.betweenness(graph.mirrored(edges).select("node").distinct(), edges)
+    nodes, edges = embedding_graph(spark, sf)
+    return graph.betweenness(nodes, vectors.settled(edges))
 
 
 def distances(spark, sf):

@@ -28,6 +28,13 @@ def test_betweenness_of_a_star_and_a_square(spark):
     assert set(square.values()) == {0.1667}
 
 
+def test_the_betweenness_query_has_all_nodes(spark, sf_dir):
+    from loomline.plans.registry import QUERIES
+
+    got = {r.node for r in QUERIES["betweenness"](spark, sf_dir).select("node").collect()}
+    assert got == {r.vec_id for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id").collect()}
+
+
 def test_two_pairs_are_two_communities(spark):
     n, e = nodes(spark, "ABCDE"), frame(spark, ["AB", "CD"])
     found = {r.node: r.community for r in graph.communities(n, e).collect()}
