@@ -45,7 +45,7 @@ def centroid_similarity(vectors: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs(unit_vectors(means, "id", "v"), 1)
 
 
-def dendrogram(pairs: DataFrame, ids: DataFrame, most_rounds: int = 200) -> DataFrame:
+def dendrogram(pairs: DataFrame, ids: DataFrame) -> DataFrame:
     """(height, a, b) of every merge of average linkage over pairs (a, b, dist) of all ids.
 
     All clusters that are each other's nearest merge in one round; average linkage is reducible, so the merges are those of
@@ -55,7 +55,7 @@ def dendrogram(pairs: DataFrame, ids: DataFrame, most_rounds: int = 200) -> Data
     links = settled(pairs.select("a", "b", F.col("dist").alias("sum"), F.lit(1).cast("long").alias("known")))
     sizes = settled(ids.select(F.col("id").alias("c"), F.lit(1).cast("long").alias("size")))
     merges = None
-    for _ in range(most_rounds):
+    while True:
         left = links.join(sizes.withColumnRenamed("c", "a").withColumnRenamed("size", "na"), "a").join(sizes.withColumnRenamed("c", "b").withColumnRenamed("size", "nb"), "b")
         full = F.col("na") * F.col("nb")
         far = left.withColumn("dist", (F.col("sum") + (full - F.col("known"))) / full).select("a", "b", "dist")

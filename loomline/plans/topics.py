@@ -242,7 +242,7 @@ def betweenness(spark, sf):
 
 
 def distances(spark, sf):
-    return vectors.pairs(unit_embeddings(spark, sf)).where("cosine > 0.4").select("a", "b", (1 - F.col("cosine")).alias("dist"))
+    return vectors.pairs(unit_embeddings(spark, sf)).select("a", "b", (1 - F.col("cosine")).alias("dist"))
 
 
 @query()

@@ -73,6 +73,20 @@ def test_dendrogram_equals_the_loop(spark):
     assert {r.id: r.cluster for r in vectors.cut(merges, ids, t).collect()} == dict(enumerate(roots))
 
 
+def test_the_tree_of_the_query_has_far_merges_too(spark, tmp_path):
+    from loomline.plans.registry import QUERIES
+
+    rng = np.random.default_rng(6)
+    n = 12
+    v = rng.normal(size=(n, 64)) + 0.5
+    spark.createDataFrame([(i, [float(x) for x in v[i]], 0) for i in range(n)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = sorted(slow_linkage(1 - v @ v.T, n))
+    got = sorted((r.height, r.a, r.b) for r in QUERIES["elbow"](spark, str(tmp_path)).collect())
+    assert [m[1:] for m in got] == [m[1:] for m in want] and max(h for h, _, _ in want) > 0.6
+    assert np.allclose([m[0] for m in got], [m[0] for m in want])
+
+
 def test_elbow_bounds(spark):
     heights = lambda *h: spark.createDataFrame([(x,) for x in h], "height double")
     assert vectors.elbow(heights(0.3, 0.6)) == 0.7
