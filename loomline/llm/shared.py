@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,9 +36,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_columns_renamed_apart(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Only the named columns: extra columns, whatever their names, can't clash with an operator's own."""
-    return df.select(*keep)
+#: Entries of one generation and the longest key that Recent keeps.
+KEPT, LONGEST = 200_000, 64
+
+
+class Recent(dict):
+    """make(key) by key, kept for keys asked for lately: two generations of at most KEPT entries, of which the older goes
+    when the newer is full. Keys longer than LONGEST aren't kept, so memory is bounded. Indexing is all it's for."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST:
+            if len(self) >= KEPT:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:

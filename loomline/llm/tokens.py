@@ -8,8 +8,7 @@ document is read by its block's offset index, without decompressing its neighbou
 
 from __future__ import annotations
 
-import bisect
-import itertools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -17,83 +16,104 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomline.llm.shared import Recent, written
+
 END_ID = 1
 LEVEL = 3
 #: A block closes at so many documents or bytes of frames.
 BLOCK_DOCS, BLOCK_BYTES = 256, 4 << 20
-#: The dictionary's size and the documents it is trained on: those with the least hash of their id.
-DICTIONARY_BYTES, SAMPLE_DOCS = 64 << 10, 1024
-CACHED_WORDS = 250_000
+#: The dictionary's size, the documents it is trained on (those with the least hash of their id) and the ids' bytes taken of each.
+DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_BYTES = 64 << 10, 1024, 256 << 10
 BLOCKS = (
-    "shard int, block int, n_docs int, n_tokens long, dictionary long, width int, "
+    "shard int, block int, least_id long, greatest_id long, n_docs int, n_tokens long, dictionary long, width int, "
     "doc_ids array<long>, counts array<long>, offsets array<long>, frames binary"
 )
 
 
+# The vocabulary's pieces within Latin-1, lower case: contractions, letters, single digits, other signs.
+LETTERS, NUMBERS, SPACES = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+# Bytes that stand for themselves in the vocabulary; the others follow from 256 on, in order.
+PRINTABLE = (*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100))
+
+
+def _signs() -> dict[int, str]:
+    """The vocabulary's signs for the UTF-8 bytes of each Latin-1 character."""
+    others = iter(range(256, 512))
+    sign = [chr(b if b in PRINTABLE else next(others)) for b in range(256)]
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(256)}
+
+
+def _plain(text: str) -> bool:
+    """Whether lower-casing and cutting the text here can't differ from what the vocabulary does."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return "<|" not in text  # may begin a special token
+
+
 @lru_cache(maxsize=4)
-def _encoder(vocabulary: str) -> tuple:
+def _encoder(vocabulary: str) -> tuple[int, Recent, Recent]:
+    """The vocabulary's size, and the ids lately asked for: of pieces, which the library's model gives, and of words, runs
+    without space or line feed, which go to the library whole."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
-    return tokenizer, tokenizer.get_vocab_size(with_added_tokens=True), {}
+    model, signs = tokenizer.model, _signs()
+
+    def of_piece(piece: str) -> bytes:
+        found = model.tokenize(piece.translate(signs))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    pieces = Recent(of_piece)
 
+    def of_word(word: str) -> bytes:
+        if _plain(word):
+            return b"".join(map(pieces.__getitem__, PIECE.findall(word.lower())))
+        ids = tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-def encode(texts: list[str], vocabulary: str) -> list[bytes]:
-    """The ids of each whole text as little-endian unsigned 32-bit integers, as the tokenizers library gives them.
+    return tokenizer.get_vocab_size(with_added_tokens=True), pieces, Recent(of_word)
 
-    The vocabulary's pre-tokeniser drops white space and joins nothing across it, so a text's ids are its words' ids in
-    a row; each distinct word goes to the library once while it stays cached.
+
+def encode(text: str, vocabulary: str) -> bytes:
+    """The ids of a whole text as little-endian unsigned 32-bit integers, as the tokenizers library gives them.
+
+    The vocabulary's pre-tokeniser drops white space and joins nothing across it, and its model gives the same for a piece
+    wherever it stands. So a text of Latin-1 is cut into pieces here, any other into words.
     """
-    tokenizer, _, known = _encoder(vocabulary)
-    # The vocabulary lower-cases; doing so first where it can't differ leaves fewer words.
-    split = [(t.lower() if t.isascii() and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
-    if len(known) > CACHED_WORDS:
-        known.clear()
-    fresh = [w for w in set().union(*split) if w not in known] if split else []
-    for at in range(0, len(fresh), 64):
-        part = fresh[at : at + 64]
-        known.update(zip(part, _apart(part, tokenizer), strict=True))
-    return [b"".join(map(known.__getitem__, words)) for words in split]
-
-
-def _apart(words: list[str], tokenizer) -> list[bytes]:
-    """The ids of each word, from one call over all of them joined by spaces: a token belongs to the word it starts in."""
-    found = tokenizer.encode(" ".join(words), add_special_tokens=False)
-    at = [a for a, _ in found.offsets]
-    raw = struct.pack(f"<{len(at)}I", *found.ids)
-    ends = itertools.accumulate(len(w) + 1 for w in words)
-    cuts = [0, *[4 * bisect.bisect_left(at, e) for e in ends]]
-    return [raw[a:b] for a, b in itertools.pairwise(cuts)]
-
-
-def _in_batches(texts: list[str], most_chars: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of bounded total length, or single longer texts."""
-    start = total = 0
-    for i, t in enumerate(texts):
-        if i > start and total + len(t) > most_chars:
-            yield start, i
-            start, total = i, 0
-        total += len(t)
-    if start < len(texts):
-        yield start, len(texts)
+    _, pieces, words = _encoder(vocabulary)
+    if _plain(text):
+        return b"".join(map(pieces.__getitem__, PIECE.findall(text.lower())))
+    return b"".join(map(words.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str, sample_docs: int = SAMPLE_DOCS) -> bytes:
     """A zstandard dictionary of the ids of the sample_docs documents whose id has the least hash; empty if too few."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        width = "<u2" if _encoder(vocabulary)[1] <= 1 << 16 else "<u4"
+        width = "<u2" if _encoder(vocabulary)[0] <= 1 << 16 else "<u4"
         for batch in batches:
-            yield pd.DataFrame({"ids": [np.frombuffer(x, "<u4").astype(width).tobytes() for x in encode(list(batch["text"]), vocabulary)]})
-
-    sample = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h")).orderBy("h", F.xxhash64("text")).limit(sample_docs)
-    found = [bytes(r.ids) for r in sample.select("text").mapInPandas(each, "ids binary").collect() if r.ids]
+            yield pd.DataFrame({"ids": [np.frombuffer(encode(x, vocabulary), "<u4").astype(width).tobytes()[:SAMPLE_BYTES] for x in batch["text"]]})
+
+    # Chosen on hashes alone; only the chosen texts move.
+    keyed = docs.select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), F.coalesce("text", F.lit("")).alias("text"))
+    keys, n = keyed.select("h", "t"), docs.count()
+    near = keys.where(F.pmod("h", F.lit(1 << 30)) < F.lit(min(1.0, 4 * sample_docs / max(n, 1)) * (1 << 30)))
+    first = lambda rows: rows.distinct().orderBy(F.pmod("h", F.lit(1 << 30)), "h", "t").limit(sample_docs)
+    chosen = written(first(near), "dictionary-keys")
+    if chosen.count() < sample_docs < n:  # rows that repeat an id left too few
+        chosen = written(first(keys), "dictionary-keys")
+    sample = keyed.join(F.broadcast(chosen), ["h", "t"]).dropDuplicates(["h", "t"])
+    found = sorted(bytes(r.ids) for r in sample.select("text").mapInPandas(each, "ids binary").collect() if r.ids)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, found).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too little to learn from
@@ -101,25 +121,27 @@ def train_dictionary(docs: DataFrame, vocabulary: str, sample_docs: int = SAMPLE
 
 
 def _hash(dictionary: bytes) -> int:
-    return zlib.crc32(dictionary)
+    return int(np.uint64(xxhash.xxh64_intdigest(dictionary)).astype(np.int64))
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, sample_docs: int = SAMPLE_DOCS) -> str:
+def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, sample_docs: int = SAMPLE_DOCS, order: list[str] | None = None) -> str:
     """Writes docs (doc_id, text) as a file set under path and returns path.
 
-    A null or empty text is the end id alone. Documents without an id come first; rows that repeat an id follow each
-    other in the order of their texts' hashes. Other columns are ignored; an empty table gives a set without blocks.
+    A null or empty text is the end id alone. Documents come in the order of the columns named, by doc_id unless told
+    otherwise: those without an id first, and rows that repeat an id in the order of their texts' hashes. Other columns
+    are ignored; an empty table gives a set without blocks.
     """
     spark = docs.sparkSession
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    keys = [F.col(c).alias(f"key_{i}") for i, c in enumerate(order or [])]
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *keys)
     dictionary = train_dictionary(narrow, vocabulary, sample_docs)
     spark.createDataFrame([(_hash(dictionary), bytearray(dictionary), end_id)], "dictionary long, bytes binary, end_id long").coalesce(1).write.parquet(f"{path}/dictionary")
-    order = [F.col("doc_id"), F.xxhash64("text")]
-    ranged = narrow.repartitionByRange(*order).sortWithinPartitions(*order)
+    by = [*(F.col(f"key_{i}") for i in range(len(keys))), F.col("doc_id"), F.xxhash64("text")]
+    ranged = narrow.repartitionByRange(*by).sortWithinPartitions(*by).select("doc_id", "text")
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, block = TaskContext.get().partitionId(), 0
-        width = 2 if _encoder(vocabulary)[1] <= 1 << 16 and end_id < 1 << 16 else 4
+        width = 2 if _encoder(vocabulary)[0] <= 1 << 16 and end_id < 1 << 16 else 4
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         end = np.array([end_id], "<u4").tobytes()
         ids: list = []
@@ -127,27 +149,24 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, sam
         frames: list[bytes] = []
 
         def close() -> pd.DataFrame:
-            sizes = np.cumsum([0, *map(len, frames)])
-            row = (shard, block, len(ids), sum(counts), _hash(dictionary), width, list(ids), list(counts), sizes.tolist(), b"".join(frames))
+            sizes, named = np.cumsum([0, *map(len, frames)]), [i for i in ids if i is not None]
+            row = (shard, block, min(named, default=None), max(named, default=None), len(ids), sum(counts), _hash(dictionary), width, list(ids), list(counts), sizes.tolist(), b"".join(frames))
             for x in (ids, counts, frames):
                 x.clear()
-            return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCKS.split(", ")])
+            return pd.DataFrame([row], columns=[c.split()[0] for c in BLOCKS.split(", ")]).astype({"least_id": "Int64", "greatest_id": "Int64"})
 
         held = 0
         for batch in batches:
-            texts = list(batch["text"])
-            known = [None if pd.isna(i) else int(i) for i in batch["doc_id"]]
-            for a, b in _in_batches(texts):
-                for i, raw in zip(known[a:b], encode(texts[a:b], vocabulary), strict=True):
-                    raw += end
-                    frame = packer.compress(np.frombuffer(raw, "<u4").astype("<u2").tobytes() if width == 2 else raw)
-                    ids.append(i)
-                    counts.append(len(raw) // 4)
-                    frames.append(frame)
-                    held += len(frame)
-                    if len(ids) >= BLOCK_DOCS or held >= BLOCK_BYTES:
-                        yield close()
-                        block, held = block + 1, 0
+            for i, text in zip(batch["doc_id"], batch["text"], strict=True):
+                raw = encode(text, vocabulary) + end
+                frame = packer.compress(np.frombuffer(raw, "<u4").astype("<u2").tobytes() if width == 2 else raw)
+                ids.append(None if pd.isna(i) else int(i))
+                counts.append(len(raw) // 4)
+                frames.append(frame)
+                held += len(frame)
+                if len(ids) >= BLOCK_DOCS or held >= BLOCK_BYTES:
+                    yield close()
+                    block, held = block + 1, 0
         if ids:
             yield close()
 
@@ -201,8 +220,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_document(spark: SparkSession, path: str, doc_id: int) -> list[int]:
-    """One document's ids: only its frame is decompressed, found by the block's offset index."""
-    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where(F.array_contains("doc_ids", F.lit(doc_id)))
+    """One document's ids: only blocks whose range of ids holds it are read, and only its frame is decompressed, found
+    by the block's offset index."""
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").where((F.col("least_id") <= doc_id) & (F.col("greatest_id") >= doc_id) & F.array_contains("doc_ids", F.lit(doc_id)))
     at = F.array_position("doc_ids", F.lit(doc_id)).cast("int")
     start = F.element_at("offsets", at).cast("int")
     found = blocks.select(

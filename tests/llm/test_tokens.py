@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -33,7 +34,31 @@ def test_query_equals_brute_force(spark, sf_dir):
 )
 def test_words_give_what_the_library_gives_for_the_whole(text):
     want = Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(tokens.encode([text], VOCABULARY)[0], "<u4").tolist() == want
+    assert np.frombuffer(tokens.encode(text, VOCABULARY), "<u4").tolist() == want
+
+
+@pytest.mark.parametrize("signs", ["".join(map(chr, range(256))), "ab SéÉ\u0301İßΣσς'’<|>\n\t\x1c\x85\xa0\u2003\u200b\u3000\ufeff日本1²½٣Ⅷªµº_-.!$€😀\u01c4ﬁ\u212a\u0300\x00"])
+def test_random_strings_give_what_the_library_gives(signs):
+    t, rng = Tokenizer.from_file(VOCABULARY), random.Random(5)
+    parts = [*signs, "'s", "'LL", "<|startoftext|>", "<|ENDOFTEXT|>", "x" * 70, "the", " "]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 12)))
+        assert np.frombuffer(tokens.encode(text, VOCABULARY), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_recent_forgets_and_makes_again(monkeypatch):
+    monkeypatch.setattr(shared, "KEPT", 3)
+    made = []
+    recent = shared.Recent(lambda k: made.append(k) or len(k))
+    assert [recent["x" * (i % 9)] for i in range(50)] == [i % 9 for i in range(50)] and len(recent) <= 3 and len(recent.older) <= 3
+    assert recent["y" * 100] == 100 and "y" * 100 not in recent and len(made) > 9
+
+
+def test_other_orders(spark):
+    docs = spark.createDataFrame([(i, f"t {i}", -i % 7) for i in range(50)], "doc_id long, text string, k int")
+    path = tokens.write(docs, shared.new_path(spark, "ids"), VOCABULARY, order=["k"])
+    got = [r.doc_id for r in tokens.read(spark, path).orderBy("start").collect()]
+    assert got == sorted(range(50), key=lambda i: (-i % 7, i))
 
 
 def test_odd_rows_round_trip(spark):
