@@ -1,124 +1,170 @@
 """Quality and toxicity of documents: weak labels and a hashed linear scorer.
 
-Heuristic labellers vote on every document, or keep silent. Their votes form patterns, and how often each
-pattern occurs over all documents is all that expectation-maximisation needs: it estimates each labeller's accuracy and
-gives every pattern a posterior. Posteriors of a bounded sample of documents train a linear model over
-hashed words and word beginnings, which then scores every document. People's labels, where documents have them, vote as
-one more labeller whose accuracy is estimated like the others'.
+Heuristic labellers vote on every document: bad, fine, or nothing where their measure lies between. Their votes form
+patterns, and how often each pattern occurs over all documents is all that expectation-maximisation needs: it estimates
+how common bad documents are, how often each labeller is right on bad and on fine ones, and every pattern's posterior.
+People's labels, where documents have them, vote as one more labeller whose accuracy is estimated like the others'.
+Posteriors of a bounded sample, with and without people's labels, train a linear model over hashed words and word
+beginnings, which then scores every document.
+
+Words here are runs without white space; all that is known of a word is worked out once and kept for its next
+occurrences, within bounds. A document's features are those of its distinct words.
 """
 
 from __future__ import annotations
 
 import itertools
+import operator
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm.pages import STOP_WORDS
-from loomline.llm.shared import written
+from loomline.llm.shared import Recent, least_hashed, written
 
-#: Documents that the scorer and the telling beginnings are fitted on at most: labelled ones with the least hash.
-SAMPLE = 20_000
-BITS = 18
-PREFIXES = (3, 4, 5, 6, 8)
+#: Documents that the scorer and the telling features are fitted on at most: those with the least hash. Of labelled ones
+#: up to the first share; of others a third as many as labelled ones, but at least the second share.
+SAMPLE, LABELLED_SHARE, OTHERS_SHARE = 20_000, 0.75, 0.1
+#: Bits of a feature's hash, and the lengths of word beginnings.
+BITS, BEGINNINGS = 24, (4, 5, 6, 7)
 #: A feature that fewer documents of the sample have gets no weight.
 LEAST_DOCS = 8
-#: Toxic documents of the sample, by people's labels, in which a word beginning must stand to be called telling, and their least share
-#: of all labelled documents that have it.
-TELLING_DOCS, TELLING_SHARE = 8, 0.98
-MOST_TELLING = 20_000
-#: A document goes if its posterior of being bad is above this.
+#: A feature is telling if so many documents that people call toxic have it, and so large a share of all labelled ones that do.
+TELLING_DOCS, TELLING_SHARE = 8, 0.9
+#: What a document without a person's label counts in the labellers' estimated accuracies, beside one with.
+UNLABELLED = 0.05
+#: A document goes if its chance of being bad is above this.
 CUT = 0.5
 
 # English words of abuse.
 ABUSE = frozenset(
     "idiot idiots moron morons scum clown pathetic worthless loser losers stupid trash disgusting dumb imbecile bastard bitch shit fuck fucking asshole retard whore slut".split()
 )
-WORD = re.compile(r"[^\W\d_]+")
+BARS = frozenset("| / > - * • ·".split())
+SIGNS = "%$&*#|=~^<>{}\\"
+RUN = re.compile(r"[^\W\d_]+")
 JUNK = ("symbols", "letters", "repetition", "variety", "capitals", "stop_words", "separators", "person")
 TOXIC = ("abuse", "telling", "person")
-
-
-def votes_on_junk(text: str, words: list[str]) -> list[int]:
-    """Votes of the heuristic labellers: 1 for junk, -1 none."""
-    n, size = len(words), len(text)
-    if not n:
-        return [-1, 1, -1, -1, -1, -1, -1]
-    signs = sum(map(text.count, "%$&*#|=~^<>{}\\"))
-    letters = sum(map(len, WORD.findall(text)))
-    same = sum(a == b for a, b in itertools.pairwise(words))
-    # A text of n words has fewer distinct ones for its length the longer it is.
-    variety = len(set(words)) / n**0.8
-    stops = sum(w.lower().strip(".,;:!?") in STOP_WORDS for w in words) / n
-    bars = sum(w in ("|", "/", ">", "-", "*", "•", "·") for w in words)
-    found = (
-        signs > 0.05 * size,
-        letters < 0.6 * size,
-        same > 0.2 * n,
-        n >= 40 and variety < 0.5,
-        sum(w.isupper() for w in words if len(w) > 1) > 0.5 * n,
-        n >= 30 and stops < 0.03,
-        bars > 0.2 * n,
-    )
-    return [1 if x else -1 for x in found]
-
-
-def beginnings(words: set[str]) -> set[str]:
-    """Beginnings of lower-case words, of each length."""
-    return {w[:k] for w in words for k in PREFIXES if len(w) >= k}
-
-
-def features(text: str) -> np.ndarray:
-    """Distinct places in the hashed space of the text's words and word beginnings, and of the votes on its shape."""
-    words = set(WORD.findall(text.lower()))
-    names = {"^" + b for b in beginnings(words)} | words
-    names |= {f"\x00{i}" for i, v in enumerate(votes_on_junk(text, text.split())) if v == 1}
-    mask, digest = (1 << BITS) - 1, xxhash.xxh32_intdigest
-    return np.unique(np.fromiter((digest(x.encode("utf-8", "surrogatepass")) & mask for x in names), np.int32, len(names)))
-
-
-def em(counts: dict[tuple[int, ...], int], silent: float = 0.05, rounds: int = 100, start: float = 0.85, smooth: float = 10.0) -> tuple[np.ndarray, dict[tuple[int, ...], float]]:
-    """Expectation-maximisation over vote patterns (1, 0, or -1 for no vote): each labeller's accuracy, the chance that
-    a vote of its is right, and every pattern's posterior of being positive.
-
-    Labellers err independently given the truth, and where any votes, either truth is as likely beforehand; a pattern
-    without votes is positive with chance `silent`. Accuracies start at `start`, which also counts as `smooth` votes in
-    each estimate, so that positive is what votes of 1 mean.
+BAR, STOP, LONG, UPPER, ABUSIVE, TELLS = (1 << i for i in range(6))
+#: Which of the six marks each combination has.
+MARKS = (np.arange(64)[:, None] >> np.arange(6)) & 1
+
+
+def hashed(name: str) -> int:
+    return xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
+
+
+def word_features(word: str) -> list[int]:
+    """Hashes of the word's runs of letters, in lower case, and of their beginnings."""
+    runs = RUN.findall(word.lower())
+    return [hashed(r) for r in runs] + [hashed(f"^{r[:k]}") for r in runs for k in BEGINNINGS if len(r) >= k]
+
+
+def text_features(words: list[str], junk: tuple[int, ...]) -> list[int]:
+    """Features of a text's distinct words, once for each word that has them, and of the labellers' votes on its shape."""
+    of_words = itertools.chain.from_iterable(map(word_features, set(words)))
+    return [*of_words, *shape_features(junk)]
+
+
+def shape_features(junk: tuple[int, ...]) -> list[int]:
+    return [hashed(f" {i}={v}") for i, v in enumerate(junk) if v >= 0]
+
+
+def vote(value: float, bad: float, fine: float) -> int:
+    """1 from the bound of bad values on, 0 up to that of fine ones, -1 between; either bound may be the greater."""
+    if bad < fine:
+        value, bad, fine = -value, -bad, -fine
+    return 1 if value >= bad else 0 if value <= fine else -1
+
+
+class Labellers:
+    """The heuristic labellers, with the telling features that one of them goes by."""
+
+    def __init__(self, telling: frozenset[int] = frozenset()):
+        self.telling = telling
+        self.marks = Recent(self.mark)
+
+    def mark(self, word: str) -> int:
+        """What the labellers know of a word, in bits: its marks, and above them its number of letters."""
+        low, letters = word.lower(), 0
+        runs = RUN.findall(word)
+        letters = sum(map(len, runs))
+        found = BAR * (word in BARS) | STOP * (low.strip(".,;:!?") in STOP_WORDS) | LONG * (len(word) > 1) | UPPER * (len(word) > 1 and word.isupper())
+        if not ABUSE.isdisjoint(RUN.findall(low)):
+            found |= ABUSIVE
+        if self.telling and not self.telling.isdisjoint(word_features(word)):
+            found |= TELLS
+        return letters << 6 | found
+
+    def __call__(self, text: str, words: list[str]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+        """Votes on whether the text is junk, and on whether it is toxic: 1 yes, 0 no, -1 none."""
+        n, size = len(words), len(text)
+        if not n:
+            return (-1, 1, -1, -1, -1, -1, -1), (0, 0)
+        known = np.fromiter(map(self.marks.__getitem__, words), np.int64, n)
+        bars, stops, longs, uppers, abusive, tells = (np.bincount(known & 63, minlength=64) @ MARKS).tolist()
+        distinct = set(words)
+        same = sum(map(operator.eq, words, itertools.islice(words, 1, None)))
+        junk = (
+            vote(sum(map(text.count, SIGNS)) / size, 0.05, 0.01),
+            vote(int((known >> 6).sum()) / size, 0.6, 0.72),
+            vote(same / n, 0.2, 0.05) if n >= 5 else -1,
+            # A text of n words has fewer distinct ones for its length the longer it is.
+            vote(len(distinct) / n**0.8, 0.5, 0.7) if n >= 40 else -1,
+            vote(uppers / longs, 0.5, 0.1) if longs else -1,
+            vote(stops / n, 0.03, 0.08) if n >= 30 else -1,
+            vote(bars / n, 0.2, 0.02),
+        )
+        if tells:
+            tells = sum(bool(self.marks[w] & TELLS) for w in distinct)
+        # One telling word may be chance, several hardly are.
+        return junk, (int(abusive > 0), vote(tells, 2, 0))
+
+
+def em(
+    counts: dict[tuple[int, ...], int], unlabelled: float = 1.0, rounds: int = 500, prior: float = 0.1, right: tuple[float, float] = (0.3, 0.99), smooth: float = 2.0
+) -> tuple[float, np.ndarray, np.ndarray, dict[tuple[int, ...], float]]:
+    """Expectation-maximisation over vote patterns (1, 0, or -1 for no vote): the share of positives, the chance of each
+    labeller's vote being right on positives and on negatives, and every pattern's posterior of being positive.
+
+    Labellers err independently given the truth, and keep silent regardless of it. `prior` and `right` are where the
+    search starts, so that positive is what votes of 1 mean; `smooth` votes as at the start are added to each estimate.
+    Documents on which the last labeller, a person, is silent count `unlabelled` in the estimates: heuristics for different
+    kinds of bad documents aren't independent, which the person's votes put right. Rounds end when nothing moves any more.
     """
     patterns = list(counts)
     if not patterns:
-        return np.zeros(0), {}
+        return prior, np.zeros(0), np.zeros(0), {}
     votes = np.array(patterns, int).reshape(len(patterns), -1)
-    weight = np.array([counts[p] for p in patterns], float)
+    weight = np.array([counts[p] for p in patterns], float) * np.where(votes[:, -1] == -1, unlabelled, 1.0)
     yes, no = (votes == 1).astype(float), (votes == 0).astype(float)
-    right = np.full(votes.shape[1], start)
+    share, on_bad, on_fine = prior, np.full(votes.shape[1], right[0]), np.full(votes.shape[1], right[1])
+    post = np.zeros(len(patterns))
     for _ in range(rounds):
-        odds = (yes - no) @ np.log(right / (1 - right))
-        post = 1 / (1 + np.exp(-odds))
-        agreed = (weight * post) @ yes + (weight * (1 - post)) @ no  # silent patterns add to neither
-        right = np.clip((agreed + smooth * start) / (weight @ (yes + no) + smooth), 0.02, 0.998)
-    post = np.where((yes + no).any(axis=1), post, silent)
-    return right, dict(zip(patterns, post.tolist(), strict=True))
-
-
-def fit(rows: list[np.ndarray], targets: np.ndarray, rounds: int = 14, l1: float = 1e-4, rate: float = 0.3, seed: int = 11) -> np.ndarray:
-    """Weights (the last is the intercept) of a logistic model on sets of hashed features, by AdaGrad in small batches
-    with a penalty on absolute weights; features of fewer than LEAST_DOCS rows stay at zero."""
-    weights = np.zeros((1 << BITS) + 1)
+        odds = np.log(share / (1 - share)) + yes @ np.log(on_bad / (1 - on_fine)) + no @ np.log((1 - on_bad) / on_fine)
+        before, post = post, 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        bad, fine = weight * post, weight * (1 - post)
+        share = (bad.sum() + smooth * prior) / (weight.sum() + smooth)
+        on_bad = np.clip((bad @ yes + smooth * right[0]) / (bad @ (yes + no) + smooth), 1e-4, 1 - 1e-4)
+        on_fine = np.clip((fine @ no + smooth * right[1]) / (fine @ (yes + no) + smooth), 1e-4, 1 - 1e-4)
+        if np.abs(post - before).max() < 1e-9:
+            break
+    return float(share), on_bad, on_fine, dict(zip(patterns, post.tolist(), strict=True))
+
+
+def fit(rows: list[np.ndarray], targets: np.ndarray, features: int, rounds: int = 20, l1: float = 1e-3, rate: float = 0.3, seed: int = 11) -> np.ndarray:
+    """Weights of `features` features (the last is the intercept) of a logistic model, by AdaGrad in small batches with a
+    penalty on absolute weights. A row lists its features, as often as they count."""
+    own, total, rng = np.zeros(features), np.zeros(features), np.random.default_rng(seed)
     if not len(rows):
-        return weights
-    often = np.flatnonzero(np.bincount(np.concatenate(rows), minlength=1 << BITS) >= LEAST_DOCS)
-    n, place = len(often), np.full(1 << BITS, -1, np.int32)
-    place[often] = np.arange(n)
-    rows = [x[x >= 0] for x in (place[r] for r in rows)]
-    sizes, flat = np.array([len(r) for r in rows]), np.concatenate(rows)
-    start = np.concatenate([[0], np.cumsum(sizes)])
-    own, total, rng = np.zeros(n), np.zeros(n), np.random.default_rng(seed)
+        return np.append(own, 0.0)
+    sizes = np.array([len(r) for r in rows])
+    flat, start = np.concatenate(rows).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
     base = float(np.clip(targets.mean(), 1e-4, 1 - 1e-4))
     level, level_total = np.log(base / (1 - base)), 0.0
     for _ in range(rounds):
@@ -129,7 +175,7 @@ def fit(rows: list[np.ndarray], targets: np.ndarray, rounds: int = 14, l1: float
             of = np.repeat(np.arange(len(part)), sizes[part])
             margin = np.bincount(of, own[at], len(part)) + level
             error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - targets[part]
-            slope = np.bincount(at, error[of], n) / len(part)
+            slope = np.bincount(at, error[of], features) / len(part)
             used = np.flatnonzero(slope)
             total[used] += slope[used] ** 2
             step = rate / (np.sqrt(total[used]) + 1e-6)
@@ -137,60 +183,47 @@ def fit(rows: list[np.ndarray], targets: np.ndarray, rounds: int = 14, l1: float
             own[used] = np.sign(moved) * np.maximum(np.abs(moved) - step * l1, 0)
             level_total += error.mean() ** 2
             level -= rate * error.mean() / (np.sqrt(level_total) + 1e-6)
-    weights[often], weights[-1] = own, level
-    return weights
+    return np.append(own, level)
 
 
 class Model:
-    """Scorers and telling beginnings; all of bounded size."""
+    """The labellers and the scorers' weights other than zero: by feature, junk's as the real and toxicity's as the
+    imaginary part of one number. All of bounded size."""
 
-    def __init__(self, telling: frozenset[str], junk: np.ndarray, toxic: np.ndarray, junk_right: np.ndarray, toxic_right: np.ndarray):
-        self.telling, self.junk, self.toxic = telling, junk.astype(np.float32), toxic.astype(np.float32)
-        self.junk_right, self.toxic_right = junk_right, toxic_right
+    def __init__(self, telling: frozenset[int], weights: dict[int, complex], level: complex):
+        self.telling, self.weights, self.level = telling, weights, level
 
-    def score(self, text: str) -> tuple[float, float]:
-        at = features(text)
-        odds = lambda w: float(w[at].sum(dtype=np.float64) + w[-1])
-        chance = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        return float(chance(odds(self.junk))), float(chance(odds(self.toxic)))
+    def scorer(self):
+        """A function from text to its chances of being junk and of being toxic."""
+        label = Labellers(self.telling)
+        of = Recent(lambda word: sum((self.weights.get(x, 0j) for x in word_features(word)), 0j))
+        shapes = {x: self.weights.get(x, 0j) for i in range(len(JUNK) - 1) for v in (0, 1) for x in [hashed(f" {i}={v}")]}
 
+        def score(text: str) -> tuple[float, float]:
+            words = text.split()
+            odds = self.level + sum(map(of.__getitem__, set(words)), 0j) + sum((shapes[x] for x in shape_features(label(text, words)[0])), 0j)
+            low, high = np.clip((odds.real, odds.imag), -30, 30)
+            return float(1 / (1 + np.exp(-low))), float(1 / (1 + np.exp(-high)))
 
-def telling_beginnings(labelled: DataFrame) -> frozenset[str]:
-    """Word beginnings that hardly occur but in documents that people call toxic, counted over the
-    labelled documents (text, toxic) of the sample; of more than MOST_TELLING those in most toxic documents."""
+        return score
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(b, int(y)) for text, y in zip(batch["text"], batch["toxic"], strict=True) for b in beginnings(set(WORD.findall(text.lower())))]
-            if rows:
-                yield pd.DataFrame(rows, columns=["start", "toxic"]).groupby(["start", "toxic"]).size().reset_index(name="n")
 
-    totals = labelled.groupBy("toxic").count().collect()
-    n = {r["toxic"]: r["count"] for r in totals}
-    if not n.get(1) or not n.get(0):
-        return frozenset()
-    counts = labelled.mapInPandas(each, "start string, toxic int, n long").groupBy("start").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("fine"))
-    found = counts.where((F.col("bad") >= TELLING_DOCS) & (F.col("bad") >= TELLING_SHARE * (F.col("bad") + F.col("fine")))).orderBy(F.desc("bad"), "start").limit(MOST_TELLING)
-    return frozenset(r.start for r in found.select("start").collect())
+def pattern(votes: tuple[int, ...]) -> str:
+    return ",".join(map(str, votes))
 
 
-def voted(docs: DataFrame, telling: frozenset[str]) -> DataFrame:
+def voted(docs: DataFrame, telling: frozenset[int]) -> DataFrame:
     """(doc_id, junk, toxic): the heuristic labellers' votes on each document (doc_id, text), as text."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        label = Labellers(telling)
         for batch in batches:
-            junk, toxic = zip(*(votes(t, telling) for t in batch["text"]), strict=True) if len(batch) else ((), ())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "junk": list(junk), "toxic": list(toxic)})
+            found = [label(t, t.split()) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "junk": [pattern(a) for a, _ in found], "toxic": [pattern(b) for _, b in found]})
 
     return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, junk string, toxic string")
 
 
-def votes(text: str, telling: frozenset[str]) -> tuple[str, str]:
-    low = set(WORD.findall(text.lower()))
-    toxic = (1 if low & ABUSE else -1, -1 if telling.isdisjoint(beginnings(low)) else 1)
-    return ",".join(map(str, votes_on_junk(text, text.split()))), ",".join(map(str, toxic))
-
-
 def persons(labels: DataFrame | None, spark: SparkSession) -> DataFrame:
     """(doc_id, quality, toxic), one row a document; of several labels the least quality and most toxic count."""
     if labels is None:
@@ -201,78 +234,110 @@ def persons(labels: DataFrame | None, spark: SparkSession) -> DataFrame:
 
 def with_person(cast: DataFrame) -> DataFrame:
     """Votes with the person's as the last: 1 for junk and for toxic."""
-    vote = lambda c: F.coalesce(c.cast("string"), F.lit("-1"))
-    return cast.withColumns({"junk": F.concat_ws(",", "junk", vote(1 - F.col("quality"))), "toxic": F.concat_ws(",", "toxic", vote(F.col("toxic_label")))})
+    own = lambda c: F.coalesce(c.cast("string"), F.lit("-1"))
+    return cast.withColumns({"junk": F.concat_ws(",", "junk", own(1 - F.col("quality"))), "toxic": F.concat_ws(",", "toxic", own(F.col("toxic_label")))})
+
+
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
 
 
 def sampled(rows: DataFrame, known: DataFrame, sample: int) -> DataFrame:
-    """(doc_id, text, quality, toxic) of at most about `sample` documents: those labelled in both ways whose id has the
-    least hash and, where there are fewer, others by the least hash. The chosen ids are so few that they are broadcast."""
-    first = written(known.where("quality IS NOT NULL AND toxic IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "sampled-labels")
-    picked = rows.join(F.broadcast(first), "doc_id")
-    short = sample - first.count()
-    if short > 0:
-        key = F.xxhash64("doc_id", "text")
-        others = rows.select(key.alias("key"), "doc_id").join(first, "doc_id", "left_anti").select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(short)
-        none = F.lit(None).cast("int")
-        picked = picked.unionByName(rows.join(F.broadcast(written(others, "sampled-others")), key == F.col("key")).select("doc_id", "text", none.alias("quality"), none.alias("toxic")))
-    return written(picked.select("doc_id", "text", "quality", "toxic"), "sample")
+    """(text, quality, toxic) of at most `sample` different documents, labelled and others. Chosen on keys alone."""
+    keys = written(rows.select(row_key().alias("key"), "doc_id").join(known, "doc_id", "left").drop("doc_id"), "quality-keys")
+    has = F.coalesce(F.col("quality"), F.col("toxic")).isNotNull()
+    both = keys.agg(F.count_if(has), F.count_if(~has)).first()
+    labelled, others = both[0], both[1]
+    want = min(labelled, int(sample * LABELLED_SHARE))
+    more = int(max(want / 3, sample * OTHERS_SHARE)) if labelled else sample
+    chosen = least_hashed(keys.where(has), ["key"], want, labelled).unionByName(least_hashed(keys.where(~has), ["key"], more, others))
+    chosen = written(chosen, "sampled-keys")  # so few that they are broadcast
+    return written(rows.withColumn("key", row_key()).drop("doc_id").join(F.broadcast(chosen), "key").dropDuplicates(["key"]).drop("key"), "sample")
+
+
+def frequencies(picked: DataFrame) -> pd.DataFrame:
+    """(feature, n, bad, labelled): documents of the sample that have a feature, those of them that people call toxic and
+    those that people have labelled; features of at least LEAST_DOCS."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        label, features = Labellers(), Recent(word_features)
+        for batch in batches:
+            sets = []
+            for text in batch["text"]:
+                words = text.split()
+                found = set(itertools.chain.from_iterable(map(features.__getitem__, set(words))))
+                found.update(shape_features(label(text, words)[0]))
+                sets.append(np.fromiter(found, np.int64, len(found)))
+            toxic = batch["toxic"].to_numpy(float)
+            size = [len(s) for s in sets]
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            ids, back, n = np.unique(flat, return_inverse=True, return_counts=True)
+            yield pd.DataFrame({"feature": ids, "n": n, "bad": np.bincount(back, np.repeat(toxic == 1, size), len(ids)).astype(int), "labelled": np.bincount(back, np.repeat(toxic >= 0, size), len(ids)).astype(int)})
+
+    counted = picked.select("text", "toxic").mapInPandas(each, "feature int, n long, bad long, labelled long")
+    return counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "labelled")]).where(F.col("n") >= LEAST_DOCS).toPandas()
 
 
 def train(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE) -> Model:
-    """The model from all documents' votes and a bounded sample of documents, labelled by persons as far as it goes."""
+    """The model from all documents' votes and a bounded sample of documents."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = written(persons(labels, docs.sparkSession), "labels")
     picked = sampled(rows, known, sample)
-    telling = telling_beginnings(picked.where("toxic IS NOT NULL").select("text", "toxic"))
+    seen = frequencies(picked)
+    often = np.sort(seen["feature"].to_numpy(np.int64))
+    telling = frozenset(seen["feature"][(seen["bad"] >= TELLING_DOCS) & (seen["bad"] >= TELLING_SHARE * seen["labelled"])].tolist())
+    telling -= {x for w in ABUSE for x in word_features(w)}  # labellers should err independently
     # Votes are narrow; texts stay where they are. A pattern is one of three votes to the number of labellers, so that
     # their table is bounded.
     cast = voted(rows, telling).join(known.select("doc_id", "quality", F.col("toxic").alias("toxic_label")), "doc_id", "left")
-    counts = with_person(cast).groupBy("junk", "toxic").count().collect()
     tables: list[dict[tuple[int, ...], int]] = [{}, {}]
-    for r in counts:
-        for table, pattern in zip(tables, (r["junk"], r["toxic"]), strict=True):
-            key = tuple(map(int, pattern.split(",")))
+    for r in with_person(cast).groupBy("junk", "toxic").count().collect():
+        for table, votes in zip(tables, (r["junk"], r["toxic"]), strict=True):
+            key = tuple(map(int, votes.split(",")))
             table[key] = table.get(key, 0) + r["count"]
-    (junk_right, junk_post), (toxic_right, toxic_post) = em(tables[0]), em(tables[1])
+    junk_post, toxic_post = em(tables[0], UNLABELLED)[-1], em(tables[1], UNLABELLED)[-1]
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        label = Labellers(telling)
         for batch in batches:
             at, junk, toxic = [], [], []
             for text, quality, bad in zip(batch["text"], batch["quality"], batch["toxic"], strict=True):
-                a, b = votes(text, telling)
-                person = (-1 if pd.isna(quality) else 1 - int(quality), -1 if pd.isna(bad) else int(bad))
-                at.append(features(text))
-                junk.append(junk_post[(*map(int, a.split(",")), person[0])])
-                toxic.append(toxic_post[(*map(int, b.split(",")), person[1])])
+                words = text.split()
+                a, b = label(text, words)
+                junk.append(junk_post[(*a, -1 if pd.isna(quality) else 1 - int(quality))])
+                toxic.append(toxic_post[(*b, -1 if pd.isna(bad) else int(bad))])
+                found = np.array(text_features(words, a), np.int64)
+                place = np.minimum(np.searchsorted(often, found), max(len(often) - 1, 0))
+                at.append(np.sort(place[often[place] == found]) if len(often) else place[:0])
             yield pd.DataFrame({"at": at, "junk": junk, "toxic": toxic})
 
     def fitted(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.iloc[np.argsort([int(np.asarray(x, np.int64).sum()) for x in group["at"]], kind="stable")]
         at = [np.asarray(x, np.int32) for x in group["at"]]
-        found = [fit(at, group[name].to_numpy(float)).astype("<f4").tobytes() for name in ("junk", "toxic")]
-        return pd.DataFrame({"name": ["junk", "toxic"], "weights": found})
+        order = sorted(range(len(at)), key=lambda i: (group["junk"].iat[i], group["toxic"].iat[i], at[i].tobytes()))  # whatever order rows come in
+        found = [fit([at[i] for i in order], group[name].to_numpy(float)[order], len(often)) for name in ("junk", "toxic")]
+        used = np.flatnonzero((found[0] != 0) | (found[1] != 0))
+        return pd.DataFrame({"place": used, "junk": found[0][used], "toxic": found[1][used]})
 
+    # One task fits: at most `sample` documents, each with features that LEAST_DOCS of them share.
     sets = picked.mapInPandas(featured, "at array<int>, junk double, toxic double").withColumn("fit", F.lit(0))
-    weights = {r["name"]: np.frombuffer(r.weights, "<f4") for r in sets.groupBy("fit").applyInPandas(fitted, "name string, weights binary").collect()}
-    none = np.zeros((1 << BITS) + 1, np.float32)
-    none[-1] = -5
-    return Model(telling, weights.get("junk", none), weights.get("toxic", none), junk_right, toxic_right)
+    weights = sets.groupBy("fit").applyInPandas(fitted, "place int, junk double, toxic double").toPandas()
+    of = dict(zip(weights["place"].tolist(), map(complex, weights["junk"], weights["toxic"]), strict=True))
+    level = of.pop(len(often), -5 - 5j)
+    return Model(telling, {int(often[p]): w for p, w in of.items()}, level)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, doc_key, junk, toxic, keep) for each row of docs: the scorer's chances that it is junk or toxic."""
+    """(doc_id, junk, toxic, keep) for each row of docs: the scorer's chances that it is junk or toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
+        scored = shared.value.scorer()
         for batch in batches:
-            found = [model.score(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "doc_key": batch["doc_key"], "junk": [a for a, _ in found], "toxic": [b for _, b in found]})
+            found = [scored(t) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "junk": [a for a, _ in found], "toxic": [b for _, b in found]})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("doc_key"), F.coalesce("text", F.lit("")).alias("text"))
-    scored = rows.mapInPandas(each, "doc_id long, doc_key long, junk double, toxic double")
-    return scored.withColumn("keep", (F.col("junk") <= CUT) & (F.col("toxic") <= CUT))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInPandas(each, "doc_id long, junk double, toxic double").withColumn("keep", (F.col("junk") <= CUT) & (F.col("toxic") <= CUT))
 
 
 def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -281,10 +346,17 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAM
     Null and empty texts have no words and score as such. Without labels only heuristics vote. Rows that repeat score
     alike. An empty table gives an empty result; other columns are ignored.
     """
-    return score(docs, train(docs, labels, sample)).drop("doc_key")
+    return score(docs, train(docs, labels, sample))
 
 
 def keep(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
-    """docs without the rows that the classifier rejects; all columns stay."""
-    scored = written(score(docs, train(docs, labels, sample)), "scores").where("NOT keep").select(F.col("doc_key").alias("rejected")).distinct()
-    return docs.join(scored, F.xxhash64("doc_id", "text") == F.col("rejected"), "left_anti")
+    """docs without the rows that the classifier rejects; all columns stay, whatever their names."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
+
+    @F.pandas_udf("boolean")
+    def kept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scored = shared.value.scorer()
+        for texts in batches:
+            yield pd.Series([max(scored(t or "")) <= CUT for t in texts], dtype=bool)
+
+    return docs.where(kept(F.col("text")))

@@ -97,3 +97,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         before = seen
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def least_hashed(rows: DataFrame, key: list[str], n: int, total: int) -> DataFrame:
+    """The n different rows whose key has the least hash, of about `total` rows: looked for among those under a bound that
+    some four times n should pass, so that one task sorts no more, and among all if repeats left too few."""
+    if n <= 0:
+        return rows.limit(0)
+    place = F.pmod(F.xxhash64(F.lit(3), *key), F.lit(1 << 30))
+    first = lambda kept: kept.dropDuplicates(key).orderBy(place, *key).limit(n)
+    if total <= 4 * n:
+        return first(rows)
+    near = written(first(rows.where(place < F.lit(int((1 << 30) * 4 * n / total)))), "least-hashed")
+    return near if near.count() == n else first(rows)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomline.llm.shared import Recent, written
+from loomline.llm.shared import Recent, least_hashed, written
 
 END_ID = 1
 LEVEL = 3
@@ -105,13 +105,8 @@ def train_dictionary(docs: DataFrame, vocabulary: str, sample_docs: int = SAMPLE
             yield pd.DataFrame({"ids": [np.frombuffer(encode(x, vocabulary), "<u4").astype(width).tobytes()[:SAMPLE_BYTES] for x in batch["text"]]})
 
     # Chosen on hashes alone; only the chosen texts move.
-    keyed = docs.select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), F.coalesce("text", F.lit("")).alias("text"))
-    keys, n = keyed.select("h", "t"), docs.count()
-    near = keys.where(F.pmod("h", F.lit(1 << 30)) < F.lit(min(1.0, 4 * sample_docs / max(n, 1)) * (1 << 30)))
-    first = lambda rows: rows.distinct().orderBy(F.pmod("h", F.lit(1 << 30)), "h", "t").limit(sample_docs)
-    chosen = written(first(near), "dictionary-keys")
-    if chosen.count() < sample_docs < n:  # rows that repeat an id left too few
-        chosen = written(first(keys), "dictionary-keys")
+    keyed = docs.select(F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"), "text")
+    chosen = written(least_hashed(keyed.select("h", "t"), ["h", "t"], sample_docs, docs.count()), "dictionary-keys")
     sample = keyed.join(F.broadcast(chosen), ["h", "t"]).dropDuplicates(["h", "t"])
     found = sorted(bytes(r.ids) for r in sample.select("text").mapInPandas(each, "ids binary").collect() if r.ids)
     try:
