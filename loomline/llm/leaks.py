@@ -4,7 +4,8 @@ Texts are compared in letters and digits of lower case, all else being one space
 at most k edits, then at least m - q + 1 - k*q of its q-grams occur too, on diagonals (place in the document less place
 in the item) at most k apart. A task slides over a whole document's q-grams at once, keeps those that the benchmark has,
 counts each item's distinct ones in overlapping bands of diagonals, and verifies bands that reach the bound by a banded
-alignment. The benchmark is a stated query set: it goes to the tasks in blocks of bounded size, each against all rows.
+alignment, those of a document together. The benchmark is a stated query set: it goes to the tasks in blocks of bounded
+size, each against all rows.
 """
 
 from __future__ import annotations
@@ -17,13 +18,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.shared import written
+from loomline.llm.shared import free_name, written
 
 Q = 8
 ERRORS = 0.1
 #: Characters of items that one block of the benchmark has at most (or a single longer item).
 BLOCK_CHARS = 1 << 20
-PART = 1 << 18
+#: Places of a document looked up, postings counted, and cells of a row aligned at a time.
+PART, POSTINGS, CELLS = 1 << 18, 1 << 20, 1 << 19
+#: The length of the q-grams that are counted again before the alignment.
+SHORT_Q = 4
 
 KEEP = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 OTHER = re.compile(r"[^\w]|_")
@@ -51,8 +55,18 @@ def slots(codes: np.ndarray, bits: int) -> np.ndarray:
         return ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def groups(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin in sorted columns."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new)
+
+
 class Index:
-    """The q-grams of one block of items, with their postings."""
+    """The q-grams of one block of items, with their postings by class of size: items of a class differ in length by a
+    factor below two, so that an occurrence of any of them spans about as much of a document."""
 
     def __init__(self, items: list[tuple[int, bytes]], errors: float):
         self.items = items
@@ -62,102 +76,170 @@ class Index:
         self.least = np.maximum(self.sizes - Q + 1 - self.edits * Q, 1)
         parts = [grams(raw) for _, raw in items]
         codes = np.concatenate(parts) if parts else np.zeros(0, "<u8")
-        item = np.repeat(np.arange(len(items)), [len(p) for p in parts])
-        place = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.zeros(0, np.int64)
-        order = np.argsort(codes, kind="stable")
-        self.codes, self.first, self.count = np.unique(codes[order], return_index=True, return_counts=True)
-        self.item, self.place = item[order], place[order]
+        item = np.repeat(np.arange(len(items), dtype=np.int32), [len(p) for p in parts])
+        place = np.concatenate([np.arange(len(p), dtype=np.int32) for p in parts]) if parts else np.zeros(0, np.int32)
+        self.codes, code = np.unique(codes, return_inverse=True)
+        kind = np.log2(np.maximum(self.sizes, 1)).astype(int)
+        self.classes = []
+        for k in np.unique(kind):
+            own = np.flatnonzero(kind[item] == k)
+            own = own[np.argsort(code[own], kind="stable")]
+            count = np.bincount(code[own], minlength=len(self.codes)).astype(np.int32)
+            reach = int((self.sizes + self.edits)[kind == k].max())
+            self.classes.append((reach, np.cumsum(count) - count, count, item[own], place[own]))
         self.bits = max(16, int(len(self.codes)).bit_length() + 5)
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[slots(self.codes, self.bits)] = True
 
-    def bands(self, raw: bytes) -> list[tuple[int, int, int]]:
-        """(item, least diagonal, greatest diagonal) of the bands whose count of distinct q-grams meets the bound."""
+    def bands(self, raw: bytes) -> np.ndarray:
+        """Rows (item, least diagonal, greatest diagonal): where bands of diagonals reach the bound on distinct q-grams,
+        bands that touch taken together."""
+        none = np.zeros((0, 3), np.int64)
         codes = grams(raw)
-        at = []
-        for start in range(0, len(codes), PART):
-            at.append(np.flatnonzero(self.seen[slots(codes[start : start + PART], self.bits)]) + start)
+        at = [np.flatnonzero(self.seen[slots(codes[start : start + PART], self.bits)]) + start for start in range(0, len(codes), PART)]
         at = np.concatenate(at) if at else np.zeros(0, np.int64)
         if not len(at) or not len(self.codes):
-            return []
+            return none
         near = np.minimum(np.searchsorted(self.codes, codes[at]), len(self.codes) - 1)
         hit = self.codes[near] == codes[at]
         at, near = at[hit], near[hit]
         if len(at) < self.least.min():
-            return []
-        found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        # By parts of the document that overlap by an item's length, so that memory is bounded by a part's hits.
-        reach = int(self.sizes.max() + self.edits.max())
-        start = 0
-        while start < len(at):
-            stop = int(np.searchsorted(at, at[start] + PART))
-            self._count(at[start:stop], near[start:stop], found)
-            if stop >= len(at):
-                break
-            start = max(int(np.searchsorted(at, at[stop - 1] - reach)), start + 1)
-        return sorted(found.values())
-
-    def _count(self, at: np.ndarray, near: np.ndarray, found: dict) -> None:
-        n = self.count[near]
-        total = int(n.sum())
-        where = np.repeat(at, n)
-        post = np.repeat(self.first[near] - (np.cumsum(n) - n), n) + np.arange(total)
-        item, place = self.item[post], self.place[post]
-        width = 2 * self.edits[item] + 1
-        diagonal = where - place + (1 << 20)
+            return none
+        found = []
+        for reach, first, count, item, place in self.classes:
+            n = count[near]
+            own = np.flatnonzero(n)
+            if not len(own):
+                continue
+            where, code, n = at[own], near[own], n[own]
+            # By parts of some POSTINGS that overlap by an occurrence's reach: each lies whole in one, and memory is bounded.
+            ends, start = np.cumsum(n), 0
+            while start < len(where):
+                done = int(ends[start] - n[start])
+                stop = max(int(np.searchsorted(ends, done + POSTINGS)), int(np.searchsorted(where, where[start] + 2 * reach)), start + 1)
+                found.append(self._count(where[start:stop], n[start:stop], first[code[start:stop]], item, place))
+                if stop >= len(where):
+                    break
+                start = max(int(np.searchsorted(where, where[stop - 1] - reach)), start + 1)
+        rows = np.concatenate(found) if found else none
+        if not len(rows):
+            return none
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        # The greatest diagonal so far within the item tells whether the next band touches; items are set far apart for it.
+        far = rows[:, 0] << 40
+        most = np.maximum.accumulate(rows[:, 2] + far)
+        new = np.ones(len(rows), bool)
+        new[1:] = rows[1:, 1] + far[1:] > most[:-1]
+        edges = np.flatnonzero(new)
+        return np.stack([rows[edges, 0], rows[edges, 1], np.maximum.reduceat(rows[:, 2], edges)], axis=1)
+
+    def _count(self, at: np.ndarray, n: np.ndarray, first: np.ndarray, items: np.ndarray, places: np.ndarray) -> np.ndarray:
+        post = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        item, place = items[post].astype(np.int64), places[post].astype(np.int64)
+        diagonal = np.repeat(at, n) - place
         # Bands of twice the width, begun at each multiple of it: any run of diagonals as wide lies in one of them.
-        band = diagonal // width
-        keys = np.concatenate([item * (1 << 40) + band, item * (1 << 40) + band - 1])
-        place, diagonal = np.concatenate([place, place]), np.concatenate([diagonal, diagonal])
-        uniq, back, count = np.unique(keys, return_inverse=True, return_counts=True)
-        enough = count >= self.least[uniq >> 40]
-        if not enough.any():
-            return
-        rows = np.flatnonzero(enough[back])
-        rows = rows[np.lexsort((place[rows], keys[rows]))]
-        k, p, d = keys[rows], place[rows], diagonal[rows] - (1 << 20)
-        edges = np.flatnonzero(np.diff(k, prepend=k[0] - 1))
-        for a, b in zip(edges, [*edges[1:], len(k)], strict=True):
-            i = int(k[a] >> 40)
-            if len(np.unique(p[a:b])) >= self.least[i]:
-                found[int(k[a] >> 40), int(k[a] & ((1 << 40) - 1))] = (i, int(d[a:b].min()), int(d[a:b].max()))
-
-    def verify(self, raw: bytes, i: int, low: int, high: int) -> tuple[int, int, int] | None:
-        """(edits, start, end) of the item's best occurrence within the band, None if it needs more than its budget."""
-        pattern, k = self.items[i][1], int(self.edits[i])
-        first = max(low - k, 0)
-        text = raw[first : high + len(pattern) + k]
-        exact = text.find(pattern)
-        if exact >= 0:
-            return 0, first + exact, first + exact + len(pattern)
-        if k == 0:
-            return None
-        t, p = np.frombuffer(text, np.uint8), np.frombuffer(pattern, np.uint8)
-        # Row by row over the item; a cell is the cost of the item's prefix ending at that place of the text.
-        span = np.arange(len(t) + 1)
-        row, begin = np.zeros(len(t) + 1, np.int64), span.copy()
-        for c in p:
-            across, up = row[:-1] + (t != c), row[1:] + 1
-            inner = np.minimum(across, up)
-            origin = np.where(across <= up, begin[:-1], begin[1:])
-            cost = np.concatenate([[row[0] + 1], inner])
-            origin = np.concatenate([[begin[0]], origin])
-            # A gap along the text costs one a place: the running minimum of cost less place gives the best of them.
-            least = np.minimum.accumulate(cost - span)
-            source = np.maximum.accumulate(np.where(cost - span == least, span, 0))
-            row, begin = least + span, origin[source]
-        end = int(row.argmin())
-        return (int(row[end]), first + int(begin[end]), first + end) if row[end] <= k else None
+        low = int(diagonal.min())
+        band = (diagonal - low) // (2 * self.edits[item] + 1) + 1
+        span = int(band.max()) + 2
+        keys = item * span + band
+        every = np.sort(np.concatenate([keys, keys - 1]))
+        edges = groups(every)
+        count = np.diff(np.append(edges, len(every)))
+        passed = every[edges[count >= self.least[every[edges] // span]]]
+        if not len(passed):
+            return np.zeros((0, 3), np.int64)
+        # Of those that may pass, distinct places of the item count.
+        both = []
+        for k in (keys, keys - 1):
+            spot = np.minimum(np.searchsorted(passed, k), len(passed) - 1)
+            rows = np.flatnonzero(passed[spot] == k)
+            both.append(np.stack([k[rows], place[rows], diagonal[rows]]))
+        k, p, d = np.concatenate(both, axis=1)
+        order = np.lexsort((p, k))
+        k, p, d = k[order], p[order], d[order]
+        edges, different = groups(k), np.zeros(len(k), np.int64)
+        different[groups(k, p)] = 1
+        i = k[edges] // span
+        good = np.add.reduceat(different, edges) >= self.least[i]
+        return np.stack([i, np.minimum.reduceat(d, edges), np.maximum.reduceat(d, edges)], axis=1)[good]
 
     def search(self, raw: bytes) -> list[tuple[int, int, int, int]]:
         """(item place, edits, start, end): the best occurrence of each item that the text holds, the earliest of equals."""
+        rows = self.bands(raw)
         best: dict[int, tuple[int, int, int]] = {}
-        for i, low, high in self.bands(raw):
-            hit = self.verify(raw, i, low, high)
-            if hit and (i not in best or (hit[0], hit[1]) < best[i][:2]):
-                best[i] = hit
+        for i in np.unique(rows[:, 0]).tolist():
+            at = raw.find(self.items[i][1])
+            if at >= 0:
+                best[i] = 0, at, at + len(self.items[i][1])
+        rows = rows[[r not in best for r in rows[:, 0].tolist()]]
+        rows = rows[self.edits[rows[:, 0]] > 0]
+        if len(rows):
+            text = np.frombuffer(raw, np.uint8).astype(np.int16)
+            # Alike ones together, as many at a time as CELLS allow.
+            wide = self.sizes[rows[:, 0]] + rows[:, 2] - rows[:, 1] + 2 * self.edits[rows[:, 0]]
+            rows, wide = rows[np.argsort(wide, kind="stable")], np.sort(wide)
+            start = 0
+            while start < len(rows):
+                stop = start + 1
+                while stop < len(rows) and (stop + 1 - start) * int(wide[stop]) <= CELLS:
+                    stop += 1
+                for i, edits, a, b in self._aligned(text, rows[start:stop]):
+                    if i not in best or (edits, a) < best[i][:2]:
+                        best[i] = edits, a, b
+                start = stop
         return [(i, *hit) for i, hit in sorted(best.items())]
 
+    def _aligned(self, text: np.ndarray, rows: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(item, edits, start, end) of the best alignment of each (item, least, greatest diagonal) within its band, of those
+        that keep to the item's budget; all of them row by row together."""
+        item, edits = rows[:, 0], self.edits[rows[:, 0]]
+        size, first = self.sizes[item], rows[:, 1] - edits
+        width = rows[:, 2] + edits - first
+        m, w = int(size.max()), int(width.max())
+        pattern = np.full((len(rows), m), -2, np.int16)
+        for r, i in enumerate(item.tolist()):
+            pattern[r, : size[r]] = np.frombuffer(self.items[i][1], np.uint8)
+        # Beyond the text's ends stand signs that match nothing: each costs what leaving out one of the item's does.
+        padded = np.concatenate([np.full(m + w, -1, np.int16), text, np.full(2 * (m + w), -1, np.int16)])
+        window = np.lib.stride_tricks.sliding_window_view(padded, m + w)[np.clip(first + m + w, 0, len(text) + m + w)]
+        keep = self._shared(pattern, window, size, edits, w)
+        if not keep.any():
+            return []
+        pattern, window, item, edits, size, first, width = (x[keep] for x in (pattern, window, item, edits, size, first, width))
+        # A cell is the cost of the item's beginning that ends on that diagonal; it may start on any.
+        span = np.arange(w + 1, dtype=np.int32)
+        beyond = span > width[:, None]
+        cost, begin = np.where(beyond, m, 0).astype(np.int32), np.broadcast_to(span, (len(item), w + 1)).copy()
+        for j in range(m):
+            across = cost + (window[:, j : j + w + 1] != pattern[:, j, None]) if j + w + 1 <= m + w else None
+            up = np.concatenate([cost[:, 1:] + 1, np.full((len(item), 1), m + 1, np.int32)], axis=1)
+            origin = np.where(across <= up, begin, np.concatenate([begin[:, 1:], begin[:, -1:]], axis=1))
+            inner = np.minimum(across, up)
+            # A gap along the text costs one a place: the running minimum of cost less place gives the best of them.
+            least = np.minimum.accumulate(inner - span, axis=1)
+            source = np.maximum.accumulate(np.where(inner - span == least, span, 0), axis=1)
+            new, start = least + span, np.take_along_axis(origin, source, axis=1)
+            ended = (j >= size)[:, None]
+            cost, begin = np.where(ended, cost, new), np.where(ended, begin, start)
+        cost = np.where(beyond, m + 1, cost)
+        end = cost.argmin(axis=1)
+        each, n = np.arange(len(item)), len(text)
+        edits_of, start = cost[each, end], begin[each, end]
+        found = zip(item.tolist(), edits_of.tolist(), np.clip(first + start, 0, n).tolist(), np.clip(first + size + end, 0, n).tolist(), (edits_of <= edits).tolist(), strict=True)
+        return [(i, e, a, b) for i, e, a, b, good in found if good]
+
+    def _shared(self, pattern: np.ndarray, window: np.ndarray, size: np.ndarray, edits: np.ndarray, w: int) -> np.ndarray:
+        """Which rows meet the lemma's bound for q-grams of SHORT_Q too, anywhere in the band: much the sharper one."""
+        least = size - SHORT_Q + 1 - SHORT_Q * edits
+        code = lambda x: sum(x[:, i : x.shape[1] - SHORT_Q + 1 + i].astype(np.int64) << (9 * i) for i in range(SHORT_Q))
+        p, t = code(pattern + 2), code(window + 2)
+        met = np.zeros(p.shape, bool)
+        for d in range(w + 1):
+            part = t[:, d : d + p.shape[1]]
+            met[:, : part.shape[1]] |= p[:, : part.shape[1]] == part
+        met &= np.arange(p.shape[1]) <= (size - SHORT_Q)[:, None]
+        return met.sum(axis=1) >= least
+
 
 def blocks(items: list[tuple[int, bytes]], most: int) -> Iterator[list[tuple[int, bytes]]]:
     held, size = [], 0
@@ -182,7 +264,7 @@ def find(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block_ch
     spark = docs.sparkSession
     out = "doc_id long, item_id long, edits int, start long, end long, n_chars long"
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
-    # The query set in blocks: the driver holds one at a time.
+    # The query set in blocks, each a broadcast of bounded size; most benchmarks are one block.
     numbered = written(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL"), "benchmark")
     total = numbered.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, -(-2 * total // block_chars))
@@ -213,7 +295,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> Data
 
     Documents are told apart by id and text, so of rows that share an id only those that hold an item go.
     """
-    row = F.xxhash64("doc_id", "text")
+    row, own = F.xxhash64("doc_id", "text"), free_name(docs, "leaked")
     marked = docs.select(row.alias("doc_id"), "text")
-    hit = written(find(marked, benchmark, errors).select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
-    return docs.join(hit, row == F.col("leaked"), "left_anti")
+    hit = written(find(marked, benchmark, errors).select(F.col("doc_id").alias(own)).distinct(), "leaked")
+    return docs.join(hit, row == F.col(own), "left_anti")

@@ -36,6 +36,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or a longer one if df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 #: Entries of one generation and the longest key that Recent keeps.
 KEPT, LONGEST = 200_000, 64
 
@@ -60,7 +68,7 @@ class Recent(dict):
         return value
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (node, component), component the smallest node reachable.
 
     Alternating large-star and small-star rounds; each round's edges are checkpointed, so lineage stays short.
@@ -74,7 +82,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         .checkpoint()
     )
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Large star: every larger neighbour of u is tied to the least of u's neighbourhood.

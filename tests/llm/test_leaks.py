@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import numpy as np
 
@@ -81,6 +82,64 @@ def test_long_documents_and_parts(monkeypatch):
         assert [i for i, *_ in index.search(body[:at] + item + body[at:])] == [0]
 
 
+def test_an_opening_that_all_items_share():
+    rng = np.random.default_rng(8)
+    opening = b"which of the following statements about the given subject is true x"
+    items = [(i, opening + rng.choice(np.frombuffer(b"abcdefghij klmnop", np.uint8), 90).tobytes()) for i in range(1500)]
+    index = leaks.Index(items, 0.1)
+    index.search(opening)
+    began = time.process_time()
+    assert index.search(opening * 20) == []
+    assert time.process_time() - began < 2.5
+    body = opening * 10 + items[700][1][:100] + b"?" + items[700][1][101:] + opening * 10
+    assert [(i, n) for i, n, *_ in index.search(body)] == [(700, 1)]
+
+
+def test_repetitive_texts():
+    index = leaks.Index([(1, b"a" * 60), (2, b"ab" * 40 + b"c"), (3, b"na na na na na na na na batman")], 0.1)
+    assert [i for i, *_ in index.search(b"a" * 5000)] == [0]
+    assert [i for i, *_ in index.search(b"ab" * 3000 + b"c")] == [1]
+    assert [(i, n) for i, n, *_ in index.search(b"na " * 900 + b"badman")] == [(2, 1)]
+    assert index.search(b"na " * 900) == []
+
+
+def test_cut_off_at_the_ends():
+    item = b"a passage that is cut off at the very beginning or at the very end of a document"
+    index = leaks.Index([(1, item)], 0.1)
+    assert [n for _, n, *_ in index.search(item[5:] + b" and more")] == [5]
+    assert [n for _, n, *_ in index.search(b"some and " + item[:-6])] == [6]
+    assert index.search(item[9:]) == []
+
+
+def test_the_query_finds_edited_passages(spark, tmp_path):
+    from loomline.llm.queries import op9_leaks
+
+    rng = random.Random(3)
+    items = [(r.item_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()]
+    bodies = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
+    docs = [(d, bodies[d][:300] + " " + edited(rng, leaks.canonical(items[d % 40][1]).decode(), rng.randint(0, 14)) + " " + bodies[d][300:600]) for d in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): r.edits for r in op9_leaks(spark, str(tmp_path)).collect()}
+    index = leaks.Index([(i, leaks.canonical(t)) for i, t in items], leaks.ERRORS)
+    want = {}
+    for d, text in docs:
+        own = d % 40
+        for k in {own, (own + 1) % 40}:
+            n = distance(index.items[k][1], leaks.canonical(text))
+            if n <= index.edits[k]:
+                want[d, items[k][0]] = n
+    assert {k: n for k, n in got.items() if k in want or k[1] == items[k[0] % 40][0]} == want
+    assert sum(n > 0 for n in want.values()) > 20
+
+
+def test_clean_where_columns_clash(spark):
+    docs = spark.createDataFrame([(1, "clean words here", 1), (2, "x the passage of a benchmark y", 2)], "doc_id long, text string, leaked int")
+    bench = spark.createDataFrame([(1, "the passage of a benchmark")], "item_id long, text string")
+    kept = leaks.clean(docs, bench)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "clean words here", 1)]
+
+
 def test_odd_rows(spark):
     item = "A passage of the benchmark, which documents must not hold."
     docs = spark.createDataFrame(
