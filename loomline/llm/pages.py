@@ -1,9 +1,10 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into text blocks at block-level tags. The first pass decides each block from its length, link density
-and stop-word density; headings and short blocks stay open. The second pass gives an open block the label of its
-nearest decided neighbours. What stands in a container that pages use for anything but the article (navigation,
-adverts, comments, ...) is boilerplate whatever its words; inside an article or main element prose needs no stop words.
+A page is cut into text blocks at block-level tags. What stands in a container that pages use for anything but the
+article (navigation, adverts, comments, ...) is furniture and goes. The first pass decides the other blocks from their
+length, link density and stop-word density; headings, short blocks and those between the bounds stay open. The second pass
+gives an open block the label of its nearest decided neighbours. An article or main element is one feature more: links
+alone don't decide against a block in it, and its blocks have their neighbours there.
 """
 
 from __future__ import annotations
@@ -51,8 +52,9 @@ MARKS = re.compile(
 )
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""\shidden(?=[\s>/=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<[!?][^>]*>""", re.S)
-END_OF_RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+# A tag that isn't closed ends at the next one or at the page's end, so that no part of a broken page is read again and again.
+TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(/?)([a-zA-Z][^\s/<>]*)((?:"[^"]*"|'[^']*'|[^'"<>]++|["'])*?)(?:>|(?=<)|$)|<[!?][^<>]*+>?""", re.S)
+END_OF_RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^<>]*+>?", re.I) for name in RAW}
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 #: Defaults of the first pass: characters of a short and of a long block, stop-word densities, link density.
@@ -68,18 +70,20 @@ def is_furniture(name: str, attributes: str, in_article: bool) -> bool:
 
 
 class Block:
-    __slots__ = ("article", "furniture", "heading", "label", "linked", "parts")
+    __slots__ = ("article", "furniture", "heading", "linked", "parts")
 
     def __init__(self, article: bool, furniture: bool, heading: bool):
         self.parts: list[str] = []
         self.article, self.furniture, self.heading = article, furniture, heading
-        self.linked, self.label = 0, ""
+        self.linked = 0
 
 
 def blocks(page: str) -> list[tuple[Block, str]]:
     """The page's text blocks in order, with their text: references decoded, each run of white space one space."""
     found: list[Block] = []
     open_tags: list[tuple[str, bool, bool]] = []  # name, furniture from here on, article from here on
+    n_open: dict[str, int] = {}
+    headless = False  # no end of a head was found from here on
     current: Block | None = None
     link = 0
     heading = False
@@ -115,8 +119,11 @@ def blocks(page: str) -> list[tuple[Block, str]]:
         if name in END_OF_RAW and not closing:
             if m[3].endswith("/") and name in ("svg", "math"):
                 continue
+            if headless and name == "head":
+                continue
             end = END_OF_RAW[name].search(page, at)
             if end is None and name == "head":
+                headless = True
                 continue
             at = size if end is None else end.end()
             continue
@@ -128,77 +135,79 @@ def blocks(page: str) -> list[tuple[Block, str]]:
             heading = not closing
         if name in BLOCK and name not in VOID:
             if closing:
-                depth = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == name), None)
-                if depth is not None:
-                    del open_tags[depth:]
+                while n_open.get(name):
+                    n_open[last := open_tags.pop()[0]] -= 1
+                    if last == name:
+                        break
                 link = 0
             else:
                 while name in CLOSED_BY_NEXT and open_tags and open_tags[-1][0] == name:
-                    open_tags.pop()
+                    n_open[open_tags.pop()[0]] -= 1
                 above = open_tags[-1] if open_tags else ("", False, False)
-                if name not in CLOSED_BY_NEXT or is_furniture(name, m[3], above[2]):
-                    open_tags.append((name, above[1] or is_furniture(name, m[3], above[2]), above[2] or name in ("article", "main")))
+                furniture = is_furniture(name, m[3], above[2])
+                if name not in CLOSED_BY_NEXT or furniture:
+                    open_tags.append((name, above[1] or furniture, above[2] or name in ("article", "main")))
+                    n_open[name] = n_open.get(name, 0) + 1
     texts = ((b, " ".join(entities.unescape("".join(b.parts)).split())) for b in found)
     return [(b, t) for b, t in texts if t]
 
 
 def first_pass(block: Block, text: str) -> str:
-    """good, bad, or open: a heading or a block too short or too mixed to tell."""
-    if block.furniture:
-        return "bad"
-    if block.linked / len(text) > LINKS and not block.article:
-        return "bad"
+    """good, bad, near (open, but with the look of prose) or open: too short or too mixed to tell."""
+    links = block.linked / len(text)
+    if links > LINKS:
+        return "open" if block.article else "bad"
     if block.heading:
         return "open"
     words = WORD.findall(text)
     stops = sum(w.lower() in STOP_WORDS for w in words) / len(words) if words else 0.0
-    if block.article:
-        return "good" if len(text) >= SHORT or stops >= STOP_LOW else "open"
     if len(text) < SHORT:
-        return "bad" if block.linked else "open"
-    if stops >= STOP_HIGH:
-        return "good" if len(text) > LONG else "near"
-    return "near" if stops >= STOP_LOW else "bad"
-
-
-def second_pass(labels: list[str], article: list[bool]) -> list[bool]:
-    """Whether each block is kept. An open block takes the label of its nearest decided neighbours: of the article's
-    where it stands in one, good if both sides are good, or if they differ and the block is nearly good itself or
-    nearer to the good side; a page without decided blocks keeps what its article has open."""
+        return "open" if block.article or not block.linked else "bad"
+    if stops >= STOP_HIGH and len(text) > LONG:
+        return "good"
+    # Prose of which the list has few words is told from debris by its length and by having no links.
+    return "near" if stops >= STOP_LOW or len(text) > LONG and not links else "open" if block.article or not block.linked else "bad"
+
+
+def second_pass(labels: list[str]) -> list[bool]:
+    """Whether each of a row of neighbours is kept. An open block takes the label of its nearest decided neighbours: it stays
+    if both sides are good or the only side is, and, if they differ, where it is near or not further from the good one. Where
+    no block is good, near ones count as good; where none is decided either way all stay."""
+    if "good" not in labels:
+        labels = ["good" if x == "near" else x for x in labels]
     n = len(labels)
     before: list[int | None] = [None] * n
     after: list[int | None] = [None] * n
-    last = None
-    for i in range(n):
-        before[i] = last
-        if labels[i] in ("good", "bad"):
-            last = i
-    last = None
-    for i in range(n - 1, -1, -1):
-        after[i] = last
-        if labels[i] in ("good", "bad"):
-            last = i
+    for places, sides in ((range(n), before), (range(n - 1, -1, -1), after)):
+        last = None
+        for i in places:
+            sides[i] = last
+            if labels[i] in ("good", "bad"):
+                last = i
     kept = []
-    for i, label in enumerate(labels):
-        if label in ("good", "bad") or article[i]:
-            kept.append(label != "bad")
+    for label, i, b, a in zip(labels, range(n), before, after, strict=True):
+        if label in ("good", "bad"):
+            kept.append(label == "good")
             continue
-        b, a = before[i], after[i]
-        good_before, good_after = b is not None and labels[b] == "good", a is not None and labels[a] == "good"
-        if good_before and good_after:
-            kept.append(True)
-        elif not good_before and not good_after:
-            kept.append(label == "near" and b is None and a is None)
+        sides = {labels[x] for x in (b, a) if x is not None}
+        if len(sides) < 2:
+            kept.append("bad" not in sides)
         else:
-            kept.append(label == "near" or (i - b <= a - i if good_before and a is not None else (a - i <= i - b if b is not None and a is not None else True)))
+            good, bad = (b, a) if labels[b] == "good" else (a, b)
+            kept.append(label == "near" or abs(good - i) <= abs(bad - i))
     return kept
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = blocks(page)
-    kept = second_pass([first_pass(b, t) for b, t in found], [b.article for b, _ in found])
+    found = [(b, t) for b, t in blocks(page) if not b.furniture]
+    # The article's blocks are each other's neighbours, and so are the others.
+    kept = [False] * len(found)
+    for inside in (True, False):
+        own = [i for i, (b, _) in enumerate(found) if b.article == inside]
+        for i, keep in zip(own, second_pass([first_pass(*found[i]) for i in own]), strict=True):
+            kept[i] = keep
     return "\n\n".join(t for (_, t), keep in zip(found, kept, strict=True) if keep)
 
 

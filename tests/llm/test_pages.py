@@ -1,5 +1,9 @@
 import html
 import re
+import time
+
+import pyarrow.parquet as pq
+import pytest
 
 from loomline.llm import pages
 
@@ -38,10 +42,31 @@ def test_text_rules():
 
 
 def test_second_pass_takes_the_nearest_label():
-    assert pages.second_pass(["good", "open", "good"], [False] * 3) == [True] * 3
-    assert pages.second_pass(["bad", "open", "bad"], [False] * 3) == [False] * 3
-    assert pages.second_pass(["good", "open", "open", "open", "bad"], [False] * 5) == [True, True, True, False, False]
-    assert pages.second_pass([], []) == []
+    assert pages.second_pass(["good", "open", "good"]) == [True] * 3
+    assert pages.second_pass(["bad", "open", "bad"]) == [False] * 3
+    assert pages.second_pass(["good", "open", "open", "open", "bad"]) == [True, True, True, False, False]
+    assert pages.second_pass(["bad", "near", "open", "bad", "open"]) == [False, True, True, False, False]
+    assert pages.second_pass(["open", "open"]) == [True, True] and pages.second_pass([]) == []
+
+
+@pytest.mark.parametrize("tag", ["div", "section", 'div class="text"', "td"])
+def test_the_same_without_an_article_element(tag):
+    rows = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column("html").to_pylist()
+    renamed = lambda h: h.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag.split()[0]}>")
+    assert sum(pages.main_text(renamed(h)) != plain(h) for h in rows) == 0 and len(rows) == 250
+
+
+def test_density_decides_without_telling_names():
+    links = "".join(f"<li><a href=/{i}>A link with some words {i}</a></li>" for i in range(9))
+    page = f"<body><div><ul>{links}</ul></div><div><h2>On a subject</h2><p>{PROSE}</p><p>So it was.</p><p>{PROSE}</p></div><div><p><a href=/x>Next</a></p><p><a href=/y>Previous</a></p></div></body>"
+    assert pages.main_text(page).split("\n\n") == ["On a subject", PROSE.strip(), "So it was.", PROSE.strip()]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>", "<head>", "<div></section>", "</script ", "<a '", '<a "<b \'', "<!--", "<", "<p class=", "<![CDATA[", "&#"])
+def test_broken_markup_takes_linear_time(part):
+    began = time.process_time()
+    pages.main_text(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 5
 
 
 def test_odd_rows(spark):
