@@ -2,14 +2,17 @@
 
 A document's lines are cut into chunks where their content says so: after a line at which the rolling hash over the
 hashes of the last lines has its low bits zero, and around a long line. Inserting or deleting lines shifts no boundary
-beyond the next few lines, so what documents share falls into the same chunks. Chunks whose hash occurs more than once
-are compared byte for byte with their first occurrence; all others that equal it are removed.
+beyond the next few lines, so what documents share falls into the same chunks. A passage's first and last lines may share
+a chunk with what stands beside them; so that they go too, the shortest run of lines from each line on that has the words
+of a long line is looked up as well. Chunks and runs whose hash occurs more than once are compared byte for byte with
+their first occurrence; the lines of all others that equal it are removed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomline.llm.shared import written
 
@@ -32,7 +35,7 @@ def count(text: Column, sign: str) -> Column:
 
 
 def with_chunks(rows: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, long_line: int = LONG_LINE) -> DataFrame:
-    """rows with chunks for their array of lines: structs of first (from 1), n, full (lines that aren't blank),
+    """rows with chunks and runs for their array of lines: structs of first (from 1), n, full (lines that aren't blank),
     words and hash.
 
     Each step is a column of its own that the next refers to more than once, so that nothing is computed anew for each
@@ -40,11 +43,13 @@ def with_chunks(rows: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, l
     """
     marked = rows.withColumns(
         {
-            "hashes": F.transform("lines", lambda x: F.pmod(F.xxhash64(x), F.lit(2147483647))),
+            "own": F.transform("lines", lambda x: F.xxhash64(x)),
             "spaces": F.transform("lines", lambda x: count(x, " ")),
             "blank": F.transform("lines", lambda x: F.trim(x) == ""),
         }
     )
+    marked = marked.withColumn("hashes", F.transform("own", lambda x: F.pmod(x, F.lit(2147483647))))
+    marked = marked.withColumn("weights", F.zip_with("spaces", "blank", lambda n, empty: F.when(empty, 0).otherwise(n + 1)))
     hashes = F.col("hashes")
     rolled = hashes
     for k in range(1, window):
@@ -60,24 +65,36 @@ def with_chunks(rows: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, l
     ended = ended.withColumn("starts", starts)
 
     def chunk(s: Column, e: Column) -> Column:
-        own = F.slice("lines", s, e - s + 1)
         full = F.size(F.filter(F.slice("blank", s, e - s + 1), lambda x: ~x))
         words = F.aggregate(F.slice("spaces", s, e - s + 1), F.lit(0), lambda total, x: total + x + 1)
-        return F.struct(s.alias("first"), (e - s + 1).alias("n"), full.alias("full"), words.alias("words"), F.xxhash64(F.array_join(own, "\n")).alias("hash"))
+        return F.struct(s.alias("first"), (e - s + 1).alias("n"), full.alias("full"), words.alias("words"), F.xxhash64(F.slice("own", s, e - s + 1)).alias("hash"))
 
-    return ended.withColumn("chunks", F.zip_with("starts", "ends", chunk)).drop("hashes", "spaces", "blank", "ends", "starts")
+    def reach(i: Column) -> Column:
+        none = F.struct(F.lit(0).alias("words"), F.lit(0).alias("n"))
+        more = lambda r, x: F.when(r["words"] >= long_line, r).otherwise(F.struct((r["words"] + x).alias("words"), (r["n"] + 1).alias("n")))
+        return F.struct(i.alias("first"), F.aggregate(F.slice("weights", i, long_line), none, more).alias("run"))
 
+    several = F.when(F.size("lines") > 1, F.sequence(F.lit(1), F.size("lines"))).otherwise(F.array().cast("array<int>"))
+    ended = ended.withColumn("reaches", F.filter(F.transform(several, reach), lambda r: (r["run"]["words"] >= long_line) & (r["run"]["n"] > 1)))
+    run = lambda r: F.struct(r["first"].alias("first"), r["run"]["n"].alias("n"), r["run"]["n"].alias("full"), r["run"]["words"].alias("words"), F.xxhash64(F.slice("own", r["first"], r["run"]["n"])).alias("hash"))
+    cut = ended.withColumns({"chunks": F.zip_with("starts", "ends", chunk), "runs": F.transform("reaches", run)})
+    return cut.drop("own", "hashes", "spaces", "weights", "blank", "ends", "starts", "reaches")
 
-def split(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_hash and lines of each row; a text without a newline has one line, a null text null."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.split(F.col(text), "\n").alias("lines"))
 
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
 
-def occurrences(docs: DataFrame, min_lines: int, min_words: int, long_line: int = LONG_LINE, **cut: int) -> DataFrame:
-    """(doc_id, text_hash, first, n, hash) of each chunk long enough to be removed; words are told by spaces."""
-    cuts = with_chunks(split(docs.where("text IS NOT NULL")), long_line=long_line, **cut)
+
+def split(rows: DataFrame) -> DataFrame:
+    """rows with their text's lines instead of it; a text without a newline has one line, a null text null."""
+    return rows.withColumn("lines", F.split("text", "\n")).drop("text")
+
+
+def occurrences(rows: DataFrame, min_lines: int, min_words: int, long_line: int = LONG_LINE, **cut: int) -> DataFrame:
+    """(doc_id, text_hash, first, n, hash) of each chunk or run long enough to be removed; words are told by spaces."""
+    cuts = with_chunks(split(rows.where("text IS NOT NULL")), long_line=long_line, **cut)
     # An outer explode: no filter on the chunks is then derived and computed below, a second and third time.
-    each = cuts.select("doc_id", "text_hash", F.explode_outer("chunks").alias("c")).select("doc_id", "text_hash", "c.*")
+    each = cuts.select("doc_id", "text_hash", F.explode_outer(F.concat("chunks", "runs")).alias("c")).select("doc_id", "text_hash", "c.*")
     each = each.where((F.col("words") >= long_line) | ((F.col("full") >= min_lines) & (F.col("words") >= min_words)))
     return each.select("doc_id", "text_hash", "first", "n", "hash")
 
@@ -88,35 +105,50 @@ def on_document(rows: DataFrame, marks: DataFrame, how: str) -> DataFrame:
     return rows.join(m, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("id_hash")), how).drop("id", "id_hash")
 
 
-def repeats(rows: DataFrame, docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, **cut: int) -> DataFrame:
-    """(doc_id, text_hash, gone): the chunks (first, n) of each document that repeat an earlier one: all but the occurrence
-    with the least (doc_id, text_hash, first), whose bytes they equal. rows are the documents' lines."""
-    found = written(occurrences(docs, min_lines, min_words, **cut).distinct(), "chunks")
+def repeats(rows: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, **cut: int) -> DataFrame:
+    """(doc_id, text_hash, gone): stretches of lines (first, n) of each document that lie in chunks or runs which repeat an
+    earlier one: all but the occurrence with the least (doc_id, text_hash, first), whose bytes they equal. Each line that
+    goes thus equals one at an earlier place, so some place keeps it."""
+    found = written(occurrences(rows, min_lines, min_words, **cut), "chunks")
     place = F.struct("doc_id", "text_hash", "first")
-    hot = found.select("hash", place.alias("place")).groupBy("hash").agg(F.count(F.lit(1)).alias("times"), F.min("place").alias("origin")).where("times > 1")
-    marked = found.join(written(hot.select("hash", "origin"), "repeated-chunks"), "hash").withColumn("is_origin", place.eqNullSafe(F.col("origin")))
-    marked = written(marked.select("doc_id", "text_hash", "first", "n", "hash", "is_origin"), "marked-chunks")
-    # Only now do bytes move, and only those of chunks whose hash repeats.
-    listed = marked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "n", "hash", "is_origin")).alias("marks"))
-    body = lambda m: F.struct(m["first"].alias("first"), m["hash"].alias("hash"), m["is_origin"].alias("is_origin"), F.array_join(F.slice("lines", m["first"], m["n"]), "\n").alias("body"))
-    bodies = on_document(rows, listed, "inner").select("doc_id", "text_hash", F.explode_outer(F.transform("marks", body)).alias("m")).select("doc_id", "text_hash", "m.*")
-    origins = bodies.where("is_origin").groupBy("hash").agg(F.min("body").alias("origin_body"))
-    unlike = bodies.where(~F.col("is_origin")).join(origins, "hash").where(F.col("body") != F.col("origin_body")).select("doc_id", "text_hash", "first")
-    copies = marked.where(~F.col("is_origin")).select("doc_id", "text_hash", "first", "n")
-    same = copies.join(unlike.toDF("id", "id_hash", "at"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("id_hash")) & (F.col("first") == F.col("at")), "left_anti")
-    return same.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("first", "n"))).alias("gone"))
+    spot = F.xxhash64("doc_id", "text_hash", "first")
+    # Rows equal in id and text have equal places. Narrow figures tell which hashes repeat; only their places move.
+    hot = written(found.groupBy("hash").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("hash"), "repeated-hashes")
+    again = written(found.join(hot, "hash", "left_semi"), "repeated-chunks")
+    origins = written(again.groupBy("hash").agg(F.min(place).alias("origin")), "origins")
+    marked = written(again.join(origins, "hash").withColumn("is_origin", place == F.col("origin")).drop("origin").distinct(), "marked-chunks")
+    # Only now do bytes move, and only those of chunks whose hash repeats: grouped by hash and bytes, those of one chunk
+    # meet in one row a task before any of them is sent.
+    listed = marked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "n", "hash")).alias("marks"))
+    body = lambda m: F.struct(m["first"].alias("first"), m["n"].alias("n"), m["hash"].alias("hash"), F.array_join(F.slice("lines", m["first"], m["n"]), "\n").alias("body"))
+    bodies = split(on_document(rows, listed, "inner")).select("doc_id", "text_hash", F.explode_outer(F.transform("marks", body)).alias("m")).select("doc_id", "text_hash", "m.*")
+    clashing = written(bodies.select("hash", "body").distinct().groupBy("hash").agg(F.count(F.lit(1)).alias("bodies")).where("bodies > 1").select("hash"), "clashing-hashes")
+    copies = marked.where(~F.col("is_origin"))
+    if not clashing.isEmpty():  # different bytes under one hash: each has its own first occurrence
+        own = bodies.join(clashing, "hash", "left_semi")
+        firsts = own.groupBy("hash", "body").agg(F.min(place).alias("origin"))
+        apart = own.join(firsts, ["hash", "body"]).where(place != F.col("origin"))
+        columns = ["doc_id", "text_hash", "first", "n"]
+        copies = copies.join(clashing, "hash", "left_anti").select(*columns).unionByName(apart.select(*columns))
+    # Stretches that touch or overlap become one.
+    ahead = Window.partitionBy("doc_id", "text_hash").orderBy("first", "n")
+    reached = F.max(F.col("first") + F.col("n")).over(ahead.rowsBetween(Window.unboundedPreceding, -1))
+    told = copies.select("doc_id", "text_hash", "first", "n").withColumn("new", F.coalesce(F.col("first") > reached, F.lit(True)).cast("int"))
+    numbered = told.withColumn("stretch", F.sum("new").over(ahead))
+    joined = numbered.groupBy("doc_id", "text_hash", "stretch").agg(F.min("first").alias("first"), F.max(F.col("first") + F.col("n")).alias("until"))
+    return joined.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("first", (F.col("until") - F.col("first")).alias("n")))).alias("gone"))
 
 
 def dedup(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, **cut: int) -> DataFrame:
     """(doc_id, text, n_lines, n_removed_lines, n_removed_chunks) for each row of docs (doc_id, text).
 
-    text lacks the lines of chunks that repeat an earlier one, and is unchanged where none does; the earliest occurrence
-    stays. A null text stays null, with no lines; an empty one has one line. Rows equal in id and text are the same
+    text lacks the lines of chunks and runs that repeat an earlier one, and is unchanged where none does; of each line
+    that goes an earlier occurrence stays. n_removed_chunks counts stretches of lines. A null text stays null, with no lines; an empty one has one line. Rows equal in id and text are the same
     document and don't repeat each other, but a chunk that a document repeats within itself goes like any other. A document
     all of whose lines go has the empty text. An empty table gives an empty result; other columns are ignored.
     """
-    rows = split(docs)
-    both = on_document(rows, repeats(rows, docs, min_lines, min_words, **cut), "left")
+    rows = keyed(docs)
+    both = split(on_document(rows, repeats(rows, min_lines, min_words, **cut), "left"))
     # What stays lies between the removed chunks: from behind each to the next, the first from line 1.
     froms = F.concat(F.array(F.lit(1)), F.transform("gone", lambda g: g["first"] + g["n"]))
     untils = F.concat(F.transform("gone", lambda g: g["first"] - 1), F.array(F.size("lines")))
