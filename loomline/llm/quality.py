@@ -7,25 +7,25 @@ People's labels, where documents have them, vote as one more labeller whose accu
 Posteriors of a bounded sample, with and without people's labels, train a linear model over hashed words and word
 beginnings, which then scores every document.
 
-Words here are runs without white space; all that is known of a word is worked out once and kept for its next
-occurrences, within bounds. A document's features are those of its distinct words.
+Words here are runs without white space. A batch of texts is worked on at once: each of its different words is looked at
+once, all of them column by column, and a document's figures are sums over its words. A document's features are those of
+its distinct words.
 """
 
 from __future__ import annotations
 
 import itertools
-import operator
-import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm.pages import STOP_WORDS
-from loomline.llm.shared import Recent, least_hashed, written
+from loomline.llm.shared import least_hashed, written
 
 #: Documents that the scorer and the telling features are fitted on at most: those with the least hash. Of labelled ones
 #: up to the first share; of others a third as many as labelled ones, but at least the second share.
@@ -45,85 +45,181 @@ CUT = 0.5
 ABUSE = frozenset(
     "idiot idiots moron morons scum clown pathetic worthless loser losers stupid trash disgusting dumb imbecile bastard bitch shit fuck fucking asshole retard whore slut".split()
 )
-BARS = frozenset("| / > - * • ·".split())
-SIGNS = "%$&*#|=~^<>{}\\"
-RUN = re.compile(r"[^\W\d_]+")
+BARS, SIGNS = "|/>-*•·", "%$&*#|=~^<>{}\\"
 JUNK = ("symbols", "letters", "repetition", "variety", "capitals", "stop_words", "separators", "person")
 TOXIC = ("abuse", "telling", "person")
-BAR, STOP, LONG, UPPER, ABUSIVE, TELLS = (1 << i for i in range(6))
-#: Which of the six marks each combination has.
-MARKS = (np.arange(64)[:, None] >> np.arange(6)) & 1
-
-
-def hashed(name: str) -> int:
-    return xxhash.xxh32_intdigest(name.encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1)
-
-
-def word_features(word: str) -> list[int]:
-    """Hashes of the word's runs of letters, in lower case, and of their beginnings."""
-    runs = RUN.findall(word.lower())
-    return [hashed(r) for r in runs] + [hashed(f"^{r[:k]}") for r in runs for k in BEGINNINGS if len(r) >= k]
-
-
-def text_features(words: list[str], junk: tuple[int, ...]) -> list[int]:
-    """Features of a text's distinct words, once for each word that has them, and of the labellers' votes on its shape."""
-    of_words = itertools.chain.from_iterable(map(word_features, set(words)))
-    return [*of_words, *shape_features(junk)]
-
-
-def shape_features(junk: tuple[int, ...]) -> list[int]:
-    return [hashed(f" {i}={v}") for i, v in enumerate(junk) if v >= 0]
-
-
-def vote(value: float, bad: float, fine: float) -> int:
-    """1 from the bound of bad values on, 0 up to that of fine ones, -1 between; either bound may be the greater."""
+#: Characters of texts that a batch has, or one longer text.
+BATCH_CHARS = 1 << 21
+LETTER, UPPER, LOWER, SIGN, BAR = (1 << i for i in range(5))
+# An odd number and its inverse modulo 2 ** 64: powers of one undo those of the other.
+STEP = 0x9E3779B97F4A7C15
+BACK = pow(STEP, -1, 1 << 64)
+
+
+@lru_cache(maxsize=1)
+def code_points() -> tuple[np.ndarray, np.ndarray]:
+    """What each code point below 2 ** 16 is, and its lower case where that is one such code point; the last two stand
+    for those beyond."""
+    kinds, lower = np.zeros(1 << 16, np.uint8), np.arange(1 << 16, dtype=np.uint32)
+    for c in range(1 << 16):
+        sign = chr(c)
+        kinds[c] = LETTER * sign.isalpha() | UPPER * sign.isupper() | LOWER * sign.islower() | SIGN * (sign in SIGNS) | BAR * (sign in BARS)
+        low = sign.lower()
+        if len(low) == 1 and ord(low) < 1 << 16:
+            lower[c] = ord(low)
+    kinds[-1] = LETTER
+    return kinds, lower
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def places(keys: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys are among known ones, which ascend, and which of these each is. Most keys aren't: their low bits tell."""
+    if not len(known):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low = known.dtype.type((1 << 20) - 1)
+    there = np.zeros(1 << 20, bool)
+    there[known & low] = True
+    maybe = np.flatnonzero(there[keys & low])
+    at = np.minimum(np.searchsorted(known, keys[maybe]), len(known) - 1)
+    sure = known[at] == keys[maybe]
+    return maybe[sure], at[sure]
+
+
+class Words:
+    """Figures of different words without white space, as columns: marks of each, and the hashed features of each."""
+
+    def __init__(self, words: list[str]):
+        kinds, lower = code_points()
+        n = self.n = len(words)
+        signs = np.frombuffer(("\n".join(words) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
+        signs = np.where(signs < 1 << 16, signs, np.where(signs < 1 << 17, 0xFFFE, 0xFFFF))  # mostly signs, then only letters
+        kind, low = kinds[signs], lower[signs].astype(np.uint64)
+        ends = np.flatnonzero(signs == 10)[:n]
+        size = np.diff(ends, prepend=-1) - 1
+        starts = ends - size
+        has = lambda what: np.add.reduceat((kind & what > 0).astype(np.int64), starts) if n else np.zeros(0, np.int64)
+        self.letters, self.signs = has(LETTER), has(SIGN)
+        self.long = size > 1
+        self.upper = self.long & (has(UPPER) > 0) & (has(LOWER) == 0)
+        self.bar = (size == 1) & (kind[starts] & BAR > 0)
+        # Runs of letters within the words, and the hashes of their beginnings by sums that powers of STEP tell apart.
+        letter = kind & LETTER > 0
+        first = np.flatnonzero(letter & ~np.append(False, letter[:-1]))
+        length = np.flatnonzero(letter & ~np.append(letter[1:], False)) - first + 1
+        self.run_word = np.searchsorted(ends, first)
+        with np.errstate(over="ignore"):
+            powers = np.cumprod(np.full(len(signs), STEP, np.uint64))
+            sums = np.append(np.uint64(0), np.cumsum((low + np.uint64(1)) * powers))
+            undo = np.cumprod(np.full(len(signs), BACK, np.uint64))[first]
+            of = lambda at, k: mixed((sums[first[at] + k] - sums[first[at]]) * undo[at])
+            self.run_hash = of(slice(None), length)
+            word, feature = [self.run_word], [self.run_hash]
+            for k in BEGINNINGS:
+                at = np.flatnonzero(length >= k)
+                word.append(self.run_word[at])
+                feature.append(mixed(of(at, k) + np.uint64(k)))
+        self.word = np.concatenate(word)
+        self.feature = (np.concatenate(feature) >> np.uint64(64 - BITS)).astype(np.int64)
+
+    def with_run(self, hashes: np.ndarray, only: bool = False) -> np.ndarray:
+        """Which words have one of these runs of letters, or, with only, no other."""
+        found = np.bincount(self.run_word[places(self.run_hash, np.sort(hashes))[0]], minlength=self.n) > 0
+        return found & (np.bincount(self.run_word, minlength=self.n) == 1) if only else found
+
+
+@lru_cache(maxsize=1)
+def known_runs() -> tuple[np.ndarray, np.ndarray, frozenset[int]]:
+    """Hashes of stop words and of words of abuse, and the features of the latter."""
+    abuse = Words(sorted(ABUSE))
+    return Words(sorted(STOP_WORDS)).run_hash, abuse.run_hash, frozenset(abuse.feature.tolist())
+
+
+def vote(value: np.ndarray, bad: float, fine: float, asked: np.ndarray | bool = True) -> np.ndarray:
+    """1 from the bound of bad values on, 0 up to that of fine ones, -1 between and where not asked; either bound may be
+    the greater."""
     if bad < fine:
         value, bad, fine = -value, -bad, -fine
-    return 1 if value >= bad else 0 if value <= fine else -1
-
-
-class Labellers:
-    """The heuristic labellers, with the telling features that one of them goes by."""
-
-    def __init__(self, telling: frozenset[int] = frozenset()):
-        self.telling = telling
-        self.marks = Recent(self.mark)
-
-    def mark(self, word: str) -> int:
-        """What the labellers know of a word, in bits: its marks, and above them its number of letters."""
-        low, letters = word.lower(), 0
-        runs = RUN.findall(word)
-        letters = sum(map(len, runs))
-        found = BAR * (word in BARS) | STOP * (low.strip(".,;:!?") in STOP_WORDS) | LONG * (len(word) > 1) | UPPER * (len(word) > 1 and word.isupper())
-        if not ABUSE.isdisjoint(RUN.findall(low)):
-            found |= ABUSIVE
-        if self.telling and not self.telling.isdisjoint(word_features(word)):
-            found |= TELLS
-        return letters << 6 | found
-
-    def __call__(self, text: str, words: list[str]) -> tuple[tuple[int, ...], tuple[int, ...]]:
-        """Votes on whether the text is junk, and on whether it is toxic: 1 yes, 0 no, -1 none."""
-        n, size = len(words), len(text)
-        if not n:
-            return (-1, 1, -1, -1, -1, -1, -1), (0, 0)
-        known = np.fromiter(map(self.marks.__getitem__, words), np.int64, n)
-        bars, stops, longs, uppers, abusive, tells = (np.bincount(known & 63, minlength=64) @ MARKS).tolist()
-        distinct = set(words)
-        same = sum(map(operator.eq, words, itertools.islice(words, 1, None)))
-        junk = (
-            vote(sum(map(text.count, SIGNS)) / size, 0.05, 0.01),
-            vote(int((known >> 6).sum()) / size, 0.6, 0.72),
-            vote(same / n, 0.2, 0.05) if n >= 5 else -1,
+    return np.where(asked, np.where(value >= bad, 1, np.where(value <= fine, 0, -1)), -1)
+
+
+def shape_features(junk: np.ndarray) -> np.ndarray:
+    """A feature for each vote on a text's shape, beyond those of words; -1 where there is none."""
+    return np.where(junk >= 0, (1 << BITS) + 2 * np.arange(junk.shape[1]) + junk, -1)
+
+
+class Batch:
+    """Some texts, their words and what the labellers and the scorer want to know of them."""
+
+    def __init__(self, texts: list[str]):
+        split = [t.split() for t in texts]
+        self.size, self.n = np.array([len(t) for t in texts]), np.array([len(w) for w in split], np.int64)
+        place: dict[str, int] = defaultdict(itertools.count().__next__)
+        ids = np.fromiter(map(place.__getitem__, itertools.chain.from_iterable(split)), np.int64, int(self.n.sum()))
+        self.ids, self.doc, self.words = ids, np.repeat(np.arange(len(texts)), self.n), Words(list(place))
+        pairs = np.sort(self.doc * max(len(place), 1) + ids)
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
+        self.pair_doc, self.pair_word = np.divmod(pairs, max(len(place), 1))
+
+    def total(self, marks: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc, marks[self.ids], len(self.n))
+
+    def votes(self, telling: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A row of votes for each text on whether it is junk, and on whether it is toxic: 1 yes, 0 no, -1 none."""
+        w, n = self.words, np.maximum(self.n, 1)
+        stop, abuse, _ = known_runs()
+        distinct = np.bincount(self.pair_doc, minlength=len(n))
+        same = (self.ids[1:] == self.ids[:-1]) & (self.doc[1:] == self.doc[:-1])
+        longs, size = self.total(w.long), np.maximum(self.size, 1)
+        junk = [
+            vote(self.total(w.signs) / size, 0.05, 0.01, self.n > 0),
+            vote(self.total(w.letters) / size, 0.6, 0.72),
+            vote(np.bincount(self.doc[1:][same], minlength=len(n)) / n, 0.2, 0.05, self.n >= 5),
             # A text of n words has fewer distinct ones for its length the longer it is.
-            vote(len(distinct) / n**0.8, 0.5, 0.7) if n >= 40 else -1,
-            vote(uppers / longs, 0.5, 0.1) if longs else -1,
-            vote(stops / n, 0.03, 0.08) if n >= 30 else -1,
-            vote(bars / n, 0.2, 0.02),
-        )
-        if tells:
-            tells = sum(bool(self.marks[w] & TELLS) for w in distinct)
+            vote(distinct / n**0.8, 0.5, 0.7, self.n >= 40),
+            vote(self.total(w.upper) / np.maximum(longs, 1), 0.5, 0.1, longs > 0),
+            vote(self.total(w.with_run(stop, only=True)) / n, 0.03, 0.08, self.n >= 30),
+            vote(self.total(w.bar) / n, 0.2, 0.02, self.n > 0),
+        ]
         # One telling word may be chance, several hardly are.
-        return junk, (int(abusive > 0), vote(tells, 2, 0))
+        tells = np.bincount(w.word[places(w.feature, telling)[0]], minlength=w.n) > 0
+        toxic = [(self.total(w.with_run(abuse)) > 0).astype(int), vote(np.bincount(self.pair_doc, tells[self.pair_word], len(n)), 2, 0)]
+        return np.stack(junk, axis=1), np.stack(toxic, axis=1)
+
+    def scores(self, features: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """For each text the sums of the weights, a row for each feature, of its words' features; features ascend."""
+        w, n = self.words, len(self.n)
+        at, which = places(w.feature, features)
+        found = np.zeros((n, weights.shape[1]))
+        for k in range(weights.shape[1]):
+            found[:, k] = np.bincount(self.pair_doc, np.bincount(w.word[at], weights[which, k], w.n)[self.pair_word], n)
+        return found
+
+    def features(self, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(text, feature) for each feature of each distinct word of a text, those of `among`, ascending, only."""
+        word, feature = self.words.word, self.words.feature
+        if among is not None:
+            has, _ = places(feature, among)
+            word, feature = word[has], feature[has]
+        order = np.argsort(word, kind="stable")
+        count = np.bincount(word, minlength=self.words.n)
+        each = count[self.pair_word]
+        at = np.repeat((np.cumsum(count) - count)[self.pair_word] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+        return np.repeat(self.pair_doc, each), feature[order][at]
+
+
+def in_batches(texts: list[str]) -> Iterator[tuple[int, int, Batch]]:
+    start = total = 0
+    for i, t in enumerate([*texts, ""]):
+        if i > start and (i == len(texts) or total + len(t) > BATCH_CHARS):
+            yield start, i, Batch(texts[start:i])
+            start, total = i, 0
+        total += len(t)
 
 
 def em(
@@ -187,39 +283,36 @@ def fit(rows: list[np.ndarray], targets: np.ndarray, features: int, rounds: int
 
 
 class Model:
-    """The labellers and the scorers' weights other than zero: by feature, junk's as the real and toxicity's as the
-    imaginary part of one number. All of bounded size."""
-
-    def __init__(self, telling: frozenset[int], weights: dict[int, complex], level: complex):
-        self.telling, self.weights, self.level = telling, weights, level
-
-    def scorer(self):
-        """A function from text to its chances of being junk and of being toxic."""
-        label = Labellers(self.telling)
-        of = Recent(lambda word: sum((self.weights.get(x, 0j) for x in word_features(word)), 0j))
-        shapes = {x: self.weights.get(x, 0j) for i in range(len(JUNK) - 1) for v in (0, 1) for x in [hashed(f" {i}={v}")]}
+    """The telling features and the scorers' weights other than zero: ascending features, for each a row of two weights, of
+    junk and of toxicity, and the two intercepts. All of bounded size."""
 
-        def score(text: str) -> tuple[float, float]:
-            words = text.split()
-            odds = self.level + sum(map(of.__getitem__, set(words)), 0j) + sum((shapes[x] for x in shape_features(label(text, words)[0])), 0j)
-            low, high = np.clip((odds.real, odds.imag), -30, 30)
-            return float(1 / (1 + np.exp(-low))), float(1 / (1 + np.exp(-high)))
+    def __init__(self, telling: np.ndarray, features: np.ndarray, weights: np.ndarray, level: np.ndarray):
+        self.telling, self.features, self.weights, self.level = telling, features, weights, level
 
-        return score
+    def chances(self, texts: list[str]) -> np.ndarray:
+        """A row for each text: its chances of being junk and of being toxic."""
+        found = np.zeros((len(texts), 2))
+        for a, b, batch in in_batches(texts):
+            shapes = shape_features(batch.votes(self.telling)[0])
+            at, which = places(shapes.ravel(), self.features)
+            odds = self.level + batch.scores(self.features, self.weights)
+            np.add.at(odds, at // shapes.shape[1], self.weights[which])
+            found[a:b] = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        return found
 
 
-def pattern(votes: tuple[int, ...]) -> str:
-    return ",".join(map(str, votes))
+def patterns(votes: np.ndarray) -> list[str]:
+    return [",".join(map(str, v)) for v in votes.tolist()]
 
 
-def voted(docs: DataFrame, telling: frozenset[int]) -> DataFrame:
+def voted(docs: DataFrame, telling: np.ndarray) -> DataFrame:
     """(doc_id, junk, toxic): the heuristic labellers' votes on each document (doc_id, text), as text."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        label = Labellers(telling)
-        for batch in batches:
-            found = [label(t, t.split()) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "junk": [pattern(a) for a, _ in found], "toxic": [pattern(b) for _, b in found]})
+        for rows in batches:
+            for a, b, batch in in_batches(list(rows["text"])):
+                junk, toxic = batch.votes(telling)
+                yield pd.DataFrame({"doc_id": rows["doc_id"].iloc[a:b], "junk": patterns(junk), "toxic": patterns(toxic)})
 
     return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, junk string, toxic string")
 
@@ -260,19 +353,18 @@ def frequencies(picked: DataFrame) -> pd.DataFrame:
     those that people have labelled; features of at least LEAST_DOCS."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        label, features = Labellers(), Recent(word_features)
-        for batch in batches:
-            sets = []
-            for text in batch["text"]:
-                words = text.split()
-                found = set(itertools.chain.from_iterable(map(features.__getitem__, set(words))))
-                found.update(shape_features(label(text, words)[0]))
-                sets.append(np.fromiter(found, np.int64, len(found)))
-            toxic = batch["toxic"].to_numpy(float)
-            size = [len(s) for s in sets]
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            ids, back, n = np.unique(flat, return_inverse=True, return_counts=True)
-            yield pd.DataFrame({"feature": ids, "n": n, "bad": np.bincount(back, np.repeat(toxic == 1, size), len(ids)).astype(int), "labelled": np.bincount(back, np.repeat(toxic >= 0, size), len(ids)).astype(int)})
+        none = np.zeros(0, np.int64)
+        for rows in batches:
+            for a, b, batch in in_batches(list(rows["text"])):
+                doc, feature = batch.features()
+                shapes = shape_features(batch.votes(none)[0])
+                doc = np.concatenate([doc, np.repeat(np.arange(len(shapes)), shapes.shape[1])[shapes.ravel() >= 0]])
+                feature = np.concatenate([feature, shapes[shapes >= 0]])
+                pairs = np.unique(doc << 32 | feature)
+                doc, feature = pairs >> 32, pairs & ((1 << 32) - 1)
+                toxic = rows["toxic"].iloc[a:b].to_numpy(float)
+                ids, back, n = np.unique(feature, return_inverse=True, return_counts=True)
+                yield pd.DataFrame({"feature": ids, "n": n, "bad": np.bincount(back, toxic[doc] == 1, len(ids)).astype(int), "labelled": np.bincount(back, toxic[doc] >= 0, len(ids)).astype(int)})
 
     counted = picked.select("text", "toxic").mapInPandas(each, "feature int, n long, bad long, labelled long")
     return counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "labelled")]).where(F.col("n") >= LEAST_DOCS).toPandas()
@@ -285,8 +377,8 @@ def train(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE) -> Mo
     picked = sampled(rows, known, sample)
     seen = frequencies(picked)
     often = np.sort(seen["feature"].to_numpy(np.int64))
-    telling = frozenset(seen["feature"][(seen["bad"] >= TELLING_DOCS) & (seen["bad"] >= TELLING_SHARE * seen["labelled"])].tolist())
-    telling -= {x for w in ABUSE for x in word_features(w)}  # labellers should err independently
+    telling = set(seen["feature"][(seen["bad"] >= TELLING_DOCS) & (seen["bad"] >= TELLING_SHARE * seen["labelled"])].tolist())
+    telling = np.array(sorted(telling - known_runs()[2]), np.int64)  # labellers should err independently
     # Votes are narrow; texts stay where they are. A pattern is one of three votes to the number of labellers, so that
     # their table is bounded.
     cast = voted(rows, telling).join(known.select("doc_id", "quality", F.col("toxic").alias("toxic_label")), "doc_id", "left")
@@ -298,18 +390,21 @@ def train(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE) -> Mo
     junk_post, toxic_post = em(tables[0], UNLABELLED)[-1], em(tables[1], UNLABELLED)[-1]
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        label = Labellers(telling)
-        for batch in batches:
-            at, junk, toxic = [], [], []
-            for text, quality, bad in zip(batch["text"], batch["quality"], batch["toxic"], strict=True):
-                words = text.split()
-                a, b = label(text, words)
-                junk.append(junk_post[(*a, -1 if pd.isna(quality) else 1 - int(quality))])
-                toxic.append(toxic_post[(*b, -1 if pd.isna(bad) else int(bad))])
-                found = np.array(text_features(words, a), np.int64)
-                place = np.minimum(np.searchsorted(often, found), max(len(often) - 1, 0))
-                at.append(np.sort(place[often[place] == found]) if len(often) else place[:0])
-            yield pd.DataFrame({"at": at, "junk": junk, "toxic": toxic})
+        for rows in batches:
+            for a, b, batch in in_batches(list(rows["text"])):
+                junk, toxic = batch.votes(telling)
+                doc, feature = batch.features(often)
+                shapes = shape_features(junk)
+                doc = np.concatenate([doc, np.repeat(np.arange(len(shapes)), shapes.shape[1])])
+                feature = np.concatenate([feature, shapes.ravel()])
+                has, _ = places(feature, often)
+                order = np.lexsort((feature[has], doc[has]))
+                cuts = np.searchsorted(doc[has][order], np.arange(1, b - a))
+                at = np.split(np.searchsorted(often, feature[has][order]).astype(np.int32), cuts)
+                person = lambda c, sign: [-1 if pd.isna(x) else sign(int(x)) for x in rows[c].iloc[a:b]]  # noqa: B023, E731
+                junk = [junk_post[(*v, p)] for v, p in zip(junk.tolist(), person("quality", lambda x: 1 - x), strict=True)]
+                toxic = [toxic_post[(*v, p)] for v, p in zip(toxic.tolist(), person("toxic", int), strict=True)]
+                yield pd.DataFrame({"at": at, "junk": junk, "toxic": toxic})
 
     def fitted(group: pd.DataFrame) -> pd.DataFrame:
         at = [np.asarray(x, np.int32) for x in group["at"]]
@@ -320,10 +415,11 @@ def train(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE) -> Mo
 
     # One task fits: at most `sample` documents, each with features that LEAST_DOCS of them share.
     sets = picked.mapInPandas(featured, "at array<int>, junk double, toxic double").withColumn("fit", F.lit(0))
-    weights = sets.groupBy("fit").applyInPandas(fitted, "place int, junk double, toxic double").toPandas()
-    of = dict(zip(weights["place"].tolist(), map(complex, weights["junk"], weights["toxic"]), strict=True))
-    level = of.pop(len(often), -5 - 5j)
-    return Model(telling, {int(often[p]): w for p, w in of.items()}, level)
+    weights = sets.groupBy("fit").applyInPandas(fitted, "place int, junk double, toxic double").toPandas().sort_values("place")
+    last = (weights["place"] == len(often)).to_numpy(bool)
+    values = weights[["junk", "toxic"]].to_numpy(float)
+    level = values[last].sum(axis=0) if len(weights) else np.array([-5.0, -5.0])
+    return Model(telling, often[weights["place"].to_numpy(int)[~last]], values[~last], level)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -331,10 +427,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of bounded size
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scored = shared.value.scorer()
         for batch in batches:
-            found = [scored(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "junk": [a for a, _ in found], "toxic": [b for _, b in found]})
+            found = shared.value.chances(list(batch["text"]))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "junk": found[:, 0], "toxic": found[:, 1]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInPandas(each, "doc_id long, junk double, toxic double").withColumn("keep", (F.col("junk") <= CUT) & (F.col("toxic") <= CUT))
@@ -355,8 +450,7 @@ def keep(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE)
 
     @F.pandas_udf("boolean")
     def kept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scored = shared.value.scorer()
         for texts in batches:
-            yield pd.Series([max(scored(t or "")) <= CUT for t in texts], dtype=bool)
+            yield pd.Series((shared.value.chances([t or "" for t in texts]) <= CUT).all(axis=1))
 
     return docs.where(kept(F.col("text")))

@@ -4,6 +4,9 @@ import pytest
 from loomline.llm import quality
 
 
+NONE = np.zeros(0, np.int64)
+
+
 def patterns(votes):
     found, counts = np.unique(votes, axis=0, return_counts=True)
     return {tuple(map(int, p)): int(c) for p, c in zip(found, counts, strict=True)}
@@ -46,16 +49,42 @@ def test_fit_learns_a_telling_feature():
     [("the cat sat on the mat and it was good. " * 3, False), ("It is a line of plain words, as good as any, and nothing is wrong with it.", False), ("%$& " * 60, True), ("word " * 80, True), ("ALL OF THIS IS IN CAPITALS AND SO ON", True), ("a | b | c | d | e | f | g", True)],
 )
 def test_votes(text, junk):
-    votes = quality.Labellers()(text, text.split())[0]
+    votes = quality.Batch([text]).votes(NONE)[0][0].tolist()
     assert (1 in votes) == junk and 0 in votes
 
 
+def test_words_in_columns_equal_words_one_by_one():
+    words = ["The", "idiot,", "don't", "|", "NASA's", "$5*", "Straße", "ÉTÉ", "日本", "x1y", "–", "😀a", "unbelievably", "\U00020000", "A", "•", "1st"]
+    w = quality.Words(words)
+    assert w.letters.tolist() == [sum(c.isalpha() for c in x) for x in words] and w.signs.tolist() == [sum(c in quality.SIGNS for c in x) for x in words]
+    assert w.upper.tolist() == [len(x) > 1 and x.isupper() for x in words] and w.bar.tolist() == [len(x) == 1 and x in quality.BARS for x in words]
+    stop, abuse, _ = quality.known_runs()
+    assert [x for x, yes in zip(words, w.with_run(stop, only=True), strict=True) if yes] == ["The", "ÉTÉ", "😀a", "A"]
+    assert [x for x, yes in zip(words, w.with_run(abuse), strict=True) if yes] == ["idiot,"]
+    of = lambda x: sorted(quality.Words([x]).feature.tolist())
+    for i, x in enumerate(words):
+        assert sorted(w.feature[w.word == i].tolist()) == of(x), x
+    assert of("Idiot!") == of("idiot") and len(of("unbelievably")) == 5 and len(set(of("unbelievably")) & set(of("unbelief"))) == 4
+    assert len(quality.Words([]).feature) == 0
+
+
+def test_features_of_a_batch():
+    texts = ["the cat the CAT sat", "", "unbelievable cats", "cat"]
+    batch = quality.Batch(texts)
+    doc, feature = batch.features()
+    for i, t in enumerate(texts):
+        assert sorted(feature[doc == i]) == sorted(x for w in set(t.split()) for x in quality.Words([w]).feature)
+    known = np.unique(feature)
+    want = [sum(float(np.searchsorted(known, x)) for x in feature[doc == i]) for i in range(len(texts))]
+    assert np.allclose(batch.scores(known, np.arange(len(known), dtype=float)[:, None])[:, 0], want)
+
+
 def test_stop_words_count_to_the_end_of_a_long_text():
     names, prose = [f"Name{i}" for i in range(21_000)], ["the", "cat", "sat", "on", "a", "mat"] * 8_000
     at = quality.JUNK.index("stop_words")
-    assert quality.Labellers()(" ".join(names + prose), names + prose)[0][at] == 0
+    assert quality.Batch([" ".join(names + prose)]).votes(NONE)[0][0, at] == 0
     few = prose[:21_000] + [f"word{i}" for i in range(1_000_000)]
-    assert quality.Labellers()(" ".join(few), few)[0][at] == 1
+    assert quality.Batch([" ".join(few)]).votes(NONE)[0][0, at] == 1
 
 
 def test_held_out_labels(spark):
