@@ -29,7 +29,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = tokens.write(docs, shared.new_path(spark, "corpus-ids"), word_vocabulary())
+    placed, order = mixing.in_place(docs)
+    path = tokens.write(placed, shared.new_path(spark, "corpus-ids"), word_vocabulary(), order=order)
     return tokens.read(spark, path)
 
 

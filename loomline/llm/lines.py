@@ -20,6 +20,8 @@ from loomline.llm.shared import written
 WINDOW, DIVISOR, LONG_LINE = 2, 2, 50
 #: What a removed chunk has at least: so many lines that aren't blank and words, or the words of a long line.
 MIN_LINES, MIN_WORDS = 2, 10
+#: Tasks that the occurrences of one hash are dealt out to.
+SALTS = 16
 
 
 def moved(array: Column, by: int, empty: Column) -> Column:
@@ -116,7 +118,10 @@ def repeats(rows: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WO
     hot = written(found.groupBy("hash").agg(F.min(spot).alias("a"), F.max(spot).alias("b")).where("a <> b").select("hash"), "repeated-hashes")
     again = written(found.join(hot, "hash", "left_semi"), "repeated-chunks")
     origins = written(again.groupBy("hash").agg(F.min(place).alias("origin")), "origins")
-    marked = written(again.join(origins, "hash").withColumn("is_origin", place == F.col("origin")).drop("origin").distinct(), "marked-chunks")
+    # The occurrences of a hot hash meet copies of its origin in SALTS tasks.
+    salted = origins.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = again.withColumn("salt", F.pmod(spot, F.lit(SALTS)).cast("int")).join(salted, ["hash", "salt"])
+    marked = written(met.select("doc_id", "text_hash", "first", "n", "hash", (place == F.col("origin")).alias("is_origin")).distinct(), "marked-chunks")
     # Only now do bytes move, and only those of chunks whose hash repeats: grouped by hash and bytes, those of one chunk
     # meet in one row a task before any of them is sent.
     listed = marked.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "n", "hash")).alias("marks"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomline.llm.shared import written
+from loomline.llm.shared import free_name, written
 
 #: Stands for a null source, which is a source of its own.
 NO_SOURCE = "\x00none"
@@ -107,14 +107,28 @@ def mix(docs: DataFrame, entropy_share: float | None = 0.98, most_passes: float
 
     docs needs doc_id, text and source. A null source is one of its own; a source without any token gives each of its
     rows once and has weight zero. Equal rows have the same place and are taken together. An empty table gives an empty
-    result. Columns of docs that are named like one of the added are replaced.
+    result. An added column whose name docs already has gets underscores to it.
     """
     sources, cuts = plan(docs.select("doc_id", "text", "source"), entropy_share, most_passes, budget_ratio, blocks, seed)
-    own = docs.drop("pass", "mix_block", "mix_order", "weight")
-    row = own.select(F.struct(*[F.col(f"`{c}`") for c in own.columns]).alias("row"), F.col("doc_id"), F.col("text"), F.col("source"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("text"), F.col("source"))
     found = placed(row, blocks, seed).drop("doc_id", "text", "source").join(sources.select("source_key", "weight", "whole"), "source_key").join(cuts, "source_key", "left")
     # Blocks before the cut are taken whole; in the cut block the order decides.
     more = (F.col("block") < F.col("cut_block")) | ((F.col("block") == F.col("cut_block")) & (F.col("order") <= F.col("cut_order")))
     copies = F.col("whole") + F.coalesce(more, F.lit(False)).cast("int")
     each = found.where(copies > 0).withColumn("pass", F.explode(F.sequence(F.lit(0), copies - 1)))
-    return each.select("row.*", "pass", F.col("block").alias("mix_block"), F.xxhash64("order", "pass").alias("mix_order"), "weight")
+    added = {"pass": F.col("pass"), "mix_block": F.col("block"), "mix_order": F.xxhash64("order", "pass"), "weight": F.col("weight")}
+    return each.select("row.*", *[x.alias(free_name(docs, name)) for name, x in added.items()])
+
+
+def in_place(docs: DataFrame, blocks: int = 1024, seed: int = 17) -> tuple[DataFrame, list[str]]:
+    """Rows of a mixture with the columns that sort them into its order, and these columns' names: pass, block and order,
+    worked out again for a table of the mixture's rows that has none of them.
+
+    Of rows equal in id and text, which are as few as the mixture's passes, each belongs to one pass.
+    """
+    names = [free_name(docs, x) for x in ("mix_pass", "mix_block", "mix_order")]
+    place = F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))
+    turn = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))) - 1
+    numbered = docs.withColumn(names[0], turn)
+    found = numbered.withColumns({names[1]: F.pmod(F.shiftright(place, 20), F.lit(blocks)).cast("int"), names[2]: F.xxhash64(place, names[0])})
+    return found, names

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver see.
 
-    A cluster names it in spark.checkpoint.dir. Only where that is unset (tests, local runs) a
-    temporary folder takes its place.
+    A cluster names it in spark.checkpoint.dir. Only where that is unset in a session of one machine (tests, local runs)
+    a temporary folder takes its place.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
         named = spark.conf.get("loomline.scratch", None) or tempfile.mkdtemp(prefix="spark-loomline-")
         spark.conf.set("loomline.scratch", named)
     if not spark.sparkContext.getCheckpointDir():

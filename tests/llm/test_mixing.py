@@ -54,7 +54,16 @@ def test_odd_rows(spark):
     assert sum(r.source == "e" for r in got) == 2 and any(r.source is None for r in got)
     assert mixing.mix(docs.limit(0)).count() == 0
     one = mixing.mix(docs.where("source = 'f'"))
-    assert one.count() == 3 and one.columns == ["doc_id", "text", "source", "pass", "mix_block", "mix_order", "weight"]
+    assert one.count() == 3 and one.columns == ["doc_id", "text", "source", "weight", "pass", "mix_block", "mix_order", "weight_"]
+    assert sorted(r.weight for r in one.collect()) == [4, 5, 5]
+
+
+def test_places_worked_out_again(spark):
+    docs = spark.createDataFrame([(i, f"w{i} " * (1 + i % 5), "ab"[i % 10 > 0]) for i in range(300)], "doc_id long, text string, source string")
+    mixed = mixing.mix(docs, 0.98, 3.0)
+    want = [(r.doc_id, r["pass"], r.mix_block, r.mix_order) for r in mixed.collect()]
+    placed, names = mixing.in_place(mixed.select(*docs.columns))
+    assert sorted((r.doc_id, *[r[n] for n in names]) for r in placed.collect()) == sorted(want) and max(w[1] for w in want) > 0
 
 
 def test_query(spark, sf_dir):
