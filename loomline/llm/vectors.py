@@ -15,14 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.shared import components, written
-
-#: Vectors that the centroids are fitted on (those with the least hash) and a cell's mean size aimed at.
-SAMPLE, CELL = 20_000, 400
-MOST_CELLS = 4096
-#: A vector also asks in cells whose centroid's cosine is less by no more than this; at a cosine of 0.9 or more two
-#: vectors' cosines with a centroid seldom differ by that much.
-MARGIN = 0.2
+from loomline.llm.shared import components, least_hashed, written
+
+#: Vectors that the centroids are fitted on (those with the least hash), and cells: so many for 10,000 vectors, and
+#: otherwise as the root of the vectors' number, so that neither the cells that a vector asks nor their sizes run away.
+SAMPLE, CELLS, MOST_CELLS = 20_000, 25, 4096
+#: A vector also asks in cells whose centroid's cosine is less by no more than so many deviations of what two vectors at the
+#: threshold differ by in a direction at random.
+DEVIATIONS = 2.0
 BLOCK = 1024
 
 
@@ -39,6 +39,12 @@ def centroids(sample: np.ndarray, cells: int, rounds: int = 8, seed: int = 7) ->
     return centre
 
 
+def margin_of(threshold: float, length: int) -> float:
+    """Two unit vectors with a cosine of threshold lie sqrt(2 - 2 threshold) apart; along the line between two centroids, up
+    to sqrt(2) long, the deviation of that is over the root of the length."""
+    return DEVIATIONS * (2 * (2 - 2 * threshold) / length) ** 0.5
+
+
 def units(column: pd.Series) -> np.ndarray:
     rows = np.stack([np.asarray(x, np.float64) for x in column])
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)  # neither squares of huge nor of tiny components leave the range
@@ -84,7 +90,7 @@ def product(home: pd.DataFrame, ask: pd.DataFrame, threshold: float) -> pd.DataF
 
 
 def near_duplicates(
-    vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding", margin: float = MARGIN, cell: int = CELL, block: int = BLOCK, sample: int = SAMPLE
+    vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding", margin: float | None = None, cells: float = CELLS, block: int = BLOCK, sample: int = SAMPLE
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors.
 
@@ -101,7 +107,7 @@ def near_duplicates(
     groups = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("named"), F.count(F.lit(1)).alias("n"))
     distinct = written(groups.select(F.coalesce("named", -F.abs(F.xxhash64("v")) - 1).alias("rep"), "named", "n", "v"), "vectors")
     shapes = {r.d: r["count"] for r in distinct.groupBy(F.size("v").alias("d")).count().collect()}
-    parts = [within(distinct.where(F.size("v") == d), n, threshold, margin, cell, block, sample) for d, n in sorted(shapes.items())]
+    parts = [within(distinct.where(F.size("v") == d), n, threshold, margin_of(threshold, d) if margin is None else margin, round(cells * (n / 10_000) ** 0.5), block, sample) for d, n in sorted(shapes.items())]
     if parts:
         found = parts[0]
         for p in parts[1:]:
@@ -122,11 +128,12 @@ def near_duplicates(
     return all_rows.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def within(distinct: DataFrame, n: int, threshold: float, margin: float, cell: int, block: int, sample: int) -> DataFrame:
+def within(distinct: DataFrame, n: int, threshold: float, margin: float, cells: int, block: int, sample: int) -> DataFrame:
     """(rep, links, tied) over all vectors (rep, n, v) of one length."""
     spark = distinct.sparkSession
-    fitted = distinct.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("v").toPandas()["v"]
-    centre = centroids(units(fitted), min(MOST_CELLS, max(1, round(n / cell))))
+    chosen = written(least_hashed(distinct.select("rep"), ["rep"], sample, n), "vector-sample")  # ids alone are sorted
+    fitted = distinct.join(F.broadcast(chosen), "rep").select("rep", "v").toPandas().sort_values("rep")["v"]
+    centre = centroids(units(fitted), min(MOST_CELLS, max(1, cells)))
     shared = spark.sparkContext.broadcast(centre)  # at most MOST_CELLS rows
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

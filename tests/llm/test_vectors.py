@@ -50,14 +50,44 @@ def test_query_against_brute_force(spark):
     assert check_recall(slow(rows), {r.vec_id: (r.n_links, r.component_id) for r in found}) > 0.97
 
 
-@pytest.mark.parametrize(("cell", "block"), [(20, 16), (400, 1024), (50, 7)])
-def test_cells_and_blocks_lose_nothing_here(spark, cell, block):
+@pytest.mark.parametrize("cells", [12, 60, 200])
+def test_recall_of_planted_pairs_over_many_cells(spark, cells):
+    """To each of 1,500 of the tables' own vectors one is added whose cosine with it is 0.9 to 0.92, and to others 0.92 to 0.97."""
+    rng = np.random.default_rng(cells)
+    rows = [(r.vec_id, np.asarray(r.embedding, float)) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    made = []
+    for k, (i, v) in enumerate(rows[:1500]):
+        v = v / np.linalg.norm(v)
+        side = rng.normal(size=len(v))
+        side -= (side @ v) * v
+        c = rng.uniform(0.9, 0.92) if k % 2 else rng.uniform(0.92, 0.97)
+        made.append((100_000 + i, c * v + (1 - c * c) ** 0.5 * side / np.linalg.norm(side)))
+    rows = [(i, v.tolist()) for i, v in rows + made]
+    want = slow(rows)
+    assert sum(n for n, _ in want.values()) >= 2990
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(frame, cells=cells * (10_000 / len(rows)) ** 0.5).collect()}
+    assert check_recall(want, got) > 0.97
+
+
+def test_cells_asked_grow_slowly(spark):
+    rng = np.random.default_rng(1)
+    asked = []
+    for n in (1500, 7500):
+        centre = vectors.centroids(vectors.units(list(rng.normal(size=(n, 64)))), round(vectors.CELLS * (n / 10_000) ** 0.5))
+        near = vectors.units(list(rng.normal(size=(n, 64)))) @ centre.T
+        asked.append((near >= near.max(axis=1, keepdims=True) - vectors.margin_of(0.9, 64)).sum())
+    assert asked[1] < 12 * asked[0]
+
+
+@pytest.mark.parametrize(("cells", "block"), [(80, 16), (25, 1024), (35, 7)])
+def test_cells_and_blocks_lose_nothing_here(spark, cells, block):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(12, 16))
     made = [base[i % 12] + rng.normal(size=16) * 0.25 * (i % 3) for i in range(300)] + [base[0]] * 20
     rows = [(1000 - i, v.tolist()) for i, v in enumerate(made)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df, cell=cell, block=block).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df, cells=cells, block=block).collect()}
     assert check_recall(slow(rows), got) > 0.9
 
 
