@@ -15,6 +15,7 @@ its distinct words.
 from __future__ import annotations
 
 import itertools
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,7 +30,7 @@ from loomline.llm.shared import least_hashed, written
 
 #: Documents that the scorer and the telling features are fitted on at most: those with the least hash. Of labelled ones
 #: up to the first share; of others a third as many as labelled ones, but at least the second share.
-SAMPLE, LABELLED_SHARE, OTHERS_SHARE = 20_000, 0.75, 0.1
+SAMPLE, LABELLED_SHARE, OTHERS_SHARE = 12_000, 0.75, 0.1
 #: Bits of a feature's hash, and the lengths of word beginnings.
 BITS, BEGINNINGS = 24, (4, 5, 6, 7)
 #: A feature that fewer documents of the sample have gets no weight.
@@ -49,7 +50,7 @@ BARS, SIGNS = "|/>-*•·", "%$&*#|=~^<>{}\\"
 JUNK = ("symbols", "letters", "repetition", "variety", "capitals", "stop_words", "separators", "person")
 TOXIC = ("abuse", "telling", "person")
 #: Characters of texts that a batch has, or one longer text.
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 20
 LETTER, UPPER, LOWER, SIGN, BAR = (1 << i for i in range(5))
 # An odd number and its inverse modulo 2 ** 64: powers of one undo those of the other.
 STEP = 0x9E3779B97F4A7C15
@@ -260,7 +261,7 @@ def fit(rows: list[np.ndarray], targets: np.ndarray, features: int, rounds: int
     if not len(rows):
         return np.append(own, 0.0)
     sizes = np.array([len(r) for r in rows])
-    flat, start = np.concatenate(rows).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
+    flat, start = np.concatenate(rows), np.concatenate([[0], np.cumsum(sizes)])
     base = float(np.clip(targets.mean(), 1e-4, 1 - 1e-4))
     level, level_total = np.log(base / (1 - base)), 0.0
     for _ in range(rounds):
@@ -408,7 +409,7 @@ def train(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE) -> Mo
 
     def fitted(group: pd.DataFrame) -> pd.DataFrame:
         at = [np.asarray(x, np.int32) for x in group["at"]]
-        order = sorted(range(len(at)), key=lambda i: (group["junk"].iat[i], group["toxic"].iat[i], at[i].tobytes()))  # whatever order rows come in
+        order = sorted(range(len(at)), key=lambda i: (len(at[i]), zlib.crc32(at[i])))  # whatever order rows come in
         found = [fit([at[i] for i in order], group[name].to_numpy(float)[order], len(often)) for name in ("junk", "toxic")]
         used = np.flatnonzero((found[0] != 0) | (found[1] != 0))
         return pd.DataFrame({"place": used, "junk": found[0][used], "toxic": found[1][used]})
