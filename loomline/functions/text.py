@@ -42,6 +42,28 @@ def is_noise(token: Column) -> Column:
     return token.rlike(UUID) | token.rlike(r"(?i)^[0-9a-f]{6,}$") | token.rlike(r"^\d+$") | (F.length(token) > LONGEST_TOKEN)
 
 
+def words(text: Column) -> Column:
+    """Runs of a text between white space and signs."""
+    signs = "`'\"{}()[]<>;:,!?@#$%^&*=+|\\~/"
+    return F.split(F.translate(text, signs, " " * len(signs)), f"{SPACE}+")
+
+
+def is_word(word: Column) -> Column:
+    """Whether a word is worth taking apart: not empty, no address, no UUID."""
+    return (word != "") & ~word.startswith("http") & ~((F.length(word) == 36) & word.rlike(UUID))
+
+
+def word_parts(word: Column) -> Column:
+    """A word cut at hyphens, underscores and camel-case steps, in lower case, reduced to letters and digits."""
+    spaced = F.regexp_replace(F.regexp_replace(word, "([a-z])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    cut = F.split(F.regexp_replace(F.lower(spaced), "[^a-z0-9぀-鿿 _-]", ""), "[-_ ]")
+    return F.when(word.rlike("^[A-Za-z]?[a-z0-9]*$"), F.array(F.lower(word))).otherwise(cut)  # most need no cutting
+
+
+def is_term(token: Column) -> Column:
+    return (F.length(token) > 2) & (F.length(token) <= LONGEST_TOKEN) & ~token.isin(*STOP_WORDS) & ~token.rlike(r"^(?:[0-9a-f]{6,}|\d+)$")
+
+
 def tokens(text: Column) -> Column:
     """Tokens of a text: its path words, then all other words cut at hyphens, underscores and camel-case steps, reduced to
     letters and digits, without stop words and noise."""

@@ -24,9 +24,18 @@ def session_texts(turns: DataFrame, files: DataFrame | None = None, branches: Da
     return parts.where(F.col("text") != "")
 
 
+def terms(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """The keys and term of every token of the texts, as functions.text.tokens has them; words are rows before they are
+    taken apart, so that each step is a plain column."""
+    rows = texts.select(*keys, F.col(text).alias("text"))
+    words = rows.select(*keys, F.explode(T.words(F.col("text"))).alias("word")).where(T.is_word(F.col("word")))
+    own = words.select(*keys, F.explode(T.word_parts(F.col("word"))).alias("term")).where(T.is_term(F.col("term")))
+    return own.unionByName(rows.where(F.contains("text", F.lit("/"))).select(*keys, F.explode(T.path_tokens(F.col("text"))).alias("term")))
+
+
 def term_counts(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, term, n)."""
-    return texts.select(key, F.explode(T.tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    return terms(texts, [key], text).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def document_frequency(counts: DataFrame, key: str) -> DataFrame:
@@ -105,7 +114,7 @@ def representative_prompts(prompts: DataFrame, most: int = 300) -> DataFrame:
     the sum of Jaccard similarities over one plus its place; the earliest of equals."""
     place = F.row_number().over(Window.partitionBy("session_id").orderBy("turn_index")) - 1
     rows = prompts.select("session_id", "turn_index", "user_prompt").withColumn("i", place)
-    words = rows.select("session_id", "i", F.explode(F.array_distinct(T.tokens(F.col("user_prompt")))).alias("term"))
+    words = terms(rows, ["session_id", "i"], "user_prompt").distinct()
     sizes = words.groupBy("session_id", "i").agg(F.count(F.lit(1)).alias("size"))
     shared = words.join(words.withColumnRenamed("i", "j"), ["session_id", "term"]).where("i <> j").groupBy("session_id", "i", "j").agg(F.count(F.lit(1)).alias("both"))
     other = sizes.select("session_id", F.col("i").alias("j"), F.col("size").alias("other"))

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed and kept in the checkpoint folder that the cluster names; a temporary one only where none is set."""
+    """df computed and kept in the checkpoint folder that the cluster names; a temporary one only where none is set in a
+    session of one machine."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-loomline-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-loomline-"))
     return df.checkpoint()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +12,8 @@ from loomline.operators.iterate import settled
 from loomline.operators.overview import upper_median
 
 LOWEST, HIGHEST, FALLBACK = 0.3, 0.9, 0.7
+#: Rows of a block of a blocked product, and clusters that one task merges in the end.
+ROWS, FINISH = 1024, 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -23,57 +27,151 @@ def unit_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.select("id", F.transform("v", lambda x: x / F.col("norm")).alias("v"))
 
 
-def pairs(vectors: DataFrame, blocks: int = 8) -> DataFrame:
-    """(a, b, cosine) of all pairs a < b, block by block: every row goes to each pair of blocks that has its own."""
+def dealt(vectors: DataFrame, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """The vectors twice, for each pair of blocks (i, j), i <= j, that a row's own is the first or the second of. Blocks are
+    so many that they have some `rows` rows, and a few for small tables, so that there are tasks enough."""
+    n = vectors.count()
+    blocks = max(-(-n // rows), min(6, -(-n // 128)), 1)
     marked = vectors.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     each = marked.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    keyed = each.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "v")
-    left = keyed.where("own = i").select("i", "j", F.col("id").alias("x"), F.col("v").alias("vx"))
-    right = keyed.where("own = j").select("i", "j", F.col("id").alias("y"), F.col("v").alias("vy"))
-    met = left.join(right, ["i", "j"]).where("(i < j) OR (x < y)")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), dot(F.col("vx"), F.col("vy")).alias("cosine"))
+    keyed = each.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    return keyed.where("own = i").drop("own", "other"), keyed.where("own = j").drop("own", "other")
+
+
+def block_products(vectors: DataFrame, each: Callable, schema: str, rows: int = ROWS) -> DataFrame:
+    """each(left, right, products) for every pair of blocks: their rows in order of ids, and all products of two different
+    rows, each pair of rows once in all; others are nan. Blocked matrix products over Arrow batches."""
+    import numpy as np
+    import pandas as pd
+
+    left, right = dealt(vectors, rows)
+    names = left.columns
+
+    def of_blocks(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        b = b.set_axis(names, axis=1)
+        if not len(a) or not len(b):
+            return each(a.iloc[:0], b.iloc[:0], np.zeros((0, 0)))
+        same = a["i"].iat[0] == a["j"].iat[0]
+        a, b = a.sort_values("id"), b.sort_values("id")
+        found = np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T
+        if same:
+            found[np.tril_indices(len(a))] = np.nan
+        return each(a, b, found)
+
+    return left.groupBy("i", "j").cogroup(right.toDF(*[f"right_{c}" for c in names]).groupBy("right_i", "right_j")).applyInPandas(of_blocks, schema)
+
+
+def pairs(vectors: DataFrame, least: float | None = None, rows: int = ROWS) -> DataFrame:
+    """(a, b, cosine) of all pairs a < b of unit vectors (id, v), or those of a cosine of `least` or more; with a column
+    part, of those of one part. Work grows with the square of the rows, output only with what is asked for."""
+    kind, parted = dict(vectors.dtypes)["id"], "part" in vectors.columns
+
+    def each(a, b, found):
+        import numpy as np
+        import pandas as pd
+
+        keep = ~np.isnan(found) if least is None else found >= least
+        if parted and len(a):
+            keep &= a["part"].to_numpy()[:, None] == b["part"].to_numpy()[None, :]
+        x, y = np.nonzero(keep)
+        x, y, cosine = a["id"].to_numpy()[x], b["id"].to_numpy()[y], found[x, y]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "cosine": cosine})
+
+    return block_products(vectors, each, f"a {kind}, b {kind}, cosine double", rows)
 
 
-def similar(vectors: DataFrame, least: float, blocks: int = 8) -> DataFrame:
-    return pairs(vectors, blocks).where(F.col("cosine") >= least)
+def similar(vectors: DataFrame, least: float) -> DataFrame:
+    return pairs(vectors, least)
 
 
 def centroid_similarity(vectors: DataFrame, groups: DataFrame) -> DataFrame:
     """(a, b, cosine) of the groups' mean vectors; groups: (id, group)."""
     dims = vectors.join(groups, "id").select("group", F.posexplode("v").alias("dim", "x")).groupBy("group", "dim").agg(F.avg("x").alias("x"))
     means = dims.groupBy(F.col("group").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda d: d["x"]).alias("v"))
-    return pairs(unit_vectors(means, "id", "v"), 1)
+    return pairs(unit_vectors(means, "id", "v"))
 
 
-def dendrogram(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(height, a, b) of every merge of average linkage over pairs (a, b, dist) of all ids.
+def dendrogram(vectors: DataFrame, finish: int = FINISH) -> DataFrame:
+    """(height, a, b) of every merge of average linkage over unit vectors (id, v), and within each part where they have one.
+    The distance is one less the cosine.
 
-    All clusters that are each other's nearest merge in one round; average linkage is reducible, so the merges are those of
-    the one-by-one loop. A pair of clusters carries the sum of its distances, so a merge only adds. A cluster is named by
-    its least member; of equal distances the least names count first. Pairs that are missing never merge and count as 1.
+    A cluster carries the sum of its vectors: the mean cosine between two clusters is the product of their sums over that
+    of their sizes, so no pairs are kept. Equal vectors merge first. All clusters that are each other's nearest merge in one
+    round; average linkage is reducible, so the merges are those of the one-by-one loop. At most `finish` clusters that are
+    left merge one by one in one task. A cluster is named by its least member; of equal distances the least names count first.
     """
-    links = settled(pairs.select("a", "b", F.col("dist").alias("sum"), F.lit(1).cast("long").alias("known")))
-    sizes = settled(ids.select(F.col("id").alias("c"), F.lit(1).cast("long").alias("size")))
-    merges = None
-    while True:
-        left = links.join(sizes.withColumnRenamed("c", "a").withColumnRenamed("size", "na"), "a").join(sizes.withColumnRenamed("c", "b").withColumnRenamed("size", "nb"), "b")
-        full = F.col("na") * F.col("nb")
-        far = left.withColumn("dist", (F.col("sum") + (full - F.col("known"))) / full).select("a", "b", "dist")
-        ends = far.select(F.col("a").alias("c"), F.col("b").alias("o"), "dist").unionByName(far.select(F.col("b").alias("c"), F.col("a").alias("o"), "dist"))
-        near = ends.groupBy("c").agg(F.min(F.struct("dist", F.least("c", "o").alias("l"), F.greatest("c", "o").alias("g"))).alias("m"))
-        mutual = settled(near.groupBy("m").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("m.*"))
-        if mutual.isEmpty():
-            break
-        part = mutual.select(F.col("dist").alias("height"), F.col("l").alias("a"), F.col("g").alias("b"))
-        merges = part if merges is None else merges.unionByName(part)
-        into = mutual.select(F.col("g").alias("c"), F.col("l").alias("to"))
-        named = lambda rows, c: rows.join(into.select(F.col("c").alias(c), F.col("to").alias(f"{c}_to")), c, "left").withColumn(c, F.coalesce(f"{c}_to", c)).drop(f"{c}_to")
-        moved = named(named(links, "a"), "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sum", "known")
-        links = settled(moved.groupBy("a", "b").agg(F.sum("sum").alias("sum"), F.sum("known").alias("known")))
-        sizes = settled(named(sizes, "c").groupBy("c").agg(F.sum("size").alias("size")))
-        if links.isEmpty():
+    part = F.col("part") if "part" in vectors.columns else F.lit(0)
+    rows = vectors.select("id", "v", part.alias("part"))
+    alike = settled(rows.withColumn("c", F.min("id").over(Window.partitionBy("part", "v"))))
+    kind = dict(rows.dtypes)["id"]
+    schema = f"height double, a {kind}, b {kind}"
+    merges = alike.where("id <> c").select(F.lit(0.0).alias("height"), F.col("c").alias("a"), F.col("id").alias("b"))
+    size = F.count(F.lit(1))
+    clusters = settled(alike.groupBy(F.col("c").alias("id"), "part").agg(size.cast("double").alias("n"), F.first("v").alias("v")))
+    while clusters.count() > finish:
+        near = block_products(clusters, nearest, f"id {kind}, dist double, l {kind}, g {kind}").groupBy("id").agg(F.min(F.struct("dist", "l", "g")).alias("m"))
+        mutual = settled(near.groupBy("m").agg(F.count(F.lit(1)).alias("both")).where("both = 2").select("m.*"))
+        if mutual.isEmpty():  # nothing is left to merge within any part
+            return merges
+        merges = merges.unionByName(mutual.select(F.col("dist").alias("height"), F.col("l").alias("a"), F.col("g").alias("b")))
+        gone = mutual.select(F.col("l").alias("id"), F.col("g").alias("other"))
+        more = clusters.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("v").alias("w"))
+        share = F.col("m") / (F.col("n") + F.col("m"))
+        met = gone.join(clusters, "id").join(more, "other").withColumn("share", share)
+        mean = F.zip_with("v", "w", lambda x, y: x + (y - x) * F.col("share"))
+        grown = met.withColumn("mean", mean).withColumn("both", F.col("n") + F.col("m")).select("id", "part", F.col("both").alias("n"), F.col("mean").alias("v"))
+        used = gone.select("id").unionByName(gone.select(F.col("other").alias("id")))
+        clusters = settled(clusters.join(used, "id", "left_anti").unionByName(grown))
+    last = clusters.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(one_by_one, schema)
+    return merges.unionByName(settled(last))
+
+
+def nearest(a, b, found):
+    """Each row's nearest of the same part within two blocks of cluster means."""
+    import numpy as np
+    import pandas as pd
+
+    none = pd.DataFrame({"id": a["id"].iloc[:0], "dist": np.zeros(0), "l": a["id"].iloc[:0], "g": a["id"].iloc[:0]})
+    if not len(a):
+        return none
+    dist = np.round(1 - found, 12)
+    dist[np.isnan(found) | (a["part"].to_numpy()[:, None] != b["part"].to_numpy()[None, :])] = np.inf
+    x, y = a["id"].to_numpy(), b["id"].to_numpy()
+    found = []
+    for own, other, d in ((x, y, dist), (y, x, dist.T)):
+        best = d.min(axis=1)
+        has = np.isfinite(best)
+        # Of equals the one with which the pair's names are least.
+        low, high = np.minimum(own[:, None], other[None, :]), np.maximum(own[:, None], other[None, :])
+        rank = [min((l, g) for l, g in zip(low[i][d[i] == best[i]], high[i][d[i] == best[i]], strict=True)) for i in np.flatnonzero(has)]
+        found.append(pd.DataFrame({"id": own[has], "dist": best[has], "l": [l for l, _ in rank], "g": [g for _, g in rank]}))
+    return pd.concat([none, *found])
+
+
+def one_by_one(clusters):
+    """The merges of a bounded number of clusters (id, part, n, v)."""
+    import numpy as np
+    import pandas as pd
+
+    clusters = clusters.sort_values("id")
+    name, n = clusters["id"].to_numpy(), clusters["n"].to_numpy(float)
+    v = np.stack(clusters["v"].to_numpy())
+    dist = 1 - v @ v.T
+    dist[clusters["part"].to_numpy()[:, None] != clusters["part"].to_numpy()[None, :]] = np.inf
+    dist[np.tril_indices(len(name))] = np.inf
+    out = []
+    for _ in range(len(name) - 1):
+        a, b = np.unravel_index(np.argmin(np.round(dist, 12)), dist.shape)
+        if not np.isfinite(dist[a, b]):
             break
-    return merges if merges is not None else pairs.select(F.col("dist").alias("height"), "a", "b").limit(0)
+        out.append((round(dist[a, b], 12), name[a], name[b]))
+        full = np.minimum(dist, dist.T)
+        row = (n[a] * full[a] + n[b] * full[b]) / (n[a] + n[b])
+        row[[a, b]] = np.inf
+        dist[a, a + 1 :], dist[:a, a] = row[a + 1 :], row[:a]
+        dist[b], dist[:, b] = np.inf, np.inf
+        n[a] += n[b]
+    return pd.DataFrame(out, columns=["height", "a", "b"]).astype({"a": name.dtype, "b": name.dtype})
 
 
 def elbow(merges: DataFrame) -> float:
@@ -90,80 +188,79 @@ def elbow(merges: DataFrame) -> float:
 
 def cut(merges: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
     """(id, cluster): what merges up to the threshold tie together, named by the least member."""
-    tied = settled(merges.where(F.col("height") <= threshold).select("a", "b"))
-    labels = settled(ids.select("id", F.col("id").alias("cluster")))
+    # A merge is b -> a between names, and a name goes but once; names follow theirs by leaps that double.
+    to = settled(merges.where(F.col("height") <= threshold).select(F.col("b").alias("name"), F.col("a").alias("to")))
     while True:
-        # A merge is a -> b between names; names of b follow to a, round by round.
-        step = labels.join(tied.groupBy(F.col("b").alias("cluster")).agg(F.min("a").alias("to")), "cluster", "left")
-        moved = settled(step.select("id", F.coalesce("to", "cluster").alias("cluster"), F.col("to").isNotNull().alias("changed")))
-        labels = moved.select("id", "cluster")
-        if moved.where("changed").isEmpty():
-            return labels
-
-
-def split_oversized(labels: DataFrame, pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """labels with clusters over max(10, n / 4) clustered anew at max(0.15, 0.8 of the upper median of inner distances)."""
-    n = ids.count()
-    large = settled(labels.join(labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > max(10, n // 4)).select("cluster"), "cluster", "left_semi"))
-    if large.isEmpty():
+        ahead = to.select(F.col("name").alias("to"), F.col("to").alias("further"))
+        leaped = settled(to.join(ahead, "to", "left").select("name", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
+        to = leaped.select("name", "to")
+        if leaped.where("moved").isEmpty():
+            return ids.join(to.withColumnRenamed("name", "id"), "id", "left").select("id", F.coalesce("to", "id").alias("cluster"))
+
+
+def split_oversized(labels: DataFrame, vectors: DataFrame) -> DataFrame:
+    """labels with clusters over max(10, n / 4) clustered anew at max(0.15, 0.8 of the upper median of inner distances).
+    Of such clusters, four at most, all inner pairs are looked at for the median."""
+    n = labels.count()
+    large = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > max(10, n // 4))
+    own = settled(vectors.join(labels.join(large, "cluster", "left_semi"), "id").select("id", "v", F.col("cluster").alias("part")))
+    if own.isEmpty():
         return labels
-    side = lambda c, p: large.select(F.col("id").alias(c), F.col("cluster").alias(p))
-    inner = settled(pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").where("p = q").select("a", "b", "dist", "p"))
-    middle = upper_median(inner, "dist", ["p"]).select(F.col("p").alias("cluster"), F.greatest(F.lit(0.15), F.col("median") * 0.8).alias("t"))
-    merges = dendrogram(inner.select("a", "b", "dist"), large.select("id"))
-    own = merges.join(large.select(F.col("id").alias("a"), "cluster"), "a").join(middle, "cluster").where("height <= t").select("height", "a", "b")
-    again = cut(own, large.select("id"), 2.0)
+    inner = pairs(own).join(own.select(F.col("id").alias("a"), "part"), "a").select("part", F.round(1 - F.col("cosine"), 12).alias("dist"))
+    middle = upper_median(inner, "dist", ["part"]).select("part", F.greatest(F.lit(0.15), F.col("median") * 0.8).alias("t"))
+    merges = dendrogram(own).join(own.select(F.col("id").alias("a"), "part"), "a").join(middle, "part").where("height <= t").select("height", "a", "b")
+    again = cut(merges, own.select("id"), 2.0)
     return labels.join(again.withColumnRenamed("cluster", "inner"), "id", "left").select("id", F.coalesce("inner", "cluster").alias("cluster"))
 
 
-def merge_narrow(labels: DataFrame, pairs: DataFrame, categories: DataFrame, size: int = 2, distance: float = 0.7, most: int = 8) -> DataFrame:
+def merge_narrow(labels: DataFrame, vectors: DataFrame, categories: DataFrame, size: int = 2, distance: float = 0.7, most: int = 8) -> DataFrame:
     """labels with clusters of at most `size` merged that share a category (id, category), are nearer than `distance` on
     average and make at most `most` members; greedily in the order of names.
 
-    Only clusters with some member pair that near can merge, so the connected components of that relation are worked on
-    one by one, each in one task: a component's clusters are small by their bound.
+    Only clusters that are that near can merge, since the mean distance of merged ones is a mean of theirs. So the connected
+    components of that relation are worked on one by one, each in one task that holds a mean vector for each cluster.
     """
+    import numpy as np
     import pandas as pd
 
     from loomline.operators.graph import mirrored
 
-    sizes = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    narrow = settled(labels.join(sizes.where(F.col("size") <= size).select("cluster"), "cluster", "left_semi"))
-    side = lambda c, p: narrow.select(F.col("id").alias(c), F.col("cluster").alias(p))
-    near = settled(pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").where("p <> q").select("a", "b", "dist", "p", "q"))
-    ties = near.where(F.col("dist") < distance).select(F.col("p").alias("src"), F.col("q").alias("dst")).distinct()
-    both, names = settled(mirrored(ties)), settled(narrow.select(F.col("cluster").alias("node"), F.col("cluster").alias("root")).distinct())
+    sizes = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") <= size)
+    narrow = settled(labels.join(sizes.select("cluster"), "cluster", "left_semi"))
+    summed = narrow.join(vectors, "id").select("cluster", F.posexplode("v").alias("d", "x")).groupBy("cluster", "d").agg(F.avg("x").alias("x"))
+    means = settled(summed.groupBy(F.col("cluster").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda p: p["x"]).alias("v")))
+    ties = pairs(means, least=1 - distance).where(F.col("cosine") > 1 - distance).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    both, names = settled(mirrored(ties)), settled(means.select(F.col("id").alias("node"), F.col("id").alias("root")))
     while True:
         least = both.join(names.select(F.col("node").alias("other"), F.col("root").alias("r")), "other").groupBy("node").agg(F.min("r").alias("r"))
         moved = settled(names.join(least, "node", "left").select("node", F.least("root", F.coalesce("r", "root")).alias("root"), (F.col("r") < F.col("root")).alias("changed")))
         names = moved.select("node", "root")
         if moved.where("changed").isEmpty():
             break
-    member = narrow.join(names.withColumnRenamed("node", "cluster"), "cluster").join(categories.groupBy("id").agg(F.collect_set("category").alias("cats")), "id", "left")
-    rooted = near.join(names.select(F.col("node").alias("p"), "root"), "p").select("root", "a", "b", "dist")
+    kinds = narrow.join(categories, "id").groupBy("cluster").agg(F.collect_set("category").alias("cats"))
+    counted = narrow.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    member = means.withColumnRenamed("id", "cluster").join(names.withColumnRenamed("node", "cluster"), "cluster").join(counted, "cluster").join(kinds, "cluster", "left")
 
-    def greedy(members: pd.DataFrame, dists: pd.DataFrame) -> pd.DataFrame:
-        dists = dists.set_axis(["root", "a", "b", "dist"], axis=1)
-        far = {(min(a, b), max(a, b)): d for a, b, d in zip(dists["a"], dists["b"], dists["dist"], strict=True)}
-        groups = [(set(g["id"]), {c for cats in g["cats"] if cats is not None for c in cats}) for _, g in sorted(members.groupby("cluster"))]
+    def greedy(members: pd.DataFrame) -> pd.DataFrame:
+        members = members.sort_values("cluster")
+        groups = [([c], np.asarray(v) * n, n, set(k) if k is not None else set()) for c, v, n, k in zip(members["cluster"], members["v"], members["n"], members["cats"], strict=True)]
         i = 0
         while i < len(groups):
             j = i + 1
             while j < len(groups):
-                (m1, c1), (m2, c2) = groups[i], groups[j]
-                mean = sum(far.get((min(x, y), max(x, y)), 1.0) for x in m1 for y in m2) / (len(m1) * len(m2))
-                if c1 & c2 and mean < distance and len(m1) + len(m2) <= most:
-                    groups[i] = (m1 | m2, c1 | c2)
+                (m1, s1, n1, c1), (m2, s2, n2, c2) = groups[i], groups[j]
+                if n1 + n2 <= most and c1 & c2 and 1 - float(s1 @ s2) / (n1 * n2) < distance:
+                    groups[i] = (m1 + m2, s1 + s2, n1 + n2, c1 | c2)
                     del groups[j]
                     j = i + 1
                 else:
                     j += 1
             i += 1
-        return pd.DataFrame([(x, min(m)) for m, _ in groups for x in m], columns=["id", "merged"])
+        return pd.DataFrame([(x, min(m)) for m, _, _, _ in groups for x in m], columns=["cluster", "merged"])
 
-    kind = dict(labels.dtypes)["id"]
-    merged = member.select("root", "id", "cluster", "cats").groupBy("root").cogroup(rooted.toDF("of", "x", "y", "d").groupBy("of")).applyInPandas(greedy, f"id {kind}, merged {kind}")
-    return labels.join(merged, "id", "left").select("id", F.coalesce("merged", "cluster").alias("cluster"))
+    kind = dict(labels.dtypes)["cluster"]
+    merged = member.select("root", "cluster", "v", "n", "cats").groupBy("root").applyInPandas(greedy, f"cluster {kind}, merged {kind}")
+    return labels.join(merged, "cluster", "left").select("id", F.coalesce("merged", "cluster").alias("cluster"))
 
 
 def svd(values: DataFrame, sessions: int, k: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -177,9 +274,14 @@ def svd(values: DataFrame, sessions: int, k: int | None = None) -> tuple[DataFra
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
 
     spark = values.sparkSession
-    nth = lambda c: F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(c)) - 1
-    features = settled(values.select("feature").distinct().withColumn("j", nth("feature")))
-    rows = settled(values.select("session_id").distinct().withColumn("i", nth("session_id")))
+    values = settled(values)
+
+    def numbered(c: str, n: str) -> DataFrame:
+        """The column's different values with a number each, counted on from partition to partition."""
+        found = settled(values.select(c).distinct())
+        return settled(found.rdd.map(lambda r: r[0]).zipWithIndex().toDF(f"{c} {dict(values.dtypes)[c]}, {n} long"))
+
+    features, rows = numbered("feature", "j"), numbered("session_id", "i")
     m = features.count()
     k = k if k is not None else max(1, min(max(20, min(80, int(m / 4 + 0.5))), m - 1, sessions))
     cells = values.join(features, "feature").join(rows, "session_id").groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "value"))).alias("cells"))
@@ -192,9 +294,10 @@ def svd(values: DataFrame, sessions: int, k: int | None = None) -> tuple[DataFra
     long = u.join(rows, "i").select("session_id", F.posexplode("v").alias("dim", "value"))
     norm = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("session_id")))
     embeddings = long.withColumn("value", F.when(norm > 0, F.col("value") / norm).otherwise(0.0))
-    v = found.V.toArray()  # features by k
-    loadings = spark.createDataFrame([(int(j), int(d), float(v[j, d])) for j in range(v.shape[0]) for d in range(v.shape[1])], "j int, dim int, value double")
-    return embeddings, dims, loadings.join(features, "j").select("feature", "dim", "value")
+    # V is A' U over the singular values: a join and a sum, dimension by dimension.
+    spread = long.join(values.withColumnRenamed("value", "cell"), "session_id").groupBy("feature", "dim").agg(F.sum(F.col("value") * F.col("cell")).alias("value"))
+    loadings = spread.join(F.broadcast(dims.where("sigma > 0")), "dim").select("feature", "dim", (F.col("value") / F.pow("sigma", F.lit(2.0))).alias("value"))
+    return embeddings, dims, loadings
 
 
 def dimension_report(dims: DataFrame, loadings: DataFrame, most: int = 5) -> DataFrame:

@@ -241,28 +241,40 @@ def betweenness(spark, sf):
     return graph.betweenness(nodes, vectors.settled(edges))
 
 
-def distances(spark, sf):
-    return vectors.pairs(unit_embeddings(spark, sf)).select("a", "b", (1 - F.col("cosine")).alias("dist"))
-
-
 @query()
 def clusters(spark, sf):
     ids = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
-    merges = vectors.settled(vectors.dendrogram(vectors.settled(distances(spark, sf)), ids))
+    merges = vectors.settled(vectors.dendrogram(unit_embeddings(spark, sf)))
     return vectors.cut(merges, ids, vectors.elbow(merges))
 
 
-@query()
-def svd_variance(spark, sf):
+def session_matrix(spark, sf):
+    """(session_id, feature, value); a session's texts are those of the conversation with its user's number."""
     calls, sessions, _ = parts(spark, sf)
     breakdown = overview.tool_breakdown(calls)
     rows = sessions.withColumns({"assistant_turns": F.col("turn_count"), "tool_turns": F.col("turn_count"), "subagent_count": F.lit(0)})
-    none = spark.createDataFrame([], "session_id string, term string, weight double")
-    values = features.combined(none, features.tool_vectors(breakdown), features.structure(rows, breakdown))
-    _, dims, loadings = vectors.svd(values, sessions.count())
+    talk = views.prompts(spark, sf).select(F.col("session_id").alias("conversation"), F.col("user_prompt").alias("text"))
+    said = sessions.select("session_id", F.substring_index("session_id", "-", 1).cast("long").alias("conversation")).join(talk, "conversation").select("session_id", "text")
+    terms = features.tfidf(features.term_counts(said, "session_id"), "session_id")
+    return features.combined(terms, features.tool_vectors(breakdown), features.structure(rows, breakdown))
+
+
+@query()
+def svd_variance(spark, sf):
+    """Latent dimensions of the sessions' terms, tools and structure, with their share of variance and heaviest features."""
+    values = vectors.settled(session_matrix(spark, sf))
+    _, dims, loadings = vectors.svd(values, values.select("session_id").distinct().count())
     return vectors.dimension_report(dims, loadings)
 
 
+@query()
+def svd_embeddings(spark, sf):
+    """Each session's unit vector over the latent dimensions."""
+    values = vectors.settled(session_matrix(spark, sf))
+    embeddings, _, _ = vectors.svd(values, values.select("session_id").distinct().count())
+    return embeddings
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN chr(45) || '--' || chr(10) || 'name: ' || doc_id ELSE 'just text' END AS document FROM documents")
 def strip_preamble(spark, sf):
     said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Here it is.\n---\nname: "), F.col("doc_id"))).otherwise(F.lit("just text"))
@@ -353,8 +365,7 @@ def prompt_set(spark, sf):
 @query()
 def elbow(spark, sf):
     """The cluster tree's merges and whether the elbow keeps them."""
-    ids = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
-    merges = vectors.settled(vectors.dendrogram(vectors.settled(distances(spark, sf)), ids))
+    merges = vectors.settled(vectors.dendrogram(unit_embeddings(spark, sf)))
     return merges.withColumn("kept", F.col("height") <= vectors.elbow(merges))
 
 
@@ -362,6 +373,6 @@ def elbow(spark, sf):
 def merged_clusters(spark, sf):
     """Clusters after the split of large ones and the merge of narrow ones that share a label."""
     rows = views.table(spark, sf, "embeddings")
-    near = vectors.settled(distances(spark, sf))
-    split = vectors.split_oversized(clusters(spark, sf), near, rows.select(F.col("vec_id").alias("id")))
+    near = vectors.settled(unit_embeddings(spark, sf))
+    split = vectors.split_oversized(vectors.settled(clusters(spark, sf)), near)
     return vectors.merge_narrow(vectors.settled(split), near, rows.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("category")))

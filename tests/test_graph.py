@@ -1,6 +1,5 @@
-import random
-
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loomline.operators import graph, overview, sequences, topics, vectors
@@ -52,16 +51,21 @@ def slow_linkage(dist, n):
     return heights
 
 
-def test_dendrogram_equals_the_loop(spark):
+def unit(v):
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def vector_frame(spark, v):
+    return spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "id long, v array<double>")
+
+
+@pytest.mark.parametrize("finish", [1, 8, 256])
+def test_dendrogram_equals_the_loop(spark, finish):
     rng = np.random.default_rng(4)
     n = 24
-    v = rng.normal(size=(n, 5))
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    dist = 1 - v @ v.T
-    want = slow_linkage(dist, n)
-    pairs = spark.createDataFrame([(i, j, float(dist[i, j])) for i in range(n) for j in range(i + 1, n)], "a long, b long, dist double")
-    ids = spark.range(n)
-    merges = vectors.settled(vectors.dendrogram(pairs, ids))
+    v = unit(rng.normal(size=(n, 5)))
+    want = slow_linkage(1 - v @ v.T, n)
+    merges = vectors.settled(vectors.dendrogram(vector_frame(spark, v), finish))
     got = sorted((r.height, r.a, r.b) for r in merges.collect())
     assert [(a, b) for _, a, b in got] == [(a, b) for _, a, b in sorted(want)]
     assert np.allclose([h for h, _, _ in got], sorted(h for h, _, _ in want))
@@ -70,7 +74,41 @@ def test_dendrogram_equals_the_loop(spark):
     for h, a, b in want:
         if h <= t:
             roots = [a if r == b else r for r in roots]
-    assert {r.id: r.cluster for r in vectors.cut(merges, ids, t).collect()} == dict(enumerate(roots))
+    assert {r.id: r.cluster for r in vectors.cut(merges, spark.range(n), t).collect()} == dict(enumerate(roots))
+
+
+def test_equal_vectors_merge_first_and_parts_stay_apart(spark):
+    v = unit(np.array([[1, 0], [0, 1], [1, 0], [1, 0.1], [1, 0], [0, 1.0]]))
+    frame = vector_frame(spark, v)
+    got = sorted((round(r.height, 9), r.a, r.b) for r in vectors.dendrogram(frame).collect())
+    assert got[:3] == [(0.0, 0, 2), (0.0, 0, 4), (0.0, 1, 5)] and len(got) == 5
+    for finish in (1, 256):
+        apart = vectors.dendrogram(frame.withColumn("part", F.col("id") % 2), finish)
+        assert sorted((r.a % 2, r.b % 2) for r in apart.collect()) == [(0, 0), (0, 0), (1, 1), (1, 1)]
+
+
+def test_pairs_over_blocks(spark):
+    v = unit(np.random.default_rng(2).normal(size=(50, 6)))
+    m = v @ v.T
+    for least in (None, 0.3):
+        got = {(r.a, r.b): r.cosine for r in vectors.pairs(vector_frame(spark, v), least, rows=9).collect()}
+        want = {(i, j): m[i, j] for i in range(50) for j in range(i + 1, 50) if least is None or m[i, j] >= least}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert vectors.pairs(vector_frame(spark, v).limit(0)).count() == 0
+
+
+def test_oversized_clusters_split(spark):
+    rng = np.random.default_rng(9)
+    centres = unit(rng.normal(size=(2, 8)))
+    v = unit(np.concatenate([centres[0] + rng.normal(size=(8, 8)) * 0.05, centres[1] + rng.normal(size=(8, 8)) * 0.05, unit(rng.normal(size=(4, 8)))]))
+    labels = spark.createDataFrame([(i, 0 if i < 16 else i) for i in range(20)], "id long, cluster long")
+    got = {r.id: r.cluster for r in vectors.split_oversized(labels, vector_frame(spark, v)).collect()}
+    inner = sorted(1 - v[i] @ v[j] for i in range(16) for j in range(i + 1, 16))
+    t, roots = max(0.15, 0.8 * inner[len(inner) // 2]), list(range(16))
+    for h, a, b in slow_linkage(1 - v[:16] @ v[:16].T, 16):
+        if h <= t:
+            roots = [a if r == b else r for r in roots]
+    assert got == dict(enumerate(roots)) | {i: i for i in range(16, 20)} and len(set(roots)) == 2
 
 
 def test_the_tree_of_the_query_has_far_merges_too(spark, tmp_path):
@@ -96,9 +134,17 @@ def test_elbow_bounds(spark):
 
 def test_narrow_clusters_merge_by_category_and_distance(spark):
     labels = spark.createDataFrame([(i, i) for i in range(4)], "id long, cluster long")
-    pairs = spark.createDataFrame([(0, 1, 0.3), (0, 2, 0.3), (1, 2, 0.3), (0, 3, 0.9), (1, 3, 0.9), (2, 3, 0.9)], "a long, b long, dist double")
+    gram = np.full((4, 4), 0.7)
+    gram[3] = gram[:, 3] = 0.1
+    np.fill_diagonal(gram, 1)
+    rows = vector_frame(spark, np.linalg.cholesky(gram))
     kinds = spark.createDataFrame([(0, "x"), (1, "x"), (2, "y"), (3, "x")], "id long, category string")
-    assert {r.id: r.cluster for r in vectors.merge_narrow(labels, pairs, kinds).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert {r.id: r.cluster for r in vectors.merge_narrow(labels, rows, kinds).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+    # Nine that all may merge make one of eight at most.
+    many = spark.createDataFrame([(i, i) for i in range(9)], "id long, cluster long")
+    near = vector_frame(spark, unit(np.random.default_rng(1).normal(size=(9, 12)) * 0.1 + 1))
+    one = spark.createDataFrame([(i, "k") for i in range(9)], "id long, category string")
+    assert sorted(r.cluster for r in vectors.merge_narrow(many, near, one).collect()) == [0] * 8 + [8]
 
 
 def test_upper_median_and_hot_files(spark):
@@ -125,11 +171,21 @@ def test_facets_of_a_topic(spark):
     assert (r.success_rate, r.helpfulness, r.goals, r.categories, r.frictions, r.details) == (0.75, 0.75, ["goal"], ["bugfix"], ["bad", "slow"], ["detail"])
 
 
-def test_svd_keeps_cosines(spark):
-    rng = random.Random(1)
-    cells = [(f"s{i}", f"f{j}", rng.random()) for i in range(9) for j in range(5)]
+def test_svd_equals_the_dense_one(spark):
+    rng = np.random.default_rng(1)
+    m = rng.random((9, 5))
+    cells = [(f"s{i}", f"f{j}", float(m[i, j])) for i in range(9) for j in range(5)]
     embeddings, dims, loadings = vectors.svd(spark.createDataFrame(cells, "session_id string, feature string, value double"), 9, k=5)
-    sigma = [r.sigma for r in dims.orderBy("dim").collect()]
-    assert sigma == sorted(sigma, reverse=True) and loadings.select("feature").distinct().count() == 5
-    got = {r.session_id: r.norm for r in embeddings.groupBy("session_id").agg(F.sum(F.col("value") * F.col("value")).alias("norm")).collect()}
-    assert len(got) == 9 and all(abs(x - 1) < 1e-6 for x in got.values())
+    u, sigma, vt = np.linalg.svd(m, full_matrices=False)
+    rows = dims.orderBy("dim").collect()
+    assert np.allclose([r.sigma for r in rows], sigma) and np.allclose([r.share for r in rows], (sigma**2 / (sigma**2).sum()).round(4))
+    got = np.zeros((9, 5))
+    for r in embeddings.collect():
+        got[int(r.session_id[1:]), r.dim] = r.value
+    want = u * sigma
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.allclose(np.abs(got), np.abs(want), atol=1e-6) and np.allclose(got @ got.T, want @ want.T, atol=1e-6)
+    at = np.zeros((5, 5))
+    for r in loadings.collect():
+        at[r.dim, int(r.feature[1:])] = r.value
+    assert np.allclose(np.abs(at), np.abs(vt), atol=1e-6)
