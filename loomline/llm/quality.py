@@ -33,6 +33,8 @@ from loomline.llm.shared import least_hashed, written
 SAMPLE, LABELLED_SHARE, OTHERS_SHARE = 12_000, 0.75, 0.1
 #: Bits of a feature's hash, and the lengths of word beginnings.
 BITS, BEGINNINGS = 24, (4, 5, 6, 7)
+#: What a vote on a text's shape counts as a feature, beside a word's one: a text has few of the former and many of the latter.
+SHAPE_COUNTS = 16
 #: A feature that fewer documents of the sample have gets no weight.
 LEAST_DOCS = 8
 #: A feature is telling if so many documents that people call toxic have it, and so large a share of all labelled ones that do.
@@ -297,7 +299,7 @@ class Model:
             shapes = shape_features(batch.votes(self.telling)[0])
             at, which = places(shapes.ravel(), self.features)
             odds = self.level + batch.scores(self.features, self.weights)
-            np.add.at(odds, at // shapes.shape[1], self.weights[which])
+            np.add.at(odds, at // shapes.shape[1], SHAPE_COUNTS * self.weights[which])
             found[a:b] = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
         return found
 
@@ -396,8 +398,8 @@ def train(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE) -> Mo
                 junk, toxic = batch.votes(telling)
                 doc, feature = batch.features(often)
                 shapes = shape_features(junk)
-                doc = np.concatenate([doc, np.repeat(np.arange(len(shapes)), shapes.shape[1])])
-                feature = np.concatenate([feature, shapes.ravel()])
+                doc = np.concatenate([doc, np.repeat(np.arange(len(shapes)), shapes.shape[1] * SHAPE_COUNTS)])
+                feature = np.concatenate([feature, np.repeat(shapes.ravel(), SHAPE_COUNTS)])
                 has, _ = places(feature, often)
                 order = np.lexsort((feature[has], doc[has]))
                 cuts = np.searchsorted(doc[has][order], np.arange(1, b - a))
