@@ -188,16 +188,17 @@ def shingle_rows(rows: DataFrame, words: int, least: float) -> DataFrame:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) of sigs whose whole texts have a Jaccard similarity of at least `least`."""
+    """The pairs (a, b) of sigs whose whole texts have a Jaccard similarity of at least `least`. Sets of shingles travel as
+    32 bits of their hashes: within two sets hardly any two of these coincide."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"sig": batch["sig"], "own": [np.unique(hashed(t, words)).view("<i8") for t in batch["text"]]})
+            yield pd.DataFrame({"sig": batch["sig"], "own": [np.unique((hashed(t, words) >> np.uint64(32)).astype("<u4")).view("<i4") for t in batch["text"]]})
 
     pairs = written(pairs, "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(nodes.select("sig", "key"), "sig")
     texts = rows.join(ends, "key").select("sig", "text").dropDuplicates(["sig"])
-    sets = written(texts.mapInPandas(each, "sig long, own array<long>"), "shingle-sets")
+    sets = written(texts.mapInPandas(each, "sig long, own array<int>"), "shingle-sets")
     side = lambda c: sets.select(F.col("sig").alias(c), F.col("own").alias(f"of_{c}"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     alike = both * (1 + least) >= (F.size("of_a") + F.size("of_b")) * least - 1e-9
@@ -212,10 +213,11 @@ def similar_groups(rows: DataFrame, words: int = 5, least: float = 0.8, radius:
     groups follow, so that no pair whose groups differ goes unseen. Every link is verified on whole texts.
     """
     prints = written(shingle_rows(rows, words, least), "shingles")
-    nodes = written(prints.groupBy("sig").agg(F.min("key").alias("key"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")).where("n > 0"), "nodes")
+    nodes = written(prints.groupBy("sig").agg(F.min("key").alias("key"), F.min("fp").alias("fp"), F.first("n").alias("n")).where("n > 0"), "nodes")
+    once = prints.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     near_size = lambda m, n: F.least(m, n) >= F.greatest(m, n) * least - 1e-9
     same = Window.partitionBy("h")
-    held = nodes.select("sig", "n", F.posexplode("prefix").alias("at", "h"))
+    held = once.select("sig", "n", F.posexplode("prefix").alias("at", "h"))
     held = held.withColumn("first", F.min(F.struct("sig", "n")).over(same)).withColumn("last", F.max("sig").over(same))
     held = written(held.where("first.sig < last").select("h", "sig", "n", "at", "first"), "shared-shingles")
 
