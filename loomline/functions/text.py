@@ -116,6 +116,30 @@ def common_prefix(paths: Column, directories: bool = True) -> Column:
     return F.when(joined == "/", "").otherwise(F.coalesce(joined, F.lit("")))
 
 
+def date_text(ts: Column) -> Column:
+    """Month, day and year."""
+    return F.date_format(ts, "MMM d, yyyy")
+
+
+def date_time_text(ts: Column) -> Column:
+    """Month, day and year with the time of day in twelve hours."""
+    return F.date_format(ts, "MMM dd, yyyy, hh:mm a")
+
+
+def time_text(ts: Column) -> Column:
+    """The time of day to the second."""
+    return F.date_format(ts, "HH:mm:ss")
+
+
+def scalar_inputs(raw: Column, most: int = 5) -> Column:
+    """A JSON object's first keys, in its order, whose values are neither null nor objects or arrays, with the values as
+    text; an empty array for anything else."""
+    value = F.try_parse_json(raw)
+    pairs = F.transform(F.json_object_keys(raw), lambda k: F.struct(k.alias("key"), F.element_at(F.from_json(raw, "map<string,string>"), k).alias("value")))
+    plain = F.filter(pairs, lambda p: p["value"].isNotNull() & ~p["value"].rlike(r"(?s)^\s*[\[{]"))
+    return F.when(value.isNotNull(), F.slice(F.coalesce(plain, F.array().cast("array<struct<key:string,value:string>>")), 1, most)).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+
+
 def duration_text(minutes: Column) -> Column:
     """1h 5m, or 5m below an hour."""
     hours = F.floor(minutes / 60)

@@ -177,6 +177,30 @@ def shared_keywords(centres: DataFrame, pairs: DataFrame, most: int = 3) -> Data
     return first_by(rows, ["src", "dst"], F.desc("score"), F.col("term"), most=most).select("src", "dst", "place", "term", "score")
 
 
+def edge_label(typed: DataFrame, shared: DataFrame, files: DataFrame) -> DataFrame:
+    """typed edges with a label: what their two topics share. shared: (src, dst, place, term); files: (src, dst,
+    file_paths), the paths that both edit."""
+    words = listed(shared, ["src", "dst"], "term", "words")
+    rows = typed.join(words, ["src", "dst"], "left").join(files, ["src", "dst"], "left")
+    terms = F.nullif(F.array_join("words", ", "), F.lit(""))
+    folder = F.nullif(T.common_prefix(F.coalesce("file_paths", F.array().cast("array<string>")), directories=False), F.lit(""))
+    ends = F.array_join(F.slice(F.split(F.get("file_paths", F.lit(0)), "/"), -2, 2), "/")
+    label = (
+        F.when(F.col("type") == "cross-project-bridge", F.concat(F.lit("cross-project: "), F.coalesce(terms, F.lit("related concepts"))))
+        .when(F.col("type") == "shared-module", F.concat(F.lit("shared: "), F.coalesce(folder, ends, F.lit("files"))))
+        .when(F.col("type") == "workflow-continuation", F.lit("workflow continuation"))
+        .otherwise(F.concat(F.lit("related: "), F.coalesce(terms, F.lit("similar topics"))))
+    )
+    return rows.withColumn("label", label).drop("words", "file_paths")
+
+
+def shared_files(members: DataFrame, files: DataFrame) -> DataFrame:
+    """(src, dst, file_paths): the paths that two topics both edit, in order."""
+    own = members.join(files, "session_id").select("topic_id", "file_path").distinct()
+    pairs = own.withColumnRenamed("topic_id", "src").join(own.withColumnRenamed("topic_id", "dst"), "file_path").where("src < dst")
+    return pairs.groupBy("src", "dst").agg(F.array_sort(F.collect_set("file_path")).alias("file_paths"))
+
+
 def facets_rollup(members: DataFrame, facets: DataFrame) -> DataFrame:
     """A row per topic with any labelled session: goals, classes, success, helpfulness, frictions and details."""
     rows = members.join(facets, "session_id", "left").withColumn("known", F.col("outcome").isNotNull() | F.col("claude_helpfulness").isNotNull() | F.col("underlying_goal").isNotNull())

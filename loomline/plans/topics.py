@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomline.functions import classify as C
 from loomline.functions import text as T
 from loomline.operators import features, graph, overview, report, sequences, topics, vectors
 from loomline.plans import views
@@ -235,7 +236,14 @@ def communities(spark, sf):
     return graph.communities(nodes, vectors.settled(edges))
 
 
-@query()
+# All shortest paths, from simple paths grown edge by edge; a node's share of those between two others.
+BETWEEN = f"""WITH RECURSIVE {VECTORS}, {SIMILAR}, m AS (SELECT a AS x, b AS y FROM sim UNION SELECT b, a FROM sim), p AS (SELECT x AS s, y AS t, 1 AS d, [x, y] AS path FROM m UNION ALL SELECT s, y, d + 1, list_append(path, y) FROM p JOIN m ON p.t = m.x WHERE NOT list_contains(path, y)),
+near AS (SELECT s, t, min(d) AS d FROM p GROUP BY 1, 2), sig AS (SELECT s, t, d, count(*) AS n FROM p JOIN near USING (s, t, d) GROUP BY ALL),
+share AS (SELECT a.t AS node, sum(a.n * b.n / CAST(c.n AS DOUBLE)) AS x FROM sig a JOIN sig b ON a.t = b.s JOIN sig c ON c.s = a.s AND c.t = b.t AND c.d = a.d + b.d GROUP BY 1), size AS (SELECT count(*) AS n FROM embeddings),
+between AS (SELECT vec_id AS node, floor(round(coalesce(x, 0) / ((n - 1) * (n - 2)), 9) * 10000 + 0.5) / 10000.0 AS betweenness FROM embeddings LEFT JOIN share ON node = vec_id, size)"""
+
+
+@query(BETWEEN + " SELECT * FROM between")
 def betweenness(spark, sf):
     nodes, edges = embedding_graph(spark, sf)
     return graph.betweenness(nodes, vectors.settled(edges))
@@ -292,7 +300,9 @@ def topic_sequences(spark, sf):
     return branch_links(spark, sf).select("topic_id", F.array_join("steps", sequences.ARROW).alias("sequence"))
 
 
-@query()
+@query(SQL + f""", {GRAMS}, {COVERED}, best AS (SELECT steps FROM maxi ORDER BY n DESC, length DESC, steps LIMIT 30), linked AS (SELECT DISTINCT git_branch AS topic_id, e.steps, list_filter(e.steps, lambda s: starts_with(s, 'Bash:') AND s <> 'Bash:other') AS shell FROM every e JOIN best USING (steps) JOIN sess USING (session_id)),
+one AS (SELECT * FROM linked WHERE len(shell) > 0 QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY steps) = 1)
+SELECT topic_id, '{{"event":"PostToolUse","matcher":"Bash","command_class":"' || substr(shell[1], 6) || '","sequence":"' || array_to_string(steps, ' → ') || '"}}' AS hook FROM one""")
 def hooks(spark, sf):
     return report.hooks(branch_links(spark, sf))
 
@@ -306,9 +316,10 @@ def skill_documents(spark, sf):
     said = views.prompts(spark, sf).select(F.concat(F.lit("b"), F.col("session_id") % 50).alias("topic_id"), "session_id", "turn_index", "user_prompt")
     words = topics.topic_keywords(topics.centroids(said.select("topic_id", "session_id").distinct(), features.tfidf(features.term_counts(said.withColumnRenamed("user_prompt", "text"), "session_id"), "session_id")))
     actions = meta.select("topic_id").join(topics.dominant_action(said.select("topic_id", F.col("user_prompt").alias("prompt"))), "topic_id", "left").fillna("work on", ["action"])
-    described = report.descriptions(meta, topics.suggested_prompt(actions, words, signature), signature, topics.dominant_role(members, sessions, breakdown))
+    roles = topics.dominant_role(members, sessions, breakdown)
+    described = report.descriptions(meta, topics.suggested_prompt(actions, words, signature), signature, roles)
     examples = topics.first_by(said.withColumn("prompt", T.cut(F.col("user_prompt"), 150, "...")), ["topic_id"], F.col("session_id"), F.col("turn_index"), most=3)
-    return report.skill_documents(meta, words, described, signature, examples.select("topic_id", "place", "prompt"), branch_links(spark, sf))
+    return report.skill_documents(meta, words, described, signature, examples.select("topic_id", "place", "prompt"), branch_links(spark, sf), actions, roles)
 
 
 @query(SQL + "SELECT session_id, project, created_at, n_calls FROM sess")
@@ -359,7 +370,52 @@ def prompt_set(spark, sf):
     """What a batch job over a language model gets: the drafted documents with their neighbours in the branch graph."""
     documents = skill_documents(spark, sf)
     near = session_overlap(spark, sf).select("src", "dst", F.col("overlap").alias("strength"))
-    return report.prompt_set(documents, graph.context(near), documents.select("topic_id", F.col("skill_name").alias("label")))
+    nodes = documents.select(F.col("topic_id").alias("node"))
+    central = graph.degree(nodes, near).select(F.col("node").alias("topic_id"), F.lit(0.0).alias("betweenness"), F.col("centrality").alias("degree"))
+    return report.prompt_set(documents, graph.context(near), documents.select("topic_id", F.col("skill_name").alias("label")), links=branch_links(spark, sf), central=central)
+
+
+@query(BETWEEN + ", t AS (SELECT *, row_number() OVER (ORDER BY betweenness DESC, node) AS i, count(*) OVER () AS n FROM between) SELECT node, betweenness FROM t WHERE i <= greatest(1, ceil(n / 10.0)) AND betweenness > 0")
+def bridge_nodes(spark, sf):
+    nodes, edges = embedding_graph(spark, sf)
+    return graph.bridges(graph.betweenness(nodes, vectors.settled(edges)))
+
+
+@query(f"WITH {VECTORS}, {SIMILAR}, m AS (SELECT a AS node FROM sim UNION ALL SELECT b FROM sim), d AS (SELECT vec_id AS node, count(m.node) AS n FROM embeddings LEFT JOIN m ON node = vec_id GROUP BY 1) SELECT node, CASE WHEN label = 0 THEN 'critical bridge' WHEN label = 1 THEN 'bridge' WHEN n > 1 THEN 'hub' WHEN n = 0 THEN 'isolated' ELSE 'peripheral' END AS band FROM d JOIN embeddings ON vec_id = node")
+def centrality_band(spark, sf):
+    """Bands by an embedding's number of neighbours, with labels 0 and 1 in the part of high betweenness."""
+    nodes, edges = embedding_graph(spark, sf)
+    known = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.when(F.col("label") == 0, 0.3).when(F.col("label") == 1, 0.1).otherwise(0.0).alias("betweenness"))
+    central = graph.degree(nodes, edges).join(known, "node")
+    return central.select("node", C.centrality_band(F.col("betweenness"), F.when(F.col("degree") > 1, 0.6).when(F.col("degree") > 0, 0.1).otherwise(0.0)).alias("band"))
+
+
+@query(f"WITH {VECTORS}, {SIMILAR}, seen AS (SELECT vec_id, label FROM embeddings WHERE label < 4) SELECT a AS src, b AS dst, CASE WHEN x.label = y.label THEN 'inner' ELSE 'outer' END AS type FROM sim JOIN seen x ON x.vec_id = a JOIN seen y ON y.vec_id = b WHERE x.label <> y.label")
+def visible_edges(spark, sf):
+    """Edges between different labels among those of the communities 0 to 3."""
+    nodes, edges = embedding_graph(spark, sf)
+    labels = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.col("label").alias("community"))
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("community").alias(f"{c}_of"))
+    typed = edges.join(side("src"), "src").join(side("dst"), "dst").withColumn("type", F.when(F.col("src_of") == F.col("dst_of"), "inner").otherwise("outer"))
+    return graph.subgraph(labels, typed, [0, 1, 2, 3], ["outer"])[1].select("src", "dst", "type")
+
+
+@query(f"WITH {CENTRES}, k AS (SELECT topic_id, term, weight FROM centres WHERE weight > 0 QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 9) DESC, term) <= 5), c AS (SELECT DISTINCT source AS topic_id, length(source) AS community FROM documents), cs AS (SELECT community, term, sum(round(weight, 9)) AS x FROM k JOIN c USING (topic_id) GROUP BY community, term), cw AS (SELECT community, term, row_number() OVER (PARTITION BY community ORDER BY x DESC, term) AS place FROM cs) SELECT community, size, label, project FROM (SELECT community, count(*) AS size, min(topic_id) AS project FROM c GROUP BY 1) JOIN (SELECT community, string_agg(term, ', ' ORDER BY place) AS label FROM cw WHERE place <= 3 GROUP BY 1) USING (community)")
+def community_table(spark, sf):
+    """Sources as topics, with the length of their names as community."""
+    sources = source_members(spark, sf).select("topic_id").distinct()
+    labels = sources.select(F.col("topic_id").alias("node"), F.length("topic_id").alias("community"))
+    return graph.community_table(labels, source_keywords(spark, sf), sources.select("topic_id", F.col("topic_id").alias("project")))
+
+
+@query(SQL + "SELECT event_id, CASE tool_name WHEN 'Bash' THEN 'command=' || cmd WHEN 'Agent' THEN 'subagent_type=Explore' ELSE 'file_path=' || path END AS inputs FROM calls")
+def input_scalars(spark, sf):
+    return views.calls(spark, sf).select("event_id", F.array_join(F.transform(T.scalar_inputs(F.col("input")), lambda p: F.concat(p["key"], F.lit("="), p["value"])), ", ").alias("inputs"))
+
+
+@query("SELECT event_id, strftime(ts, '%b %-d, %Y') AS day, strftime(ts, '%b %d, %Y, %I:%M %p') AS moment, strftime(ts, '%H:%M:%S') AS clock FROM events")
+def date_texts(spark, sf):
+    return views.table(spark, sf, "events").select("event_id", T.date_text(F.col("ts")).alias("day"), T.date_time_text(F.col("ts")).alias("moment"), T.time_text(F.col("ts")).alias("clock"))
 
 
 @query()
