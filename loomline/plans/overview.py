@@ -173,13 +173,16 @@ def path_abstraction(spark, sf):
     return views.table(spark, sf, "pages").select("page_id", C.path_pattern(F.col("url")).alias("pattern"))
 
 
-GOAL_NAMES = ("feature_x", "bug_report", "cleanup_old", "readme_edit", "code_review_1", "test_add", "ci_fix", "create_pr", "npm_install", "misc")
+# A label drawn from each text: a stem by its length, at times with the text's first characters behind it.
+GOAL_STEMS = ("feature", "ui_", "bug_", "debug", "cleanup_", "code_cleanup", "readme_", "code_review", "test_", "ci_", "create_pr", "git_", "npm_", "pr", "misc")
+GOAL_CASES = " ".join("WHEN " + " OR ".join([*(f"starts_with(raw, '{s}')" for s in starts), *(f"raw = '{n}'" for n in names)]) + f" THEN '{goal}'" for goal, starts, names in C.GOALS)
 
 
-@query("SELECT doc_id, ['feature','bugfix','refactoring','documentation','review','testing','ci','git_ops','setup','other'][CAST(doc_id % 10 AS INTEGER) + 1] AS goal_class FROM documents")
+@query(f"WITH d AS (SELECT doc_id, {list(GOAL_STEMS)}[length(text) % {len(GOAL_STEMS)} + 1] || CASE WHEN length(text) % 3 = 0 THEN '' ELSE left(text, 2) END AS raw FROM documents) SELECT doc_id, raw, CASE {GOAL_CASES} ELSE 'other' END AS goal_class FROM d")
 def goal_category(spark, sf):
-    raw = F.element_at(F.array(*[F.lit(g) for g in GOAL_NAMES]), (F.col("doc_id") % 10 + 1).cast("int"))
-    return views.table(spark, sf, "documents").select("doc_id", C.goal_class(raw).alias("goal_class"))
+    stem = F.element_at(F.array(*[F.lit(g) for g in GOAL_STEMS]), F.length("text") % len(GOAL_STEMS) + 1)
+    raw = F.concat(stem, F.when(F.length("text") % 3 == 0, "").otherwise(F.left("text", F.lit(2))))
+    return views.table(spark, sf, "documents").select("doc_id", raw.alias("raw")).withColumn("goal_class", C.goal_class(F.col("raw")))
 
 
 @query("SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 1.0::DOUBLE WHEN quality = 1 THEN 0.25::DOUBLE WHEN toxic = 1 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM labels")
@@ -273,7 +276,7 @@ def tfidf(spark, sf):
     return features.tfidf(document_terms(spark, sf), "doc_id").withColumn("weight", F.round("weight", 6))
 
 
-@query("SELECT page_id, " + PATHS.format("url") + " AS parts FROM pages".replace("SELECT page_id, ", "SELECT page_id, "))
+@query("SELECT page_id, " + PATHS.format("url") + " AS parts FROM pages")
 def path_tokens(spark, sf):
     return views.table(spark, sf, "pages").select("page_id", T.path_tokens(F.col("url")).alias("parts"))
 

@@ -283,9 +283,10 @@ def svd_embeddings(spark, sf):
     return embeddings
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN chr(45) || '--' || chr(10) || 'name: ' || doc_id ELSE 'just text' END AS document FROM documents")
+@query("WITH s AS (SELECT doc_id, CASE length(text) % 3 WHEN 0 THEN 'Here it is.' || chr(10) || '---' || chr(10) || text WHEN 1 THEN '--- ' || text ELSE text END AS said FROM documents), e AS (SELECT *, regexp_extract(said, '(?s)(?:^|\\n)(---.*)$', 1) AS found FROM s) SELECT doc_id, CASE WHEN starts_with(said, '---') OR found = '' THEN said ELSE found END AS document FROM e")
 def strip_preamble(spark, sf):
-    said = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("Here it is.\n---\nname: "), F.col("doc_id"))).otherwise(F.lit("just text"))
+    kind = F.length("text") % 3
+    said = F.when(kind == 0, F.concat(F.lit("Here it is.\n---\n"), "text")).when(kind == 1, F.concat(F.lit("--- "), "text")).otherwise(F.col("text"))
     return views.table(spark, sf, "documents").select("doc_id", T.strip_preamble(said).alias("document"))
 
 
