@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import leaks, lines, mixing, pages, quality, sharding, shared, simhash, tokens, vectors, warc
+from loomline.llm import leaks, lines, mixing, pages, phrases, quality, sharding, shared, simhash, tokens, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "pass", mixing.words().alias("n_tokens"), "mix_block", "mix_order", "weight")
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, percent=50, top=2000)
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_token_ids": op2_token_ids,
@@ -73,8 +77,32 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_leaks": op9_leaks,
     "op10_mixing": op10_mixing,
+    "op12_phrases": op12_phrases,
 }
 ORACLES: dict[str, str] = {
+    "op12_phrases": """WITH RECURSIVE d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9), 'abcdefghijklmnopqrstuvwxyz ') AS t FROM documents),
+    p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS p FROM d),
+    w AS (SELECT lang, list_filter(string_split(p, ' '), lambda x: x <> '') AS w FROM p),
+    g AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+    f AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a FROM (SELECT *, unnest([1, 2, 3]) AS k FROM g) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+    totals AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+    c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k > 1 AND a >= 10),
+    s AS (SELECT c.lang, c.k, c.phrase, c.a, cut, l.a AS l, r.a AS r, CAST(1000000::HUGEINT * c.a * c.a // (l.a::HUGEINT * r.a) AS BIGINT) AS score FROM c
+      JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[cut + 1:], ' ')),
+    m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+    e AS MATERIALIZED (SELECT lang, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k = 3 AND a >= 10),
+    longer AS (SELECT lang, part, max(a) AS most FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS part FROM e) GROUP BY ALL),
+    kept AS (SELECT m.* FROM m LEFT JOIN longer o ON o.lang = m.lang AND o.part = m.phrase WHERE m.k = 3 OR o.most IS NULL OR 100 * o.most < 50 * m.a),
+    ins AS (SELECT lang, w[2] || ' ' || w[3] AS node, min(phrase) AS before FROM e GROUP BY ALL HAVING count(*) = 1),
+    outs AS (SELECT lang, w[1] || ' ' || w[2] AS node, min(phrase) AS phrase FROM e GROUP BY ALL HAVING count(*) = 1),
+    links AS MATERIALIZED (SELECT lang, phrase, before FROM ins JOIN outs USING (lang, node) WHERE phrase <> before),
+    walk AS (SELECT lang, phrase, phrase AS path, 0::BIGINT AS path_at FROM e ANTI JOIN links USING (lang, phrase)
+      UNION ALL SELECT l.lang, l.phrase, walk.path, walk.path_at + 1 FROM walk JOIN links l ON l.lang = walk.lang AND l.before = walk.phrase),
+    ring AS (SELECT lang, phrase AS start, phrase, 0::BIGINT AS at FROM links ANTI JOIN walk USING (lang, phrase)
+      UNION ALL SELECT l.lang, ring.start, l.phrase, ring.at + 1 FROM ring JOIN links l ON l.lang = ring.lang AND l.before = ring.phrase WHERE l.phrase <> ring.start),
+    least AS (SELECT lang, start, min(phrase) AS path FROM ring GROUP BY ALL),
+    paths AS (SELECT * FROM walk UNION ALL SELECT r.lang, r.phrase, r.start, r.at FROM ring r JOIN least t ON t.lang = r.lang AND t.start = r.start AND t.path = r.start)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score, path, path_at FROM kept JOIN totals USING (lang) LEFT JOIN paths USING (lang, phrase) QUALIFY rank <= 2000""",
     # Base32 of the SHA-1's hexadecimal digits: five of them are four letters.
     "op3_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, h, sha1(h) AS x FROM p),
     e AS (SELECT page_id, h, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((list_sum(list_transform(range(5), lambda k: (strpos('0123456789abcdef', substr(x, CAST(5 * (i // 4) + k + 1 AS BIGINT), 1)) - 1) * CAST(16 ** (4 - k) AS BIGINT)))::BIGINT >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT), 1)), '') AS payload_digest FROM d),
