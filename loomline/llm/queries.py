@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import leaks, lines, mixing, pages, phrases, quality, sharding, shared, simhash, tokens, vectors, warc
+from loomline.llm import leaks, lines, mixing, pages, phrases, quality, search, sharding, shared, simhash, tokens, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, percent=50, top=2000)
 
 
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(search.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_token_ids": op2_token_ids,
@@ -78,6 +82,7 @@ QUERIES = {
     "op9_leaks": op9_leaks,
     "op10_mixing": op10_mixing,
     "op12_phrases": op12_phrases,
+    "op13_search": op13_search,
 }
 ORACLES: dict[str, str] = {
     "op12_phrases": """WITH RECURSIVE d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9), 'abcdefghijklmnopqrstuvwxyz ') AS t FROM documents),
@@ -103,6 +108,13 @@ ORACLES: dict[str, str] = {
     least AS (SELECT lang, start, min(phrase) AS path FROM ring GROUP BY ALL),
     paths AS (SELECT * FROM walk UNION ALL SELECT r.lang, r.phrase, r.start, r.at FROM ring r JOIN least t ON t.lang = r.lang AND t.start = r.start AND t.path = r.start)
     SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score, path, path_at FROM kept JOIN totals USING (lang) LEFT JOIN paths USING (lang, phrase) QUALIFY rank <= 2000""",
+    "op13_search": """WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+    s AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d),
+    q AS MATERIALIZED (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+    p AS MATERIALIZED (SELECT row, doc_id, size, term, count(*) AS tf FROM (SELECT row, doc_id, len(t) AS size, unnest(t) AS term FROM d) SEMI JOIN q USING (term) GROUP BY ALL),
+    w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY term),
+    scores AS (SELECT item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * size * n_docs) // n_terms)))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN p USING (term), s GROUP BY ALL)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 50""",
     # Base32 of the SHA-1's hexadecimal digits: five of them are four letters.
     "op3_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, h, sha1(h) AS x FROM p),
     e AS (SELECT page_id, h, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((list_sum(list_transform(range(5), lambda k: (strpos('0123456789abcdef', substr(x, CAST(5 * (i // 4) + k + 1 AS BIGINT), 1)) - 1) * CAST(16 ** (4 - k) AS BIGINT)))::BIGINT >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT), 1)), '') AS payload_digest FROM d),
