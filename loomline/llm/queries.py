@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import leaks, lines, mixing, pages, phrases, quality, search, sharding, shared, simhash, tokens, vectors, warc
+from loomline.llm import leaks, lines, minhash, mixing, pages, phrases, quality, search, sharding, shared, simhash, tokens, vectors, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "pass", mixing.words().alias("n_tokens"), "mix_block", "mix_order", "weight")
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.fingerprints(table(spark, sf_dir, "documents"))
+    printed = lambda c: F.lower(F.hex(c)).alias(c)
+    return found.select("doc_id", "n_chars", "edited_sha256", printed("fingerprint"), printed("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), longest=3, least=10, percent=50, top=2000)
 
@@ -81,6 +87,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_leaks": op9_leaks,
     "op10_mixing": op10_mixing,
+    "op11_fingerprints": op11_fingerprints,
     "op12_phrases": op12_phrases,
     "op13_search": op13_search,
 }
