@@ -10,6 +10,7 @@ Spark. All bounds are upper bounds in the integers of the score itself, so the r
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from loomline.llm.shared import written
 #: ASCII letters and digits and everything beyond ASCII make up terms.
 LETTERS = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256)).lower()
 #: Postings in a block, terms with repeats in a shard, rows in a batch.
-BLOCK, SHARD_TERMS, ROWS = 128, 4_000_000, 50_000
+BLOCK, SHARD_TERMS, ROWS = 128, 2_000_000, 50_000
 #: Terms of queries searched for at once in a group, and bytes of distinct terms up to which they are broadcast.
 QUERY_TERMS, BROADCAST_BYTES = 50_000, 8 << 20
 INDEX = "shard long, term string, n long, max_tf long, min_n long, heads binary, data binary"
@@ -61,7 +62,7 @@ def unvarints(data: np.ndarray) -> np.ndarray:
     return np.add.reduceat((data & 127).astype(np.int64) << 7 * place, begins) if len(ends) else np.zeros(0, np.int64)
 
 
-def shard_rows(shard: int, ids: list[int], lengths: list[int], doc_ids: list[int | None], words: list[bytes], block: int) -> Iterator[pa.RecordBatch]:
+def shard_rows(shard: int, ids: array, lengths: list[int], doc_ids: list[int | None], words: list[bytes], block: int) -> Iterator[pa.RecordBatch]:
     """The rows of one shard: its documents (a null term), then a row per term with its list."""
     schema = pa.schema([("shard", pa.int64()), ("term", pa.string()), ("n", pa.int64()), ("max_tf", pa.int64()), ("min_n", pa.int64()), ("heads", pa.binary()), ("data", pa.binary())])
     size = np.array(lengths, np.int64)
@@ -72,7 +73,7 @@ def shard_rows(shard: int, ids: list[int], lengths: list[int], doc_ids: list[int
     if not ids:
         return
     docs = len(size)
-    key, tf = np.unique(np.array(ids, np.int64) * docs + np.repeat(np.arange(docs), size), return_counts=True)
+    key, tf = np.unique(np.frombuffer(ids, np.int32).astype(np.int64) * docs + np.repeat(np.arange(docs), size), return_counts=True)
     term, doc = key // docs, key % docs
     starts = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
     of_list = np.repeat(starts, np.diff([*starts, len(term)]))
@@ -123,17 +124,17 @@ def index(docs: DataFrame, block: int = BLOCK, shard_terms: int = SHARD_TERMS) -
                 return n
 
         shard = TaskContext.get().partitionId() << 24
-        numbers, ids, lengths, doc_ids = Numbers(), [], [], []
+        numbers, ids, lengths, doc_ids = Numbers(), array("i"), [], []
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = term_list(text.as_py())
-                ids += [numbers[w] for w in found]
+                ids.extend([numbers[w] for w in found])
                 lengths.append(len(found))
                 doc_ids.append(doc)
                 if len(ids) >= shard_terms or len(lengths) >= shard_terms:
                     yield from shard_rows(shard, ids, lengths, doc_ids, list(numbers), block)
                     shard += 1
-                    numbers, ids, lengths, doc_ids = Numbers(), [], [], []
+                    numbers, ids, lengths, doc_ids = Numbers(), array("i"), [], []
         if lengths:
             yield from shard_rows(shard, ids, lengths, doc_ids, list(numbers), block)
 
