@@ -8,12 +8,10 @@ find little, the pairs that are left in open buckets, those across groups, are c
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.shared import components, written
+from loomline.llm.shared import components, dropped, written
 
 
 def near_size(m: Column, n: Column, least: float) -> Column:
@@ -42,36 +40,39 @@ def _open(held: DataFrame, alike: DataFrame) -> DataFrame:
     return written(named.join(mixed, "h"), "open-buckets")
 
 
-def links(held: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least: float, alike: DataFrame | None = None, little: float = 0.02) -> DataFrame:
-    """Verified pairs (a, b) that connect all that alike pairs sharing a bucket do.
+def links(held: DataFrame, sets: DataFrame, least: float, pairs: DataFrame | None = None, little: float = 0.02) -> DataFrame:
+    """Verified pairs (a, b), a written table, that connect all that alike pairs sharing a bucket do.
 
     held: (h, sig, n, at), n the size of the set sig and at the bucket's place in its order (0 where there is none), from
-    shared_only. sets_of gives (sig, own) for a table of sigs. alike: verified pairs known before. A round that joins
+    shared_only. sets: (sig, own) of all sigs. pairs: candidates (a, b) known before, verified first. A round that joins
     fewer than the share `little` of the open sets is the last.
     """
-    sets = written(sets_of(held.select("sig").distinct()), "sets")
     empty = held.select(F.col("sig").alias("a"), F.col("sig").alias("b")).limit(0)
-    alike, tested = alike if alike is not None else empty, empty
+    tested = written(pairs if pairs is not None else empty, "pairs")
+    alike = verified(tested, sets, least)
     while True:
         rest = _open(held, alike)
         firsts = rest.groupBy("h").agg(F.min(F.struct("sig", "n", "group")).alias("first"))
         met = rest.join(firsts, "h").where((F.col("group") != F.col("first.group")) & near_size(F.col("n"), F.col("first.n"), least))
         met = met.groupBy(F.col("first.sig").alias("a"), F.col("sig").alias("b")).agg(F.count(F.lit(1)).alias("times"))
-        best = met.join(tested, ["a", "b"], "left_anti").groupBy("b").agg(F.max(F.struct("times", "a")).alias("with")).select(F.col("with.a").alias("a"), "b")
-        best = written(best, "pairs")
+        met = met.join(tested, ["a", "b"], "left_anti")
+        best = written(met.groupBy("b").agg(F.max(F.struct("times", "a")).alias("with")).select(F.col("with.a").alias("a"), "b"), "pairs")
         tested = tested.unionByName(best)
         found = verified(best, sets, least)
         alike = alike.unionByName(found)
-        joined = found.count()
-        if joined <= little * rest.select("sig").distinct().count():
+        joined, open_ = found.count(), rest.select("sig").distinct().count()
+        if joined:
+            dropped(rest)
+            rest = _open(held, alike)
+        if joined <= little * open_:
             break
-    if joined:
-        rest = _open(held, alike)
     side = lambda c: rest.select("h", F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("at").alias(f"at_{c}"), F.col("group").alias(f"group_{c}"))
     met = side("a").join(side("b"), "h").where((F.col("a") < F.col("b")) & (F.col("group_a") != F.col("group_b")) & near_size(F.col("n_a"), F.col("n_b"), least))
     met = met.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("both"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
     # What two ordered sets share is what their buckets do up to the last such one, and at most all that follows it.
     most = F.col("both") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
-    pairs = met.where(most * (1 + least) >= (F.col("n_a") + F.col("n_b")) * least - 1e-9).select("a", "b")
-    pairs = pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    return alike.unionByName(verified(written(pairs, "last-pairs"), sets, least))
+    last = met.where(most * (1 + least) >= (F.col("n_a") + F.col("n_b")) * least - 1e-9).select("a", "b")
+    last = written(last.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "last-pairs")
+    whole = written(alike.unionByName(verified(last, sets, least)), "links")
+    dropped(rest, last)
+    return whole

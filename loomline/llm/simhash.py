@@ -21,11 +21,12 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from loomline.llm.shared import components, written
+from loomline.llm import alike
+from loomline.llm.shared import components, dropped, written
 
 SEED = 42
 BITS = 64
@@ -146,99 +147,91 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, doc_id: st
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def common_shingles(rows: DataFrame, words: int, sample: int = 20_000, least_docs: int = 4, most: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles, ascending, that many documents have, and how many of a sample do. What is missing costs time only."""
+#: Counters of the sketch and rows that it travels in.
+SLOTS, CHUNKS = 1 << 22, 64
+
+
+def shingle_counts(rows: DataFrame, words: int, slots: int = SLOTS) -> np.ndarray:
+    """How many of all documents have a shingle that falls into each of `slots` counters, a number fixed beforehand: at
+    least as many as have any one of them. Tasks count their own texts, counters are added up."""
+    size = slots // CHUNKS
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(slots, np.uint32)
         for batch in batches:
-            found = [np.unique(hashed(t, words)).view("<i8") for t in batch["text"]]
-            yield pd.DataFrame({"h": np.concatenate([np.zeros(0, "<i8"), *found])})
+            for text in batch["text"]:
+                at, times = np.unique(np.unique(hashed(text, words)) % np.uint64(slots), return_counts=True)
+                counts[at] += times.astype(np.uint32)
+        if counts.any():
+            pack = zstandard.ZstdCompressor(level=1)
+            yield pd.DataFrame({"chunk": range(CHUNKS), "data": [pack.compress(x.tobytes()) for x in counts.reshape(CHUNKS, size)]})
 
-    share = min(1.0, sample / max(rows.count(), 1))
-    picked = rows.where(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000)).select("text")
-    counts = picked.mapInPandas(each, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs)
-    found = sorted((r.h, r.n) for r in counts.orderBy(F.desc("n"), "h").limit(most).collect())
-    return np.array([h for h, _ in found], np.int64), np.array([n for _, n in found], np.int64)
+    def added(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        total, unpack = np.zeros(size, np.uint32), zstandard.ZstdDecompressor()
+        for data in parts["data"]:
+            total += np.frombuffer(unpack.decompress(data), np.uint32)
+        return pd.DataFrame({"chunk": [int(key[0])], "data": [total.tobytes()]})
+
+    found = np.zeros((CHUNKS, size), np.uint32)
+    for row in rows.select("text").mapInPandas(each, "chunk int, data binary").groupBy("chunk").applyInPandas(added, "chunk int, data binary").collect():  # 16 MB
+        found[row.chunk] = np.frombuffer(row.data, np.uint32)
+    return found.reshape(-1)
 
 
 def shingle_rows(rows: DataFrame, words: int, least: float) -> DataFrame:
     """(key, sig, fp, n, prefix) of rows (key, text): sig names the set of n distinct shingles, prefix has so many of its
     first ones, rare before common, that two sets with a similarity of `least` share one of them."""
-    common = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, words))  # of bounded size
+    counts = rows.sparkSession.sparkContext.broadcast(shingle_counts(rows, words))  # of fixed size
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, times = common.value
+        known = counts.value
         for batch in batches:
             out = []
             for text in batch["text"]:
                 hashes = hashed(text, words)
-                own = np.unique(hashes).view("<i8")
+                own = np.unique(hashes)
                 n = len(own)
-                rank = np.zeros(n, np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    rank = np.where(known[at] == own, times[at], 0)
                 length = n - math.ceil(least * n - 1e-9) + 1 if n else 0
                 sig = xxhash.xxh64_intdigest(own.tobytes(), SEED) if n else 0
-                out.append((sig - (1 << 64) if sig >> 63 else sig, majority(hashes), n, own[np.lexsort((own, rank))[:length]]))
+                first = own[np.lexsort((own, known[own % np.uint64(len(known))]))[:length]].view("<i8")
+                out.append((sig - (1 << 64) if sig >> 63 else sig, majority(hashes), n, first))
             sigs, prints, sizes, prefixes = zip(*out, strict=True) if out else ((), (), (), ())
             yield pd.DataFrame({"key": batch["key"], "sig": list(sigs), "fp": list(prints), "n": list(sizes), "prefix": list(prefixes)})
 
     return rows.select("key", "text").mapInPandas(each, "key long, sig long, fp long, n int, prefix array<long>")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) of sigs whose whole texts have a Jaccard similarity of at least `least`. Sets of shingles travel as
-    32 bits of their hashes: within two sets hardly any two of these coincide."""
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(sig, own) of texts (sig, text). Shingles travel as 32 bits of their hashes: within two sets hardly any two of these
+    coincide."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"sig": batch["sig"], "own": [np.unique((hashed(t, words) >> np.uint64(32)).astype("<u4")).view("<i4") for t in batch["text"]]})
 
-    pairs = written(pairs, "pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct().join(nodes.select("sig", "key"), "sig")
-    texts = rows.join(ends, "key").select("sig", "text").dropDuplicates(["sig"])
-    sets = written(texts.mapInPandas(each, "sig long, own array<int>"), "shingle-sets")
-    side = lambda c: sets.select(F.col("sig").alias(c), F.col("own").alias(f"of_{c}"))
-    both = F.size(F.array_intersect("of_a", "of_b"))
-    alike = both * (1 + least) >= (F.size("of_a") + F.size("of_b")) * least - 1e-9
-    return written(pairs.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"), "alike")
+    return texts.select("sig", "text").mapInPandas(each, "sig long, own array<int>")
 
 
-def similar_groups(rows: DataFrame, words: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
+def similar_groups(rows: DataFrame, words: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
     """(key, group) of rows (key, text): what links of shingle similarity `least` or more connect, all of them.
 
-    Candidates are what SimHash finds within radius bits, then each holder of a prefix shingle with that shingle's first
-    holder, which is linear in the rows. Where holders of a shingle are not yet in one group, all pairs of them across
-    groups follow, so that no pair whose groups differ goes unseen. Every link is verified on whole texts.
+    The first candidates are what multi-index hashing finds within radius bits. Alike texts may differ by more bits, so the
+    holders of each shingle of a prefix, rarest first by the counts of all documents, follow in rounds: the exact
+    complement that misses none. Every link is verified on whole texts.
     """
     prints = written(shingle_rows(rows, words, least), "shingles")
-    nodes = written(prints.groupBy("sig").agg(F.min("key").alias("key"), F.min("fp").alias("fp"), F.first("n").alias("n")).where("n > 0"), "nodes")
-    once = prints.where("n > 0").groupBy("sig").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    near_size = lambda m, n: F.least(m, n) >= F.greatest(m, n) * least - 1e-9
-    same = Window.partitionBy("h")
-    held = once.select("sig", "n", F.posexplode("prefix").alias("at", "h"))
-    held = held.withColumn("first", F.min(F.struct("sig", "n")).over(same)).withColumn("last", F.max("sig").over(same))
-    held = written(held.where("first.sig < last").select("h", "sig", "n", "at", "first"), "shared-shingles")
-
+    nodes = written(prints.where("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
+    held = alike.shared_only(nodes.select("sig", "n", F.posexplode("prefix").alias("at", "h")).select("h", "sig", "n", "at"))
     by_print = nodes.groupBy("fp").agg(F.min("sig").alias("rep"))
     found = links(by_print, radius).unionByName(nodes.join(by_print, "fp").where("sig <> rep").select(F.col("rep").alias("a"), F.col("sig").alias("b")))
-    stars = held.where((F.col("sig") != F.col("first.sig")) & near_size(F.col("n"), F.col("first.n"))).select(F.col("first.sig").alias("a"), F.col("sig").alias("b"))
-    tested = written(found.unionByName(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first-pairs")
-    alike = verified(tested, nodes, rows, words, least)
-
-    grouped = components(alike)
-    named = held.join(grouped, F.col("sig") == F.col("node"), "left").select("h", "sig", "n", "at", F.coalesce("component", "sig").alias("group"))
-    mixed = named.groupBy("h").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("h")
-    named = written(named.join(mixed, "h"), "open-shingles")
-    side = lambda c: named.select("h", F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("at").alias(f"at_{c}"), F.col("group").alias(f"group_{c}"))
-    met = side("a").join(side("b"), "h").where((F.col("a") < F.col("b")) & (F.col("group_a") != F.col("group_b")) & near_size(F.col("n_a"), F.col("n_b")))
-    met = met.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("both"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
-    # What two sets share is what their prefixes do up to the last such shingle, and at most all that follows it.
-    most = F.col("both") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
-    rest = met.where(most * (1 + least) >= (F.col("n_a") + F.col("n_b")) * least - 1e-9).select("a", "b").join(tested, ["a", "b"], "left_anti")
-    whole = components(alike.unionByName(verified(rest, nodes, rows, words, least)))
-    return prints.join(whole, F.col("sig") == F.col("node"), "left").select("key", F.coalesce("component", "sig").alias("group"))
+    found = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-prints")
+    ends = held.select("sig").unionByName(found.select(F.explode(F.array("a", "b")).alias("sig"))).distinct()
+    texts = rows.join(nodes.join(ends, "sig").select("sig", "key"), "key").select("sig", "text").dropDuplicates(["sig"])
+    sets = written(shingle_sets(texts, words), "shingle-sets")
+    whole = written(components(alike.links(held, sets, least, found)), "groups")
+    groups = written(prints.join(whole, F.col("sig") == F.col("node"), "left").select("key", F.coalesce("component", "sig").alias("group")), "similar")
+    dropped(prints, nodes, held, found, sets, whole)
+    return groups
 
 
 def keep_one(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
