@@ -43,11 +43,32 @@ def canonical(text: str | None) -> bytes:
     return b" ".join(low.encode("utf-8", "surrogatepass").translate(KEEP).split())
 
 
-def grams(raw: bytes) -> np.ndarray:
+def grams(raw: bytes, q: int = Q) -> np.ndarray:
     """The q-grams of the bytes as integers, one for each place."""
-    if len(raw) < Q:
+    if len(raw) < q:
         return np.zeros(0, "<u8")
-    return np.ndarray(len(raw) - Q + 1, "<u8", raw, strides=(1,))
+    if q == Q:
+        return np.ndarray(len(raw) - Q + 1, "<u8", raw, strides=(1,))
+    return np.ndarray(len(raw) - q + 1, "<u8", raw + bytes(Q - q), strides=(1,)) & np.uint64((1 << 8 * q) - 1)
+
+
+def gram_length(size: int, errors: float) -> int:
+    """The longest q up to Q at which the lemma leaves an item of that size a q-gram to find it by; 0 for items that are
+    shorter than Q and have no edits, which are searched for as they stand."""
+    edits = int(errors * size)
+    return 0 if size < Q and not edits else min(Q, max(1, size // (edits + 1)))
+
+
+class Words:
+    """Items too short for q-grams: they occur where a document has them as whole words."""
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        self.items = items
+
+    def search(self, raw: bytes) -> list[tuple[int, int, int, int]]:
+        padded = b" " + raw + b" "
+        found = [(i, padded.find(b" " + item + b" "), len(item)) for i, (_, item) in enumerate(self.items)]
+        return [(i, 0, at, at + size) for i, at, size in found if at >= 0]
 
 
 def slots(codes: np.ndarray, bits: int) -> np.ndarray:
@@ -68,13 +89,12 @@ class Index:
     """The q-grams of one block of items, with their postings by class of size: items of a class differ in length by a
     factor below two, so that an occurrence of any of them spans about as much of a document."""
 
-    def __init__(self, items: list[tuple[int, bytes]], errors: float):
-        self.items = items
+    def __init__(self, items: list[tuple[int, bytes]], errors: float, q: int = Q):
+        self.items, self.q = items, q
         self.sizes = np.array([len(raw) for _, raw in items], np.int64)
-        # A budget so large that the bound would be empty is lowered to the largest that leaves one q-gram.
-        self.edits = np.maximum(np.minimum((errors * self.sizes).astype(np.int64), (self.sizes - Q) // Q), 0)
-        self.least = np.maximum(self.sizes - Q + 1 - self.edits * Q, 1)
-        parts = [grams(raw) for _, raw in items]
+        self.edits = (errors * self.sizes).astype(np.int64)
+        self.least = np.maximum(self.sizes - q + 1 - self.edits * q, 1)
+        parts = [grams(raw, q) for _, raw in items]
         codes = np.concatenate(parts) if parts else np.zeros(0, "<u8")
         item = np.repeat(np.arange(len(items), dtype=np.int32), [len(p) for p in parts])
         place = np.concatenate([np.arange(len(p), dtype=np.int32) for p in parts]) if parts else np.zeros(0, np.int32)
@@ -95,7 +115,7 @@ class Index:
         """Rows (item, least diagonal, greatest diagonal): where bands of diagonals reach the bound on distinct q-grams,
         bands that touch taken together."""
         none = np.zeros((0, 3), np.int64)
-        codes = grams(raw)
+        codes = grams(raw, self.q)
         at = [np.flatnonzero(self.seen[slots(codes[start : start + PART], self.bits)]) + start for start in range(0, len(codes), PART)]
         at = np.concatenate(at) if at else np.zeros(0, np.int64)
         if not len(at) or not len(self.codes):
@@ -253,12 +273,20 @@ def blocks(items: list[tuple[int, bytes]], most: int) -> Iterator[list[tuple[int
         yield held
 
 
+def indexes(items: list[tuple[int, bytes]], errors: float) -> list[Index | Words]:
+    """An index for each length of q-grams that the items need."""
+    by_length: dict[int, list[tuple[int, bytes]]] = {}
+    for item in items:
+        by_length.setdefault(gram_length(len(item[1]), errors), []).append(item)
+    return [Index(held, errors, q) if q else Words(held) for q, held in sorted(by_length.items())]
+
+
 def find(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, edits, start, end, n_chars): each item that a document holds with at most errors * length edits,
     at its best place; places and lengths count bytes of the canonical texts.
 
-    Whole documents are searched. Items of fewer than 8 characters aren't searched for, nor null or empty ones; short ones
-    have as many edits as leave a q-gram to find them by. Items with equal canonical texts are found each. Null texts hold
+    Whole documents are searched. Items of fewer than 40 characters are found by shorter q-grams than 8, those of fewer than
+    8 that allow no edit as whole words. Null and empty items are in no document. Items with equal canonical texts are found each. Null texts hold
     nothing. Documents without an id give a null doc_id; rows that repeat give repeated rows. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -271,17 +299,18 @@ def find(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block_ch
     found = None
     for part in range(parts):
         own = numbered.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).orderBy("item_id", "text").collect()
-        items = [(r.item_id, raw) for r in own if len(raw := canonical(r.text)) >= Q]
+        items = [(r.item_id, raw) for r in own if (raw := canonical(r.text))]
         for held in blocks(items, block_chars):
-            shared = spark.sparkContext.broadcast(Index(held, errors))
+            shared = spark.sparkContext.broadcast(indexes(held, errors))
 
             def each(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-                index = shared.value
                 for batch in batches:
                     rows = []
                     for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                        for i, edits, start, end in index.search(canonical(text)):
-                            rows.append((None if pd.isna(doc) else int(doc), index.items[i][0], edits, start, end, len(index.items[i][1])))
+                        raw = canonical(text)
+                        for index in shared.value:
+                            for i, edits, start, end in index.search(raw):
+                                rows.append((None if pd.isna(doc) else int(doc), index.items[i][0], edits, start, end, len(index.items[i][1])))
                     if rows:
                         yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "start", "end", "n_chars"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 

@@ -151,3 +151,29 @@ def test_odd_rows(spark):
     kept = leaks.clean(docs, bench)
     assert kept.columns == docs.columns and sorted(r.edits for r in kept.collect()) == [1, 2, 5, 7]
     assert leaks.find(docs.limit(0), bench).count() == 0 and leaks.find(docs, bench.limit(0)).count() == 0
+
+
+def test_short_items_keep_the_stated_budget():
+    """Items of 8 to 39 characters, against cell by cell; 10 per cent of 12 characters is one edit."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnop"
+    items = [(n, "".join(rng.choice(letters) for _ in range(n)).encode()) for n in range(8, 40)]
+    found = leaks.indexes(items, 0.1)
+    assert {x.q for x in found} == {5, 6, 7, 8}
+    hits = 0
+    for trial in range(160):
+        n, raw = items[trial % len(items)]
+        body = (edited(rng, "x y z " * 9, 3) + edited(rng, raw.decode(), rng.randint(0, n // 10 + 1)) + " z y x" * 9).encode()
+        got = {index.items[i][0]: e for index in found for i, e, _, _ in index.search(body)}
+        for size, item in items:
+            d = distance(item, body)
+            assert got.get(size) == (d if d <= int(0.1 * size) else None), (trial, size, d)
+            hits += d <= int(0.1 * size)
+    assert hits > 80
+
+
+def test_items_of_a_word_or_two(spark):
+    docs = spark.createDataFrame([(1, "the cat sat"), (2, "category"), (3, "A CAT!"), (4, None), (5, "a b")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Cat"), (2, "a"), (3, "?"), (4, None), (5, "a, b")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.edits) for r in leaks.find(docs, items).collect()}
+    assert got == {(1, 1, 0), (3, 1, 0), (3, 2, 0), (5, 2, 0), (5, 5, 0)}
