@@ -141,10 +141,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, doc_id: st
     an empty result. Columns besides the two named are ignored.
     """
     prints = written(fingerprints(docs, words, doc_id, text), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    groups = components(links(nodes.where("rep IS NOT NULL"), radius))
-    named = nodes.join(groups, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    groups = components(links(nodes.select("fp", F.col("fp").alias("rep")), radius))
+    named = nodes.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(named.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 #: Counters of the sketch and rows that it travels in.

@@ -117,3 +117,11 @@ def test_similar_groups_equal_brute_force(spark, sf_dir):
     assert of(got) == of(dict(enumerate(want)))
     kept = simhash.keep_one(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(min(g) for g in of(got))
+
+
+def test_rows_without_id_link_others(spark, monkeypatch):
+    """0 and 15 differ in four bits; 3 lies between them and has no id."""
+    prints = spark.createDataFrame([(1, 0), (None, 3), (2, 15), (None, -1)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: prints)
+    got = simhash.near_duplicates(prints)
+    assert sorted((r.fp, r.component_id or 0) for r in got.collect()) == [(-1, 0), (0, 1), (3, 1), (15, 1)]
