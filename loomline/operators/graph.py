@@ -125,22 +125,34 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def bridges(central: DataFrame) -> DataFrame:
-    """The tenth of nodes, one at least, with the greatest betweenness, if that isn't zero."""
-    most = max(1, -(-central.count() // 10))
-    return central.orderBy(F.desc("betweenness"), "node").limit(most).where("betweenness > 0")
-
-
-def context(edges: DataFrame, most: int = 10) -> DataFrame:
-    """(node, place, other, direction, strength): each node's strongest neighbours."""
-    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit("out").alias("direction"), "strength")
-    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit("in").alias("direction"), "strength")
+    """Of the nodes with a betweenness above zero the tenth, rounded up, with the greatest."""
+    between = central.where("betweenness > 0")
+    return between.orderBy(F.desc("betweenness"), "node").limit(-(-between.count() // 10))
+
+
+def context(edges: DataFrame, most: int = 10, communities: DataFrame | None = None, bridge: DataFrame | None = None) -> DataFrame:
+    """(node, place, other, direction, type, strength): each node's strongest neighbours. With communities (node, community,
+    label) also the node's community's label and size, with bridge (node) whether it is one of them; these only in rows
+    of nodes that have a neighbour."""
+    kind = F.col("type") if "type" in edges.columns else F.lit(None).cast("string")
+    out = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit("out").alias("direction"), kind.alias("type"), "strength")
+    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit("in").alias("direction"), kind.alias("type"), "strength")
     nth = Window.partitionBy("node").orderBy(F.desc("strength"), "other")
-    return out.unionByName(back).withColumn("place", F.row_number().over(nth)).where(F.col("place") <= most)
+    rows = out.unionByName(back).withColumn("place", F.row_number().over(nth)).where(F.col("place") <= most)
+    if communities is not None:
+        size = communities.groupBy("community").agg(F.count(F.lit(1)).alias("community_size"))
+        rows = rows.join(communities.join(size, "community").select("node", F.col("label").alias("community_label"), "community_size"), "node", "left")
+    if bridge is not None:
+        rows = rows.join(bridge.select("node", F.lit(True).alias("is_bridge")), "node", "left").fillna(False, ["is_bridge"])
+    return rows
 
 
 def subgraph(labels: DataFrame, edges: DataFrame, visible: list, types: list | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes of the visible communities, and edges of the wanted types between them."""
+    """Nodes of the visible communities, and edges of the wanted types between them. Nodes with a session_count get val, the
+    size they are drawn at."""
     nodes = labels.where(F.col("community").isin(*visible))
+    if "session_count" in nodes.columns:
+        nodes = nodes.withColumn("val", F.greatest(F.lit(2), 2 * F.col("session_count")).cast("long"))
     kept = edges.where(F.col("type").isin(*types)) if types is not None else edges
     for end in ("src", "dst"):
         kept = kept.join(nodes.select(F.col("node").alias(end)), end, "left_semi")

@@ -1,20 +1,29 @@
-"""Cutting the lineage of loops."""
+"""Tables written in the shared folder: they cut the lineage of loops and survive lost executors."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed and kept in the checkpoint folder that the cluster names; a temporary one only where none is set in a
-    session of one machine."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names; a temporary one only where none is set in a session of one machine."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("loomline.scratch", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-loomline-"))
-    return df.checkpoint()
+        named = tempfile.mkdtemp(prefix="spark-loomline-")
+        spark.conf.set("loomline.scratch", named)
+    return named.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept as a table in the shared folder. Unlike a checkpoint it isn't worked out twice, and later
+    reads take only the columns they need."""
+    path = f"{shared_dir(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

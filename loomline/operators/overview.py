@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomline.functions import classify as C
+from loomline.functions import text as T
 
 # The histogram's buckets in minutes.
 BUCKETS = (("0-5m", 0, 5), ("5-15m", 5, 15), ("15-30m", 15, 30), ("30-60m", 30, 60), ("60-120m", 60, 120), ("120m+", 120, None))
@@ -157,16 +158,32 @@ def session_index(sessions: DataFrame) -> DataFrame:
     return sessions.orderBy(F.desc("created_at"), "session_id")
 
 
+def project_index(sessions: DataFrame) -> DataFrame:
+    """(project, n_sessions): the index's projects, those with most sessions first."""
+    return sessions.groupBy("project").agg(F.count(F.lit(1)).alias("n_sessions")).orderBy(F.desc("n_sessions"), "project")
+
+
+def session_files(files: DataFrame) -> DataFrame:
+    """(session_id, files, n_files): each session's edited files in order."""
+    return files.groupBy("session_id").agg(F.array_sort(F.collect_set("file_path")).alias("files")).withColumn("n_files", F.size("files"))
+
+
 def session_details(sessions: DataFrame, calls: DataFrame) -> DataFrame:
     """A nested document per session: its facts and its calls in order."""
     nested = calls.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "tool_name", "input"))).alias("calls"))
     return sessions.join(nested, "session_id", "left")
 
 
-def turn_summary(calls: DataFrame) -> DataFrame:
-    """Per turn (session_id, turn_index): its kind, distinct tools in order of name, and number of calls."""
+def turn_summary(calls: DataFrame, turns: DataFrame | None = None, most: int = 80) -> DataFrame:
+    """Per turn (session_id, turn_index): its number from 1, kind, distinct tools in order of name, number of calls and, with
+    turns, the beginning of its prompt; turns without calls are standard ones then."""
     sums = calls.groupBy("session_id", "turn_index").agg(F.array_sort(F.collect_set("tool_name")).alias("names"), F.count(F.lit(1)).alias("n_calls"))
-    return sums.select("session_id", "turn_index", C.turn_kind(F.col("names")).alias("kind"), F.array_join("names", ", ").alias("tools"), "n_calls")
+    prompt = F.lit(None).cast("string")
+    if turns is not None:
+        sums = turns.select("session_id", "turn_index", "user_prompt").join(sums, ["session_id", "turn_index"], "left")
+        sums = sums.withColumn("names", F.coalesce("names", F.array().cast("array<string>"))).fillna(0, ["n_calls"])
+        prompt = T.cut(F.col("user_prompt"), most, "...")
+    return sums.select("session_id", "turn_index", (F.col("turn_index") + 1).alias("number"), C.turn_kind(F.col("names")).alias("kind"), F.array_join("names", ", ").alias("tools"), "n_calls", prompt.alias("prompt"))
 
 
 def subagent_summary(calls: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from loomline.functions import classify as C
 from loomline.functions import text as T
-from loomline.operators.topics import first_by, listed
+from loomline.operators.sequences import ARROW
+from loomline.operators.topics import listed
 
 #: How a role shows, and what to keep in mind with it.
 ROLES = {"subagent-delegated": "parts of the work go to subagents", "tool-heavy": "mostly calls of tools", "user-driven": "a dialogue with few calls"}
@@ -19,11 +20,11 @@ ADVICE = {
 
 
 def candidates(scores: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """(topic_id, overall, rank, sequences): topics by score, with the linked patterns (topic_id, steps)."""
+    """(topic_id, overall, sequences): topics by score, with the linked patterns (topic_id, place, steps), the most frequent
+    first."""
     ranked = scores.select("topic_id", "overall")
     if links is not None:
-        lists = links.groupBy("topic_id").agg(F.array_sort(F.collect_set(F.array_join("steps", " → "))).alias("sequences"))
-        ranked = ranked.join(lists, "topic_id", "left")
+        ranked = ranked.join(listed(links.withColumn("sequence", F.array_join("steps", ARROW)), ["topic_id"], "sequence", "sequences"), "topic_id", "left")
     return ranked.orderBy(F.desc("overall"), "topic_id")
 
 
@@ -54,13 +55,13 @@ def descriptions(meta: DataFrame, prompts: DataFrame, signature: DataFrame, role
 
 def skill_documents(meta: DataFrame, keywords: DataFrame, described: DataFrame, signature: DataFrame, prompts: DataFrame, links: DataFrame, actions: DataFrame | None = None, roles: DataFrame | None = None) -> DataFrame:
     """(topic_id, skill_name, markdown): a document per topic: front matter, an overview, when to use it, the workflow by its
-    commonest tool sequences, tools, prompts as examples, and guidelines. Sections without content are left out."""
+    most frequent tool sequences with their counts, tools, prompts as examples, and guidelines. Sections without content are left out."""
     words = listed(keywords, ["topic_id"], "term", "words")
     lines = lambda rows, of: F.array_join(F.transform(rows, of), "\n")
     tools = signature.groupBy("topic_id").agg(lines(F.array_sort(F.collect_list(F.struct("place", "tool_name", "weight"))), lambda x: F.concat(F.lit("- "), x["tool_name"], F.lit(" ("), x["weight"], F.lit(")"))).alias("tools"))
     examples = prompts.groupBy("topic_id").agg(lines(F.array_sort(F.collect_list(F.struct("place", "prompt"))), lambda x: F.concat(F.lit("> "), F.regexp_replace(x["prompt"], r"\s+", " "))).alias("examples"))
-    runs = links.groupBy("topic_id").agg(F.slice(F.array_sort(F.collect_set(F.array_join("steps", " → "))), 1, 5).alias("runs"))
-    runs = runs.select("topic_id", F.array_join(F.transform("runs", lambda x, i: F.concat(i + 1, F.lit(". "), x)), "\n").alias("runs"))
+    seen = links.where("place <= 5").withColumn("line", F.concat("place", F.lit(". "), F.array_join("steps", ARROW), F.lit(" ("), "n", F.lit(" times)")))
+    runs = listed(seen, ["topic_id"], "line", "runs").withColumn("runs", F.array_join("runs", "\n"))
     rows = meta.join(words, "topic_id", "left").join(described, "topic_id")
     for part in (tools, examples, runs, actions, roles):
         if part is not None:
@@ -77,12 +78,15 @@ def skill_documents(meta: DataFrame, keywords: DataFrame, described: DataFrame,
 
 
 def hooks(links: DataFrame) -> DataFrame:
-    """(topic_id, hook): for each topic's first pattern with a classified shell step, the hook's definition as JSON."""
-    shell = F.filter("steps", lambda s: s.startswith("Bash:") & (s != "Bash:other"))
-    rows = links.withColumn("shell", shell).where(F.size("shell") > 0)
-    first = first_by(rows, ["topic_id"], F.col("steps"))
-    hook = F.struct(F.lit("PostToolUse").alias("event"), F.lit("Bash").alias("matcher"), F.substring_index(F.get("shell", F.lit(0)), ":", -1).alias("command_class"), F.array_join("steps", " → ").alias("sequence"))
-    return first.select("topic_id", F.to_json(hook).alias("hook"))
+    """(topic_id, hook): where a topic's most frequent pattern has a classified shell step, the hook's definition as JSON:
+    description, pattern by tool, category and target, number of occurrences, and projects. links: as topic_links gives
+    them, with the projects of each pattern."""
+    first = links.where("place = 1").where(F.exists("steps", lambda s: s.startswith("Bash:") & (s != "Bash:other")))
+    step = F.expr("transform(steps, x -> struct(substring_index(x, ':', 1) AS tool, x AS step))")
+    pattern = F.transform(step, lambda x: F.struct(x["tool"].alias("tool"), C.tool_category(x["tool"]).alias("category"), F.nullif(F.regexp_replace(x["step"], "^[^:]*:?", ""), F.lit("")).alias("target")))
+    said = F.concat(F.lit("Seen "), "n", F.lit(" times in "), F.size("projects"), F.lit(" project(s)"))
+    hook = F.struct(said.alias("description"), pattern.alias("pattern"), F.col("n").alias("sessionCount"), F.col("projects"))
+    return first.select("topic_id", F.to_json(hook, {"ignoreNullFields": "false"}).alias("hook"))
 
 
 def prompt_set(documents: DataFrame, context: DataFrame, labels: DataFrame, rollup: DataFrame | None = None, links: DataFrame | None = None, central: DataFrame | None = None) -> DataFrame:
@@ -100,8 +104,8 @@ def prompt_set(documents: DataFrame, context: DataFrame, labels: DataFrame, roll
         rates = F.when(F.col("success_rate").isNotNull(), F.format_string("Success rate %.2f, helpfulness %.2f.", "success_rate", "helpfulness"))
         known = F.nullif(F.concat_ws(" ", rates, listed_as("Goals: ", "goals"), listed_as("Frictions: ", "frictions")), F.lit(""))
     if links is not None:
-        steps = links.groupBy("topic_id").agg(F.slice(F.array_sort(F.collect_set(F.array_join("steps", " → "))), 1, 5).alias("sequences"))
-        rows = rows.join(steps, "topic_id", "left")
+        seen = links.where("place <= 5").withColumn("sequence", F.concat(F.array_join("steps", ARROW), F.lit(" ("), "n", F.lit(" times)")))
+        rows = rows.join(listed(seen, ["topic_id"], "sequence", "sequences"), "topic_id", "left")
         runs = F.concat(F.lit("Tool sequences:\n"), F.array_join(F.transform("sequences", lambda x: F.concat(F.lit("- "), x)), "\n"))
     if central is not None:
         rows = rows.join(central, "topic_id", "left")

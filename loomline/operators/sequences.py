@@ -54,10 +54,24 @@ def top_patterns(grams: DataFrame, most: int = 30) -> DataFrame:
     return grams.orderBy(F.desc("n"), F.desc("length"), "steps").limit(most)
 
 
-def topic_links(calls: DataFrame, grams: DataFrame, members: DataFrame, order: list[str]) -> DataFrame:
-    """(topic_id, steps): the patterns that occur in a session of the topic."""
+def linked(calls: DataFrame, grams: DataFrame, order: list[str], *columns: str) -> DataFrame:
+    """(columns, steps) of the rows of calls at which one of the patterns begins."""
     ahead = Window.partitionBy("session_id").orderBy(*order).rowsBetween(0, LONGEST - 1)
-    rows = steps(calls).select("session_id", F.collect_list("step").over(ahead).alias("run"))
+    rows = steps(calls).select(*columns, F.collect_list("step").over(ahead).alias("run"))
     sizes = F.filter(F.sequence(F.lit(SHORTEST), F.lit(LONGEST)), lambda n: n <= F.size("run"))
-    runs = rows.select("session_id", F.explode(sizes).alias("length"), "run").select("session_id", F.slice("run", 1, F.col("length")).alias("steps")).distinct()
-    return runs.join(grams.select("steps"), "steps").join(members, "session_id").select("topic_id", "steps").distinct()
+    runs = rows.select(*columns, F.explode(sizes).alias("length"), "run").select(*columns, F.slice("run", 1, F.col("length")).alias("steps")).distinct()
+    return runs.join(grams.select("steps"), "steps", "left_semi")
+
+
+def topic_links(calls: DataFrame, grams: DataFrame, members: DataFrame, order: list[str]) -> DataFrame:
+    """(topic_id, steps, place, ...): the patterns that occur in a session of the topic with all that is known of them, and
+    their place by count, then length, then steps."""
+    own = linked(calls, grams, order, "session_id").join(members, "session_id").select("topic_id", "steps").distinct()
+    nth = Window.partitionBy("topic_id").orderBy(F.desc("n"), F.desc("length"), "steps")
+    return own.join(grams, "steps").withColumn("place", F.row_number().over(nth))
+
+
+def with_projects(calls: DataFrame, grams: DataFrame, order: list[str]) -> DataFrame:
+    """The patterns with the projects of their sessions, in order."""
+    found = linked(calls, grams, order, "session_id", "project").select("steps", "project").distinct()
+    return grams.join(found.groupBy("steps").agg(F.array_sort(F.collect_set("project")).alias("projects")), "steps")

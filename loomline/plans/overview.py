@@ -199,9 +199,9 @@ def turned(calls):
 TURNED = "turned AS (SELECT *, CAST((row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) - 1) // 3 AS INTEGER) AS turn_index FROM calls)"
 
 
-@query(SQL + f", {TURNED} SELECT session_id, turn_index, CASE WHEN bool_or(tool_name = 'Agent') THEN 'agent' ELSE 'standard' END AS kind, array_to_string(list_sort(list(DISTINCT tool_name)), ', ') AS tools, count(*) AS n_calls FROM turned GROUP BY session_id, turn_index")
+@query(SQL + f", {TURNED} SELECT session_id, turn_index, turn_index + 1 AS number, CASE WHEN bool_or(tool_name = 'Agent') THEN 'agent' ELSE 'standard' END AS kind, array_to_string(list_sort(list(DISTINCT tool_name)), ', ') AS tools, count(*) AS n_calls FROM turned GROUP BY session_id, turn_index")
 def turn_kind(spark, sf):
-    return overview.turn_summary(turned(calls_of(spark, sf)))
+    return overview.turn_summary(turned(calls_of(spark, sf))).drop("prompt")
 
 
 @query(SQL + ", n AS (SELECT session_id, model AS agent_id, tool_name, count(*) AS n FROM calls GROUP BY ALL) SELECT session_id, agent_id, string_agg(tool_name || ': ' || n, ', ' ORDER BY n DESC, tool_name) AS tools, CAST(sum(n) AS BIGINT) AS n_calls FROM n GROUP BY ALL")

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomline.functions import classify as C
 from loomline.functions import text as T
-from loomline.operators import features, graph, overview, report, sequences, topics, vectors
+from loomline.operators import features, graph, knowledge, output, overview, report, sequences, topics, vectors
+from loomline.operators.iterate import shared_dir
 from loomline.plans import views
 from loomline.plans.overview import BREAKDOWN, COVERED, EDITED, GRAMS, ORDER, document_terms, query, tokens_sql
 from loomline.plans.views import SQL
 
 AS_OF = "2024-12-31 00:00:00"
 NEAR = 0.4
+TOOL_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.CATEGORY.items())
 MEMBERS = "members AS (SELECT project AS topic_id, session_id FROM sess)"
 CENTRES = "tok AS (" + tokens_sql("doc_id", "text", "documents") + """), counts AS (SELECT doc_id, term, count(*) AS n FROM tok GROUP BY ALL), nd AS (SELECT count(DISTINCT doc_id) AS docs FROM counts), vocab AS (SELECT term, count(*) AS df FROM counts GROUP BY term), kept AS (SELECT term, df, ln(docs / CAST(df AS DOUBLE)) AS idf FROM vocab, nd WHERE df >= 2 AND df <= greatest(2, floor(docs * 0.8))),
 w AS (SELECT doc_id, term, ln(1 + n) * idf AS w FROM counts JOIN kept USING (term)), u AS (SELECT doc_id, term, CASE WHEN l > 0 THEN w / l ELSE 0 END AS weight FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS l FROM w)),
@@ -224,12 +229,6 @@ def modularity(spark, sf):
     return graph.modularity(edges, labels).select(F.round("modularity", 5).alias("modularity"))
 
 
-@query(f"WITH {VECTORS}, {SIMILAR}, m AS (SELECT a AS node, b AS other, 'out' AS direction, round(cosine, 9) AS s FROM sim UNION ALL SELECT b, a, 'in', round(cosine, 9) FROM sim) SELECT node, other, direction, CAST(row_number() OVER (PARTITION BY node ORDER BY s DESC, other) AS INTEGER) AS place, round(s, 5) AS strength FROM m QUALIFY place <= 10")
-def graph_context(spark, sf):
-    _, edges = embedding_graph(spark, sf)
-    return graph.context(edges).withColumn("strength", F.round("strength", 5))
-
-
 @query()
 def communities(spark, sf):
     nodes, edges = embedding_graph(spark, sf)
@@ -249,6 +248,20 @@ def betweenness(spark, sf):
     return graph.betweenness(nodes, vectors.settled(edges))
 
 
+BRIDGES = "br AS (SELECT node FROM (SELECT node, row_number() OVER (ORDER BY betweenness DESC, node) AS i, count(*) OVER () AS n FROM between WHERE betweenness > 0) WHERE i <= ceil(n / 10.0))"
+
+
+@query(BETWEEN + f", {BRIDGES}, cs AS (SELECT label, count(*) AS community_size FROM embeddings GROUP BY 1), e AS (SELECT a, b, round(cosine, 9) AS s, CASE WHEN x.label = y.label THEN 'inner' ELSE 'outer' END AS type FROM sim JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b), n AS (SELECT a AS node, b AS other, 'out' AS direction, type, s FROM e UNION ALL SELECT b, a, 'in', type, s FROM e) SELECT node, other, direction, type, CAST(row_number() OVER (PARTITION BY node ORDER BY s DESC, other) AS INTEGER) AS place, round(s, 5) AS strength, 'c' || v.label AS community_label, community_size, node IN (SELECT node FROM br) AS is_bridge FROM n JOIN embeddings v ON v.vec_id = node JOIN cs ON cs.label = v.label QUALIFY place <= 10")
+def graph_context(spark, sf):
+    nodes, edges = embedding_graph(spark, sf)
+    edges = vectors.settled(edges)
+    labels = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.col("label").alias("community"), F.concat(F.lit("c"), F.col("label")).alias("label"))
+    side = lambda c: labels.select(F.col("node").alias(c), F.col("community").alias(f"{c}_of"))
+    typed = edges.join(side("src"), "src").join(side("dst"), "dst").withColumn("type", F.when(F.col("src_of") == F.col("dst_of"), "inner").otherwise("outer"))
+    bridge = graph.bridges(vectors.settled(graph.betweenness(nodes, edges)))
+    return graph.context(typed, communities=labels, bridge=bridge).withColumn("strength", F.round("strength", 5))
+
+
 @query()
 def clusters(spark, sf):
     ids = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
@@ -292,8 +305,8 @@ def strip_preamble(spark, sf):
 
 def branch_links(spark, sf):
     calls, sessions, _ = parts(spark, sf)
-    grams = sequences.top_patterns(sequences.maximal(sequences.ngrams(calls, ORDER)))
-    return sequences.topic_links(calls, grams, sessions.select(F.col("git_branch").alias("topic_id"), "session_id"), ORDER)
+    grams = vectors.settled(sequences.top_patterns(sequences.maximal(sequences.ngrams(calls, ORDER))))
+    return sequences.topic_links(calls, sequences.with_projects(calls, grams, ORDER), sessions.select(F.col("git_branch").alias("topic_id"), "session_id"), ORDER)
 
 
 @query(SQL + f", {GRAMS}, {COVERED}, best AS (SELECT steps FROM maxi ORDER BY n DESC, length DESC, steps LIMIT 30) SELECT DISTINCT git_branch AS topic_id, array_to_string(e.steps, ' → ') AS sequence FROM every e JOIN best USING (steps) JOIN sess USING (session_id)")
@@ -301,13 +314,24 @@ def topic_sequences(spark, sf):
     return branch_links(spark, sf).select("topic_id", F.array_join("steps", sequences.ARROW).alias("sequence"))
 
 
-@query(SQL + f""", {GRAMS}, {COVERED}, best AS (SELECT steps FROM maxi ORDER BY n DESC, length DESC, steps LIMIT 30), linked AS (SELECT DISTINCT git_branch AS topic_id, e.steps, list_filter(e.steps, lambda s: starts_with(s, 'Bash:') AND s <> 'Bash:other') AS shell FROM every e JOIN best USING (steps) JOIN sess USING (session_id)),
-one AS (SELECT * FROM linked WHERE len(shell) > 0 QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY steps) = 1)
-SELECT topic_id, '{{"event":"PostToolUse","matcher":"Bash","command_class":"' || substr(shell[1], 6) || '","sequence":"' || array_to_string(steps, ' → ') || '"}}' AS hook FROM one""")
+LINKED = """best AS (SELECT * FROM maxi ORDER BY n DESC, length DESC, steps LIMIT 30), used AS (SELECT DISTINCT git_branch, sess.project, e.steps FROM every e JOIN best USING (steps) JOIN sess USING (session_id)),
+ps AS (SELECT steps, list_sort(list(DISTINCT project)) AS projects FROM used GROUP BY steps),
+linked AS (SELECT t.topic_id, b.steps, b.n, b.length, ps.projects, row_number() OVER (PARTITION BY t.topic_id ORDER BY b.n DESC, b.length DESC, b.steps) AS place FROM (SELECT DISTINCT git_branch AS topic_id, steps FROM used) t JOIN best b USING (steps) JOIN ps USING (steps))"""
+
+
+@query(SQL + f""", {GRAMS}, {COVERED}, {LINKED}, one AS (SELECT * FROM linked WHERE place = 1 AND len(list_filter(steps, lambda s: starts_with(s, 'Bash:') AND s <> 'Bash:other')) > 0),
+st AS (SELECT topic_id, n, projects, list_transform(steps, lambda s: {{'tool': string_split(s, ':')[1], 'category': CASE string_split(s, ':')[1] {TOOL_CASES} ELSE 'execute' END, 'target': nullif(regexp_replace(s, '^[^:]*:?', ''), '')}}) AS pattern FROM one)
+SELECT topic_id, CAST(to_json({{'description': 'Seen ' || n || ' times in ' || len(projects) || ' project(s)', 'pattern': pattern, 'sessionCount': n, 'projects': projects}}) AS VARCHAR) AS hook FROM st""")
 def hooks(spark, sf):
     return report.hooks(branch_links(spark, sf))
 
 
+@query(SQL + f", {META}, {SCORES}, {GRAMS}, {COVERED}, {LINKED} SELECT topic_id, any_value(overall) AS overall, string_agg(array_to_string(steps, ' → '), '; ' ORDER BY place) AS sequences FROM scores LEFT JOIN linked USING (topic_id) GROUP BY topic_id")
+def candidate_sequences(spark, sf):
+    """The candidates with their patterns, the most frequent first."""
+    return report.candidates(reusability(spark, sf), branch_links(spark, sf)).select("topic_id", "overall", F.array_join("sequences", "; ").alias("sequences"))
+
+
 @query()
 def skill_documents(spark, sf):
     calls, sessions, _ = parts(spark, sf)
@@ -371,15 +395,15 @@ def prompt_set(spark, sf):
     """What a batch job over a language model gets: the drafted documents with their neighbours in the branch graph."""
     documents = skill_documents(spark, sf)
     near = session_overlap(spark, sf).select("src", "dst", F.col("overlap").alias("strength"))
-    nodes = documents.select(F.col("topic_id").alias("node"))
-    central = graph.degree(nodes, near).select(F.col("node").alias("topic_id"), F.lit(0.0).alias("betweenness"), F.col("centrality").alias("degree"))
+    nodes, near = vectors.settled(documents.select(F.col("topic_id").alias("node"))), vectors.settled(near)
+    central = graph.degree(nodes, near).join(graph.betweenness(nodes, near), "node").select(F.col("node").alias("topic_id"), "betweenness", F.col("centrality").alias("degree"))
     return report.prompt_set(documents, graph.context(near), documents.select("topic_id", F.col("skill_name").alias("label")), links=branch_links(spark, sf), central=central)
 
 
-@query(BETWEEN + ", t AS (SELECT *, row_number() OVER (ORDER BY betweenness DESC, node) AS i, count(*) OVER () AS n FROM between) SELECT node, betweenness FROM t WHERE i <= greatest(1, ceil(n / 10.0)) AND betweenness > 0")
+@query(BETWEEN + f", {BRIDGES} SELECT node, betweenness FROM between WHERE node IN (SELECT node FROM br)")
 def bridge_nodes(spark, sf):
     nodes, edges = embedding_graph(spark, sf)
-    return graph.bridges(graph.betweenness(nodes, vectors.settled(edges)))
+    return graph.bridges(vectors.settled(graph.betweenness(nodes, vectors.settled(edges))))
 
 
 @query(f"WITH {VECTORS}, {SIMILAR}, m AS (SELECT a AS node FROM sim UNION ALL SELECT b FROM sim), d AS (SELECT vec_id AS node, count(m.node) AS n FROM embeddings LEFT JOIN m ON node = vec_id GROUP BY 1) SELECT node, CASE WHEN label = 0 THEN 'critical bridge' WHEN label = 1 THEN 'bridge' WHEN n > 1 THEN 'hub' WHEN n = 0 THEN 'isolated' ELSE 'peripheral' END AS band FROM d JOIN embeddings ON vec_id = node")
@@ -401,6 +425,14 @@ def visible_edges(spark, sf):
     return graph.subgraph(labels, typed, [0, 1, 2, 3], ["outer"])[1].select("src", "dst", "type")
 
 
+@query(SQL + f", {META} SELECT topic_id AS node, project AS community, session_count, greatest(2, 2 * session_count) AS val FROM meta JOIN main USING (topic_id) WHERE project IN ('org/p0', 'org/p1', 'org/p2', 'org/p3')")
+def visible_topics(spark, sf):
+    """Branches as topics of the first four projects, with the size they are drawn at."""
+    labels = branch_meta(spark, sf).select(F.col("topic_id").alias("node"), F.col("project").alias("community"), "session_count")
+    edges = session_overlap(spark, sf).withColumn("type", F.lit("workflow-continuation"))
+    return graph.subgraph(labels, edges, [f"org/p{i}" for i in range(4)])[0]
+
+
 @query(f"WITH {CENTRES}, k AS (SELECT topic_id, term, weight FROM centres WHERE weight > 0 QUALIFY row_number() OVER (PARTITION BY topic_id ORDER BY round(weight, 9) DESC, term) <= 5), c AS (SELECT DISTINCT source AS topic_id, length(source) AS community FROM documents), cs AS (SELECT community, term, sum(round(weight, 9)) AS x FROM k JOIN c USING (topic_id) GROUP BY community, term), cw AS (SELECT community, term, row_number() OVER (PARTITION BY community ORDER BY x DESC, term) AS place FROM cs) SELECT community, size, label, project FROM (SELECT community, count(*) AS size, min(topic_id) AS project FROM c GROUP BY 1) JOIN (SELECT community, string_agg(term, ', ' ORDER BY place) AS label FROM cw WHERE place <= 3 GROUP BY 1) USING (community)")
 def community_table(spark, sf):
     """Sources as topics, with the length of their names as community."""
@@ -433,3 +465,50 @@ def merged_clusters(spark, sf):
     near = vectors.settled(unit_embeddings(spark, sf))
     split = vectors.split_oversized(vectors.settled(clusters(spark, sf)), near)
     return vectors.merge_narrow(vectors.settled(split), near, rows.select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("category")))
+
+
+@query(SQL + "SELECT project, count(*) AS n_sessions FROM sess GROUP BY project")
+def project_index(spark, sf):
+    return overview.project_index(parts(spark, sf)[1])
+
+
+@query(SQL + f", {EDITED} SELECT session_id, array_to_string(list_sort(list(file_path)), ' ') AS files, CAST(count(*) AS INTEGER) AS n_files FROM files GROUP BY session_id")
+def session_files(spark, sf):
+    found = overview.session_files(overview.files_edited(parts(spark, sf)[0]))
+    return found.select("session_id", F.array_join("files", " ").alias("files"), "n_files")
+
+
+OF_USERS = "c AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 3 AS turn_index FROM calls), k AS (SELECT user_id AS session_id, turn_index, list_sort(list(DISTINCT tool_name)) AS names, count(*) AS n_calls FROM c GROUP BY ALL)"
+
+
+@query(SQL + f", {OF_USERS} SELECT t.session_id, t.turn_index, t.turn_index + 1 AS number, CASE WHEN list_contains(names, 'Agent') THEN 'agent' ELSE 'standard' END AS kind, coalesce(array_to_string(names, ', '), '') AS tools, coalesce(n_calls, 0) AS n_calls, CASE WHEN length(user_prompt) > 80 THEN left(user_prompt, 80) || '...' ELSE user_prompt END AS prompt FROM turns t LEFT JOIN k USING (session_id, turn_index)")
+def turn_list(spark, sf):
+    """The turns of conversations with their prompts, and the calls that the user of that number makes in them."""
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy(*ORDER))
+    calls = views.calls(spark, sf).select(F.col("user_id").alias("session_id"), "tool_name", F.floor((nth - 1) / 3).alias("turn_index"))
+    return overview.turn_summary(calls, views.prompts(spark, sf))
+
+
+@query(SQL + f", {BREAKDOWN} SELECT session_id, project, n_calls, (SELECT string_agg(tool_name || '=' || b.n_calls, ' ' ORDER BY tool_name) FROM breakdown b WHERE b.session_id = sess.session_id) AS tools FROM sess")
+def written_details(spark, sf):
+    """Nested session documents, written by bucket under a manifest and read back."""
+    calls, sessions, _ = parts(spark, sf)
+    tools = overview.tool_breakdown(calls).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("tool_name", "n_calls"))).alias("tools"))
+    root = f"{shared_dir(spark)}/output-{uuid.uuid4().hex}"
+    output.write(spark, root, "run", sessions.join(tools, "session_id"), {"projects": overview.project_index(sessions)})
+    named = F.transform("tools", lambda t: F.concat(t["tool_name"], F.lit("="), t["n_calls"]))
+    return output.read_details(spark, root).select("session_id", "project", "n_calls", F.array_join(named, " ").alias("tools"))
+
+
+def joined(spark, sf):
+    """The joined job's inputs: events are calls, and a user's conversation is what the user's sessions say."""
+    calls, sessions, _ = parts(spark, sf)
+    talk = views.prompts(spark, sf).withColumnRenamed("session_id", "conversation")
+    turns = sessions.select("session_id", F.substring_index("session_id", "-", 1).cast("long").alias("conversation")).join(talk, "conversation").drop("conversation")
+    return sessions, overview.tool_breakdown(calls), turns, overview.files_edited(calls)
+
+
+@query()
+def knowledge_topics(spark, sf):
+    """The joined job from sessions to described topics."""
+    return knowledge.build(*joined(spark, sf), as_of=AS_OF, betweenness=False).topics

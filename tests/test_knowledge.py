@@ -53,17 +53,17 @@ def test_a_document_has_its_sections_and_the_prompt_its_context(spark):
     words = spark.createDataFrame([("t", 1, "parser"), ("t", 2, "token")], "topic_id string, place int, term string")
     tools = spark.createDataFrame([("t", 1, "Edit", 0.5)], "topic_id string, place int, tool_name string, weight double")
     actions, roles = spark.createDataFrame([("t", "fix")], "topic_id string, action string"), spark.createDataFrame([("t", "tool-heavy")], "topic_id string, role string")
-    links = spark.createDataFrame([("t", ["Read", "Edit"])], "topic_id string, steps array<string>")
+    links = spark.createDataFrame([("t", ["Read", "Edit"], 1, 9), ("t", ["A", "B"], 2, 3)], "topic_id string, steps array<string>, place int, n long")
     said = spark.createDataFrame([("t", 1, "fix  the\nparser")], "topic_id string, place int, prompt string")
     described = report.descriptions(meta, topics.suggested_prompt(actions, words, tools), tools, roles)
     documents = report.skill_documents(meta, words, described, tools, said, links, actions, roles)
     text = documents.first()
     assert text.skill_name == "parser-token-app" and text.markdown.startswith("---\nname: parser-token-app\ndescription: fix parser/token; ")
     at = [text.markdown.index(f"## {x}\n") for x in ("Overview", "When to Use", "Workflow", "Tools", "Example Prompts", "Guidelines")]
-    assert at == sorted(at) and "1. Read → Edit" in text.markdown and "> fix the parser" in text.markdown and "2h 5m" in text.markdown
+    assert at == sorted(at) and "1. Read → Edit (9 times)\n2. A → B (3 times)" in text.markdown and "> fix the parser" in text.markdown and "2h 5m" in text.markdown
     near = spark.createDataFrame([("t", 1, "u", "out", 0.5)], "node string, place int, other string, direction string, strength double")
     central = spark.createDataFrame([("t", 0.3, 0.1)], "topic_id string, betweenness double, degree double")
     rollup = spark.createDataFrame([("t", 0.5, 1.0, ["g"], ["slow"])], "topic_id string, success_rate double, helpfulness double, goals array<string>, frictions array<string>")
     prompt = report.prompt_set(documents, near, spark.createDataFrame([("u", "other")], "topic_id string, label string"), rollup, links, central).first().prompt
-    for part in ("- other (out, 0.5)", "- Read → Edit", "critical bridge", "Success rate 0.50, helpfulness 1.00. Goals: g. Frictions: slow."):
+    for part in ("- other (out, 0.5)", "- Read → Edit (9 times)", "critical bridge", "Success rate 0.50, helpfulness 1.00. Goals: g. Frictions: slow."):
         assert part in prompt, part

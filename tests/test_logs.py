@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 
@@ -47,9 +48,9 @@ def root(tmp_path_factory):
 
 
 def test_files_and_lines(spark, root):
-    found = logs.files(spark, root)
+    found = logs.discover(spark, root)
     assert sorted((r.session_id, r.agent_id) for r in found.collect() if r.agent_id) == [("s1", "a7")]
-    assert {r.session_id for r in logs.interactive(found).collect()} == {"s1"}
+    assert {r.session_id for r in logs.interactive(logs.scan(spark, root), found).collect()} == {"s1"}
     rows = logs.read_lines(spark, root).where("agent_id IS NULL").collect()
     assert len(rows) == 12 and min(r.line_no for r in rows) == 1
     assert logs.agent_types(spark, root).collect()[0].agent_type == "Explore"
@@ -79,3 +80,63 @@ def test_session_meta(spark, root):
     assert (row.created_at, row.last_active_at, row.duration_minutes) == ("2024-01-01T10:00:00Z", "2024-01-01T10:46:00Z", 46)
     assert {(r.model, r.n_lines) for r in T.models_used(lines).collect()} == {("sonnet", 1), ("opus", 1)}
     assert T.first_prompts(T.turns(lines)).collect()[0].first_prompt == "[not an array"
+
+
+def whole_lines(path):
+    """Places and texts of a file's lines by reading it whole."""
+    text = Path(path).read_bytes().decode()
+    return {(i, t.removesuffix("\r")) for i, t in enumerate(text.split("\n")) if t.strip()}
+
+
+@pytest.mark.parametrize("size", ["1k", "137b", "128m"])
+def test_split_files_have_the_same_lines_and_numbers(spark, tmp_path, size):
+    """A file many times as long as a split, with both line ends, blank and malformed lines, some across a border."""
+    (tmp_path / "p").mkdir()
+    rows = [line("user", f"prompt {i} " + "é" * (i * 7 % 90)) if i % 5 else ["", "{malformed " + "x" * 60, "   "][i % 3] for i in range(300)]
+    for name, end in (("unix", "\n"), ("dos", "\r\n")):
+        (tmp_path / "p" / f"{name}.jsonl").write_bytes((end.join(rows) + end).encode())
+    (tmp_path / "p" / "empty.jsonl").write_text("")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        run = logs.Run()
+        scanned = logs.scan(spark, str(tmp_path), run.lines)
+        if size != "128m":
+            assert scanned.select("file_path", "block").distinct().count() > 20
+        got = logs.numbered(scanned).where("trim(raw) <> ''").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name in ("unix", "dos"):
+        assert {(r.line_no, r.raw) for r in got if r.session_id == name} == {(i, t) for i, t in whole_lines(tmp_path / "p" / f"{name}.jsonl")}
+    assert run.lines.get == {"lines": len(got), "malformed": sum("malformed" in r.raw for r in got)}
+
+
+def test_the_head_of_a_file_counts_bytes(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    mark = '{"type":"queue-operation"}'
+    for name, pad in (("in", 4096 - 1 - 25), ("out", 4096 - 25), ("wide", 2040)):
+        (tmp_path / "p" / f"{name}.jsonl").write_text(("é" if name == "wide" else "x") * pad + "\n" + mark)
+    (tmp_path / "p" / "many.jsonl").write_text("\n" * 4000 + mark)
+    (tmp_path / "p" / "more.jsonl").write_text("\n" * 5000 + mark)
+    got = logs.driven(logs.scan(spark, str(tmp_path))).collect()
+    assert {r.session_id for r in got} == {"in", "many"}
+
+
+def test_run_counters(spark, root):
+    run = logs.Run()
+    rows = logs.read_lines(spark, root, run=run).count()
+    got = run.summary(spark).first()
+    size = sum(p.stat().st_size for p in Path(root).rglob("*.jsonl"))
+    assert (got.found, got.skipped, got.parsed, got.malformed, got.bytes, got.written) == (2, 1, 1, 1, size, None)
+    assert got.lines == 19 and rows == 14
+
+
+def test_plans_and_facets(spark, tmp_path):
+    (tmp_path / "plan-1.md").write_text("# do\nthis")
+    assert [tuple(r) for r in logs.plans(spark, str(tmp_path)).collect()] == [("plan-1", "# do\nthis")]
+    meta = spark.createDataFrame([("s1", "plan-1"), ("s2", "none"), ("s3", None)], "session_id string, slug string")
+    got = {r.session_id: r.plan for r in T.linked_plans(meta, logs.plans(spark, str(tmp_path))).collect()}
+    assert got == {"s1": "# do\nthis", "s2": None, "s3": None}
+    for name, text in (("a.json", '{"session_id": "s1", "outcome": "old"}'), ("b.json", '{"session_id": "s1",\n "outcome": "new", "goal_categories": {"fix": 2}}'), ("c.json", '{"outcome": "x"}'), ("d.json", "not json"), ("e.json", '{"session_id": ""}')):
+        (tmp_path / name).write_text(text)
+    rows = logs.facets(spark, str(tmp_path)).collect()
+    assert [(r.session_id, r.outcome, r.goal_categories) for r in rows] == [("s1", "new", {"fix": 2})]
