@@ -100,7 +100,7 @@ def write(spark: SparkSession, root: str, name: str, details: DataFrame, tables:
         "run": name, "buckets": buckets, "details": live, "detail_schema": details.schema.jsonValue(),
         "tables": old["tables"] | {t: f"{name}/tables/{t}" for t in tables}, "schemas": old["schemas"] | {t: df.schema.jsonValue() for t, df in tables.items()},
     }
-    number = len([n for n in files.names("_manifests") if n.endswith(".json")])
+    number = max((int(n.split(".")[0]) + 1 for n in files.names("_manifests")), default=0)
     while not files.put(f"_manifests/{number:08}.json", json.dumps(found)):
         number += 1
     return found
