@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,15 +25,43 @@ def degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("node", "degree", F.coalesce(half_up(F.try_divide(F.col("degree"), F.col("n") - 1), 4), F.lit(0.0)).alias("centrality"))
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None, batch: int | None = None) -> DataFrame:
     """(node, betweenness) of the unweighted graph, over (n - 1)(n - 2) / 2, at four digits.
 
-    Brandes' method level by level, from all sources at once: a search keeps how many shortest paths reach each node, and
-    on the way back each node hands its share to those before it. With sources only paths from these count, scaled up.
-    Nodes without an edge start no search, but have their row and count in n.
+    Brandes' method level by level: a search keeps how many shortest paths reach each node, and on the way back each node
+    hands its share to those before it. Sources go in batches of about `batch` (None: all at once), so no more than so many
+    searches are kept; sums of shares add up from batch to batch. With sources (see pivots) only paths from these count,
+    scaled up. Nodes without an edge start no search, but have their row and count in n.
     """
-    both = mirrored(edges).distinct()
-    start = sources if sources is not None else nodes.join(both, "node", "left_semi")
+    both = settled(mirrored(edges).distinct())
+    start = (sources if sources is not None else nodes).join(both, "node", "left_semi")
+    asked = sources.count() if sources is not None else 0
+    start = settled(start.select("node").distinct())
+    batches = -(-start.count() // batch) if batch else 1
+    sums = None
+    for i in range(max(batches, 1)):
+        own = start.where(F.pmod(F.xxhash64("node"), F.lit(batches)) == i) if batches > 1 else start
+        part = _shares(own, both)
+        if part is not None:
+            added = part if sums is None else sums.unionByName(part)
+            sums = settled(added.groupBy("node").agg(F.sum("sum").alias("sum")))
+    n = nodes.count()
+    scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0) * (n / max(asked, 1) if sources is not None else 1.0)
+    sums = sums if sums is not None else nodes.select("node", F.lit(0.0).alias("sum"))
+    return nodes.join(sums, "node", "left").select("node", half_up(F.round(F.coalesce("sum", F.lit(0.0)) * scale, 9), 4).alias("betweenness"))
+
+
+def pivots(nodes: DataFrame, error: float = 0.05, doubt: float = 0.01) -> DataFrame:
+    """(node): so many sources, those of least hash, that betweenness from them is off by more than `error` for any node
+    with a probability of `doubt` at most; all nodes where that is no fewer. One source hands a node n - 2 at most, so what is
+    averaged lies between 0 and n / (n - 1), and Hoeffding's bound over all nodes gives the number."""
+    n = nodes.count()
+    need = math.ceil(math.log(2 * max(n, 1) / doubt) / (2 * error * error) * (n / max(n - 1, 1)) ** 2)
+    return nodes.select("node") if need >= n else nodes.select("node").orderBy(F.xxhash64("node"), "node").limit(need)
+
+
+def _shares(start: DataFrame, both: DataFrame) -> DataFrame | None:
+    """(node, sum): what the searches from all of start hand to each node on their way back."""
     front = settled(start.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths"), F.lit(0).alias("level")))
     levels = [front]
     for level in itertools.count(1):
@@ -44,8 +73,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None =
         if front.isEmpty():
             break
         levels.append(front)
-    share = None
-    total = None
+    share, total = None, None
     for level in range(len(levels) - 1, 0, -1):
         below = levels[level]
         with_share = below.withColumn("share", F.lit(0.0)) if share is None else below.join(share, ["source", "node"], "left").fillna(0.0, ["share"])
@@ -53,10 +81,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None =
         share = settled(given.groupBy("source", "node").agg(F.sum(F.col("paths") / F.col("p") * (1 + F.col("share"))).alias("share")))
         part = share.where("source <> node").select("node", "share")
         total = part if total is None else total.unionByName(part)
-    n = nodes.count()
-    scale = (1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0) * (n / max(sources.count(), 1) if sources is not None else 1.0)
-    sums = total.groupBy("node").agg(F.sum("share").alias("sum")) if total is not None else nodes.select("node", F.lit(0.0).alias("sum"))
-    return nodes.join(sums, "node", "left").select("node", half_up(F.round(F.coalesce("sum", F.lit(0.0)) * scale, 9), 4).alias("betweenness"))
+    return total.groupBy("node").agg(F.sum("share").alias("sum")) if total is not None else None
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:

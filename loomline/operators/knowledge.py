@@ -86,7 +86,7 @@ def build(
     centres = settled(topics.centroids(members, weights))
     words = settled(topics.topic_keywords(centres))
     table = described(members, active, breakdown, turns, weights, meta, words, facets, as_of)
-    edges = settled(topics.edges(topics.semantic(members, dims), topics.file_overlap(members, files), topics.session_overlap(members, active), least))
+    edges = settled(topics.bounded_edges(members, dims, topics.file_overlap(members, files), topics.session_overlap(members, active), least))
     projects = members.join(active.select("session_id", F.col("project").alias("of")), "session_id").groupBy("topic_id").agg(F.collect_set("of").alias("projects")).join(meta.select("topic_id", "project"), "topic_id")
     typed = topics.edge_type(edges, projects)
     labelled = settled(topics.edge_label(typed, topics.shared_keywords(centres, edges), topics.shared_files(members, files)))

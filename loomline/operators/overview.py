@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from loomline.functions import classify as C
 from loomline.functions import text as T
+from loomline.operators import selection
 
 # The histogram's buckets in minutes.
 BUCKETS = (("0-5m", 0, 5), ("5-15m", 5, 15), ("15-30m", 15, 30), ("30-60m", 30, 60), ("60-120m", 60, 120), ("120m+", 120, None))
@@ -95,13 +96,8 @@ def plan_mode_usage(sessions: DataFrame) -> DataFrame:
 
 
 def upper_median(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """The value at place floor(n / 2) of the sorted rows, from a histogram of the values: only distinct values are
-    sorted in one place."""
-    by = by or []
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
-    own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    counted = counts.withColumn("upto", F.sum("n").over(own.orderBy(value))).withColumn("total", F.sum("n").over(own))
-    return counted.where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy(*by).agg(F.min(value).alias("median")).where("median IS NOT NULL")
+    """The value at place floor(n / 2) of the sorted rows, nulls aside; no row without any."""
+    return selection.at_rank(rows, value, F.floor(F.col("n") / 2), by).withColumnRenamed("value", "median")
 
 
 def long_sessions(sessions: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from loomline.functions import classify as C
 from loomline.functions import text as T
 from loomline.operators import features
+from loomline.operators.iterate import settled
 
 # Verbs that name an action, in English and by Japanese patterns.
 VERBS = """fix add implement create update refactor remove delete move rename test debug optimize migrate deploy configure setup
@@ -130,14 +131,18 @@ def file_overlap(members: DataFrame, files: DataFrame) -> DataFrame:
 
 def session_overlap(members: DataFrame, sessions: DataFrame) -> DataFrame:
     """(src, dst, overlap): 0.6 for topics with sessions on one project's branch, else 0.4 for sessions that begin within
-    an hour of each other. The interval join goes by hours: a session looks into its own hour and those beside it."""
+    an hour of each other. Two starts in one hour of the day are that near; of two hours in a row, the last start of one
+    topic in the first and the first start of the other in the second decide. So a topic has a row an hour, and work is
+    those rows and the pairs of topics of an hour, however many sessions begin in it."""
     rows = members.join(sessions.select("session_id", "project", "git_branch", F.unix_micros(F.col("created_at").cast("timestamp")).alias("us")), "session_id")
     branches = rows.where("git_branch <> ''").select("topic_id", "project", "git_branch").distinct()
     same = branches.join(branches.withColumnRenamed("topic_id", "dst"), ["project", "git_branch"]).where("topic_id < dst").select(F.col("topic_id").alias("src"), "dst", F.lit(0.6).alias("overlap"))
-    starts = rows.select("topic_id", "us", F.floor(F.col("us") / (HOUR * 1000000)).alias("hour")).distinct()
-    asked = starts.select(F.col("topic_id").alias("dst"), F.col("us").alias("other"), F.explode(F.array(F.col("hour") - 1, F.col("hour"), F.col("hour") + 1)).alias("hour"))
-    near = starts.join(asked, "hour").where((F.col("topic_id") < F.col("dst")) & (F.abs(F.col("us") - F.col("other")) < HOUR * 1000000))
-    near = near.select(F.col("topic_id").alias("src"), "dst", F.lit(0.4).alias("overlap")).distinct()
+    hours = rows.where("us IS NOT NULL").groupBy("topic_id", F.floor(F.col("us") / (HOUR * 1000000)).alias("hour")).agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    one = hours.select(F.col("topic_id").alias("src"), "hour", "last")
+    within = one.join(hours.select(F.col("topic_id").alias("dst"), "hour"), "hour").where("src < dst").select("src", "dst")
+    after = hours.select(F.col("topic_id").alias("dst"), (F.col("hour") - 1).alias("hour"), "first")
+    across = one.join(after, "hour").where((F.col("src") != F.col("dst")) & (F.col("first") - F.col("last") < HOUR * 1000000))
+    near = within.unionByName(across.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))).distinct().withColumn("overlap", F.lit(0.4))
     return same.unionByName(near).groupBy("src", "dst").agg(F.max("overlap").alias("overlap"))
 
 
@@ -150,6 +155,27 @@ def semantic(members: DataFrame, vectors: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.sum(F.col("value") * F.col("other")).alias("cosine"))
 
 
+def bounded_edges(members: DataFrame, vectors: DataFrame, files: DataFrame, overlap: DataFrame, least: float = 0.2) -> DataFrame:
+    """The rows of edges() without a row for every pair of topics: vectors as in semantic, over few dimensions, files and
+    overlap as the signals give them.
+
+    Without a common file or a session overlap an edge needs a cosine of least / 0.4: blocked products find those and emit
+    no others. For pairs that have either, the cosine is worked out by itself.
+    """
+    from loomline.operators.vectors import dot, pairs, unit_vectors
+
+    centre = members.join(vectors, "session_id").groupBy("topic_id", "dim").agg(F.avg("value").alias("value"))
+    dims = vectors.select("dim").distinct()  # latent dimensions or tools
+    whole = centre.select("topic_id").distinct().crossJoin(F.broadcast(dims)).join(centre, ["topic_id", "dim"], "left").fillna(0.0, ["value"])
+    arrays = whole.groupBy("topic_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("v"))
+    units = settled(unit_vectors(arrays, "topic_id", "v"))
+    far = pairs(units, least=least / 0.4 - 1e-9).select(F.col("a").alias("src"), F.col("b").alias("dst"), "cosine")
+    other = files.select("src", "dst").unionByName(overlap.select("src", "dst")).distinct()
+    side = lambda c: units.select(F.col("id").alias(c), F.col("v").alias(f"v_{c}"))
+    known = other.join(side("src"), "src").join(side("dst"), "dst").select("src", "dst", dot(F.col("v_src"), F.col("v_dst")).alias("cosine"))
+    return edges(known.unionByName(far.join(other, ["src", "dst"], "left_anti")), files, overlap, least)
+
+
 def edges(semantic: DataFrame, files: DataFrame, overlap: DataFrame, least: float = 0.2) -> DataFrame:
     """(src, dst, strength, semantic, file_overlap, session_overlap) where 0.4, 0.3 and 0.3 of the signals make `least`."""
     joined = semantic.select("src", "dst", F.col("cosine").alias("semantic")).join(files.select("src", "dst", F.col("overlap").alias("file_overlap")), ["src", "dst"], "full")

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomline.operators import selection
 from loomline.operators.iterate import settled
-from loomline.operators.overview import upper_median
 
 LOWEST, HIGHEST, FALLBACK = 0.3, 0.9, 0.7
 #: Rows of a block of a blocked product, and clusters that one task merges in the end.
@@ -176,13 +176,12 @@ def one_by_one(clusters):
 
 def elbow(merges: DataFrame) -> float:
     """The height at the greatest second difference of the sorted heights, within bounds; fewer than three give 0.7."""
-    order = Window.partitionBy(F.lit(0)).orderBy("height")
-    rows = merges.select("height", F.row_number().over(order).alias("i"), (F.lead("height").over(order) - 2 * F.col("height") + F.lag("height").over(order)).alias("bend"))
     n = merges.count()
     if n < 3:
         return FALLBACK
-    best = rows.where("bend IS NOT NULL").orderBy(F.desc(F.round("bend", 12)), "i").first()
-    height = best.height if best.bend > 0 else rows.where(F.col("i") == n // 2 + 1).first().height
+    rows = selection.bends(merges.select("height", "a", "b"), "height", "a", "b")
+    best = rows.where("bend IS NOT NULL").orderBy(F.desc(F.round("bend", 12)), "part", "at").first()
+    height = best.height if best.bend > 0 else selection.at_rank(merges, "height", F.lit(n // 2)).first().value
     return min(max(height, LOWEST), HIGHEST)
 
 
@@ -198,16 +197,51 @@ def cut(merges: DataFrame, ids: DataFrame, threshold: float) -> DataFrame:
             return ids.join(to.withColumnRenamed("name", "id"), "id", "left").select("id", F.coalesce("to", "id").alias("cluster"))
 
 
+def median_distance(vectors: DataFrame) -> DataFrame:
+    """(part, median): the upper median of the distances, at twelve digits, between all unit vectors (id, v, part) of a part.
+    Blocks of products are counted into bins again in each pass, so no pair ever becomes a row; parts are few."""
+    sizes = vectors.groupBy("part").agg(F.count(F.lit(1)).alias("s")).where("s > 1")
+    kind = dict(vectors.dtypes)["part"]
+
+    def count(left: DataFrame) -> DataFrame:
+        import numpy as np
+        import pandas as pd
+
+        bounds = {r.part: (r.low, r.high) for r in left.collect()}  # of the parts that are left
+
+        def each(a, b, found):
+            out = []
+            if len(a):
+                own, other = a["part"].to_numpy(), b["part"].to_numpy()
+                for part in set(own) & set(other) & set(bounds):
+                    low, high = bounds[part]
+                    dist = np.round(1 - found[np.ix_(own == part, other == part)].ravel(), 12)
+                    dist = dist[(dist >= low) & (dist <= high)]  # nan is neither
+                    place = np.minimum(np.floor((dist - low) / (high - low) * selection.BINS), selection.BINS - 1).astype(int)
+                    order = np.argsort(place, kind="stable")
+                    place, dist = place[order], dist[order]
+                    at = np.flatnonzero(np.diff(place, prepend=-1))
+                    if len(at):
+                        out.append(pd.DataFrame({"part": part, "bin": place[at], "n": np.diff([*at, len(place)]), "low": np.minimum.reduceat(dist, at), "high": np.maximum.reduceat(dist, at)}))
+            none = pd.DataFrame({"part": a["part"].iloc[:0], "bin": np.zeros(0, int), "n": np.zeros(0, int), "low": np.zeros(0), "high": np.zeros(0)})
+            return pd.concat([none, *out]) if out else none
+
+        counts = block_products(vectors, each, f"part {kind}, bin int, n long, low double, high double")
+        return counts.groupBy("part", "bin").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+    half = F.floor(F.col("s") * (F.col("s") - 1) / 4).cast("long")
+    state = sizes.select("part", F.lit(-1.0).alias("low"), F.lit(3.0).alias("high"), half.alias("rank"))
+    return selection.narrowed(state, ["part"], count).withColumnRenamed("value", "median")
+
+
 def split_oversized(labels: DataFrame, vectors: DataFrame) -> DataFrame:
-    """labels with clusters over max(10, n / 4) clustered anew at max(0.15, 0.8 of the upper median of inner distances).
-    Of such clusters, four at most, all inner pairs are looked at for the median."""
+    """labels with clusters over max(10, n / 4) clustered anew at max(0.15, 0.8 of the upper median of inner distances)."""
     n = labels.count()
     large = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > max(10, n // 4))
     own = settled(vectors.join(labels.join(large, "cluster", "left_semi"), "id").select("id", "v", F.col("cluster").alias("part")))
     if own.isEmpty():
         return labels
-    inner = pairs(own).join(own.select(F.col("id").alias("a"), "part"), "a").select("part", F.round(1 - F.col("cosine"), 12).alias("dist"))
-    middle = upper_median(inner, "dist", ["part"]).select("part", F.greatest(F.lit(0.15), F.col("median") * 0.8).alias("t"))
+    middle = median_distance(own).select("part", F.greatest(F.lit(0.15), F.col("median") * 0.8).alias("t"))
     merges = dendrogram(own).join(own.select(F.col("id").alias("a"), "part"), "a").join(middle, "part").where("height <= t").select("height", "a", "b")
     again = cut(merges, own.select("id"), 2.0)
     return labels.join(again.withColumnRenamed("cluster", "inner"), "id", "left").select("id", F.coalesce("inner", "cluster").alias("cluster"))

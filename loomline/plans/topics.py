@@ -119,8 +119,7 @@ def shares(breakdown, members):
 def project_edges(spark, sf):
     calls, sessions, members = parts(spark, sf)
     breakdown = overview.tool_breakdown(calls)
-    semantic = topics.semantic(members, shares(breakdown, members))
-    return topics.edges(semantic, topics.file_overlap(members, overview.files_edited(calls)), topics.session_overlap(members, sessions))
+    return topics.bounded_edges(members, shares(breakdown, members), topics.file_overlap(members, overview.files_edited(calls)), topics.session_overlap(members, sessions))
 
 
 def rounded(edges):
