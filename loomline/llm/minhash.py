@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from loomline.llm import alike
 from loomline.llm.shared import components, written
-from loomline.llm.simhash import SEED, hashed
+from loomline.llm.simhash import SEED, hashed, shingle_sets
 
 PERMUTATIONS, BANDS, WORDS = 128, 24, 5
 #: Shingles permuted at once: the block stays in a core's cache.
@@ -161,12 +161,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = 0.8, cou
                 out.append((sig, len(hashes), fingerprint(lows), bands(lows, count) if len(hashes) else []))
             yield pd.concat([batch[["doc", "key"]], pd.DataFrame(out, columns=["sig", "n", "fingerprint", "bands"], index=batch.index)], axis=1)
 
-    def set_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            # 32 bits of a shingle's hash: within two sets hardly any two of these coincide.
-            sets = [np.unique((hashed(t, words) >> np.uint64(32)).astype("<u4")).view("<i4") for t in batch["text"]]
-            yield pd.DataFrame({"sig": batch["sig"], "own": sets})
-
     narrow = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     narrow = narrow.withColumn("key", F.xxhash64("text"))
     prints = written(narrow.mapInPandas(each, "doc string, key long, sig long, n int, fingerprint binary, bands array<long>"), "minhash-prints")
@@ -177,7 +171,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = 0.8, cou
     def sets_of(sigs: DataFrame) -> DataFrame:
         of = once.join(sigs, "sig").select("sig", F.col("doc").alias("of_doc"), F.col("key").alias("of_key"))
         texts = narrow.join(of, (F.col("key") == F.col("of_key")) & F.col("doc").eqNullSafe(F.col("of_doc")))
-        return texts.select("sig", "text").mapInPandas(set_rows, "sig long, own array<int>").dropDuplicates(["sig"])
+        return shingle_sets(texts.dropDuplicates(["sig"]), words)
 
     whole = components(alike.links(held, written(sets_of(held.select("sig").distinct()), "sets"), least))
     named = once.select("sig").unionByName(prints.where("n = 0").select("sig").limit(1))

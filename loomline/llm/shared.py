@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -42,10 +43,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Removes the files of written tables that nothing will read any more."""
+    """Removes the files of written tables that nothing will read any more, and lets Spark remove shuffle files of jobs that
+    have ended, which otherwise stay until the driver's next collection of garbage."""
     for table in tables:
         path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_at)
         path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -83,15 +87,14 @@ class Recent(dict):
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph: (node, component), component the smallest node reachable.
 
-    Alternating large-star and small-star rounds; each round's edges are checkpointed, so lineage stays short.
+    Alternating large-star and small-star rounds; each round's edges are written, so lineage stays short.
     Nodes without an edge to another node don't appear. Rows with a null end are ignored.
     """
-    shared_dir(edges.sparkSession)
-    links = (
+    links = written(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
-        .distinct()
-        .checkpoint()
+        .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+        .distinct(),
+        "component-edges",
     )
     before = None
     while True:
@@ -104,13 +107,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Small star: u and its smaller neighbours are tied to the least of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        links = (
-            small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v")))
-            .where("u != v")
-            .distinct()
-            .checkpoint()
-        )
+        now = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+        old, links = links, written(now, "component-edges")
+        dropped(old)
         seen = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == before:
             break

@@ -203,14 +203,15 @@ def shingle_rows(rows: DataFrame, words: int, least: float) -> DataFrame:
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(sig, own) of texts (sig, text). Shingles travel as 32 bits of their hashes: within two sets hardly any two of these
-    coincide."""
+    """(sig, own, bits) of texts (sig, text). Shingles travel as 32 bits of their hashes: within two sets hardly any two of
+    these coincide."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"sig": batch["sig"], "own": [np.unique((hashed(t, words) >> np.uint64(32)).astype("<u4")).view("<i4") for t in batch["text"]]})
+            own = [np.unique((hashed(t, words) >> np.uint64(32)).astype("<u4")).view("<i4") for t in batch["text"]]
+            yield pd.DataFrame({"sig": batch["sig"], "own": own, "bits": [alike.set_bits(x) for x in own]})
 
-    return texts.select("sig", "text").mapInPandas(each, "sig long, own array<int>")
+    return texts.select("sig", "text").mapInPandas(each, "sig long, own array<int>, bits array<long>")
 
 
 def similar_groups(rows: DataFrame, words: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
@@ -221,8 +222,9 @@ def similar_groups(rows: DataFrame, words: int = 5, least: float = 0.8, radius:
     complement that misses none. Every link is verified on whole texts.
     """
     prints = written(shingle_rows(rows, words, least), "shingles")
-    nodes = written(prints.where("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.min("fp").alias("fp"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
-    held = alike.shared_only(nodes.select("sig", "n", F.posexplode("prefix").alias("at", "h")).select("h", "sig", "n", "at"))
+    nodes = written(prints.where("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.min("fp").alias("fp"), F.first("n").alias("n")), "nodes")
+    prefixes = prints.select("key", "prefix").join(nodes.select("key", "sig", "n"), "key").dropDuplicates(["key"])
+    held = alike.shared_only(prefixes.select("sig", "n", F.posexplode("prefix").alias("at", "h")).select("h", "sig", "n", "at"))
     by_print = nodes.groupBy("fp").agg(F.min("sig").alias("rep"))
     found = links(by_print, radius).unionByName(nodes.join(by_print, "fp").where("sig <> rep").select(F.col("rep").alias("a"), F.col("sig").alias("b")))
     found = written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-prints")
