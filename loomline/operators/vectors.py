@@ -84,6 +84,64 @@ def similar(vectors: DataFrame, least: float) -> DataFrame:
     return pairs(vectors, least)
 
 
+def near_pairs(vectors: DataFrame, least: float, cells: int, reach: float = 1.0, rows: int = ROWS) -> DataFrame:
+    """(a, b, cosine) of the pairs a < b of unit vectors (id, v) of a cosine of `least` or more, from an index of `cells` cells
+    instead of all blocks; for tables whose square is too much work.
+
+    Cells are those of vectors of least hash; each vector lives in the nearest's. A vector within an angle t of another
+    lies within that one's angle to its centre and t of the centre, so it asks the cells whose widest member leaves that
+    possible: with reach 1 no pair is missed. A smaller reach takes that share of the widest angle, asks fewer cells and may
+    miss pairs. A cell with many members is dealt to several tasks. Work grows with the rows times what a cell and those
+    near to it hold, so cells should grow with the rows; vectors that lie evenly in many dimensions ask nearly all cells.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kind, spark = dict(vectors.dtypes)["id"], vectors.sparkSession
+    picked = vectors.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(cells).collect()  # so many vectors
+    if not picked:
+        return spark.createDataFrame([], f"a {kind}, b {kind}, cosine double")
+    shared = spark.sparkContext.broadcast(np.stack([np.asarray(r.v, float) for r in sorted(picked, key=lambda r: str(r.id))]))
+    angles = lambda batch: np.arccos(np.clip(np.stack(batch["v"].to_numpy()) @ shared.value.T, -1, 1))
+    most = float(np.arccos(np.clip(least, -1, 1)))
+
+    def homes(batches):
+        for batch in batches:
+            if len(batch):
+                found = angles(batch)
+                yield batch.assign(cell=found.argmin(axis=1), angle=found.min(axis=1))
+
+    home = settled(vectors.select("id", "v").mapInPandas(homes, f"id {kind}, v array<double>, cell int, angle double"))
+    sizes = {r.cell: (r.wide, r.n) for r in home.groupBy("cell").agg(F.max("angle").alias("wide"), F.count(F.lit(1)).alias("n")).collect()}  # a row a cell
+    wide = np.array([sizes[c][0] * reach if c in sizes else -np.inf for c in range(len(picked))])
+    parts = {c: -(-n // rows) for c, (_, n) in sizes.items()}
+
+    def asked(batches):
+        for batch in batches:
+            if len(batch):
+                row, cell = np.nonzero(angles(batch) <= wide + most + 1e-9)
+                count = np.array([parts[c] for c in cell.tolist()], int)
+                each = np.repeat(np.arange(len(cell)), count)
+                part = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+                yield pd.DataFrame({"id": batch["id"].to_numpy()[row[each]], "v": batch["v"].to_numpy()[row[each]], "cell": cell[each], "part": part})
+
+    def met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": left["id"].iloc[:0], "b": left["id"].iloc[:0], "cosine": np.zeros(0)})
+        x, y = left["id"].to_numpy(), right["id"].to_numpy()
+        held, out = np.stack(left["v"].to_numpy()), []
+        for at in range(0, len(y), rows):
+            found = held @ np.stack(right["v"].iloc[at : at + rows].to_numpy()).T
+            i, j = np.nonzero((found >= least) & (x[:, None] < y[None, at : at + rows]))
+            out.append(pd.DataFrame({"a": x[i], "b": y[at + j], "cosine": found[i, j]}))
+        return pd.concat(out)
+
+    counts = spark.createDataFrame([(c, n) for c, n in parts.items()], "cell int, parts int")
+    dealt_out = home.join(F.broadcast(counts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    asking = vectors.select("id", "v").mapInPandas(asked, f"id {kind}, v array<double>, cell int, part int").toDF("id", "v", "at_cell", "at_part")
+    return dealt_out.select("id", "v", "cell", "part").groupBy("cell", "part").cogroup(asking.groupBy("at_cell", "at_part")).applyInPandas(met, f"a {kind}, b {kind}, cosine double")
+
+
 def centroid_similarity(vectors: DataFrame, groups: DataFrame) -> DataFrame:
     """(a, b, cosine) of the groups' mean vectors; groups: (id, group)."""
     dims = vectors.join(groups, "id").select("group", F.posexplode("v").alias("dim", "x")).groupBy("group", "dim").agg(F.avg("x").alias("x"))
@@ -126,6 +184,38 @@ def dendrogram(vectors: DataFrame, finish: int = FINISH) -> DataFrame:
     return merges.unionByName(settled(last))
 
 
+def pruned_dendrogram(near: DataFrame) -> DataFrame:
+    """(height, a, b) of every merge of average linkage where only the pairs near (a, b, cosine), a < b, of a cosine of 0 or
+    more are known: a pair that isn't has distance 1 in averages, and clusters without any known pair never merge.
+
+    Clusters keep a row for each other one that they have a known pair with: the sum and the number of known distances.
+    Both add up when clusters merge, so a round costs what is left of the pairs, not the square of the clusters. With
+    distances of at most 1 merging never brings others nearer, so all clusters that are each other's nearest merge in one
+    round, as one by one. Names and ties as in dendrogram; where all pairs are known so are the merges.
+    """
+    edges = settled(near.select("a", "b", (1 - F.col("cosine")).alias("sum"), F.lit(1.0).alias("known")))
+    ends = F.explode(F.array("a", "b")).alias("id")
+    sizes = settled(edges.select(ends).distinct().withColumn("n", F.lit(1.0)))
+    merges = None
+    while True:
+        side = lambda c: sizes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))  # noqa: B023, E731
+        pairs_of = F.col("n_a") * F.col("n_b")
+        dist = F.round((F.col("sum") + pairs_of - F.col("known")) / pairs_of, 12)
+        told = edges.join(side("a"), "a").join(side("b"), "b").withColumn("m", F.struct(dist.alias("dist"), F.col("a").alias("l"), F.col("b").alias("g")))
+        best = told.select(F.explode(F.array("a", "b")).alias("id"), "m").groupBy("id").agg(F.min("m").alias("m"))
+        mutual = settled(best.groupBy("m").agg(F.count(F.lit(1)).alias("both")).where("both = 2").select("m.*"))
+        if mutual.isEmpty():
+            kind = dict(near.dtypes)["a"]
+            return merges if merges is not None else near.sparkSession.createDataFrame([], f"height double, a {kind}, b {kind}")
+        new = mutual.select(F.col("dist").alias("height"), F.col("l").alias("a"), F.col("g").alias("b"))
+        merges = new if merges is None else merges.unionByName(new)
+        gone = mutual.select(F.col("g").alias("id"), F.col("l").alias("to"))
+        for end in ("a", "b"):
+            edges = edges.join(gone.select(F.col("id").alias(end), F.col("to").alias("new")), end, "left").withColumn(end, F.coalesce("new", end)).drop("new")
+        edges = settled(edges.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("sum").alias("sum"), F.sum("known").alias("known")))
+        sizes = settled(sizes.join(gone, "id", "left").groupBy(F.coalesce("to", "id").alias("id")).agg(F.sum("n").alias("n")))
+
+
 def nearest(a, b, found):
     """Each row's nearest of the same part within two blocks of cluster means."""
     import numpy as np

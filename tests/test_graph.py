@@ -189,3 +189,69 @@ def test_svd_equals_the_dense_one(spark):
     for r in loadings.collect():
         at[r.dim, int(r.feature[1:])] = r.value
     assert np.allclose(np.abs(at), np.abs(vt), atol=1e-6)
+
+
+def clustered_vectors(n, clusters, dims=8, seed=1):
+    """Groups of unit vectors some degrees apart."""
+    rng = np.random.default_rng(seed)
+    raw = rng.normal(size=(clusters, dims))[np.arange(n) % clusters] + 0.12 * rng.normal(size=(n, dims))
+    return raw / np.linalg.norm(raw, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("cells", [1, 40, 150])
+def test_an_index_of_cells_misses_no_pair(spark, cells):
+    unit = clustered_vectors(900, 60)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "id long, v array<double>")
+    got = {(r.a, r.b): r.cosine for r in vectors.near_pairs(df, 0.9, cells, rows=64).collect()}
+    full = np.triu(unit @ unit.T, 1)
+    assert set(got) == set(zip(*(x.tolist() for x in np.nonzero(full >= 0.9)), strict=True)) and len(got) > 3000
+    some = vectors.near_pairs(df, 0.9, cells, reach=0.8).count()
+    assert (0.9 if cells > 1 else 0.5) * len(got) <= some <= len(got)
+    assert vectors.near_pairs(df.limit(0), 0.9, 5).count() == 0
+
+
+def test_the_index_asks_near_linearly(spark):
+    """Five times the rows in five times the groups ask some five times as many cells' members, not 25 times."""
+    found = []
+    for n in (400, 2000):
+        unit = clustered_vectors(n, n // 20, dims=6, seed=2)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "id long, v array<double>")
+        found.append(vectors.near_pairs(df, 0.95, n // 10).count())
+    assert 4 < found[1] / found[0] < 9
+
+
+def one_by_one_pruned(n, known):
+    """Average linkage pair by pair, unknown pairs at distance 1, never merged without a known one."""
+    groups = {i: [i] for i in range(n)}
+    out = []
+    while True:
+        best = None
+        for a in sorted(groups):
+            for b in sorted(groups):
+                own = [(x, y) for x in groups[a] for y in groups[b]]
+                if a < b and any((min(p), max(p)) in known for p in own):
+                    d = round(sum(known.get((min(p), max(p)), 1.0) for p in own) / len(own), 12)
+                    best = min(best, (d, a, b)) if best else (d, a, b)
+        if best is None:
+            return sorted(out)
+        out.append(best)
+        groups[best[1]] += groups.pop(best[2])
+
+
+@pytest.mark.parametrize("least", [0.0, 0.5, 0.85])
+def test_linkage_over_pruned_pairs(spark, least):
+    unit = clustered_vectors(26, 6, dims=4, seed=3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "id long, v array<double>")
+    near = vectors.settled(vectors.pairs(df, least))
+    known = {(r.a, r.b): 1 - r.cosine for r in near.collect()}
+    got = sorted((round(r.height, 9), r.a, r.b) for r in vectors.pruned_dendrogram(near).collect())
+    assert got == sorted((round(h, 9), a, b) for h, a, b in one_by_one_pruned(26, known))
+
+
+def test_linkage_over_all_pairs_is_the_same_tree(spark):
+    rng = np.random.default_rng(6)
+    raw = np.abs(rng.normal(size=(40, 5)))  # all cosines are positive
+    unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "id long, v array<double>")
+    told = lambda rows: sorted((round(r.height, 9), r.a, r.b) for r in rows.collect())
+    assert told(vectors.pruned_dendrogram(vectors.settled(vectors.pairs(df)))) == told(vectors.dendrogram(df))
