@@ -37,11 +37,6 @@ def path_tokens(text: Column) -> Column:
     return F.flatten(F.transform(names, camel_parts))
 
 
-def is_noise(token: Column) -> Column:
-    """UUIDs, hexadecimal strings of six or more, numbers, and tokens over 40 characters."""
-    return token.rlike(UUID) | token.rlike(r"(?i)^[0-9a-f]{6,}$") | token.rlike(r"^\d+$") | (F.length(token) > LONGEST_TOKEN)
-
-
 def words(text: Column) -> Column:
     """Runs of a text between white space and signs."""
     signs = "`'\"{}()[]<>;:,!?@#$%^&*=+|\\~/"
@@ -64,17 +59,6 @@ def is_term(token: Column) -> Column:
     return (F.length(token) > 2) & (F.length(token) <= LONGEST_TOKEN) & ~token.isin(*STOP_WORDS) & ~token.rlike(r"^(?:[0-9a-f]{6,}|\d+)$")
 
 
-def tokens(text: Column) -> Column:
-    """Tokens of a text: its path words, then all other words cut at hyphens, underscores and camel-case steps, reduced to
-    letters and digits, without stop words and noise."""
-    spaced = F.regexp_replace(text, r"""[`'"{}()\[\]<>;:,!?@#$%^&*=+|\\~/]""", " ")
-    words = F.filter(F.split(spaced, f"{SPACE}+"), lambda w: (w != "") & ~w.startswith("http") & ~w.rlike(UUID))
-    parts = F.flatten(F.transform(words, lambda w: F.filter(F.split(w, "[-_]"), lambda p: p != "")))
-    clean = F.transform(F.flatten(F.transform(parts, camel_parts)), lambda t: F.regexp_replace(t, r"[^a-z0-9぀-鿿]", ""))
-    kept = F.filter(clean, lambda t: (F.length(t) > 2) & ~t.isin(*STOP_WORDS) & ~is_noise(t))
-    return F.concat(path_tokens(text), kept)
-
-
 def cut(text: Column, most: int, mark: str = "…") -> Column:
     """The text's first characters, with a mark where more follow."""
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit(mark))).otherwise(text)

@@ -25,8 +25,9 @@ def session_texts(turns: DataFrame, files: DataFrame | None = None, branches: Da
 
 
 def terms(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """The keys and term of every token of the texts, as functions.text.tokens has them; words are rows before they are
-    taken apart, so that each step is a plain column."""
+    """The keys and term of every token of the texts: words of their paths, then all words cut at hyphens, underscores and
+    camel-case steps, reduced to letters and digits, without stop words and noise. Words are rows before they are taken
+    apart, so that each step is a plain column."""
     rows = texts.select(*keys, F.col(text).alias("text"))
     words = rows.select(*keys, F.explode(T.words(F.col("text"))).alias("word")).where(T.is_word(F.col("word")))
     own = words.select(*keys, F.explode(T.word_parts(F.col("word"))).alias("term")).where(T.is_term(F.col("term")))

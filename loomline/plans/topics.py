@@ -381,12 +381,20 @@ def topic_label(spark, sf):
     return topics.topic_label(source_keywords(spark, sf), meta)
 
 
-@query()
+PROMPTS = SQL + ", tok AS (" + tokens_sql("session_id", "user_prompt", "turns") + """), counts AS (SELECT session_id, term, count(*) AS n FROM tok GROUP BY ALL), nd AS (SELECT count(DISTINCT session_id) AS docs FROM counts), vocab AS (SELECT term, count(*) AS df FROM counts GROUP BY term), kept AS (SELECT term, ln(docs / CAST(df AS DOUBLE)) AS idf FROM vocab, nd WHERE df >= 2 AND df <= greatest(2, floor(docs * 0.8))),
+w AS (SELECT session_id, term, ln(1 + n) * idf AS w FROM counts JOIN kept USING (term)), u AS (SELECT session_id, term, CASE WHEN l > 0 THEN w / l ELSE 0 END AS weight FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY session_id)) AS l FROM w)),
+mem AS (SELECT DISTINCT session_id % 10 AS topic_id, session_id FROM turns), sz AS (SELECT topic_id, count(*) AS size FROM mem GROUP BY 1), ce AS (SELECT topic_id, term, sum(weight) / any_value(size) AS c FROM mem JOIN u USING (session_id) JOIN sz USING (topic_id) GROUP BY ALL), nm AS (SELECT topic_id, sqrt(sum(c * c)) AS norm FROM ce GROUP BY 1),
+sc AS (SELECT mem.topic_id, session_id, round(CASE WHEN any_value(norm) > 0 THEN sum(weight * c) / any_value(norm) END, 9) AS score FROM mem JOIN u USING (session_id) JOIN ce ON ce.topic_id = mem.topic_id AND ce.term = u.term JOIN nm ON nm.topic_id = mem.topic_id GROUP BY ALL),
+said AS (SELECT topic_id, session_id, turn_index, score, CASE WHEN length(user_prompt) > 150 THEN left(user_prompt, 150) || '...' ELSE user_prompt END AS prompt FROM sc JOIN turns USING (session_id) WHERE length(user_prompt) > 10),
+once AS (SELECT * FROM said QUALIFY row_number() OVER (PARTITION BY topic_id, prompt ORDER BY score DESC NULLS LAST, session_id, turn_index) = 1)"""
+
+
+@query(PROMPTS + " SELECT topic_id, CAST(row_number() OVER (PARTITION BY topic_id ORDER BY score DESC NULLS LAST, session_id, turn_index) AS INTEGER) AS place, prompt, round(score, 6) AS score FROM once QUALIFY place <= 3")
 def topic_prompts(spark, sf):
     prompts = views.prompts(spark, sf)
     weights = features.tfidf(features.term_counts(prompts.withColumnRenamed("user_prompt", "text"), "session_id"), "session_id")
     members = prompts.select((F.col("session_id") % 10).alias("topic_id"), "session_id").distinct()
-    return topics.topic_prompts(members, weights, prompts)
+    return topics.topic_prompts(members, weights, prompts).withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -405,13 +413,13 @@ def bridge_nodes(spark, sf):
     return graph.bridges(vectors.settled(graph.betweenness(nodes, vectors.settled(edges))))
 
 
-@query(f"WITH {VECTORS}, {SIMILAR}, m AS (SELECT a AS node FROM sim UNION ALL SELECT b FROM sim), d AS (SELECT vec_id AS node, count(m.node) AS n FROM embeddings LEFT JOIN m ON node = vec_id GROUP BY 1) SELECT node, CASE WHEN label = 0 THEN 'critical bridge' WHEN label = 1 THEN 'bridge' WHEN n > 1 THEN 'hub' WHEN n = 0 THEN 'isolated' ELSE 'peripheral' END AS band FROM d JOIN embeddings ON vec_id = node")
+@query(BETWEEN + ", d AS (SELECT vec_id AS node, count(m.x) AS n FROM embeddings LEFT JOIN m ON x = vec_id GROUP BY 1), c AS (SELECT node, floor(d.n / CAST(size.n - 1 AS DOUBLE) * 10000 + 0.5) / 10000.0 AS degree FROM d, size) SELECT node, CASE WHEN betweenness > 0.2 THEN 'critical bridge' WHEN betweenness > 0.05 THEN 'bridge' WHEN degree > 0.5 THEN 'hub' WHEN degree = 0 THEN 'isolated' ELSE 'peripheral' END AS band FROM c JOIN between USING (node)")
 def centrality_band(spark, sf):
-    """Bands by an embedding's number of neighbours, with labels 0 and 1 in the part of high betweenness."""
+    """Bands by an embedding's betweenness and degree."""
     nodes, edges = embedding_graph(spark, sf)
-    known = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.when(F.col("label") == 0, 0.3).when(F.col("label") == 1, 0.1).otherwise(0.0).alias("betweenness"))
-    central = graph.degree(nodes, edges).join(known, "node")
-    return central.select("node", C.centrality_band(F.col("betweenness"), F.when(F.col("degree") > 1, 0.6).when(F.col("degree") > 0, 0.1).otherwise(0.0)).alias("band"))
+    edges = vectors.settled(edges)
+    central = graph.degree(nodes, edges).join(graph.betweenness(nodes, edges), "node")
+    return central.select("node", C.centrality_band(F.col("betweenness"), F.col("centrality")).alias("band"))
 
 
 @query(f"WITH {VECTORS}, {SIMILAR}, seen AS (SELECT vec_id, label FROM embeddings WHERE label < 4) SELECT a AS src, b AS dst, CASE WHEN x.label = y.label THEN 'inner' ELSE 'outer' END AS type FROM sim JOIN seen x ON x.vec_id = a JOIN seen y ON y.vec_id = b WHERE x.label <> y.label")

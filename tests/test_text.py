@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import classify as C
 from loomline.functions import text as T
+from loomline.operators import features, report
 
 
 def one(spark, column, **values):
@@ -22,7 +23,37 @@ def one(spark, column, **values):
     ],
 )
 def test_tokens(spark, text, want):
-    assert one(spark, T.tokens(F.col("t")), t=text) == want
+    rows = spark.createDataFrame([(1, text)], "id long, text string")
+    assert sorted(r.term for r in features.terms(rows, ["id"]).collect()) == sorted(want)
+
+
+def test_session_documents_and_summaries(spark):
+    turns = spark.createDataFrame([("s", 0, "fix the parser", ["parser looks fine"], False), ("s", 1, "fix parser tests", [], False), ("e", 0, " ", [], None), ("p", 0, "look around", [], False), ("p", 1, "plan the parser", ["done"], True)], "session_id string, turn_index long, user_prompt string, texts array<string>, is_plan boolean")
+    files = spark.createDataFrame([("s", "/src/parser/a.ts"), ("s", "/src/parser/b.ts")], "session_id string, file_path string")
+    branches = spark.createDataFrame([("s", "feature-login"), ("e", ""), ("p", None)], "session_id string, git_branch string")
+    counts = {(r.session_id, r.term): r.n for r in features.term_counts(features.session_texts(turns, files, branches), "session_id").collect()}
+    # Prompts, the assistant's text, and each path both as path and as text.
+    assert counts["s", "parser"] == 3 + 2 + 2 and counts["s", "login"] == 1 and counts["s", "tests"] == 1
+    assert not [k for k in counts if k[0] == "e"]
+    sessions = spark.createDataFrame([("s", "default", 2), ("e", "plan", 1), ("p", "default", 2)], "session_id string, permission_mode string, turn_count long")
+    breakdown = spark.createDataFrame([("s", "Edit", 5), ("s", "Read", 1)], "session_id string, tool_name string, n_calls long")
+    got = {r.session_id: r for r in features.summaries(sessions, breakdown, turns, files).collect()}
+    assert got["s"].scope == "/src/parser" and got["s"].keywords == ["parser", "tests"] and got["s"].prompt == "fix the parser"
+    assert got["e"].keywords is None and got["e"].scope is None and got["p"].keywords == ["parser", "plan"]
+
+
+def test_skill_files_and_dry_run(spark, tmp_path):
+    documents = spark.createDataFrame([("t1", "fix-parser", "---\nname: fix-parser\n---\nbody"), ("t2", "deploy", "one line")], "topic_id string, skill_name string, markdown string")
+    report.write_skills(documents, str(tmp_path / "skills"))
+    texts = {p.name.removeprefix("skill_name="): "".join(f.read_text() for f in p.glob("*.txt")) for p in (tmp_path / "skills").iterdir() if p.is_dir()}
+    assert texts == {"fix-parser": "---\nname: fix-parser\n---\nbody\n", "deploy": "one line\n"}
+    scores = spark.createDataFrame([("t1", 0.4), ("t2", 0.9), ("t3", 0.4)], "topic_id string, overall double")
+    labels = spark.createDataFrame([(f"t{i}", f"label {i}") for i in (1, 2, 3)], "topic_id string, label string")
+    words = spark.createDataFrame([("t2", 2, "b"), ("t2", 1, "a"), ("t1", 1, "c")], "topic_id string, place int, term string")
+    meta = spark.createDataFrame([(f"t{i}", i) for i in (1, 2, 3)], "topic_id string, session_count long")
+    rows = [tuple(r) for r in report.dry_run(scores, labels, words, meta, n=2).collect()]
+    assert sorted(rows) == [("t1", 0.4, "label 1", "c", 1), ("t2", 0.9, "label 2", "a, b", 2)]
+    assert report.top(scores, 0).count() == 1
 
 
 @pytest.mark.parametrize(("name", "want"), [("-Users-foo-github-com-org-repo", "org/repo"), ("-Users-foo-bar-projects-myapp", "projects/myapp"), ("short", "short"), ("", "")])
