@@ -79,8 +79,19 @@ def with_chunks(rows: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, l
     several = F.when(F.size("lines") > 1, F.sequence(F.lit(1), F.size("lines"))).otherwise(F.array().cast("array<int>"))
     ended = ended.withColumn("reaches", F.filter(F.transform(several, reach), lambda r: (r["run"]["words"] >= long_line) & (r["run"]["n"] > 1)))
     run = lambda r: F.struct(r["first"].alias("first"), r["run"]["n"].alias("n"), r["run"]["n"].alias("full"), r["run"]["words"].alias("words"), F.xxhash64(F.slice("own", r["first"], r["run"]["n"])).alias("hash"))
-    cut = ended.withColumns({"chunks": F.zip_with("starts", "ends", chunk), "runs": F.transform("reaches", run)})
-    return cut.drop("own", "hashes", "spaces", "weights", "blank", "ends", "starts", "reaches")
+    # A run with so many blank lines that those before see no end of it: the lines that count are looked at alone.
+    solid = F.filter(F.transform("weights", lambda w, i: F.struct((i + 1).alias("at"), w.alias("w"))), lambda x: x["w"] > 0)
+    ended = ended.withColumn("solid", F.when(F.size("lines") > long_line, solid).otherwise(F.array().cast("array<struct<at:int,w:int>>")))
+
+    def far(x: Column, j: Column) -> Column:
+        none = F.struct(F.lit(0).alias("words"), x["at"].alias("end"))
+        more = lambda r, y: F.when(r["words"] >= long_line, r).otherwise(F.struct((r["words"] + y["w"]).alias("words"), y["at"].alias("end")))
+        return F.struct(x["at"].alias("first"), F.aggregate(F.slice("solid", j + 1, long_line), none, more).alias("run"))
+
+    wide = F.filter(F.transform("solid", far), lambda r: (r["run"]["words"] >= long_line) & (r["run"]["end"] - r["first"] >= long_line))
+    ended = ended.withColumn("far", F.transform(wide, lambda r: F.struct(r["first"].alias("first"), F.struct(r["run"]["words"].alias("words"), (r["run"]["end"] - r["first"] + 1).alias("n")).alias("run"))))
+    cut = ended.withColumns({"chunks": F.zip_with("starts", "ends", chunk), "runs": F.transform(F.concat("reaches", "far"), run)})
+    return cut.drop("own", "hashes", "spaces", "weights", "blank", "ends", "starts", "reaches", "solid", "far")
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -121,3 +121,13 @@ def test_odd_rows(spark):
     assert sorted(g[1:] for g in got if g[0] == 4) == [("", 1, 1), ("", 2, 2)]
     assert got[-1] == (5, rows[-1][1], 30_000, 0)
     assert lines.dedup(docs.limit(0)).count() == 0
+
+
+def test_a_passage_with_many_blank_lines(spark):
+    """60 words in four lines, 30 blank ones between each two: more than 50 lines from the first word to the 50th."""
+    passage = ("\n" * 31).join(" ".join(f"p{i}x{j}" for j in range(15)) for i in range(4))
+    docs = [(i, f"own {i}\n{passage}\nend {i} of it") for i in range(3)]
+    got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0] == docs[0][1]
+    for i in (1, 2):
+        assert "p0x0" not in got[i] and "p3x14" not in got[i] and f"own {i}" in got[i] and f"end {i} of it" in got[i]
