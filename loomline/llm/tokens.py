@@ -8,10 +8,11 @@ document is read by its block's offset index, without decompressing its neighbou
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -60,6 +61,36 @@ def _plain(text: str) -> bool:
     return "<|" not in text  # may begin a special token
 
 
+# How a vocabulary file says that it lower-cases, drops white space and cuts as PIECE does.
+KNOWN_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+KNOWN_PATTERN = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+
+
+def cuts_alike(described: dict) -> bool:
+    """Whether a tokenizer, as its file describes it, works on pieces that can be cut here."""
+    normalizer, before = described.get("normalizer") or {}, described.get("pre_tokenizer") or {}
+    steps = before.get("pretokenizers") or [{}, {}]
+    split, signs = (steps[0], steps[1]) if len(steps) == 2 else ({}, {})
+    return (
+        normalizer.get("normalizers") == KNOWN_NORMALIZER
+        and (split.get("type"), split.get("pattern"), split.get("behavior"), split.get("invert")) == ("Split", KNOWN_PATTERN, "Removed", True)
+        and (signs.get("type"), signs.get("add_prefix_space"), signs.get("use_regex")) == ("ByteLevel", False, False)
+        and described["model"].get("dropout") is None
+    )
+
+
+@lru_cache(maxsize=4)
+def _whole(vocabulary: str) -> Callable[[str], bytes] | None:
+    """For a vocabulary whose pieces aren't cut here: the library on whole texts."""
+    from tokenizers import Tokenizer
+
+    with open(vocabulary, encoding="utf-8") as file:
+        if cuts_alike(json.load(file)):
+            return None
+    tokenizer = Tokenizer.from_file(vocabulary)
+    return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 @lru_cache(maxsize=4)
 def _encoder(vocabulary: str) -> tuple[int, Recent, Recent]:
     """The vocabulary's size, and the ids lately asked for: of pieces, which the library's model gives, and of words, runs
@@ -88,8 +119,11 @@ def encode(text: str, vocabulary: str) -> bytes:
     """The ids of a whole text as little-endian unsigned 32-bit integers, as the tokenizers library gives them.
 
     The vocabulary's pre-tokeniser drops white space and joins nothing across it, and its model gives the same for a piece
-    wherever it stands. So a text of Latin-1 is cut into pieces here, any other into words.
+    wherever it stands. So a text of Latin-1 is cut into pieces here, any other into words. A vocabulary of another kind
+    gets whole texts.
     """
+    if (whole := _whole(vocabulary)) is not None:
+        return whole(text)
     _, pieces, words = _encoder(vocabulary)
     if _plain(text):
         return b"".join(map(pieces.__getitem__, PIECE.findall(text.lower())))

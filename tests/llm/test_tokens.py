@@ -75,3 +75,21 @@ def test_odd_rows_round_trip(spark):
     assert tokens.read_document(spark, path, 317) == [*t.encode("t 217", add_special_tokens=False).ids, 1]
     empty = tokens.write(docs.limit(0), shared.new_path(spark, "ids"), VOCABULARY)
     assert tokens.read(spark, empty).count() == 0
+
+
+OTHER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.mark.parametrize("text", ["", "It's  Two\n\nLines, 123 and  more ", "Été naïve 日本語 <|endoftext|>"])
+def test_a_vocabulary_of_another_kind_gets_whole_texts(text):
+    want = Tokenizer.from_file(OTHER).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(tokens.encode(text, OTHER), "<u4").tolist() == want
+
+
+def test_only_the_known_cut_is_made_here(spark):
+    assert tokens._whole(VOCABULARY) is None and tokens._whole(OTHER) is not None
+    docs = [(1, "Some  text\nof two lines"), (2, None)]
+    path = tokens.write(spark.createDataFrame(docs, "doc_id long, text string"), shared.new_path(spark, "other"), OTHER)
+    want = [*Tokenizer.from_file(OTHER).encode(docs[0][1], add_special_tokens=False).ids, 1]
+    got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in tokens.read(spark, path).collect()}
+    assert got == {1: (len(want), zlib.crc32(np.array(want, "<u4").tobytes())), 2: (1, zlib.crc32(np.array([1], "<u4").tobytes()))}
