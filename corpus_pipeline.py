@@ -47,7 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's table goes once the next stage's is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = shared.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            shared.dropped(before)
+        before = docs
     return docs
