@@ -60,16 +60,13 @@ def _joined(rest: DataFrame, edges: DataFrame) -> DataFrame:
     return written(rows.join(mixed, "h"), "open-buckets")
 
 
-def links(held: DataFrame, sets: DataFrame, least: float, pairs: DataFrame | None = None, little: float = 0.02) -> DataFrame:
+def links(held: DataFrame, sets: DataFrame, least: float, pairs: DataFrame | None = None, little: float = 0.02, ordered: bool = True) -> DataFrame:
     """Verified pairs (a, b), a written table, that connect all that alike pairs sharing a bucket do.
 
-    held: (h, sig, n, at), n the size of the set sig and at the bucket's place in its order (0 where there is none), from
-    shared_only. sets: (sig, own, bits) of all sigs. pairs: candidates (a, b) known before, verified first. A round that
+    held: (h, sig, n, at), n the size of the set sig and, where buckets are its members in one order for all sets (ordered), at
+    the bucket's place in it, from shared_only. sets: (sig, own, bits) of all sigs. pairs: candidates (a, b) known before, verified first. A round that
     joins fewer than the share `little` of the open sets is the last.
     """
-    flat = written(sets.select("sig", *[F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(WORDS)]), "set-bits")
-    side = lambda c: flat.select(F.col("sig").alias(c), *[F.col(f"w{i}").alias(f"{c}{i}") for i in range(WORDS)])
-    bits = lambda c: [f"{c}{i}" for i in range(WORDS)]
     empty = held.select(F.col("sig").alias("a"), F.col("sig").alias("b")).limit(0)
     tested = written(pairs if pairs is not None else empty, "pairs")
     alike = verified(tested, sets, least)
@@ -89,13 +86,19 @@ def links(held: DataFrame, sets: DataFrame, least: float, pairs: DataFrame | Non
             dropped(before)
         if joined <= little * open_:
             break
+    # Of the open buckets that two sets share only the first gives a row for them; a set is in no more than its own number.
+    opened = rest.groupBy("sig").agg(F.collect_list("h").alias("open"))
+    flat = written(sets.join(opened, "sig").select("sig", "open", *[F.get("bits", F.lit(i)).alias(f"w{i}") for i in range(WORDS)]), "open-sets")
+    bits = lambda c: [f"{c}{i}" for i in range(WORDS)]
+    side = lambda c: flat.select(F.col("sig").alias(c), F.col("open").alias(f"open_{c}"), *[F.col(f"w{i}").alias(f"{c}{i}") for i in range(WORDS)])
     end = lambda c: rest.select("h", F.col("sig").alias(c), F.col("n").alias(f"n_{c}"), F.col("at").alias(f"at_{c}"), F.col("group").alias(f"group_{c}")).join(side(c), c)
-    near = near_size(F.col("n_a"), F.col("n_b"), least) & may_be_alike(F.col("n_a"), F.col("n_b"), bits("a"), bits("b"), least)
-    met = end("a").join(end("b"), "h").where((F.col("a") < F.col("b")) & (F.col("group_a") != F.col("group_b")) & near)
-    met = met.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("both"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
-    # What two ordered sets share is what their buckets do up to the last such one, and at most all that follows it.
-    most = F.col("both") + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) - 1
-    last = met.where(most * (1 + least) >= (F.col("n_a") + F.col("n_b")) * least - 1e-9).select("a", "b")
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    # What two ordered sets share is at most all before the bucket, in the shorter way there, and all from it on.
+    most = F.least("at_a", "at_b") + F.least(n_a - F.col("at_a"), n_b - F.col("at_b"))
+    placed = (most * (1 + least) >= (n_a + n_b) * least - 1e-9) if ordered else F.lit(True)
+    near = near_size(n_a, n_b, least) & placed & may_be_alike(n_a, n_b, bits("a"), bits("b"), least)
+    first = F.array_min(F.array_intersect("open_a", "open_b")) == F.col("h")
+    last = end("a").join(end("b"), "h").where((F.col("a") < F.col("b")) & (F.col("group_a") != F.col("group_b")) & near & first).select("a", "b")
     last = written(last.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "last-pairs")
     whole = written(alike.unionByName(verified(last, sets, least)), "links")
     dropped(rest, last, flat)

@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, least: float = 0.8, cou
         texts = narrow.join(of, (F.col("key") == F.col("of_key")) & F.col("doc").eqNullSafe(F.col("of_doc")))
         return shingle_sets(texts.dropDuplicates(["sig"]), words)
 
-    whole = components(alike.links(held, written(sets_of(held.select("sig").distinct()), "sets"), least))
+    whole = components(alike.links(held, written(sets_of(held.select("sig").distinct()), "sets"), least, ordered=False))
     named = once.select("sig").unionByName(prints.where("n = 0").select("sig").limit(1))
     named = named.join(whole, F.col("sig") == F.col("node"), "left").select("sig", F.coalesce("component", "sig").alias("component"))
     rows = prints.select(F.col("doc").cast("long").alias("doc_id"), "sig", "fingerprint").join(named, "sig")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm.pages import STOP_WORDS
-from loomline.llm.shared import least_hashed, written
+from loomline.llm.shared import least_hashed, small_batches, written
 
 #: Documents that the scorer and the telling features are fitted on at most: those with the least hash. Of labelled ones
 #: up to the first share; of others a third as many as labelled ones, but at least the second share.
@@ -449,6 +449,7 @@ def classify(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAM
 
 def keep(docs: DataFrame, labels: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """docs without the rows that the classifier rejects; all columns stay, whatever their names."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample))
 
     @F.pandas_udf("boolean")

@@ -52,6 +52,17 @@ def dropped(*tables: DataFrame) -> None:
     tables[0].sparkSession._jvm.System.gc()
 
 
+#: Rows of texts in an Arrow batch, where the session leaves it at Spark's 10,000.
+TEXTS_AT_ONCE = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch: texts are long, and a batch stands in the JVM, in Arrow and in pandas at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, str(TEXTS_AT_ONCE))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, or a longer one if df has a column of that name."""
     taken = {c.lower() for c in df.columns}

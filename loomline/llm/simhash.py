@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm import alike
-from loomline.llm.shared import components, dropped, written
+from loomline.llm.shared import components, dropped, small_batches, written
 
 SEED = 42
 BITS = 64
@@ -221,6 +221,7 @@ def similar_groups(rows: DataFrame, words: int = 5, least: float = 0.8, radius:
     holders of each shingle of a prefix, rarest first by the counts of all documents, follow in rounds: the exact
     complement that misses none. Every link is verified on whole texts.
     """
+    small_batches(rows.sparkSession)
     prints = written(shingle_rows(rows, words, least), "shingles")
     nodes = written(prints.where("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.min("fp").alias("fp"), F.first("n").alias("n")), "nodes")
     prefixes = prints.select("key", "prefix").join(nodes.select("key", "sig", "n"), "key").dropDuplicates(["key"])
