@@ -21,13 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomline.llm.shared import components, shared_dir, written
+from loomline.llm.shared import components, shared_dir, small_batches, written
 
 #: What ends a piece, what parts words, and the language of texts that have none.
 PIECE_ENDS, BLANKS, NO_LANG = b".,;:!?\n\x0b\x0c\r", b" \t", "und"
 BLANKED = bytes.maketrans(PIECE_ENDS + BLANKS, b"." * len(PIECE_ENDS) + b" " * len(BLANKS))
 #: A task counts so many words at a time; a bucket of phrases is that of so many bytes of text.
-WORDS_AT_ONCE, BUCKET_BYTES = 3_000_000, 6_000_000
+WORDS_AT_ONCE, BUCKET_BYTES = 2_000_000, 6_000_000
 ID_BITS = 21
 
 
@@ -129,6 +129,7 @@ def counted(docs: DataFrame, longest: int, buckets: int) -> DataFrame:
 def graph(docs: DataFrame, longest: int = 3, least: int = 10) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals). phrases (lang, phrase, k, a): every phrase of k = 1 to `longest` words that occurs at least
     `least` times, a its number of occurrences within pieces, overlaps included. totals (lang, n): all word occurrences."""
+    small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET_BYTES))
 
