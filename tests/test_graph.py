@@ -255,3 +255,15 @@ def test_linkage_over_all_pairs_is_the_same_tree(spark):
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "id long, v array<double>")
     told = lambda rows: sorted((round(r.height, 9), r.a, r.b) for r in rows.collect())
     assert told(vectors.pruned_dendrogram(vectors.settled(vectors.pairs(df)))) == told(vectors.dendrogram(df))
+
+
+def test_copies_of_rows_for_products_grow_as_the_rows(spark):
+    """Every row goes to as many pairs of blocks, whatever the number of rows."""
+    sizes = [vectors.dealt(spark.range(n).withColumn("v", F.array(F.lit(1.0)))).count() / n for n in (3000, 60000)]
+    assert sizes[0] == sizes[1] <= 16
+
+
+def test_products_by_tiles_give_every_pair_once(spark):
+    v = unit(np.random.default_rng(8).normal(size=(700, 3)))
+    rows = vectors.pairs(vector_frame(spark, v), 0.99, rows=20).collect()
+    assert len(rows) == len({(r.a, r.b) for r in rows}) == int((np.triu(v @ v.T, 1) >= 0.99).sum()) > 1000
