@@ -257,6 +257,45 @@ def test_linkage_over_all_pairs_is_the_same_tree(spark):
     assert told(vectors.pruned_dendrogram(vectors.settled(vectors.pairs(df)))) == told(vectors.dendrogram(df))
 
 
+def slow_betweenness(n, pairs):
+    near = {v: set() for v in range(n)}
+    for a, b in pairs:
+        near[a].add(b), near[b].add(a)
+    sums = np.zeros(n)
+    for s in range(n):
+        order, paths, dist = [s], {s: 1.0}, {s: 0}
+        for v in order:
+            for w in near[v]:
+                if w not in dist:
+                    dist[w], paths[w] = dist[v] + 1, 0.0
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] += paths[v]
+        share = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in near[w]:
+                if dist[v] == dist[w] - 1:
+                    share[v] += paths[v] / paths[w] * (1 + share[w])
+        for v in order[1:]:
+            sums[v] += share[v]
+    return sums / ((n - 1) * (n - 2))
+
+
+def test_betweenness_over_blocks_and_levels_are_few_rows(spark, monkeypatch):
+    """Blocks and batches as small as can be give what the plain method gives; a level has a row for many searches."""
+    rng = np.random.default_rng(12)
+    n = 90
+    pairs = {tuple(sorted(p)) for p in rng.integers(0, n - 4, size=(150, 2)).tolist() if p[0] != p[1]}
+    sizes, settled = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: sizes.append((df.columns, table := settled(df))) or table)
+    monkeypatch.setattr(graph, "removed", lambda *tables: None)
+    monkeypatch.setattr(graph, "STEPS", 16)
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, dst long, strength double")
+    got = {r.node: r.betweenness for r in graph.betweenness(spark.range(n).select(F.col("id").alias("node")), edges, block=30).collect()}
+    assert got == pytest.approx(dict(enumerate(slow_betweenness(n, pairs))), abs=5.1e-5)
+    assert max(t.count() for c, t in sizes if "keys" in c or "source" in c) <= 6 < n
+
+
 def test_copies_of_rows_for_products_grow_as_the_rows(spark):
     """Every row goes to as many pairs of blocks, whatever the number of rows."""
     sizes = [vectors.dealt(spark.range(n).withColumn("v", F.array(F.lit(1.0)))).count() / n for n in (3000, 60000)]
