@@ -191,6 +191,17 @@ def test_svd_equals_the_dense_one(spark):
     assert np.allclose(np.abs(at), np.abs(vt), atol=1e-6)
 
 
+def test_svd_makes_its_rows_once(spark, monkeypatch):
+    """The iteration reads rows that are kept, not made again in each step."""
+    from pyspark.mllib.linalg import distributed
+
+    given, whole = [], distributed.IndexedRowMatrix
+    monkeypatch.setattr(distributed, "IndexedRowMatrix", lambda rows, **kw: given.append(rows.is_cached) or whole(rows, **kw))
+    cells = [(f"s{i}", f"f{j}", float((i * j) % 7)) for i in range(1, 12) for j in range(1, 6)]
+    vectors.svd(spark.createDataFrame(cells, "session_id string, feature string, value double"), 11, k=2)
+    assert given[0] is True
+
+
 def clustered_vectors(n, clusters, dims=8, seed=1):
     """Groups of unit vectors some degrees apart."""
     rng = np.random.default_rng(seed)
