@@ -10,6 +10,14 @@ from loomline.functions import classify as C
 
 SHORTEST, LONGEST = 3, 7
 ARROW = " → "
+#: Calls that a task takes at a time.
+CALLS = 50_000
+
+
+def by_session(calls: DataFrame, rows: int = CALLS) -> DataFrame:
+    """calls dealt by session to so many tasks that each has some `rows` of them, however many there are."""
+    parts = max(-(-calls.count() // rows), calls.sparkSession.sparkContext.defaultParallelism)
+    return calls.repartition(parts, "session_id")
 
 
 def trigrams(calls: DataFrame, order: list[str], least: int = 2, most: int | None = 20) -> DataFrame:
@@ -32,12 +40,16 @@ def ngrams(calls: DataFrame, order: list[str], shortest: int = SHORTEST, longest
     A row looks no further than `longest` steps ahead, so no session is gathered whole.
     """
     ahead = Window.partitionBy("session_id").orderBy(*order).rowsBetween(0, longest - 1)
-    rows = steps(calls).select("session_id", "project", F.collect_list("step").over(ahead).alias("run"))
+    rows = steps(by_session(calls)).select("session_id", "project", F.collect_list("step").over(ahead).alias("run"))
     sizes = F.filter(F.sequence(F.lit(shortest), F.lit(longest)), lambda n: n <= F.size("run"))
     each = rows.select("session_id", "project", F.explode(sizes).alias("length"), "run").withColumn("steps", F.slice("run", 1, F.col("length")))
-    # Counted first per session, so that distinct sessions and projects need no sets of all rows.
-    by_session = each.groupBy("steps", "length", "session_id", "project").agg(F.count(F.lit(1)).alias("n"))
-    found = by_session.groupBy("steps", "length").agg(F.sum("n").alias("n"), F.countDistinct("session_id").alias("n_sessions"), F.countDistinct("project").alias("n_projects"))
+    # Counted first per session, where its calls are, and its first project marked, so that distinct sessions need no rows of
+    # their own beyond.
+    counted = each.groupBy("steps", "length", "session_id", "project").agg(F.count(F.lit(1)).alias("n"))
+    nth = F.row_number().over(Window.partitionBy("session_id", "steps", "length").orderBy("project"))
+    once = counted.withColumn("once", ((nth == 1) & F.col("session_id").isNotNull()).cast("long"))
+    within = once.groupBy("steps", "length", "project").agg(F.sum("n").alias("n"), F.sum("once").alias("n_sessions"))
+    found = within.groupBy("steps", "length").agg(F.sum("n").alias("n"), F.sum("n_sessions").alias("n_sessions"), F.count("project").alias("n_projects"))
     return found.where(F.col("n") >= least)
 
 
@@ -57,10 +69,10 @@ def top_patterns(grams: DataFrame, most: int = 30) -> DataFrame:
 def linked(calls: DataFrame, grams: DataFrame, order: list[str], *columns: str) -> DataFrame:
     """(columns, steps) of the rows of calls at which one of the patterns begins."""
     ahead = Window.partitionBy("session_id").orderBy(*order).rowsBetween(0, LONGEST - 1)
-    rows = steps(calls).select(*columns, F.collect_list("step").over(ahead).alias("run"))
+    rows = steps(by_session(calls)).select(*columns, F.collect_list("step").over(ahead).alias("run"))
     sizes = F.filter(F.sequence(F.lit(SHORTEST), F.lit(LONGEST)), lambda n: n <= F.size("run"))
-    runs = rows.select(*columns, F.explode(sizes).alias("length"), "run").select(*columns, F.slice("run", 1, F.col("length")).alias("steps")).distinct()
-    return runs.join(grams.select("steps"), "steps", "left_semi")
+    runs = rows.select(*columns, F.explode(sizes).alias("length"), "run").select(*columns, F.slice("run", 1, F.col("length")).alias("steps"))
+    return runs.join(grams.select("steps"), "steps", "left_semi").select(*columns, "steps").distinct()
 
 
 def topic_links(calls: DataFrame, grams: DataFrame, members: DataFrame, order: list[str]) -> DataFrame:

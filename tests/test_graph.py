@@ -162,6 +162,17 @@ def test_patterns_within_longer_ones_go(spark):
     assert sorted((r.length, r.n) for r in few.collect()) == [(3, 5), (4, 2)]
 
 
+def test_calls_are_dealt_to_tasks_by_their_number(spark):
+    """A task's calls don't grow with all calls; sessions and projects are counted once, whatever a session has of them."""
+    calls = spark.range(4000).select((F.col("id") / 4).cast("long").cast("string").alias("session_id"), "id")
+    assert sequences.by_session(calls, rows=100).rdd.getNumPartitions() == 40
+    at = [("s1", "p", 0), ("s1", "p", 1), ("s1", "q", 2), ("s1", "q", 3), ("s1", "q", 4), ("s2", "q", 0), ("s2", "q", 1), ("s2", "q", 2)]
+    rows = spark.createDataFrame([(s, p, k, "T", "{}") for s, p, k in at], "session_id string, project string, at int, tool_name string, input string")
+    plan = sequences.ngrams(rows, ["at"])
+    assert [(r.n, r.n_sessions, r.n_projects) for r in plan.where("length = 3").collect()] == [(4, 2, 2)]
+    assert "Expand" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_facets_of_a_topic(spark):
     members = spark.createDataFrame([("t", "a"), ("t", "b"), ("u", "c")], "topic_id string, session_id string")
     facets = spark.createDataFrame([("a", "goal", {"fix_x": 1}, "fully_achieved", "essential", {"slow": 2, "bad": 2}, "detail")], "session_id string, underlying_goal string, goal_categories map<string,int>, outcome string, claude_helpfulness string, friction_counts map<string,int>, friction_detail string")
