@@ -27,6 +27,16 @@ def test_tokens(spark, text, want):
     assert sorted(r.term for r in features.terms(rows, ["id"]).collect()) == sorted(want)
 
 
+def test_counts_need_no_shuffle_where_no_key_repeats(spark):
+    texts = spark.createDataFrame([(1, "parser ends\u0085 parser"), (2, "/src/parser.ts Parser"), (None, None)], "id long, text string")
+    own = features.term_counts(texts, "id", look=True)
+    assert "Exchange" not in own._jdf.queryExecution().executedPlan().toString()
+    want = [(1, "ends", 1), (1, "parser", 2), (2, "parser", 2), (2, "parserts", 1), (2, "src", 2)]
+    assert sorted(map(tuple, own.collect())) == want
+    both = features.term_counts(texts.unionByName(texts), "id", look=True)
+    assert sorted(map(tuple, both.collect())) == [(i, term, 2 * n) for i, term, n in want]
+
+
 def test_session_documents_and_summaries(spark):
     turns = spark.createDataFrame([("s", 0, "fix the parser", ["parser looks fine"], False), ("s", 1, "fix parser tests", [], False), ("e", 0, " ", [], None), ("p", 0, "look around", [], False), ("p", 1, "plan the parser", ["done"], True)], "session_id string, turn_index long, user_prompt string, texts array<string>, is_plan boolean")
     files = spark.createDataFrame([("s", "/src/parser/a.ts"), ("s", "/src/parser/b.ts")], "session_id string, file_path string")
