@@ -328,3 +328,15 @@ def test_products_by_tiles_give_every_pair_once(spark):
     v = unit(np.random.default_rng(8).normal(size=(700, 3)))
     rows = vectors.pairs(vector_frame(spark, v), 0.99, rows=20).collect()
     assert len(rows) == len({(r.a, r.b) for r in rows}) == int((np.triu(v @ v.T, 1) >= 0.99).sum()) > 1000
+
+
+def test_modularity_of_vectors_makes_no_edges(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(60, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    labels = spark.createDataFrame([(i, None if i % 7 == 0 else i % 3) for i in range(60)], "node long, community int")
+    rows = vector_frame(spark, v)
+    edges = vectors.similar(rows, 0.4).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.round("cosine", 9).alias("strength"))
+    want = graph.modularity(edges, labels).first()[0]
+    assert abs(graph.modularity_of_vectors(rows, labels, 0.4).first()[0] - want) < 1e-12 and want != 0
+    assert graph.modularity_of_vectors(rows, labels, 2.0).first()[0] == 0
