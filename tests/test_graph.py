@@ -340,3 +340,12 @@ def test_modularity_of_vectors_makes_no_edges(spark):
     want = graph.modularity(edges, labels).first()[0]
     assert abs(graph.modularity_of_vectors(rows, labels, 0.4).first()[0] - want) < 1e-12 and want != 0
     assert graph.modularity_of_vectors(rows, labels, 2.0).first()[0] == 0
+
+
+def test_prompt_set_links_its_patterns_once(spark, sf_dir, monkeypatch):
+    from loomline.plans import topics as plans
+
+    made, link = [], plans.branch_links
+    monkeypatch.setattr(plans, "branch_links", lambda *of: made.append(link(*of)) or made[-1])
+    found = plans.prompt_set(spark, sf_dir)
+    assert len(made) == 1 and found.count() == plans.skill_documents(spark, sf_dir).count()
