@@ -96,10 +96,11 @@ class Recent(dict):
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an undirected graph: (node, component), component the smallest node reachable.
+    """Connected components of an undirected graph: (node, component), component the smallest node reachable; a written table.
 
-    Alternating large-star and small-star rounds; each round's edges are written, so lineage stays short.
-    Nodes without an edge to another node don't appear. Rows with a null end are ignored.
+    Each round ties every node to its least neighbour, follows these ties to their roots, which are the least of their
+    trees, and keeps only edges between different roots. So an edge is joined in the first round, few are in later ones, and
+    two rounds halve the nodes at least. Nodes without an edge to another node don't appear. Rows with a null end are ignored.
     """
     links = written(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -107,26 +108,34 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .distinct(),
         "component-edges",
     )
-    before = None
-    while True:
+    ties, spent = [], [links]
+    while not ties or not links.isEmpty():
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # Large star: every larger neighbour of u is tied to the least of u's neighbourhood.
-        large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        )
-        # Small star: u and its smaller neighbours are tied to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        now = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        old, links = links, written(now, "component-edges")
-        dropped(old)
-        seen = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == before:
-            break
-        before = seen
-    roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+        ties.append(_rooted(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("component")), spent))
+        root = lambda c: ties[-1].select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+        ahead = links.join(root("u"), "u").select("v", "of_u").distinct().join(root("v"), "v").where("of_u != of_v")
+        links = written(ahead.select(F.greatest("of_u", "of_v").alias("u"), F.least("of_u", "of_v").alias("v")).distinct(), "component-edges")
+        spent.append(links)
+    named = ties[-1]
+    for earlier in reversed(ties[:-1]):
+        further = named.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        named = earlier.join(further, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
+    if len(ties) > 1:
+        named = written(named, "components")
+        spent += ties
+    dropped(*spent)
+    return named
+
+
+def _rooted(ties: DataFrame, spent: list[DataFrame]) -> DataFrame:
+    """Ties (node, component) to smaller nodes, or the node itself at a root, followed to their roots by leaps that double."""
+    ties = written(ties, "ties")
+    while True:
+        ahead = ties.where("node != component").select(F.col("node").alias("component"), F.col("component").alias("further"))
+        if ties.join(ahead, "component", "left_semi").isEmpty():
+            return ties
+        spent.append(ties)
+        ties = written(ties.join(ahead, "component", "left").select("node", F.coalesce("further", "component").alias("component")), "ties")
 
 
 def least_hashed(rows: DataFrame, key: list[str], n: int, total: int) -> DataFrame:

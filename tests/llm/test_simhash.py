@@ -125,3 +125,31 @@ def test_rows_without_id_link_others(spark, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprints", lambda *_: prints)
     got = simhash.near_duplicates(prints)
     assert sorted((r.fp, r.component_id or 0) for r in got.collect()) == [(-1, 0), (0, 1), (3, 1), (15, 1)]
+
+
+def test_components_join_an_edge_but_a_few_times(spark, monkeypatch):
+    """Paths, stars, hubs of high and low ids, and a dense group; what rounds write stays a few times the edges."""
+    from loomline.llm import shared
+
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(200)] + [(1000 - i, 999 - i) for i in range(300)] + [(2000 + i, 5000 + i % 7) for i in range(120)] + [(2000 + i, 2060 + i) for i in range(0, 60, 9)]
+    edges += [(6000 + rng.randrange(300), 6000 + rng.randrange(300)) for _ in range(3000)] + [(7, 7), (None, 8), (9, None), (-5, 8000)]
+    root = {x: x for e in edges if None not in e for x in e}
+    for a, b in edges:
+        if a is not None and b is not None and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {x: low if r == high else r for x, r in root.items()}
+    rows, real = [], shared.written
+
+    def counted(df, name):
+        table = real(df, name)
+        rows.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(shared, "written", counted)
+    frame = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.component for r in shared.components(frame).collect()}
+    assert got == root
+    first, *later = [n for name, n in rows if name == "component-edges"]
+    assert sum(later) < first / 2
+    assert shared.components(frame.limit(0)).count() == 0
