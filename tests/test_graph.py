@@ -318,6 +318,27 @@ def test_betweenness_over_blocks_and_levels_are_few_rows(spark, monkeypatch):
     assert max(t.count() for c, t in sizes if "keys" in c or "source" in c) <= 6 < n
 
 
+def test_searches_in_tasks_write_no_levels(spark, monkeypatch):
+    """Where tasks hold the edges, what is written doesn't grow with the levels, and results are the plain method's and those
+    of the way over levels."""
+    rng = np.random.default_rng(13)
+    n = 80
+    path = [(i, i + 1) for i in range(40)]
+    pairs = {tuple(sorted(p)) for p in rng.integers(30, n - 4, size=(90, 2)).tolist() if p[0] != p[1]} | set(path)
+    sizes, settled = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: sizes.append(df.columns) or settled(df))
+    monkeypatch.setattr(graph, "EDGES", 5)
+    names = spark.range(n).select(F.col("id").alias("node"))
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, dst long, strength double")
+    got = {r.node: r.betweenness for r in graph.betweenness(names, edges, block=30).collect()}
+    assert got == pytest.approx(dict(enumerate(slow_betweenness(n, pairs))), abs=5.1e-5)
+    assert len(sizes) <= 5 and not any("keys" in c for c in sizes)
+    some = spark.createDataFrame([(3,), (50,)], "node long")
+    one = {r.node: r.betweenness for r in graph.betweenness(names, edges.where("src >= 30"), some).collect()}
+    monkeypatch.setattr(graph, "STEPS", 4)
+    assert one == {r.node: r.betweenness for r in graph.betweenness(names, edges.where("src >= 30"), some).collect()}
+
+
 def test_copies_of_rows_for_products_grow_as_the_rows(spark):
     """Every row goes to as many pairs of blocks, whatever the number of rows."""
     sizes = [vectors.dealt(spark.range(n).withColumn("v", F.array(F.lit(1.0)))).count() / n for n in (3000, 60000)]
