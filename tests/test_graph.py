@@ -42,6 +42,60 @@ def test_two_pairs_are_two_communities(spark):
     assert {r.community for r in graph.communities(n, e.limit(0)).collect()} == set("ABCDE")
 
 
+def plain_communities(weights, names, halves):
+    """The rounds of graph.communities over weights {(a, b): w}; halves(r) are the nodes of a round."""
+    both = [(a, b, w) for (a, b), w in weights.items()] + [(b, a, w) for (a, b), w in weights.items()]
+    k = {n: sum(w for a, _, w in both if a == n) for n in names}
+    m2 = sum(k.values())
+
+    def quality(of):
+        degree = {c: sum(k[n] for n in names if of[n] == c) for c in set(of.values())}
+        return sum(w for a, b, w in both if of[a] == of[b]) / m2 - sum((d / m2) ** 2 for d in degree.values())
+
+    of, idle = {n: n for n in names}, 0
+    for r in range(200):
+        moved = dict(of)
+        for n in halves(r):
+            gains = {}
+            for a, b, w in both:
+                if a == n:
+                    gains[of[b]] = gains.get(of[b], 0) + w
+            rest = lambda c, n=n: sum(k[x] for x in names if of[x] == c and x != n)
+            gains = {c: round(w - rest(c) * k[n] / m2, 12) for c, w in gains.items()}
+            if gains and max(gains.values()) > 0:
+                moved[n] = min(gains, key=lambda c: (-gains[c], c))
+        moved = {n: min(x for x in names if moved[x] == moved[n]) for n in names}
+        if quality(moved) > quality(of) + 1e-9:
+            of, idle = moved, 0
+        else:
+            idle += 1
+            if idle == 6:
+                break
+    return of
+
+
+def test_communities_equal_plain_rounds_and_shuffle_no_edges(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    names = list(range(30))
+    weights = {(a, b): round(rng.random(), 9) for a in names[:-1] for b in names[a + 1 : -1] if rng.random() < (0.6 if a % 3 == b % 3 else 0.08)}
+    n = spark.createDataFrame([(i,) for i in names], "node long")
+    e = spark.createDataFrame([(a, b, w) for (a, b), w in weights.items()], "src long, dst long, strength double")
+    halves = lambda r: [x.node for x in n.where(F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0).collect()]
+    plans, settled = [], graph.settled
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return settled(df)
+
+    monkeypatch.setattr(graph, "settled", seen)
+    tables = {t.name for t in spark.catalog.listTables()}
+    got = {r.node: r.community for r in graph.communities(n, e).collect()}
+    assert got == plain_communities(weights, names, halves) and 1 < len(set(got.values())) < 12
+    rounds = [p for p in plans if "weight" in p]
+    assert rounds and not any("hashpartitioning(node" in p for p in rounds)
+    assert {t.name for t in spark.catalog.listTables()} == tables
+
+
 def slow_linkage(dist, n):
     groups, heights = {i: [i] for i in range(n)}, []
     while len(groups) > 1:
