@@ -131,6 +131,18 @@ def test_dendrogram_equals_the_loop(spark, finish):
     assert {r.id: r.cluster for r in vectors.cut(merges, spark.range(n), t).collect()} == dict(enumerate(roots))
 
 
+def test_a_few_thousand_clusters_merge_in_few_jobs(spark, monkeypatch):
+    """Rounds over clusters that one task holds are no jobs; the tree is that of rounds over blocks, ties included."""
+    rng = np.random.default_rng(5)
+    v = unit(np.concatenate([rng.normal(size=(500, 6)), rng.integers(0, 2, size=(100, 6)) + [1, 0, 0, 0, 0, 0]]))
+    rows = vector_frame(spark, v).withColumn("part", F.when(F.col("id") % 3 == 0, 0).otherwise(1))
+    tables, settled = [], vectors.settled
+    monkeypatch.setattr(vectors, "settled", lambda df: tables.append(df) or settled(df))
+    got = sorted((round(r.height, 9), r.a, r.b) for r in vectors.dendrogram(rows).collect())
+    assert len(tables) <= 3
+    assert got == sorted((round(r.height, 9), r.a, r.b) for r in vectors.dendrogram(rows, 64).collect()) and len(tables) > 10
+
+
 def test_equal_vectors_merge_first_and_parts_stay_apart(spark):
     v = unit(np.array([[1, 0], [0, 1], [1, 0], [1, 0.1], [1, 0], [0, 1.0]]))
     frame = vector_frame(spark, v)
