@@ -143,6 +143,16 @@ def test_a_few_thousand_clusters_merge_in_few_jobs(spark, monkeypatch):
     assert got == sorted((round(r.height, 9), r.a, r.b) for r in vectors.dendrogram(rows, 64).collect()) and len(tables) > 10
 
 
+def test_only_clusters_whose_nearest_has_gone_look_again(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = vector_frame(spark, unit(rng.normal(size=(300, 5))))
+    asked, nearest = [], vectors.nearest
+    monkeypatch.setattr(vectors, "nearest", lambda clusters, kind: asked.append((clusters.where("asks").count(), clusters.count())) or nearest(clusters, kind))
+    got = sorted((round(r.height, 9), r.a, r.b) for r in vectors.dendrogram(rows, 100).collect())
+    assert got == sorted((round(r.height, 9), r.a, r.b) for r in vectors.dendrogram(rows).collect()) and len(got) == 299
+    assert asked[0] == (300, 300) and len(asked) > 2 and all(a < 0.9 * n for a, n in asked[1:])
+
+
 def test_equal_vectors_merge_first_and_parts_stay_apart(spark):
     v = unit(np.array([[1, 0], [0, 1], [1, 0], [1, 0.1], [1, 0], [0, 1.0]]))
     frame = vector_frame(spark, v)
